@@ -4,14 +4,18 @@ Documents become sets of hashed word shingles. Equal sets are collapsed to one m
 groups of copies of any size cost one row each. The distinct sets then walk down independent trees:
 in each tree a set follows one or two selected minwise tokens to child nodes, and a node's members
 meet only if they share the tokens chosen on the whole path. Small nodes are compared exhaustively
-(on sketches of 128 minwise tokens, with a margin of six deviations); larger ones branch again. A
-node that does not get smaller by branching holds a dense group: its members are linked to a few
-hubs, and only those that are not yet in the group's main component are compared with the rest, in
-blocks. All candidate links are confirmed on full sets, and linked sets form components.
+on sketches of 128 minwise tokens (with a margin of six deviations), and likely pairs are confirmed
+on full sets; larger nodes branch again.
 
-Recall: a pair at the threshold survives a level of two choices with probability 1-(1-s)^2; with
-six levels of one and two choices in turn and five trees, a pair at 0.85 is missed about once in a
-million, a closer pair less often.
+A child that keeps most of its node is a dense group, which more branching would not divide. It is
+compared exhaustively on full sets, in cells of two bounded blocks each; a cell gives a spanning
+forest of its links, not all of them. In a dense group of more than EXHAUSTIVE members, the links to
+a few hubs come first, and only members that these leave apart from the group's main component meet
+the others in cells. Linked sets form components.
+
+Recall: a pair at the threshold s survives a level of one choice with probability s, of two with
+1-(1-s)^2. With two choices at the roots of five trees, then one and two by turns, a pair at 0.85 is
+missed in about one case of a million, a closer pair less often.
 
 Rows: a document without words has an empty set, links with nothing and is kept. Rows without
 doc_id are left out of linking; they get a null component and null `kept`. Rows of equal doc_id and
@@ -30,18 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_words, parallelism, text_slices, whole_groups, written
+from .common import distinct_words, parallelism, ragged_take, text_slices, whole_groups, written
 
 SHINGLE = 5
 TREES = 5
 ROOT_CHOICES = 2
 TOKENS = 32  # minwise tokens that paths choose from, 64 bits each
 SKETCH = 128  # minwise tokens that sketches compare, 16 bits each
-LEAF = 48  # nodes of at most so many sets are compared exhaustively
-DENSE = 0.85  # a child that keeps this share of its node is not branched further
+LEAF = 48  # nodes of at most so many sets are compared on sketches
+DENSE = 0.5  # a child that keeps this share of its node is not branched further
 LEVELS = 16
+EXHAUSTIVE = 4096  # dense groups of at most so many sets are compared without hubs
 HUBS = 4
-BLOCK = 48
+BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000  # most of either in half a cell, on average
 STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,7 +119,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
 
 def _branched(rows: DataFrame, level: int) -> DataFrame:
     """Children of the members of large nodes: one or two selected tokens of each, by turns."""
-    choices = 1 + level % 2
+    choices = 2 - level % 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +170,7 @@ def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "node"):
-            node, rep, side = (t.column(c).to_numpy() for c in ("node", "rep", "side"))
+            node, rep = t.column("node").to_numpy(), t.column("rep").to_numpy()
             sketches = t.column("sketch").to_pylist()
             bounds = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
             found = []
@@ -174,9 +179,8 @@ def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
                     continue
                 same, likely = _likely(sketches[a:b], least)
                 i, j = np.nonzero(np.triu(likely, 1))
-                one = side[a:b]
-                meet = (rep[a + i] != rep[a + j]) & (one[i] | one[j])
-                i, j = i[meet], j[meet]
+                apart = rep[a + i] != rep[a + j]
+                i, j = i[apart], j[apart]
                 if len(i):
                     x, y = rep[a + i], rep[a + j]
                     found.append((np.minimum(x, y), np.maximum(x, y), _spanning(i, j, same[i, j], b - a)))
@@ -184,18 +188,24 @@ def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "first"])
 
     n = parallelism(rows.sparkSession)
-    ready = rows.select("node", "rep", "side", "sketch").repartition(n, "node").sortWithinPartitions("node")
+    ready = rows.select("node", "rep", "sketch").repartition(n, "node").sortWithinPartitions("node")
     return ready.mapInArrow(run, "a long, b long, first boolean")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def _full_sets(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """id, s: the full sets of the documents that `id` names, once each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["id", "s"])
 
+    return written(docs.join(named.distinct(), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -205,12 +215,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 ok.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    full = written(docs.join(named, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
+    full = _full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width)
     one, other = full.withColumnRenamed("id", "a"), full.select(F.col("id").alias("b"), F.col("s").alias("t"))
     return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "s", "t").mapInArrow(judge, "a long, b long").distinct()
 
 
+def _cell_links(cells: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the links in each cell; `cell, rep, one`, of which a pair needs at least one `one`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "cell"):
+            cell, reps, ones = (t.column(c).to_numpy() for c in ("cell", "rep", "one"))
+            sets = t.column("s").to_pylist()
+            bounds = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                i, j = _linked([np.frombuffer(x, np.uint64) for x in sets[lo:hi]], ones[lo:hi], percent)
+                i, j = i[reps[lo + i] != reps[lo + j]], j[reps[lo + i] != reps[lo + j]]
+                if len(i):
+                    keep = _spanning(i, j, np.zeros(len(i)), hi - lo)
+                    x, y = reps[lo + i[keep]], reps[lo + j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    full = _full_sets(docs, cells.select(F.col("rep").alias("id")), width)
+    n = parallelism(cells.sparkSession)
+    ready = cells.join(full, F.col("rep") == F.col("id")).select("cell", "rep", "one", "s").repartition(n, "cell").sortWithinPartitions("cell")
+    return ready.mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(sets: list[np.ndarray], ones: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of sets, i < j: intersection sizes are counted over the sets that hold each shingle."""
+    sizes = np.array([len(s) for s in sets])
+    shingles, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    holders = owner[np.argsort(code, kind="stable")]
+    times = np.bincount(code, minlength=len(shingles))
+    starts = np.cumsum(sizes) - sizes
+    left, right = [], []
+    for i in range(len(sets)):
+        shared, _ = ragged_take(holders, times, code[starts[i] : starts[i] + sizes[i]])
+        both = np.bincount(shared, minlength=len(sets))
+        ok = 100 * both >= percent * (sizes[i] + sizes - both)
+        ok[: i + 1] = False
+        if not ones[i]:
+            ok &= ones
+        j = np.flatnonzero(ok)
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, comp: the smallest vertex that each vertex of `a, b` reaches.
 
@@ -229,20 +282,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _dense_pairs(dense: DataFrame, docs: DataFrame, reps: DataFrame, least: float, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links to hubs of dense nodes, and candidates of those that hubs leave apart."""
-    hubs = dense.groupBy("node").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(h))).alias(f"h{h}") for h in range(HUBS)))
-    to_hubs = dense.join(hubs, "node").select("rep", F.explode(F.array(*(f"h{h}" for h in range(HUBS)))).alias("hub")).filter("rep != hub")
+def _dense_links(dense: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside dense groups: `node, rep, n` with the group's `size`."""
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES))
+    few = dense.filter(F.col("size") <= EXHAUSTIVE)
+    sums = few.groupBy("node").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    each = few.join(sums, "node").select("rep", "node", F.pmod(F.xxhash64("rep"), blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("k"))
+    cells = each.select(F.xxhash64("node", F.least("i", "k"), F.greatest("i", "k")).alias("cell"), "rep", F.lit(True).alias("one"))
+    many = dense.filter(F.col("size") > EXHAUSTIVE)
+    if many.isEmpty():
+        return _cell_links(written(cells, "cells"), docs, width, percent)
+    hubs = many.groupBy("node").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(h))).alias(f"h{h}") for h in range(HUBS)))
+    to_hubs = many.join(hubs, "node").select("rep", F.explode(F.array(*(f"h{h}" for h in range(HUBS)))).alias("hub")).filter("rep != hub")
     links = written(_confirmed(to_hubs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), docs, width, percent), "links")
     comp = components(links)
-    member = written(dense.join(comp, F.col("rep") == F.col("v"), "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp")), "members")
-    main = member.groupBy("node", "comp").count().groupBy("node").agg(F.max_by("comp", "count").alias("main"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("apart"))
-    # every member that is apart from its node's main component meets all members, block by block
-    dealt = member.join(main, "node").filter("apart > 0").select("node", "rep", (F.col("comp") != F.col("main")).alias("one"), F.ceil(F.col("apart") / BLOCK).alias("ones"), F.ceil(F.col("all") / BLOCK).alias("others"))
-    mine = dealt.filter("one").select("rep", "one", "node", F.pmod(F.xxhash64("rep"), F.col("ones")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("j"))
-    rest = dealt.select("rep", F.lit(False).alias("one"), "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ones") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), F.col("others")).alias("j"))
-    cells = mine.unionByName(rest).select(F.xxhash64("node", "i", "j").alias("node"), "rep", F.col("one").alias("side"))
-    return links, _leaf_pairs(cells.join(reps.select("rep", "sketch"), "rep"), least)
+    member = written(many.join(comp, F.col("rep") == F.col("v"), "left").select("node", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "members")
+    parts = member.groupBy("node", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    main = parts.groupBy("node").agg(F.max_by("comp", "sets").alias("main"), *(F.sum(c).alias(c) for c in ("sets", "shingles")), *((F.sum(c) - F.max_by(c, "sets")).alias(f"{c}_apart") for c in ("sets", "shingles")))
+    # every member apart from its group's main component meets all members, block by block
+    mine_blocks = F.ceil(F.greatest(F.col("sets_apart") / BLOCK_SETS, F.col("shingles_apart") / BLOCK_SHINGLES))
+    dealt = member.join(main, "node").filter("sets_apart > 0").select("node", "rep", (F.col("comp") != F.col("main")).alias("one"), mine_blocks.alias("ones"), blocks.alias("others"))
+    hashed = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = dealt.filter("one").select("rep", "one", "node", hashed("ones").alias("i"), upto("others").alias("j"))
+    rest = dealt.filter("NOT one").select("rep", "one", "node", upto("ones").alias("i"), hashed("others").alias("j"))
+    apart = dealt.filter("one").select("rep", "one", "node", upto("ones").alias("i"), hashed("others").alias("j"))  # as one of all
+    met = mine.unionByName(rest).unionByName(apart).select(F.xxhash64("node", "i", "j", F.lit(1)).alias("cell"), "rep", "one")
+    return links.union(_cell_links(written(cells.unionByName(met), "cells"), docs, width, percent))
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> DataFrame:
@@ -254,7 +320,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
     sets = written(sets, "distinct-sets")
     reps = written(
         table.filter("n > 0").join(sets.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")))
-        .select("rep", "nodes", "tokens", "sketch"),
+        .select("rep", "n", "nodes", "tokens", "sketch"),
         "members",
     )
 
@@ -266,7 +332,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
         leaves.append(sized.filter(F.col("size") <= LEAF).select("node", "rep"))
         large = sized.filter(F.col("size") > LEAF)
         stuck = F.coalesce(F.col("size") >= DENSE * F.col("parent_size"), F.lit(False)) if level < LEVELS else F.lit(True)
-        dense.append(large.filter(stuck).select("node", "rep"))
+        dense.append(large.filter(stuck).select("node", "rep", "size"))
         large = large.filter(~stuck)
         if large.isEmpty():
             break
@@ -275,14 +341,13 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
     members = leaves[0]
     for x in leaves[1:]:
         members = members.union(x)
-    found = _leaf_pairs(members.withColumn("side", F.lit(True)).join(reps.select("rep", "sketch"), "rep"), margin)
+    found = _leaf_pairs(members.join(reps.select("rep", "sketch"), "rep"), margin)
     stuck_rows = dense[0]
     for x in dense[1:]:
         stuck_rows = stuck_rows.union(x)
     links = None
     if not stuck_rows.isEmpty():
-        links, more = _dense_pairs(stuck_rows, docs, reps, margin, width, percent)
-        found = found.union(more)
+        links = _dense_links(stuck_rows.join(reps.select("rep", "n"), "rep"), docs, width, percent)
     # forests first; other candidates only where confirmed forests leave their ends apart
     pairs = written(found.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
     sure = _confirmed(pairs.filter("first"), docs, width, percent)
