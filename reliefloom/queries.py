@@ -1,4 +1,9 @@
 """Registered queries of the library and the DuckDB SQL of each."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .plans import projection
+
+_PARTS = (projection,)
+QUERIES = {k: f for p in _PARTS for k, f in p.REG.queries.items()}
+ORACLE_SQL = {k: s for p in _PARTS for k, s in p.REG.sql.items()}
