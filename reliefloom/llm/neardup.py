@@ -203,7 +203,7 @@ def _full_sets(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
     return written(docs.join(named.distinct(), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +215,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 ok.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    full = _full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width)
     one, other = full.withColumnRenamed("id", "a"), full.select(F.col("id").alias("b"), F.col("s").alias("t"))
     return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "s", "t").mapInArrow(judge, "a long, b long").distinct()
 
 
-def _cell_links(cells: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _cell_links(cells: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """a, b: a spanning forest of the links in each cell; `cell, rep, one`, of which a pair needs at least one `one`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +235,6 @@ def _cell_links(cells: DataFrame, docs: DataFrame, width: int, percent: int) ->
                     x, y = reps[lo + i[keep]], reps[lo + j[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    full = _full_sets(docs, cells.select(F.col("rep").alias("id")), width)
     n = parallelism(cells.sparkSession)
     ready = cells.join(full, F.col("rep") == F.col("id")).select("cell", "rep", "one", "s").repartition(n, "cell").sortWithinPartitions("cell")
     return ready.mapInArrow(run, "a long, b long").distinct()
@@ -282,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _dense_links(dense: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _dense_links(dense: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links inside dense groups: `node, rep, n` with the group's `size`."""
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES))
     few = dense.filter(F.col("size") <= EXHAUSTIVE)
@@ -291,10 +289,10 @@ def _dense_links(dense: DataFrame, docs: DataFrame, width: int, percent: int) ->
     cells = each.select(F.xxhash64("node", F.least("i", "k"), F.greatest("i", "k")).alias("cell"), "rep", F.lit(True).alias("one"))
     many = dense.filter(F.col("size") > EXHAUSTIVE)
     if many.isEmpty():
-        return _cell_links(written(cells, "cells"), docs, width, percent)
+        return _cell_links(written(cells, "cells"), full, percent)
     hubs = many.groupBy("node").agg(*(F.min_by("rep", F.xxhash64("rep", F.lit(h))).alias(f"h{h}") for h in range(HUBS)))
     to_hubs = many.join(hubs, "node").select("rep", F.explode(F.array(*(f"h{h}" for h in range(HUBS)))).alias("hub")).filter("rep != hub")
-    links = written(_confirmed(to_hubs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), docs, width, percent), "links")
+    links = written(_confirmed(to_hubs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), full, percent), "links")
     comp = components(links)
     member = written(many.join(comp, F.col("rep") == F.col("v"), "left").select("node", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "members")
     parts = member.groupBy("node", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
@@ -308,7 +306,7 @@ def _dense_links(dense: DataFrame, docs: DataFrame, width: int, percent: int) ->
     rest = dealt.filter("NOT one").select("rep", "one", "node", upto("ones").alias("i"), hashed("others").alias("j"))
     apart = dealt.filter("one").select("rep", "one", "node", upto("ones").alias("i"), hashed("others").alias("j"))  # as one of all
     met = mine.unionByName(rest).unionByName(apart).select(F.xxhash64("node", "i", "j", F.lit(1)).alias("cell"), "rep", "one")
-    return links.union(_cell_links(written(cells.unionByName(met), "cells"), docs, width, percent))
+    return links.union(_cell_links(written(cells.unionByName(met), "cells"), full, percent))
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> DataFrame:
@@ -345,18 +343,20 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
     stuck_rows = dense[0]
     for x in dense[1:]:
         stuck_rows = stuck_rows.union(x)
-    links = None
-    if not stuck_rows.isEmpty():
-        links = _dense_links(stuck_rows.join(reps.select("rep", "n"), "rep"), docs, width, percent)
-    # forests first; other candidates only where confirmed forests leave their ends apart
     pairs = written(found.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
-    sure = _confirmed(pairs.filter("first"), docs, width, percent)
-    sure = written(sure.union(links) if links is not None else sure, "links")
+    dense_rows = written(stuck_rows.join(reps.select("rep", "n"), "rep"), "dense")
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense_rows.select("rep"))
+    full = _full_sets(docs, named, width)  # the one time that texts are shuffled
+    # forests first; other candidates only where confirmed forests leave their ends apart
+    sure = _confirmed(pairs.filter("first"), full, percent)
+    if not dense_rows.isEmpty():
+        sure = sure.union(_dense_links(dense_rows, full, percent))
+    sure = written(sure, "links")
     comp = components(sure)
     x, y = comp.select(F.col("v").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
     apart = written(pairs.filter("NOT first").join(x, "a", "left").join(y, "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "apart")
     if not apart.isEmpty():
-        comp = components(sure.union(_confirmed(apart, docs, width, percent)))
+        comp = components(sure.union(_confirmed(apart, full, percent)))
 
     named = sets.join(comp, F.col("rep") == F.col("v"), "left").select("key1", "key2", F.coalesce("comp", "rep").alias("set_comp"))
     judged = table.select("doc_id", "n", "key1", "key2").join(named, ["key1", "key2"], "left")
