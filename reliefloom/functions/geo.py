@@ -87,7 +87,8 @@ def scale(extent_x: Column, extent_y: Column, width_mm: Column, min_m: Column, m
 
 
 def to_print(x_m: Column, y_m: Column, h_m: Column, s: Column, z: Column, min_m: Column, sea_offset_m: Column, base_mm: Column) -> tuple[Column, Column, Column]:
-    return x_m * s, y_m * s, base_mm + F.greatest(F.lit(0.0), (h_m - min_m + sea_offset_m) * z)
+    relief = (h_m - min_m + sea_offset_m) * z
+    return x_m * s, y_m * s, base_mm + F.when(relief < 0, 0.0).otherwise(relief)
 
 
 def tile_x(lon: Column, z: Column) -> Column:
@@ -129,7 +130,8 @@ def tile_range(west: Column, south: Column, east: Column, north: Column, z: Colu
 
 def haversine(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column) -> Column:
     s = F.pow(F.sin((b_lat - a_lat) * DEG / 2), 2) + F.cos(a_lat * DEG) * F.cos(b_lat * DEG) * F.pow(F.sin((b_lon - a_lon) * DEG / 2), 2)
-    return 2 * HAVERSINE_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
+    root = F.sqrt(s)
+    return 2 * HAVERSINE_RADIUS_M * F.asin(F.when(root > 1, 1.0).otherwise(root))  # least() would turn null into 1
 
 
 def metres_between(a_lon: Column, a_lat: Column, b_lon: Column, b_lat: Column) -> Column:

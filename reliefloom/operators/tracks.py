@@ -7,11 +7,9 @@ route's sorted points is bounded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -23,12 +21,14 @@ MAX_SPEED_MS = 200 / 3.6
 FIT_PADDING = 0.15
 LEAST_PADDING_DEG = 0.002
 
-ROUTE = Window.partitionBy("route_id").orderBy("seq")
+
+def _route() -> WindowSpec:
+    return Window.partitionBy("route_id").orderBy("seq")
 
 
 def with_previous(points: DataFrame, columns: list[str]) -> DataFrame:
     """points with `prev_<column>`: the values of the route's point before."""
-    return points.withColumns({f"prev_{c}": F.lag(c).over(ROUTE) for c in columns})
+    return points.withColumns({f"prev_{c}": F.lag(c).over(_route()) for c in columns})
 
 
 def valid_points(points: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def valid_points(points: DataFrame) -> DataFrame:
 def capped(points: DataFrame, most: int = MAX_POINTS) -> DataFrame:
     """Every stride-th point of a long route, and its last."""
     n = F.count("*").over(Window.partitionBy("route_id"))
-    numbered = points.withColumns({"_n": n, "_i": F.row_number().over(ROUTE) - 1})
+    numbered = points.withColumns({"_n": n, "_i": F.row_number().over(_route()) - 1})
     return numbered.filter((F.col("_i") % F.ceil(F.col("_n") / most) == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_n", "_i")
 
 

@@ -138,7 +138,7 @@ def b12_tile_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("sel_id", geo.tile_range(F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.col("z")).alias("r")).select("sel_id", "r.x_min", "r.x_max", "r.y_min", "r.y_max")
 
 
-HAV = f"""2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin((lat - plat) * {DEG_SQL} / 2), 2) + cos(plat * {DEG_SQL}) * cos(lat * {DEG_SQL}) * pow(sin((lon - plon) * {DEG_SQL} / 2), 2))))"""
+HAV = f"""CASE WHEN plon IS NOT NULL THEN 2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin((lat - plat) * {DEG_SQL} / 2), 2) + cos(plat * {DEG_SQL}) * cos(lat * {DEG_SQL}) * pow(sin((lon - plon) * {DEG_SQL} / 2), 2)))) END"""
 PREV = "prev AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat, lag(ele) OVER w AS pele FROM gps WINDOW w AS (PARTITION BY route_id ORDER BY seq))"
 
 

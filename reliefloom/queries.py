@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import projection
+from .plans import features, projection, routes
 
-_PARTS = (projection,)
+_PARTS = (projection, routes, features)
 QUERIES = {k: f for p in _PARTS for k, f in p.REG.queries.items()}
 ORACLE_SQL = {k: s for p in _PARTS for k, s in p.REG.sql.items()}
