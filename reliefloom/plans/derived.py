@@ -45,7 +45,7 @@ DEM_SQL = "dem AS (" + _DEM + ")"
 WAYS_SQL = "ways AS (" + _WAYS.format(each="unnest(range(0, 8))") + ")"
 SELECTIONS_SQL = "sel AS (" + _SELECTIONS + ")"
 TAGS_SQL = f"tag_rows(t, closed, k, v) AS (VALUES {_ROWS}), tags AS (SELECT t, closed, map_from_entries(list((k, v))) AS tags FROM tag_rows GROUP BY t, closed)"
-MODEL_SQL = "model AS (SELECT 7.62e0 AS west, 45.94e0 AS south, 7.74e0 AS east, 46.02e0 AS north, 7.68e0 AS lon0, 45.98e0 AS lat0, cos(radians(45.98e0)) AS c0)"
+MODEL_SQL = "model AS (SELECT 7.62e0 AS west, 45.94e0 AS south, 7.74e0 AS east, 46.02e0 AS north, (7.62e0 + 7.74e0) / 2 AS lon0, (45.94e0 + 46.02e0) / 2 AS lat0, cos((45.94e0 + 46.02e0) / 2 * (pi() / 180)) AS c0)"
 
 
 def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import features, projection, routes
+from .plans import features, layers, meshes, projection, rasters, routes
 
-_PARTS = (projection, routes, features)
+_PARTS = (projection, routes, features, rasters, meshes, layers)
 QUERIES = {k: f for p in _PARTS for k, f in p.REG.queries.items()}
 ORACLE_SQL = {k: s for p in _PARTS for k, s in p.REG.sql.items()}
