@@ -33,7 +33,9 @@ from .common import distinct_words, lengths_to_list_array, ragged_take, sums_by_
 #: Words of more parts than this are merged over a heap.
 SCAN_PARTS = 200
 #: Words kept with their ids in each Python worker; later words are encoded anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
+#: Ids decoded at a time: lists of Python integers take eight times the room of the column.
+DECODE_IDS = 1 << 19
 NO_RANK = 1 << 60
 
 #: The pre-tokenizer pattern for plain ASCII words of a word-end vocabulary.
@@ -204,8 +206,14 @@ def decoded(df: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for b in batches:
-            col = pa.array([bpe.decode(x or []) for x in b.column("ids").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, "decoded"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODE_IDS, side="right")))
+                part = b.slice(at, to - at)
+                col = pa.array([bpe.decode(x.as_py() or []) for x in part.column("ids")], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, col], names=[*part.schema.names, "decoded"])
+                at = to
 
     return df.mapInArrow(run, schema)
 
