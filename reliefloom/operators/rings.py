@@ -26,6 +26,7 @@ def chained(segments: DataFrame, cell_m: float) -> DataFrame:
 
     key = lambda c: F.floor(F.col(c) / (cell_m * KEY_CELLS) + 0.5)
     s = segments.withColumns({"ka": key("x0"), "kb": key("y0"), "kc": key("x1"), "kd": key("y1")})
+    s = s.filter("ka != kc OR kb != kd")  # a contour through a node leaves segments without length
     scan = ["j", "i", "x0", "y0", "x1", "y1"]
     s = s.withColumn("id", F.xxhash64(*scan))
     out = s.select(F.col("ka").alias("p"), F.col("kb").alias("q"), F.row_number().over(Window.partitionBy("ka", "kb").orderBy(*scan)).alias("n"), F.col("id").alias("next"))
