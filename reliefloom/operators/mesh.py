@@ -176,3 +176,46 @@ def statistics(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     t = triangles.groupBy("model_id").agg(F.count("*").alias("triangles"))
     spans = [(F.max(c) - F.min(c)).cast("double").alias(f"size_{c}") for c in "xyz"]
     return t.join(vertices.groupBy("model_id").agg(F.count("*").alias("vertices"), *spans), "model_id")
+
+
+#: Colours of low to high ground, as (height, red, green, blue) of 0 to 1.
+GROUND_COLOURS = [(0.0, 0.29, 0.45, 0.28), (0.35, 0.55, 0.5, 0.32), (0.65, 0.63, 0.56, 0.47), (0.85, 0.72, 0.7, 0.67), (1.0, 0.97, 0.97, 0.97)]
+
+
+def ground_colour(height: Column) -> list[Column]:
+    """Red, green, blue of a height of 0 to 1, linear between the stops."""
+    out = []
+    for k in (1, 2, 3):
+        c = F.lit(1.0)
+        for a, b in reversed(list(zip(GROUND_COLOURS, GROUND_COLOURS[1:]))):
+            c = F.when(height <= b[0], a[k] + (b[k] - a[k]) * (height - a[0]) / (b[0] - a[0])).otherwise(c)
+        out.append(c)
+    return out
+
+
+def slope_colour(nz: Column) -> list[Column]:
+    """Red, green, blue by how far a normal leans from the vertical."""
+    t = F.least(F.lit(1.0), F.acos(F.least(F.lit(1.0), F.abs(nz))) / (3.141592653589793 / 2))
+    return [0.25 + 0.7 * t, 0.7 - 0.45 * t, 0.35 - 0.2 * t]
+
+
+def tinted(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """model_id, vid and the colours by height (r, g, b) and by slope (sr, sg, sb)."""
+    span = vertices.groupBy("model_id").agg(F.min("z").cast("double").alias("lo"), (F.max("z").cast("double") - F.min("z").cast("double")).alias("span"))
+    v = vertices.join(F.broadcast(span), "model_id").join(vertex_normals(triangles, vertices), ["model_id", "vid"])
+    h = (F.col("z").cast("double") - F.col("lo")) / F.when(F.col("span") == 0, 1.0).otherwise(F.col("span"))
+    v = v.withColumn("h", h)
+    by_height = [c.alias(n) for c, n in zip(ground_colour(F.col("h")), ("r", "g", "b"))]
+    by_slope = [c.alias(n) for c, n in zip(slope_colour(F.col("nz")), ("sr", "sg", "sb"))]
+    return v.select("model_id", "vid", *by_height, *by_slope)
+
+
+def bridge_deck(points: DataFrame, ends: DataFrame) -> DataFrame:
+    """points (bridge_id, seq, x, y) with the deck's z: linear between both ends (x0, y0, z0, x1, y1, z1) along their line."""
+    c = F.col
+    dx, dy = c("x1") - c("x0"), c("y1") - c("y0")
+    square = dx * dx + dy * dy
+    t = F.try_divide((c("x") - c("x0")) * dx + (c("y") - c("y0")) * dy, square)
+    t = F.when(t < 0, 0.0).when(t > 1, 1.0).otherwise(t)
+    z = F.when(square == 0, c("z0")).otherwise(c("z0") + (c("z1") - c("z0")) * t)
+    return points.join(ends, "bridge_id").select("bridge_id", "seq", "x", "y", z.alias("z"))

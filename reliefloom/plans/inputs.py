@@ -22,7 +22,7 @@ def _gpx_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = gps_points(spark, sf_dir)
     tag = F.when(F.col("route_id") % 5 == 0, "rtept").when(F.col("route_id") % 5 == 1, "wpt").otherwise("trkpt")
     ele = F.coalesce(F.format_string("<ele>%.2f</ele>", "ele"), F.lit(""))
-    at = F.concat(F.lit("<"), tag, F.format_string(' lat="%.10f" lon="%.10f">', "lat", "lon"), F.when(F.col("ele").isNull(), "").otherwise(ele), F.lit("</"), tag, F.lit(">"))
+    at = F.concat(F.lit("<"), tag, F.format_string(' lat="%.15f" lon="%.15f">', "lat", "lon"), F.when(F.col("ele").isNull(), "").otherwise(ele), F.lit("</"), tag, F.lit(">"))
     g = p.groupBy("route_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", at.alias("x")))), lambda v: v["x"]), "").alias("body"))
     open_, close = F.when(F.col("route_id") % 5 == 0, "<rte>").when(F.col("route_id") % 5 == 1, "").otherwise("<trk><trkseg>"), F.when(F.col("route_id") % 5 == 0, "</rte>").when(F.col("route_id") % 5 == 1, "").otherwise("</trkseg></trk>")
     return g.select(F.concat(F.lit("r"), F.col("route_id"), F.lit(".gpx")).alias("file"), F.concat(F.lit("<gpx>"), open_, F.col("body"), close, F.lit("</gpx>")).alias("text"))

@@ -240,3 +240,26 @@ def a12_geojson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = gps_points(spark, sf_dir).groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("lon").alias("x"), F.col("lat").alias("y")))).alias("ps"))
     return p.select("route_id", line(F.col("ps"), 5).alias("geojson"))
+
+
+@REG.add(HEAD + """, b AS (SELECT way_id, seq, x, y, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, last_value(x) OVER w AS x1, last_value(y) OVER w AS y1 FROM ln WHERE bridge WINDOW w AS (PARTITION BY way_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ t AS (SELECT *, least(greatest(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 0), 1) AS t FROM b)
+ SELECT way_id AS bridge_id, seq::BIGINT AS seq, round(3e0 + way_id % 7 + (way_id % 5 - way_id % 7) * t, 6) + 0e0 AS z FROM t""")
+def i07_bridge_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks of bridges: linear between their ends."""
+    w = osm.routed(_ways(spark, sf_dir)).filter("route = 'line' AND kind.bridge")
+    p = _points(w, []).withColumnRenamed("line_id", "bridge_id")
+    first, last = (lambda c: F.min_by(c, "seq")), (lambda c: F.max_by(c, "seq"))
+    ends = p.groupBy("bridge_id").agg(first("x").alias("x0"), first("y").alias("y0"), last("x").alias("x1"), last("y").alias("y1"))
+    ends = ends.withColumns({"z0": F.lit(3.0) + F.col("bridge_id") % 7, "z1": F.lit(3.0) + F.col("bridge_id") % 5})
+    return mesh.bridge_deck(p, ends).select("bridge_id", F.col("seq").cast("long").alias("seq"), r6(F.col("z")).alias("z"))
+
+
+@REG.add(HEAD + f""", {RANKS}, sp AS (SELECT lw.*, rank, sum(length_m * 0.01e0 * printed_mm) OVER w AS spent, row_number() OVER w AS n FROM lw JOIN rk USING (layer, subtype) WINDOW w AS (PARTITION BY layer ORDER BY rank)), kp AS (SELECT *, max((spent > {AREA_MM2}e0 * 0.25e0 AND n > 1)::INT) OVER (PARTITION BY layer ORDER BY rank) = 0 AS kept FROM sp),
+ f AS (SELECT layer, count(*) FILTER (WHERE NOT kept) AS dropped, bool_or(kept AND printed_mm > width_m * 0.01e0 + 1e-6) AS clamped, min(printed_mm) FILTER (WHERE kept) AS narrowest FROM kp GROUP BY layer), want(layer) AS (VALUES ('roads'), ('trails'), ('railways'), ('gliders'))
+ SELECT layer, 'warn' AS level, unnest(list_filter([CASE WHEN f.dropped IS NULL THEN 'layer-empty' END, CASE WHEN dropped > 0 THEN 'classes-below-nozzle' END, CASE WHEN clamped THEN 'feature-width-clamped' END, CASE WHEN narrowest < 0.45e0 - 1e-6 THEN 'feature-below-nozzle' END], lambda x: x IS NOT NULL)) AS code FROM want LEFT JOIN f USING (layer)""")
+def k04_layer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = lines.legible(_classes(spark, sf_dir), _ranks(spark), MM_PER_M, AREA_MM2)
+    f = k.groupBy("layer").agg(F.count("*").alias("features"), F.count_if(~F.col("kept")).alias("dropped"), F.bool_or(F.col("kept") & (F.col("printed_mm") > F.col("width_m") * MM_PER_M + 1e-6)).alias("clamped"), F.min(F.when(F.col("kept"), F.col("printed_mm"))).alias("narrowest_mm"))
+    want = spark.createDataFrame([(x,) for x in ("roads", "trails", "railways", "gliders")], "layer string")
+    return rules.judged(want.join(f, "layer", "left").withColumn("truncated", F.lit(False)), "layer", rules.layer_rules(0.45))

@@ -159,3 +159,15 @@ def a11_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     name = stl.slug(F.concat("s_name", F.lit(" / No."), "s_suppkey"))
     return s.select("s_suppkey", name.alias("slug"), stl.file_name(name, F.lit(100) + (F.col("s_suppkey") % 4) / 2, F.lit("2024-02-29").cast("date")).alias("file"))
+
+
+def _ramp_sql(k: int) -> str:
+    parts = " ".join(f"WHEN h <= {b[0]}e0 THEN {a[k]}e0 + ({b[k]}e0 - {a[k]}e0) * (h - {a[0]}e0) / ({b[0]}e0 - {a[0]}e0)" for a, b in zip(mesh.GROUND_COLOURS, mesh.GROUND_COLOURS[1:]))
+    return f"round(CASE {parts} ELSE 1e0 END, 4) + 0e0"
+
+
+@REG.add(f"WITH {{DEM}}, {SOLID}, mt AS (SELECT 0 AS model_id, * FROM tri), mv AS (SELECT 0 AS model_id, * FROM vert), {CORNERS.format(t='mt', v='mv')}, e AS (SELECT a AS vid, nx, ny, nz FROM nm UNION ALL SELECT b, nx, ny, nz FROM nm UNION ALL SELECT c, nx, ny, nz FROM nm), s AS (SELECT vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM e GROUP BY vid), t AS (SELECT vid, least(1e0, acos(least(1e0, abs(nz / sqrt(nx * nx + ny * ny + nz * nz)))) / (pi() / 2)) AS t FROM s), hh AS (SELECT vid, z::DOUBLE / (SELECT max(z)::DOUBLE FROM vert) AS h FROM vert) SELECT vid, {_ramp_sql(1)} AS r, {_ramp_sql(2)} AS g, {_ramp_sql(3)} AS b, round(0.25e0 + 0.7e0 * t, 3) + 0e0 AS sr FROM hh JOIN t USING (vid)")
+def b26_vertex_tints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex colours by height and by slope."""
+    v, t = _solid(spark, sf_dir)
+    return mesh.tinted(t, v).select("vid", *(r4(F.col(c)).alias(c) for c in ("r", "g", "b")), (F.round("sr", 3) + 0.0).alias("sr"))
