@@ -47,6 +47,7 @@ LEVELS = 16
 EXHAUSTIVE = 4096  # dense groups of at most so many sets are compared without hubs
 HUBS = 4
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000  # most of either in half a cell, on average
+BROADCAST_IDS = 1_000_000  # 8 bytes each
 STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,7 +201,9 @@ def _full_sets(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
             for at, texts in text_slices(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["id", "s"])
 
-    return written(docs.join(named.distinct(), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
+    named = written(named.distinct(), "named")
+    few = named.count() <= BROADCAST_IDS  # else texts and ids meet in a shuffle
+    return written(docs.join(F.broadcast(named) if few else named, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -346,7 +349,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
     pairs = written(found.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
     dense_rows = written(stuck_rows.join(reps.select("rep", "n"), "rep"), "dense")
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense_rows.select("rep"))
-    full = _full_sets(docs, named, width)  # the one time that texts are shuffled
+    full = _full_sets(docs, named, width)  # the second and last pass over texts
     # forests first; other candidates only where confirmed forests leave their ends apart
     sure = _confirmed(pairs.filter("first"), full, percent)
     if not dense_rows.isEmpty():
