@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .lineage import cut
 
 KEY_CELLS = 1e-6
 CLOSE_CELLS, FLAT_CELLS = 0.25, 0.05
@@ -22,8 +23,6 @@ def chained(segments: DataFrame, cell_m: float) -> DataFrame:
     task. Where several segments leave a point, they follow in scan order, and each arriving segment
     takes its own.
     """
-    from pyspark.sql import Window
-
     key = lambda c: F.floor(F.col(c) / (cell_m * KEY_CELLS) + 0.5)
     s = segments.withColumns({"ka": key("x0"), "kb": key("y0"), "kc": key("x1"), "kd": key("y1")})
     s = s.filter("ka != kc OR kb != kd")  # a contour through a node leaves segments without length
@@ -31,10 +30,11 @@ def chained(segments: DataFrame, cell_m: float) -> DataFrame:
     s = s.withColumn("id", F.xxhash64(*scan))
     out = s.select(F.col("ka").alias("p"), F.col("kb").alias("q"), F.row_number().over(Window.partitionBy("ka", "kb").orderBy(*scan)).alias("n"), F.col("id").alias("next"))
     into = s.select("id", F.col("kc").alias("p"), F.col("kd").alias("q"), F.row_number().over(Window.partitionBy("kc", "kd").orderBy(*scan)).alias("n"))
-    step = into.join(out, ["p", "q", "n"]).select("id", "next", F.least("id", "next").alias("low")).checkpoint()
+    step = into.join(out, ["p", "q", "n"]).select("id", "next", F.least("id", "next").alias("low"))
+    step = cut(step)
     while True:
         ahead = step.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("far"))
-        new = step.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("low", "far").alias("low"), (F.col("far") < F.col("low")).alias("moved")).checkpoint()
+        new = cut(step.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("low", "far").alias("low"), (F.col("far") < F.col("low")).alias("moved")))
         step = new.select("id", "next", "low")
         if new.filter("moved").isEmpty():
             break

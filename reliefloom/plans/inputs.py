@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import lines, rings, rules
+from ..operators.lineage import cut
 from ..sources import extract, gpx, settings
 from .derived import gps_points, selections
 from .features import CLASS_SQL, GEOM_SQL, PART_TAGS, _ways
@@ -60,7 +61,7 @@ def a06_model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add()
 def f12_contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The network's footprint as rings: chained, cleaned, nested."""
-    chained = rings.chained(lines.contour(_field(spark, sf_dir), 20.0, 20.0), 20.0).checkpoint()
+    chained = cut(rings.chained(lines.contour(_field(spark, sf_dir), 20.0, 20.0), 20.0))
     clean = rings.cleaned(chained, 20.0)
     shape = rings.measured(clean).select("ring", "points", r4(F.col("area")).alias("area"))
     return rings.nested(chained, 20.0).join(shape, "ring").select("outer", "ring", "points", "area")
