@@ -33,9 +33,11 @@ from .common import distinct_words, lengths_to_list_array, ragged_take, sums_by_
 #: Words of more parts than this are merged over a heap.
 SCAN_PARTS = 200
 #: Words kept with their ids in each Python worker; later words are encoded anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Ids decoded at a time: lists of Python integers take eight times the room of the column.
 DECODE_IDS = 1 << 19
+#: Bytes of text coded at a time where ids and decoded texts go back together.
+CODE_BYTES = 1 << 20
 NO_RANK = 1 << 60
 
 #: The pre-tokenizer pattern for plain ASCII words of a word-end vocabulary.
@@ -218,6 +220,24 @@ def decoded(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def coded(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """df with `ids` and `decoded` in one pass: a task needs one Python worker, not two."""
+    path = path or tokenizer_path("word_bpe_49k.json")
+    df = df.drop("ids", "decoded")
+    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for b in batches:
+            for at, texts in text_slices(b.column(text), CODE_BYTES):
+                flat, lengths = bpe.encode(texts)
+                back = pa.array([bpe.decode(x.tolist()) for x in np.split(flat, np.cumsum(lengths)[:-1])], pa.string())
+                ids = lengths_to_list_array(flat.astype(np.int32), lengths, pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.slice(at, len(texts)).columns, ids, back], names=[*b.schema.names, "ids", "decoded"])
+
+    return df.mapInArrow(run, schema)
+
+
 def round_trip_digests(df: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of `doc_id, text`.
 
