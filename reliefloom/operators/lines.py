@@ -84,10 +84,15 @@ def inside_mask(spans: DataFrame, x0: float, step: float, cols: int) -> DataFram
 def distance_field(segs: DataFrame, half_width_m: float, cell_m: float) -> DataFrame:
     """i, j, d: least distance of each grid node to a segment, for nodes within the band; others are absent."""
     band = half_width_m + 2 * cell_m
-    lo = lambda a, b: F.floor((F.least(F.col(a), F.col(b)) - band) / cell_m)
-    hi = lambda a, b: F.ceil((F.greatest(F.col(a), F.col(b)) + band) / cell_m)
-    each = segs.select("ax", "ay", "bx", "by", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx"))).alias("i")).select("*", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))).alias("j"))
     c = F.col
+    rows = F.sequence(F.floor((F.least("ay", "by") - band) / cell_m), F.ceil((F.greatest("ay", "by") + band) / cell_m))
+    each = segs.select("ax", "ay", "bx", "by", F.explode(rows).alias("j"))
+    # in a row, only nodes within the band of the whole line, so that long slanted segments don't fill their boxes
+    dx, dy = c("bx") - c("ax"), c("by") - c("ay")
+    middle, reach = c("ax") + F.try_divide((c("j") * cell_m - c("ay")) * dx, dy), F.try_divide(band * geo.hypot(dx, dy), F.abs(dy))
+    low, high = F.least("ax", "bx") - band, F.greatest("ax", "bx") + band
+    each = each.withColumns({"lo": F.floor(F.greatest(low, middle - reach) / cell_m), "hi": F.ceil(F.least(high, middle + reach) / cell_m)}).filter("lo <= hi")
+    each = each.select("ax", "ay", "bx", "by", "j", F.explode(F.sequence("lo", "hi")).alias("i"))
     d = geo.point_to_segment(c("i") * cell_m, c("j") * cell_m, c("ax"), c("ay"), c("bx"), c("by"))
     return each.select("i", "j", d.alias("d")).filter(F.col("d") <= band).groupBy("i", "j").agg(F.min("d").alias("d"))
 
