@@ -66,13 +66,12 @@ def _sorted_points(points: DataFrame, origin) -> DataFrame:
 
 
 def denoised(points: DataFrame, origin) -> DataFrame:
-    """route_id, kept (array of seq), duplicates, spikes.
+    """route_id, kept, duplicates, spikes: how many points stay and why others go.
 
     Each point is judged against the last one that was kept, so this is a fold, not a lag. The fold's
-    state is that point and a flag for each point so far; flags are joined as text, since a growing
-    array would be copied at each step.
+    state is that point and two counts; the points themselves come from `denoise_points`.
     """
-    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("long").alias("t"), F.lit(0).alias("dup"), F.lit(0).alias("spike"), F.lit(0).alias("verdict"))
+    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("long").alias("t"), F.lit(0).alias("dup"), F.lit(0).alias("spike"))
 
     def step(a, p):
         d = geo.hypot(p["x"] - a["x"], p["y"] - a["y"])
@@ -81,7 +80,7 @@ def denoised(points: DataFrame, origin) -> DataFrame:
         spike = a["x"].isNotNull() & F.coalesce((dt > 0) & (d > MAX_SPEED_MS * dt), F.lit(False)) & ~dup
         keep = ~dup & ~spike
         pick = lambda c: F.when(keep, p[c]).otherwise(a[c]).alias(c)
-        return F.struct(pick("x"), pick("y"), pick("t"), (a["dup"] + dup.cast("int")).alias("dup"), (a["spike"] + spike.cast("int")).alias("spike"), F.lit(0).alias("verdict"))
+        return F.struct(pick("x"), pick("y"), pick("t"), (a["dup"] + dup.cast("int")).alias("dup"), (a["spike"] + spike.cast("int")).alias("spike"))
 
     folded = _sorted_points(points, origin).select("route_id", "ps", F.aggregate("ps", start, step).alias("end"))
     return folded.select("route_id", (F.size("ps") - F.col("end.dup") - F.col("end.spike")).alias("kept"), F.col("end.dup").alias("duplicates"), F.col("end.spike").alias("spikes"))
