@@ -1,21 +1,26 @@
 """Track operators: cleaning, statistics, densifying, capping, simplifying and fitting.
 
-Input is one row for each point: route_id, seq, lon, lat and, where known, ele and t_ms. Routes are
-the unit of distribution; a route has at most MAX_POINTS points once capped, so a fold over one
-route's sorted points is bounded.
+Input is one row for each point: route_id, seq, lon, lat and, where known, ele and t_ms. A route of at
+most RUN points is one group. A longer one is numbered and cut into runs of RUN points, which are folded
+in parallel: each starts from what the run before it ended with, and is folded again when that changes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .lineage import cut
 
 # Limits that results depend on.
 MAX_POINTS = 50_000
+RUN = 10_000  # points that a task folds at a time; results do not depend on it
+KEPT, DUPLICATE, SPIKE = 0, 1, 2
 DUPLICATE_M = 0.05
 MAX_SPEED_MS = 200 / 3.6
 FIT_PADDING = 0.15
@@ -59,53 +64,105 @@ def statistics(points: DataFrame) -> DataFrame:
     )
 
 
-def _sorted_points(points: DataFrame, origin) -> DataFrame:
+def _by_length(points: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys of at most RUN rows, and those of longer keys with their number `_i` and `_run`."""
+    points = cut(points)
+    long = points.groupBy(key).count().filter((F.col("count") > RUN) & F.col(key).isNotNull()).select(key)
+    names = long.collect()  # at most one in RUN rows
+    if not names:
+        return points, None
+    long = F.broadcast(points.sparkSession.createDataFrame(names, long.schema))
+    return points.join(long, key, "left_anti"), _in_runs(points.join(long, key, "left_semi"), key)
+
+
+def _in_runs(points: DataFrame, key: str) -> DataFrame:
+    """points with `_i`, their number within the key from 0, and `_run`: no task sorts a whole key."""
+    parts = points.repartitionByRange(key, "seq").withColumn("_part", F.spark_partition_id())
+    parts = cut(parts.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_part").orderBy("seq"))))
+    before, offsets = {}, []
+    for k, part, n in sorted(parts.groupBy(key, "_part").count().collect()):
+        offsets.append((k, part, before.get(k, 0)))
+        before[k] = before.get(k, 0) + n
+    kind = points.schema[key].dataType.simpleString()
+    at = F.broadcast(points.sparkSession.createDataFrame(offsets, f"{key} {kind}, _part int, _before long"))
+    numbered = parts.join(at, [key, "_part"]).withColumn("_i", F.col("_before") + F.col("_n") - 1)
+    return cut(numbered.withColumn("_run", F.floor(F.col("_i") / RUN)).drop("_part", "_n", "_before"))
+
+
+def _judged_run(pdf: pd.DataFrame, last: tuple | None) -> tuple[list[int], tuple | None]:
+    """The verdict on each point, and the last point kept."""
+    verdicts = []
+    for x, y, t in zip(pdf["_x"], pdf["_y"], pdf["t_ms"]):
+        t = None if pd.isna(t) else t
+        verdict = KEPT
+        if last is not None:
+            d = float(np.hypot(x - last[0], y - last[1]))
+            dt = None if t is None or last[2] is None else (t - last[2]) / 1000
+            if not d >= DUPLICATE_M:
+                verdict = DUPLICATE
+            elif dt is not None and dt > 0 and d > MAX_SPEED_MS * dt:
+                verdict = SPIKE
+        verdicts.append(verdict)
+        if verdict == KEPT:
+            last = (x, y, t)
+    return verdicts, last
+
+
+def _last_kept(pdf: pd.DataFrame) -> tuple | None:
+    """The point that a run starts from, as joined to each of its rows."""
+    at = pdf.iloc[0]
+    return (at["_sx"], at["_sy"], None if pd.isna(at["_st"]) else at["_st"]) if at["_has"] else None
+
+
+def judged(points: DataFrame, origin) -> DataFrame:
+    """points with `verdict`: KEPT, DUPLICATE or SPIKE, against the last point that was kept."""
     x, y = geo.project(F.col("lon"), F.col("lat"), origin)
-    p = points.select("route_id", F.struct("seq", x.alias("x"), y.alias("y"), F.col("t_ms").alias("t")).alias("p"))
-    return p.groupBy("route_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-
+    short, long = _by_length(points.withColumns({"_x": x, "_y": y}), "route_id")
+    schema = short.drop("_x", "_y").withColumn("verdict", F.lit(0)).schema
 
-def denoised(points: DataFrame, origin) -> DataFrame:
-    """route_id, kept, duplicates, spikes: how many points stay and why others go.
-
-    Each point is judged against the last one that was kept, so this is a fold, not a lag. The fold's
-    state is that point and two counts; the points themselves come from `denoise_points`.
-    """
-    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("long").alias("t"), F.lit(0).alias("dup"), F.lit(0).alias("spike"))
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        return pdf.drop(columns=["_x", "_y"]).assign(verdict=_judged_run(pdf, None)[0])
+
+    out = short.groupBy("route_id").applyInPandas(whole, schema)
+    if long is None:
+        return out
+    spark, kind = points.sparkSession, points.schema["route_id"].dataType.simpleString()
+    state = f"route_id {kind}, _run long, _has boolean, _sx double, _sy double, _st double"
+
+    def started(starts: dict) -> DataFrame:
+        rows = [(*k, v is not None, *(v or (None, None, None))) for k, v in starts.items()]
+        return long.join(F.broadcast(spark.createDataFrame(rows, state)), ["route_id", "_run"]).groupBy("route_id", "_run")
+
+    def end(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        last = _judged_run(pdf, _last_kept(pdf))[1]
+        return pd.DataFrame({"route_id": [key[0]], "_run": [key[1]], "_has": [True], "_sx": [last[0]], "_sy": [last[1]], "_st": [np.nan if last[2] is None else float(last[2])]})
+
+    def verdicts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        return pdf.assign(verdict=_judged_run(pdf, _last_kept(pdf))[0])[schema.names]
+
+    starts = {(r[0], r[1]): None for r in long.select("route_id", "_run").distinct().collect()}  # one for RUN points
+    changed = starts
+    while changed:
+        ends = started(changed).applyInPandas(end, state).collect()
+        tell = lambda v: None if v is None or v != v else v
+        after = {(r[0], r[1] + 1): tuple(tell(v) for v in r[3:]) for r in ends}
+        changed = {k: v for k, v in after.items() if k in starts and starts[k] != v}
+        starts.update(changed)
+    return out.unionByName(started(starts).applyInPandas(verdicts, schema))
 
-    def step(a, p):
-        d = geo.hypot(p["x"] - a["x"], p["y"] - a["y"])
-        dt = (p["t"] - a["t"]) / 1000
-        dup = a["x"].isNotNull() & (d < DUPLICATE_M)
-        spike = a["x"].isNotNull() & F.coalesce((dt > 0) & (d > MAX_SPEED_MS * dt), F.lit(False)) & ~dup
-        keep = ~dup & ~spike
-        pick = lambda c: F.when(keep, p[c]).otherwise(a[c]).alias(c)
-        return F.struct(pick("x"), pick("y"), pick("t"), (a["dup"] + dup.cast("int")).alias("dup"), (a["spike"] + spike.cast("int")).alias("spike"))
 
-    folded = _sorted_points(points, origin).select("route_id", "ps", F.aggregate("ps", start, step).alias("end"))
-    return folded.select("route_id", (F.size("ps") - F.col("end.dup") - F.col("end.spike")).alias("kept"), F.col("end.dup").alias("duplicates"), F.col("end.spike").alias("spikes"))
+def denoised(points: DataFrame, origin) -> DataFrame:
+    """route_id, kept, duplicates, spikes: how many points stay and why others go."""
+    n = lambda v: F.count(F.when(F.col("verdict") == v, 1)).cast("int")
+    return judged(points, origin).groupBy("route_id").agg(n(KEPT).alias("kept"), n(DUPLICATE).alias("duplicates"), n(SPIKE).alias("spikes"))
 
 
 def denoise_points(points: DataFrame, origin) -> DataFrame:
-    """The points that denoising keeps: one task for each bounded route."""
-    x, y = geo.project(F.col("lon"), F.col("lat"), origin)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        keep, last = [], None
-        for x, y, t in zip(pdf["_x"], pdf["_y"], pdf["t_ms"]):
-            t = None if pd.isna(t) else t
-            ok = True
-            if last is not None:
-                d = float(np.hypot(x - last[0], y - last[1]))
-                dt = None if t is None or last[2] is None else (t - last[2]) / 1000
-                ok = d >= DUPLICATE_M and not (dt is not None and dt > 0 and d / dt > MAX_SPEED_MS)
-            keep.append(ok)
-            if ok:
-                last = (x, y, t)
-        return pdf[keep].drop(columns=["_x", "_y"])
-
-    return points.withColumns({"_x": x, "_y": y}).groupBy("route_id").applyInPandas(run, points.schema)
+    """The points that denoising keeps."""
+    return judged(points, origin).filter(F.col("verdict") == KEPT).select(*points.columns)
 
 
 def resampled(lines: DataFrame, longest: float) -> DataFrame:
@@ -151,7 +208,11 @@ def _kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
-    """line_id, seq, x, y of the points that stay; lines of two points, and a tolerance of 0, change nothing."""
+    """line_id, seq, x, y of the points that stay; lines of two points, and a tolerance of 0, change nothing.
+
+    A segment of more than RUN points is split at its farthest point, one aggregation a round for all of
+    them, until each piece fits one task.
+    """
     schema = "line_id long, seq long, x double, y double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,26 +222,129 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
         return pdf[_kept(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tolerance)]
 
     ready = lines.select(F.col("line_id").cast("long"), F.col("seq").cast("long"), "x", "y")
-    return ready if tolerance <= 0 else ready.groupBy("line_id").applyInPandas(run, schema)
+    if tolerance <= 0:
+        return ready
+    short, long = _by_length(ready, "line_id")
+    out = short.groupBy("line_id").applyInPandas(run, schema)
+    if long is None:
+        return out
+
+    def inner(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, first = pdf.sort_values("_i"), pdf.iloc[0]
+        x, y = (np.concatenate([[first["a"][c]], pdf[c].to_numpy(), [first["b"][c]]]) for c in ("x", "y"))
+        return pdf[_kept(x, y, tolerance)[1:-1]][["line_id", "seq", "x", "y"]]
+
+    point = F.struct("_i", "seq", "x", "y")
+    ends = F.broadcast(cut(long.groupBy("line_id").agg(F.min_by(point, "_i").alias("a"), F.max_by(point, "_i").alias("b"))))
+    stay = [ends.select("line_id", F.explode(F.array("a", "b")).alias("p"))]
+    todo, small = long.join(ends, "line_id").filter("_i > a._i AND _i < b._i").drop("_run"), []
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    square = dx * dx + dy * dy
+    t = F.when(square != 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("a.x")) * dx + (F.col("y") - F.col("a.y")) * dy) / square))).otherwise(0.0)
+    away = F.hypot(F.col("x") - (F.col("a.x") + t * dx), F.col("y") - (F.col("a.y") + t * dy))
+    while True:
+        todo = cut(todo)
+        big = F.col("b._i") - F.col("a._i") > RUN
+        small.append(todo.filter(~big))
+        todo = todo.filter(big).withColumn("d", away)
+        split = todo.groupBy("line_id", F.col("a._i").alias("_a")).agg(F.max_by(point, F.struct("d", -F.col("_i"))).alias("m"), F.max("d").alias("far"))
+        split = cut(split.filter(F.col("far") > tolerance).drop("far"))  # at most one for RUN points
+        if split.isEmpty():
+            break
+        stay.append(split.select("line_id", F.col("m").alias("p")))
+        todo = todo.drop("d").withColumn("_a", F.col("a._i")).join(F.broadcast(split), ["line_id", "_a"]).filter("_i != m._i")
+        before = F.col("_i") < F.col("m._i")
+        todo = todo.withColumns({"a": F.when(before, F.col("a")).otherwise(F.col("m")), "b": F.when(before, F.col("m")).otherwise(F.col("b"))}).drop("_a", "m")
+    rest = reduce(DataFrame.unionByName, small).withColumn("_a", F.col("a._i"))
+    out = out.unionByName(rest.groupBy("line_id", "_a").applyInPandas(inner, schema))
+    return out.unionByName(reduce(DataFrame.unionByName, stay).select("line_id", "p.seq", "p.x", "p.y"))
+
+
+def _walked(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, j: int, whole: bool) -> tuple[int, int, float]:
+    """How many points are walked, the pointer after them, and their largest distance.
+
+    Unless the vertices are `whole`, that is reach the line's end, the walk stops where it needs a later one.
+    """
+    worst, reach = 0.0, len(sx) if whole else len(sx) - 1
+    for n in range(len(x)):
+        while j + 2 < reach and np.hypot(x[n] - sx[j + 1], y[n] - sy[j + 1]) < np.hypot(x[n] - sx[j], y[n] - sy[j]):
+            j += 1
+        if not whole and j + 2 >= reach:
+            return n, j, worst
+        k = min(j + 1, len(sx) - 1)
+        dx, dy = sx[k] - sx[j], sy[k] - sy[j]
+        square = dx * dx + dy * dy
+        t = min(1.0, max(0.0, ((x[n] - sx[j]) * dx + (y[n] - sy[j]) * dy) / square)) if square else 0.0
+        worst = max(worst, float(np.hypot(x[n] - (sx[j] + t * dx), y[n] - (sy[j] + t * dy))))
+    return len(x), j, worst
 
 
 def max_deviation(lines: DataFrame, simple: DataFrame) -> DataFrame:
-    """line_id, deviation: the largest distance of a point to its segment of the simplified line, found walking forward."""
+    """line_id, deviation: the largest distance of a point to its segment of the simplified line, found walking forward.
+
+    Runs of a long line carry the number of the segment; a task has a run and two blocks of vertices.
+    """
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("seq"), b.sort_values("seq")
-        sx, sy, j, worst = b["x"].to_numpy(), b["y"].to_numpy(), 0, 0.0
-        for x, y in zip(a["x"], a["y"]) if len(b) else ():
-            while j + 2 < len(sx) and np.hypot(x - sx[j + 1], y - sy[j + 1]) < np.hypot(x - sx[j], y - sy[j]):
-                j += 1
-            k = min(j + 1, len(sx) - 1)
-            dx, dy = sx[k] - sx[j], sy[k] - sy[j]
-            square = dx * dx + dy * dy
-            t = min(1.0, max(0.0, ((x - sx[j]) * dx + (y - sy[j]) * dy) / square)) if square else 0.0
-            worst = max(worst, float(np.hypot(x - (sx[j] + t * dx), y - (sy[j] + t * dy))))
+        worst = _walked(*(v[c].to_numpy() for v in (a, b) for c in ("x", "y")), 0, True)[2] if len(b) else 0.0
         return pd.DataFrame({"line_id": [key[0]], "deviation": [worst]})
 
-    return lines.groupBy("line_id").cogroup(simple.groupBy("line_id")).applyInPandas(run, "line_id long, deviation double")
+    short, long = _by_length(lines, "line_id")
+    if long is None:
+        return short.groupBy("line_id").cogroup(simple.groupBy("line_id")).applyInPandas(run, "line_id long, deviation double")
+    spark = lines.sparkSession
+    names = F.broadcast(cut(long.select("line_id").distinct()))
+    simple = cut(simple)
+    out = short.groupBy("line_id").cogroup(simple.join(names, "line_id", "left_anti").groupBy("line_id")).applyInPandas(run, "line_id long, deviation double")
+    vertices = _in_runs(simple.join(names, "line_id", "left_semi"), "line_id").select("line_id", "seq", "x", "y", F.col("_i").alias("_v"), F.col("_run").alias("_block"))
+    many = {r[0]: r[1] for r in vertices.groupBy("line_id").count().collect()}
+    size = RUN
+
+    def walk(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("_i"), b.sort_values("_v")
+        if not len(b):
+            return pd.DataFrame({"line_id": [key[0]], "_run": [key[1]], "at": [int(a["_i"].max()) + 1], "j": [0], "worst": [0.0], "done": [True]})
+        at, j, n = (int(a[c].iloc[0]) for c in ("_at", "_j", "_many"))
+        a, low = a[a["_i"] >= at], int(b["_v"].iloc[0])
+        went, j, worst = _walked(*(v[c].to_numpy() for v in (a, b) for c in ("x", "y")), j - low, low + len(b) >= n)
+        return pd.DataFrame({"line_id": [key[0]], "_run": [key[1]], "at": [at + went], "j": [j + low], "worst": [worst], "done": [went == len(a)]})
+
+    # A run is first tried from the last vertex before it: vertices are points of the line.
+    held = long.groupBy("line_id", "_run").count().select("line_id", "_run")
+    held = held.join(long.select("line_id", "seq", "_run").join(vertices.select("line_id", "seq"), ["line_id", "seq"]).groupBy("line_id", "_run").count(), ["line_id", "_run"], "left")
+    starts, passed = {}, {}
+    for line, r, n in sorted(held.fillna(0, ["count"]).collect()):  # one row for RUN points
+        starts[line, r] = max(0, passed.get(line, 0) - 1)
+        passed[line] = passed.get(line, 0) + n
+    todo = {k: (k[1] * size, j) for k, j in starts.items()}
+    worst, ended = {}, {}
+    while todo:
+        rows = [(*k, at, j, many.get(k[0], 0), j // size) for k, (at, j) in todo.items()]
+        want = spark.createDataFrame(rows, "line_id long, _run long, _at long, _j long, _many long, _block long")
+        p = long.join(F.broadcast(want.drop("_block")), ["line_id", "_run"])
+        v = want.select("line_id", "_run", F.explode(F.array("_block", F.col("_block") + 1)).alias("_block"))
+        v = vertices.join(F.broadcast(v), ["line_id", "_block"])
+        got = p.groupBy("line_id", "_run").cogroup(v.groupBy("line_id", "_run")).applyInPandas(walk, "line_id long, _run long, at long, j long, worst double, done boolean").collect()
+        todo = {}
+        for r in got:
+            k = r["line_id"], r["_run"]
+            worst[k] = max(worst.get(k, 0.0), r["worst"])
+            if r["done"]:
+                ended[k] = r["j"]
+            else:
+                todo[k] = r["at"], r["j"]
+        for (line, n), j in ended.items():
+            k = line, n + 1
+            if k in starts and starts[k] != j:
+                starts[k], todo[k] = j, (k[1] * size, j)
+                worst.pop(k, None)
+        for k in todo:
+            ended.pop(k, None)
+    most: dict = {}
+    for (line, _), w in worst.items():
+        most[line] = max(most.get(line, 0.0), w)
+    return out.unionByName(spark.createDataFrame(list(most.items()), "line_id long, deviation double"))
 
 
 def fitted(stats: DataFrame, by: list[str], padding: float = FIT_PADDING) -> DataFrame:

@@ -188,3 +188,25 @@ def test_closed_rings(spark):
     p = F.array(*(geo.point(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (1, 0), (1, 1), (0, 0))))
     assert one(spark, osm.is_closed(p)) and one(spark, F.size(osm.open_ring(p))) == 3 and not one(spark, osm.is_closed(F.slice(p, 1, 3)))
     assert one(spark, geo.ring_area(F.slice(p, 1, 3))) == 0.5
+
+
+def test_long_routes_are_folded_in_runs(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    step = 1 / 111_319.49
+    x = np.cumsum(rng.choice([0.0, 0.01, 3, 20, 900], 150))
+    rows = [(k, i, float(x[i]) * step if k else 0.0, float(rng.normal(0, 4)) * step * (k % 2), None, i * 1000) for k in range(4) for i in range(150 if k < 3 else 5)]
+    p = spark.createDataFrame(rows, "route_id long, seq long, lon double, lat double, ele double, t_ms long")
+    o = geo.point_origin(F.lit(0.0), F.lit(0.0))
+    lines = spark.createDataFrame([(k, i, float(np.cos(i / 9) * 50 + i * (k - 1)), float(np.sin(i / 5) * 30)) for k in range(3) for i in range(160 if k else 6)], "line_id long, seq long, x double, y double")
+
+    def results(run):
+        monkeypatch.setattr(tracks, "RUN", run)
+        s = tracks.simplified(lines, 4.0)
+        return [sorted(map(tuple, d.collect())) for d in (tracks.denoised(p, o), tracks.denoise_points(p, o).drop("ele"), s, tracks.max_deviation(lines, s))]
+
+    whole, cut = results(1000), results(8)
+    assert whole[:3] == cut[:3] and np.allclose(whole[3], cut[3])
+    assert (0, 1, 149, 0) in whole[0] and 20 < len(whole[2]) < 200
+
+    sizes = tracks._in_runs(lines.filter("line_id = 1"), "line_id").groupBy("_run").count().collect()
+    assert max(r["count"] for r in sizes) == 8 and sum(r["count"] for r in sizes) == 160
