@@ -41,7 +41,6 @@ FOLDS, HELD_OUT = 7, 2
 HOT_WORDS = 150_000
 ROUNDS = 2
 LEAST_SHARE = 0.1  # expected count that every piece is given
-LONGEST_PIECE = 16  # bytes; the few longer pieces are left out
 MARK = "▁".encode()
 COUNT_SLICE = 16 << 20
 STEP = np.uint64(0x100000001B3)
@@ -62,8 +61,7 @@ class Pieces:
             if sp.is_control(i) or sp.is_unknown(i):
                 continue
             p = bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode()
-            if len(p) <= LONGEST_PIECE:
-                found[p] = max(found.get(p, -1e9), sp.get_score(i))
+            found[p] = max(found.get(p, -1e9), sp.get_score(i))
         for b in range(256):
             found.setdefault(bytes([b]), min(found.values()))
         self.pieces = list(found)
@@ -72,6 +70,7 @@ class Pieces:
         start = 1.0 / (rank + 2.0)
         self.start = start / start.sum()
         self.longest = max(map(len, self.pieces))
+        self.lengths = frozenset(map(len, self.pieces))
         keys = np.array([self._hash(p) for p in self.pieces], np.uint64)
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
@@ -110,38 +109,44 @@ class Pieces:
             open_ = open_[~hit & (self.slot_piece[at[open_]] >= 0)]
         return out
 
-    def arcs(self, words: np.ndarray) -> list[np.ndarray]:
-        """For words of one length (rows of bytes): the piece from each start, by length - 1; -1 for none."""
+    def arcs(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """For words of one length (rows of bytes): the piece from each start, by length - 1; -1 for none.
+
+        A length of which no word has a piece is left out.
+        """
         n, length = words.shape
         h = np.zeros((n, length), np.uint64)
-        out = []
+        out = {}
         for k in range(min(self.longest, length)):
             h = h[:, : length - k] * STEP + words[:, k:] + np.uint64(1)
-            out.append(self.find(h.ravel()).reshape(h.shape))
+            if k + 1 in self.lengths:
+                found = self.find(h.ravel()).reshape(h.shape)
+                if (found >= 0).any():
+                    out[k] = found
         return out
 
 
-def _logp(arcs: list[np.ndarray], log_p: np.ndarray) -> list[np.ndarray]:
-    return [np.where(a >= 0, log_p[a], -np.inf) for a in arcs]
+def _logp(arcs: dict[int, np.ndarray], log_p: np.ndarray) -> dict[int, np.ndarray]:
+    return {k: np.where(a >= 0, log_p[a], -np.inf) for k, a in arcs.items()}
 
 
-def _forward(weights: list[np.ndarray], length: int) -> np.ndarray:
+def _forward(weights: dict[int, np.ndarray], length: int) -> np.ndarray:
     n = len(weights[0])
     alpha = np.full((n, length + 1), -np.inf)
     alpha[:, 0] = 0
     for j in range(1, length + 1):
-        into = np.stack([alpha[:, j - k - 1] + weights[k][:, j - k - 1] for k in range(min(j, len(weights)))])
+        into = np.stack([alpha[:, j - k - 1] + w[:, j - k - 1] for k, w in weights.items() if k < j])
         top = into.max(axis=0)
         alpha[:, j] = top + np.log(np.exp(into - top).sum(axis=0))
     return alpha
 
 
-def _backward(weights: list[np.ndarray], length: int) -> np.ndarray:
+def _backward(weights: dict[int, np.ndarray], length: int) -> np.ndarray:
     n = len(weights[0])
     beta = np.full((n, length + 1), -np.inf)
     beta[:, length] = 0
     for i in range(length - 1, -1, -1):
-        out = np.stack([weights[k][:, i] + beta[:, i + k + 1] for k in range(min(length - i, len(weights)))])
+        out = np.stack([w[:, i] + beta[:, i + k + 1] for k, w in weights.items() if k < length - i])
         top = out.max(axis=0)
         beta[:, i] = top + np.log(np.exp(out - top).sum(axis=0))
     return beta
@@ -178,8 +183,8 @@ def expected_counts(pieces: Pieces, words: list[str], times: np.ndarray, log_p:
         weights = _logp(arcs, log_p)
         alpha, beta = _forward(weights, length), _backward(weights, length)
         total = alpha[:, -1:]
-        for k, (a, w) in enumerate(zip(arcs, weights)):
-            post = np.exp(alpha[:, : length - k] + w + beta[:, k + 1 :] - total) * times[rows, None]
+        for k, a in arcs.items():
+            post = np.exp(alpha[:, : length - k] + weights[k] + beta[:, k + 1 :] - total) * times[rows, None]
             real = a >= 0
             out += np.bincount(a[real], weights=post[real], minlength=len(out))
     return out

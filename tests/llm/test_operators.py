@@ -198,6 +198,26 @@ def test_lattice_sums_all_segmentations():
     assert abs(spelled - len(lattice.MARK + b"thing")) < 1e-9
 
 
+def test_lattice_has_every_piece_of_the_model_file():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    real = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
+    listed = {bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode() for i in real}
+    p = lattice.loaded(path)
+    assert set(p.pieces) == listed | {bytes([b]) for b in range(256)}
+    number = {x: i for i, x in enumerate(p.pieces)}
+    log_p = np.log(p.start)
+    words = ["infrastructure", "representations", "становника", "міністрадминистративный", "▁" * 16 + "x", "disappointments"]
+    for word, got in zip(words, lattice.word_log_probs(p, words, log_p)):
+        raw = lattice.MARK + word.encode()
+        ways = [1.0] + [0.0] * len(raw)
+        for j in range(1, len(raw) + 1):
+            ways[j] = sum(ways[i] * p.start[number[raw[i:j]]] for i in range(j) if raw[i:j] in number)
+        assert math.isclose(got, math.log(ways[-1]), rel_tol=1e-9)
+
+
 def base_scores(rows_):
     train = Counter()
     for i, t in rows_:
