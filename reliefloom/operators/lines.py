@@ -48,12 +48,14 @@ def width_bucket(width_mm: Column) -> Column:
 
 
 def in_rings(probes: DataFrame, rings: DataFrame, cell_m: float) -> DataFrame:
-    """id of the probes (id, x, y) that lie in any ring (ring_id, ring): cells of the rings' boxes, then the exact test."""
+    """id of the probes (id, x, y) that lie in any ring (ring_id, ring) and in none of its `holes`, if it has them: cells of the rings' boxes, then the exact test."""
+    rings = rings if "holes" in rings.columns else rings.withColumn("holes", F.array().cast("array<array<struct<x: double, y: double>>>"))
     at = lambda v: F.floor(v / cell_m)
-    box = rings.select("ring", geo.ring_bbox(F.col("ring")).alias("b"))
-    cells = box.select("ring", F.explode(F.sequence(at(F.col("b.west")), at(F.col("b.east")))).alias("cx"), "b").select("ring", "cx", F.explode(F.sequence(at(F.col("b.south")), at(F.col("b.north")))).alias("cy"))
+    box = rings.select("ring", "holes", geo.ring_bbox(F.col("ring")).alias("b"))
+    cells = box.select("ring", "holes", F.explode(F.sequence(at(F.col("b.west")), at(F.col("b.east")))).alias("cx"), "b").select("ring", "holes", "cx", F.explode(F.sequence(at(F.col("b.south")), at(F.col("b.north")))).alias("cy"))
     p = probes.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
-    return p.join(cells, ["cx", "cy"]).filter(geo.ring_contains(F.col("ring"), F.col("x"), F.col("y"))).select("id").distinct()
+    dry = F.exists("holes", lambda h: geo.ring_contains(h, F.col("x"), F.col("y")))
+    return p.join(cells, ["cx", "cy"]).filter(geo.ring_contains(F.col("ring"), F.col("x"), F.col("y")) & ~dry).select("id").distinct()
 
 
 def split_on_water(segs: DataFrame, rings: DataFrame, cell_m: float = 1000.0) -> DataFrame:
@@ -65,6 +67,14 @@ def split_on_water(segs: DataFrame, rings: DataFrame, cell_m: float = 1000.0) ->
     return marked.withColumn("run", F.when(~F.col("wet"), F.sum(F.col("wet").cast("int")).over(w)))
 
 
+def ring_edges(rings: DataFrame) -> DataFrame:
+    """key, ax, ay, bx, by: the edges of each ring (ring_id, ring, holes) and of those of its holes that lie in it."""
+    within = F.filter("holes", lambda h: F.exists(h, lambda p: geo.ring_contains(F.col("ring"), p["x"], p["y"])))
+    e = rings.select("ring_id", "ring", within.alias("holes"))
+    e = e.select(F.col("ring_id").alias("key"), F.explode(F.concat(geo._cyclic(F.col("ring")), F.flatten(F.transform("holes", geo._cyclic)))).alias("e"))
+    return e.select("key", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+
+
 def row_spans(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """key, j, x_from, x_to: where each row (key, j, y) lies inside a ring, from its sorted crossings taken in pairs."""
     crossed = rows.join(edges, "key").filter((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y")))

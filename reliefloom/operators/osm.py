@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 
 CLOSED_DEG = 1e-9
+RINGS = "array<array<struct<x: double, y: double>>>"
 
 
 def clean_points(points: Column) -> Column:
@@ -36,21 +37,75 @@ def classified(elements: DataFrame) -> DataFrame:
     return elements.withColumn("kind", T.classify(F.col("tags")))
 
 
-def routed(ways: DataFrame) -> DataFrame:
-    """Ways with `route`: line, polygon, skipped, or ignored (no tags, or fewer than two points).
+def routed(elements: DataFrame) -> DataFrame:
+    """Elements with `route`: line, polygon, skipped, or ignored (no tags, or fewer than two points).
 
     One pass: each row is judged by itself. A class with a width is a line even where it is closed;
-    one without is a polygon if closed and skipped if open.
+    one without is a polygon if closed and skipped if open. With a column `members`, relations become
+    polygons: one row for each outer ring, numbered by `part`, with all inner rings in `inners`; without
+    an outer ring they are ignored, as are nodes.
     """
-    w = classified(ways.withColumn("points", clean_points(F.col("points"))))
+    w = classified(elements.withColumn("points", clean_points(F.col("points"))))
     untagged = F.coalesce(F.size("tags"), F.lit(0)) <= 0
+    whole = "members" in elements.columns
+    relation = F.coalesce(F.col("type") == "relation", F.lit(False)) if whole else F.lit(False)
+    other = F.coalesce(~F.col("type").isin("way", "relation"), F.lit(False)) if whole else F.lit(False)
+    if whole:
+        w = w.withColumn("rings", F.udf(_relation_rings, f"struct<outers: {RINGS}, inners: {RINGS}>")(F.when(relation & ~untagged & F.col("kind").isNotNull(), F.col("members"))))
+        w = w.select("*", F.posexplode_outer("rings.outers").alias("part", "outer")).withColumns({"part": F.coalesce("part", F.lit(0)), "inners": F.col("rings.inners")})
+        w = w.withColumn("points", F.when(relation, F.concat("outer", F.slice("outer", 1, 1))).otherwise(F.col("points"))).drop("rings", "outer")
+    else:
+        w = w.withColumns({"part": F.lit(0), "inners": F.lit(None).cast(RINGS)})
+    w = w.withColumn("inners", F.coalesce("inners", F.array().cast(RINGS)))
     route = (
-        F.when(untagged, "ignored").when(F.col("kind").isNull(), "skipped").when(F.size("points") < 2, "ignored")
+        F.when(untagged, "ignored").when(F.col("kind").isNull(), "skipped").when(other, "ignored").when(relation, F.when(F.col("points").isNull(), "ignored").otherwise("polygon")).when(F.size("points") < 2, "ignored")
         .when(F.col("kind.width_m").isNotNull(), "line").when(is_closed(F.col("points")), "polygon").otherwise("skipped")
     )
     return w.withColumn("route", route)
 
 
+def _joined(fragments: list[np.ndarray]) -> list[np.ndarray]:
+    """Rings from fragments, greedily by their ends."""
+    rings, free = [], list(range(len(fragments)))
+    while free:
+        ring = fragments[free.pop(0)]
+        while not (len(ring) >= 4 and (np.abs(ring[0] - ring[-1]) < CLOSED_DEG).all()):
+            for at, k in enumerate(free):
+                f = fragments[k]
+                if np.hypot(*(f[0] - ring[-1])) < CLOSED_DEG:
+                    ring = np.concatenate([ring, f[1:]])
+                elif np.hypot(*(f[-1] - ring[-1])) < CLOSED_DEG:
+                    ring = np.concatenate([ring, f[-2::-1]])
+                else:
+                    continue
+                free.pop(at)
+                break
+            else:
+                break
+        if len(ring) >= 4 and (np.abs(ring[0] - ring[-1]) < CLOSED_DEG).all():
+            ring = ring[:-1]
+        if len(ring) >= 3:
+            rings.append(ring)
+    return rings
+
+
+def _relation_rings(members):
+    """The outer and inner rings of one relation's way members; null without members."""
+    if members is None:
+        return None
+    ways = [(m["role"], m["geometry"]) for m in members if m is not None and m["type"] == "way"]
+
+    def rings(*roles: str) -> list:
+        parts = []
+        for role, geometry in ways:
+            if role in roles:
+                p = np.array([(v["lon"], v["lat"]) for v in geometry or () if v is not None and v["lon"] is not None and v["lat"] is not None], float).reshape(-1, 2)
+                parts.append(p[np.isfinite(p).all(axis=1)])
+        return [[(float(x), float(y)) for x, y in ring] for ring in _joined([p for p in parts if len(p) >= 2])]
+
+    return rings("outer", ""), rings("inner")
+
+
 def assembled_rings(members: DataFrame) -> DataFrame:
     """rel_id, role, ring, seq, x, y: fragments of each relation joined into rings, greedily by their ends.
 
@@ -58,36 +113,13 @@ def assembled_rings(members: DataFrame) -> DataFrame:
     so each is chained in one task.
     """
 
-    def chained(fragments: list[np.ndarray]) -> list[np.ndarray]:
-        rings, free = [], list(range(len(fragments)))
-        while free:
-            ring = fragments[free.pop(0)]
-            while not (len(ring) >= 4 and (np.abs(ring[0] - ring[-1]) < CLOSED_DEG).all()):
-                for at, k in enumerate(free):
-                    f = fragments[k]
-                    if np.hypot(*(f[0] - ring[-1])) < CLOSED_DEG:
-                        ring = np.concatenate([ring, f[1:]])
-                    elif np.hypot(*(f[-1] - ring[-1])) < CLOSED_DEG:
-                        ring = np.concatenate([ring, f[-2::-1]])
-                    else:
-                        continue
-                    free.pop(at)
-                    break
-                else:
-                    break
-            if len(ring) >= 4 and (np.abs(ring[0] - ring[-1]) < CLOSED_DEG).all():
-                ring = ring[:-1]
-            if len(ring) >= 3:
-                rings.append(ring)
-        return rings
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[np.isfinite(pdf["x"]) & np.isfinite(pdf["y"])].sort_values(["ord", "seq"])
         out = []
         for role in ("outer", "inner"):
             mine = pdf[pdf["role"].isin(["outer", ""]) if role == "outer" else pdf["role"] == "inner"]
             parts = [g[["x", "y"]].to_numpy(float) for _, g in mine.groupby("ord", sort=True) if len(g) >= 2]
-            for n, ring in enumerate(chained(parts)):
+            for n, ring in enumerate(_joined(parts)):
                 out.append(pd.DataFrame({"rel_id": pdf["rel_id"].iloc[0], "role": role, "ring": n, "seq": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1]}))
         return pd.concat(out) if out else pd.DataFrame({"rel_id": [], "role": [], "ring": [], "seq": [], "x": [], "y": []})
 

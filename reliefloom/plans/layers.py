@@ -54,8 +54,8 @@ def _ranks(spark: SparkSession) -> DataFrame:
 
 
 def _water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = osm.routed(_ways(spark, sf_dir)).filter("route = 'polygon' AND kind.layer = 'water'").select(F.col("way_id").alias("ring_id"), osm.open_ring(F.col("points")).alias("r"))
-    return w.filter("size(r) >= 3").select("ring_id", geo.ring_world(F.col("r"), _origin()).alias("ring"))
+    w = osm.routed(_ways(spark, sf_dir)).filter("route = 'polygon' AND kind.layer = 'water'").select(F.col("way_id").alias("ring_id"), osm.open_ring(F.col("points")).alias("r"), "inners")
+    return w.filter("size(r) >= 3").select("ring_id", geo.ring_world(F.col("r"), _origin()).alias("ring"), F.transform("inners", lambda h: geo.ring_world(h, _origin())).alias("holes"))
 
 
 @REG.add(HEAD + " SELECT layer, subtype, round(length_m, 3) + 0e0 AS length_m, width_m, round(printed_mm, 6) + 0e0 AS printed_mm, round(floor(printed_mm * 20 + 0.5e0) / 20, 6) + 0e0 AS bucket_mm FROM lw")
@@ -151,8 +151,7 @@ RINGPTS = """ringed AS (SELECT way_id AS key, seq, x, y, coalesce(lead(x) OVER w
 
 
 def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _water(spark, sf_dir).select(F.col("ring_id").alias("key"), geo._cyclic(F.col("ring")).alias("e")).select("key", F.explode("e").alias("e"))
-    edges = w.select("key", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    edges = lines.ring_edges(_water(spark, sf_dir))
     rows = edges.select("key").distinct().select("key", F.explode(F.sequence(F.lit(0), F.lit(80))).alias("j")).withColumn("y", F.lit(-4000.0) + F.col("j") * 100)
     return lines.inside_mask(lines.row_spans(rows, edges), -4600.0, 100.0, 93)
 

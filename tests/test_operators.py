@@ -210,3 +210,27 @@ def test_long_routes_are_folded_in_runs(spark, monkeypatch):
 
     sizes = tracks._in_runs(lines.filter("line_id = 1"), "line_id").groupBy("_run").count().collect()
     assert max(r["count"] for r in sizes) == 8 and sum(r["count"] for r in sizes) == 160
+
+
+def test_relations_become_polygons_with_their_inner_rings(spark):
+    import json
+
+    at = lambda *xy: [{"lon": x, "lat": y} for x, y in xy]
+    way = lambda role, *xy: {"type": "way", "ref": 1, "role": role, "geometry": at(*xy)}
+    lake = [way("outer", (0.0, 0.0), (10.0, 0.0), (10.0, 10.0)), way("inner", (4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)), way("", (0.0, 0.0), (0.0, 10.0), (10.0, 10.0)), way("outer", (20.0, 0.0), (22.0, 0.0), (22.0, 2.0), (20.0, 0.0))]
+    rel = lambda n, tags, members: {"type": "relation", "id": n, "tags": tags, "members": members}
+    water = {"natural": "water"}
+    elements = [rel(1, water, lake), rel(2, water, [way("inner", (0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0))]), rel(3, {}, lake), rel(4, {"amenity": "cafe"}, lake), rel(5, water, None),
+                {"type": "way", "id": 1, "tags": water, "geometry": at((0, 0), (1, 0), (1, 1), (0, 0))}, {"type": "way", "id": 6, "tags": {"highway": "primary"}, "geometry": at((0, 0), (1, 0))}]
+    texts = spark.createDataFrame([("a", json.dumps({"elements": elements}))], "source string, text string")
+    r = osm.routed(extract.parsed(texts))
+    got = sorted((x.type, x.id, x.part, x.route, x.kind.layer if x.kind else None, len(x.inners)) for x in r.collect())
+    assert got == [("relation", 1, 0, "polygon", "water", 1), ("relation", 1, 1, "polygon", "water", 1), ("relation", 2, 0, "ignored", "water", 1), ("relation", 3, 0, "ignored", None, 0), ("relation", 4, 0, "skipped", None, 0),
+                   ("relation", 5, 0, "ignored", "water", 0), ("way", 1, 0, "polygon", "water", 0), ("way", 6, 0, "line", "roads", 0)]
+    rings = r.filter("type = 'relation' AND route = 'polygon'").select(F.col("part").alias("ring_id"), osm.open_ring(F.col("points")).alias("ring"), F.col("inners").alias("holes"))
+    road = spark.createDataFrame([(1, k, a, 5.0, a + 2, 5.0, False) for k, a in enumerate([-3.0, 1.0, 4.0, 7.0])], "line_id long, seq int, ax double, ay double, bx double, by double, bridge boolean")
+    assert [x.wet for x in lines.split_on_water(road, rings, 5.0).orderBy("seq").collect()] == [False, True, False, True]
+    edges = lines.ring_edges(rings)
+    rows = edges.select("key").distinct().withColumns({"j": F.lit(0), "y": F.lit(5.0)})
+    mask = lines.inside_mask(lines.row_spans(rows, edges), 0.5, 1.0, 30)
+    assert sorted((x.key, x.i) for x in mask.collect()) == [(0, i) for i in (0, 1, 2, 3, 6, 7, 8, 9)]
