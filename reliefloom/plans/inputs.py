@@ -48,7 +48,7 @@ def a02_extract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT file, track, (['#FF0D00', '#2E86DE', '#F5A623', '#7ED321', '#9B51E0', '#00B8A9', '#E84393', '#FF7A45'])[n % 8 + 1] AS color FROM n""")
 def a08_route_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("f"), F.col("user_id") % 30).alias("file"), F.col("user_id").alias("track")).distinct()
-    return r.withColumn("color", settings.route_colour(F.col("file"), F.col("track")))
+    return settings.route_coloured(r)
 
 
 @REG.add("WITH {SELECTIONS}, m AS (SELECT sel_id, CASE WHEN sel_id % 2 = 0 THEN 'mapterhorn' ELSE 'aws-terrarium' END AS dataset, CASE WHEN k = 0 THEN NULL ELSE radius_m / 10 END AS w FROM sel) SELECT sel_id, dataset, CASE WHEN sel_id % 2 = 0 THEN 512 ELSE 256 END AS tile_size, CASE WHEN sel_id % 2 = 0 THEN 14 ELSE 13 END AS max_zoom, coalesce(w, 100e0) AS width_mm, 0.4e0 AS nozzle_mm FROM m")

@@ -48,7 +48,14 @@ def with_defaults(models: DataFrame) -> DataFrame:
     return models.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in given else F.lit(v) for k, v in MODEL_DEFAULTS.items()})
 
 
-def route_colour(*order: Column) -> Column:
-    """Colours in turn, in the order of the given columns."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1  # one row for each route of a request
-    return F.element_at(F.array(*map(F.lit, ROUTE_COLOURS)), (n % len(ROUTE_COLOURS) + 1).cast("int"))
+def route_coloured(routes: DataFrame) -> DataFrame:
+    """routes with `color`: colours in turn, in the order of file and track.
+
+    Routes are numbered inside each file; only the counts of the files, one row each, meet an unpartitioned window.
+    """
+    per_file = routes.groupBy("file").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per_file.select("file", before.alias("_before"))
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("file").orderBy("track")) - 1
+    colour = F.element_at(F.array(*map(F.lit, ROUTE_COLOURS)), (n % len(ROUTE_COLOURS) + 1).cast("int"))
+    return routes.join(starts, "file").withColumn("color", colour).drop("_before")

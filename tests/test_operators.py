@@ -234,3 +234,12 @@ def test_relations_become_polygons_with_their_inner_rings(spark):
     rows = edges.select("key").distinct().withColumns({"j": F.lit(0), "y": F.lit(5.0)})
     mask = lines.inside_mask(lines.row_spans(rows, edges), 0.5, 1.0, 30)
     assert sorted((x.key, x.i) for x in mask.collect()) == [(0, i) for i in (0, 1, 2, 3, 6, 7, 8, 9)]
+
+
+def test_only_file_counts_meet_one_task_when_routes_are_coloured(spark):
+    r = spark.createDataFrame([(f"f{k % 7:02}", k) for k in range(60)], "file string, track long")
+    out = settings.route_coloured(r)
+    want = [settings.ROUTE_COLOURS[n % len(settings.ROUTE_COLOURS)] for n in range(60)]
+    assert [x.color for x in out.orderBy("file", "track").collect()] == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number() windowspecdefinition(file") == 1 and "row_number() windowspecdefinition(track" not in plan
