@@ -10,11 +10,15 @@ whole documents in ascending doc_id order. Parquet gives atomic commits on any f
 Spark can reach.
 
 Rows: null text counts as empty and has the end id only; documents without doc_id come first;
-documents of equal doc_id are ordered by text. An empty table gives no rows.
+documents of equal doc_id are ordered by text; repeated rows are each written. A very long text is
+coded whole, in one piece of a task's memory, and may fill more than one chunk's worth of ids; a chunk
+never splits a document. Columns other than doc_id and text are ignored, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,11 +27,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import distinct_words, parallelism, ragged_take, shared_dir, sums_by_list, text_slices, tokenizer_path
+from .common import distinct_words, parallelism, shared_dir, sums_by_list, text_slices, tokenizer_path
 
 #: Ids per word and bits per id, by selector 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
@@ -37,7 +42,10 @@ BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
 MAGIC = b"S8B1"
 END_ID = 2
-MEMO_WORDS = 600_000
+#: Words kept with their ids in each Python worker, the earliest ones; others are encoded in each slice anew.
+MEMO_WORDS = 2_000_000
+#: Bytes of text that are cut into words at a time.
+SLICE_BYTES = 4 << 20
 
 
 def _needs(ids: np.ndarray) -> np.ndarray:
@@ -141,18 +149,59 @@ def unpack_blocks(payload: bytes) -> np.ndarray:
     return np.concatenate([*parts, np.zeros(0, np.uint64)])
 
 
+class Memo:
+    """The ids of words by the words' 128-bit hashes: sorted arrays, about 30 bytes a word."""
+
+    def __init__(self, width: np.dtype):
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, width)
+
+    @staticmethod
+    def keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 for none."""
+        if not len(self.high):
+            return np.full(len(high), -1)
+        order = np.argsort(high)
+        at = np.empty(len(high), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.high, high[order]), len(self.high) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == low), at, -1)
+
+    def add(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Keep words that were not found, as far as there is room."""
+        n = min(len(high), MEMO_WORDS - len(self.high))
+        if n <= 0:
+            return
+        lengths = lengths[:n]
+        starts = np.cumsum(lengths) - lengths + len(self.flat)
+        self.flat = np.concatenate([self.flat, ids[: int(lengths.sum())]])
+        own = np.argsort(high[:n])
+        high, low, starts, lengths = high[:n][own], low[:n][own], starts[own], lengths[own]
+        merged = np.argsort(np.concatenate([self.high, high]), kind="stable")  # two sorted runs
+        self.high, self.low = np.concatenate([self.high, high])[merged], np.concatenate([self.low, low])[merged]
+        self.start, self.length = np.concatenate([self.start, starts])[merged], np.concatenate([self.length, lengths]).astype(np.int32)[merged]
+
+
 class ByteEncoder:
-    """The tokenizers library behind a memo of space-led words.
+    """The tokenizers library behind a memo of words.
 
-    The vocabulary's pre-tokenizer never joins characters over a single space that stands between
-    two words, so such words can be encoded one by one. Texts with runs of spaces, or spaces between
-    other white space, are encoded whole.
+    Texts are cut before each space and each line feed. The vocabulary's pre-tokenizer joins white space
+    in two ways only: a space to the word after it, and a run of white space to all of its characters but
+    the last (all of them at the end of a text). So the cut pieces can be encoded one by one, but for
+    texts with runs of three or more, with runs of two at the end, or with other white space; these are
+    encoded whole, as are texts that might hold special tokens.
     """
 
     #: White space other than the space and the line feed.
     RARE_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    RUN = 100  # new words that go to the library as one text, a line feed after each
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -160,42 +209,83 @@ class ByteEncoder:
         self.tokenizer.no_padding()
         top = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = np.dtype(np.uint16 if top <= 1 << 16 else np.uint32)
-        self.memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _odd(self, word: str) -> bool:
-        return "<|" in word or self.RARE_SPACE.search(word) is not None
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        (self.space,) = self.tokenizer.encode(" ", add_special_tokens=False).ids
+        self.memo = Memo(self.width)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that hold no white space, each led by `lead`, end to end, and the number of ids of each; an empty word has none."""
+        real = np.array([bool(w) for w in words], bool)
+        spelt = [w for w in words if w]
+        runs = ["".join([f"{lead}{w}\n" for w in spelt[i : i + self.RUN]]) for i in range(0, len(spelt), self.RUN)]
+        ids = np.concatenate([*self._library(runs), np.zeros(0, self.width)])
+        ends = np.flatnonzero(ids == self.feed)
+        lengths = np.zeros(len(words), np.int64)
+        lengths[real] = np.diff(ends, prepend=-1) - 1
+        return np.delete(ids, ends), lengths
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that begin with a line feed, or else have lost the space that led them."""
+        fed = np.array([p[:1] == "\n" for p in pieces], bool)
+        one, n_one = self._words([p for p, f in zip(pieces, fed) if not f], " ")
+        two, n_two = self._words([p[1:] for p, f in zip(pieces, fed) if f], "")
+        lengths = np.zeros(len(pieces), np.int64)
+        lengths[~fed], lengths[fed] = n_one, n_two + 1
+        out, owner = np.full(int(lengths.sum()), self.feed, self.width), np.repeat(fed, lengths)
+        out[~owner] = one
+        owner[(np.cumsum(lengths) - lengths)[fed]] = False
+        out[owner] = two
+        return out, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and the number of ids of each."""
-        offsets, word, words = distinct_words(pc.split_pattern(texts, " "))
-        first = offsets[:-1]  # no space leads these
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        memo.update(zip(new, self._library([" " + w for w in new])))
-        firsts, first_no = np.unique(word[first], return_inverse=True)
-        pool = [*map(memo.__getitem__, words), *self._library([words[i] for i in firsts])]
-        for w in new[max(0, MEMO_WORDS - len(memo) + len(new)) :]:
-            del memo[w]
-        odd = np.array([self._odd(w) for w in words]) if self._odd(" ".join(words)) else np.zeros(len(words), bool)
-        apart = odd | np.array([not w or w[0] == "\n" for w in words])  # a space before these may join what stands before it
-        flags = apart[word]
-        flags[first] = odd[word[first]]
-        whole = np.flatnonzero(sums_by_list(flags, offsets))
-        word = word.astype(np.int64)
-        word[first] = len(words) + first_no
-        pool += self._library([texts[int(i)].as_py() for i in whole])
+        offsets, word, words = distinct_words(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "))
+        first = offsets[:-1]  # nothing leads the first pieces
+        odd = np.zeros(len(words), bool)
+        every = " ".join(words)
+        if "<|" in every or self.RARE_SPACE.search(every):
+            odd = np.array(["<|" in w or self.RARE_SPACE.search(w) is not None for w in words])
+        del every
+        single = np.array([w == "" or w == "\n" for w in words])[word]
+        single[first] = False
+        broken = odd[word]
+        broken[:-1] |= single[:-1] & single[1:]
+        whole = np.flatnonzero(sums_by_list(broken, offsets))
+
+        high, low = Memo.keys(words)
+        found = self.memo.find(high, low)
+        new = np.flatnonzero(found < 0)
+        new_ids, new_lengths = self._pieces([words[i] if not odd[i] else "" for i in new])
+        blank = np.array([words[i] == "" for i in new], bool)  # a space that stands before white space
+        new_ids, new_lengths = np.insert(new_ids, (np.cumsum(new_lengths) - new_lengths)[blank], self.space), new_lengths + blank
+        firsts, which = np.unique(word[first], return_inverse=True)
+        led, n_led = self._words([words[i] if not odd[i] and words[i][:1] != "\n" else "" for i in firsts], "")
+        alone = self._library([texts[int(i)].as_py() for i in whole])
+        # the ids of all pieces: of the memo, then new ones, first ones and whole texts
+        pool = np.concatenate([self.memo.flat, new_ids, led, *alone])
+        n_more = np.concatenate([new_lengths, n_led, np.array([len(x) for x in alone], np.int64)])
+        more = len(self.memo.flat) + np.cumsum(n_more) - n_more
+        starts, lengths = np.zeros(len(words) + len(firsts) + len(whole), np.int64), np.zeros(len(words) + len(firsts) + len(whole), np.int64)
+        old = np.flatnonzero(found >= 0)
+        starts[old], lengths[old] = self.memo.start[found[old]], self.memo.length[found[old]]
+        rows = np.concatenate([new, np.arange(len(words), len(starts))])
+        starts[rows], lengths[rows] = more, n_more
+        number = word.astype(np.int64)
+        number[first] = len(words) + which
         keep = np.ones(len(word), bool)
         for i in whole:
             keep[offsets[i] : offsets[i + 1]] = False
-        keep[first] = True
-        word[first[whole]] = len(pool) - len(whole) + np.arange(len(whole))
-        lengths = np.array([len(x) for x in pool]) // self.width.itemsize
-        lengths = np.where(keep, lengths[word], 0), lengths
-        ids, _ = ragged_take(np.frombuffer(b"".join(pool), self.width), lengths[1], word[keep])
-        return ids, sums_by_list(lengths[0], offsets)
+        keep[first[whole]] = True
+        number[first[whole]] = len(words) + len(firsts) + np.arange(len(whole))
+        taken = lengths[number] * keep
+        shift = starts[number] - (np.cumsum(taken) - taken)
+        ids = pool[np.repeat(shift, taken) + np.arange(int(taken.sum()))]
+        plain = ~odd[new]
+        self.memo.add(high[new[plain]], low[new[plain]], new_ids if plain.all() else new_ids[np.repeat(plain, new_lengths)], new_lengths[plain])
+        return ids, sums_by_list(taken, offsets)
 
 
 @lru_cache(maxsize=2)
@@ -209,26 +299,35 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, chunk = loaded(tokenizer), TaskContext.get().partitionId(), 0
-        docs_in, ids_in, held = [], [], 0
+        docs_in: list[pa.Array] = []
+        lengths_in: list[np.ndarray] = []
+        ids_in: list[np.ndarray] = []
+        held = 0
 
         def row() -> pa.RecordBatch:
-            ids = np.concatenate(ids_in)
+            keys, lengths = pa.concat_arrays(docs_in), np.concatenate(lengths_in)
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([docs_in], pa.list_(pa.int64())), pa.array([[len(x) for x in ids_in]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack_blocks(ids)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), one(keys), one(pa.array(lengths, pa.int64())), pa.array([held], pa.int64()), pa.array([pack_blocks(np.concatenate(ids_in))], pa.binary())],
                 names=["part", "chunk", "doc_ids", "n_tokens", "n_ids", "payload"],
             )
 
         for b in batches:
-            keys = b.column(0).to_pylist()
-            for at, texts in text_slices(b.column(1)):
+            for at, texts in text_slices(b.column(1), SLICE_BYTES):
                 flat, lengths = encoder.encode(texts)
-                for key, ids in zip(keys[at:], np.split(flat, np.cumsum(lengths)[:-1])):
-                    docs_in.append(key)
-                    ids_in.append(np.append(ids, np.array(end_id, ids.dtype)))
-                    held += len(ids) + 1
+                ends = np.cumsum(lengths)
+                flat, lengths, ends = np.insert(flat, ends, end_id), lengths + 1, ends + np.arange(1, len(lengths) + 1)
+                keys, done = b.column(0).slice(at, len(texts)), 0
+                while done < len(lengths):  # whole documents, up to the one that fills the chunk
+                    before = int(ends[done - 1]) if done else 0
+                    to = min(len(lengths), int(np.searchsorted(ends, before + CHUNK_IDS - held)) + 1)
+                    docs_in.append(keys.slice(done, to - done))
+                    lengths_in.append(lengths[done:to])
+                    ids_in.append(flat[before : int(ends[to - 1])])
+                    held, done = held + int(ends[to - 1]) - before, to
                     if held >= CHUNK_IDS:
                         yield row()
-                        docs_in, ids_in, held, chunk = [], [], 0, chunk + 1
+                        docs_in, lengths_in, ids_in, held, chunk = [], [], [], 0, chunk + 1
         if docs_in:
             yield row()
 

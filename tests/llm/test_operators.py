@@ -268,6 +268,26 @@ def test_token_file(spark, tmp_path):
     assert tokenfile.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_byte_encoder_equals_the_library_on_runs_of_white_space(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rng = np.random.default_rng(7)
+    parts = ["a", "b", "The", "é", "日", " ", " ", " ", "\n", "\n", "'s", ".", "1", "hello", "\t", "<|endoftext|>", "<|", "\n\n", "  ", "\x1c", "\u3000"]
+    texts = ["".join(rng.choice(parts[:14] if i % 5 else parts, rng.integers(0, 25))) for i in range(3000)] + [LONG, "x" * 70_000, "\n" * 3, ""]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for most in (2_000_000, 50):
+        monkeypatch.setattr(tokenfile, "MEMO_WORDS", most)
+        encoder = tokenfile.ByteEncoder(path)
+        got = []
+        for at in range(0, len(texts), 500):  # later slices meet words of earlier ones
+            ids, lengths = encoder.encode(pa.array(texts[at : at + 500]))
+            got += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert got == want
+        assert len(encoder.memo.high) <= most
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(5)
     for a in ([], [0], [2**64 - 1], [15 << 60, 3, 2**60], rng.integers(0, 2, 1000), rng.integers(0, 50257, 70_000), np.where(rng.random(5000) < 0.01, 2**62, rng.integers(0, 40, 5000))):
