@@ -7,20 +7,26 @@ meet only if they share the tokens chosen on the whole path. Small nodes are com
 on sketches of 128 minwise tokens (with a margin of six deviations), and likely pairs are confirmed
 on full sets; larger nodes branch again.
 
-A child that keeps most of its node is a dense group, which more branching would not divide. It is
-compared exhaustively on full sets, in cells of two bounded blocks each; a cell gives a spanning
-forest of its links, not all of them. In a dense group of more than EXHAUSTIVE members, the links to
-a few hubs come first, and only members that these leave apart from the group's main component meet
-the others in cells. Linked sets form components.
+A child that keeps half of its node or more is a dense group. With at most EXHAUSTIVE members it is
+compared exhaustively on full sets, in cells of two bounded blocks each, so that a set has a bounded
+number of copies; a cell gives a spanning forest of its links, not all of them. A larger one branches
+on, with as many choices as keep a pair at the threshold (1/s a level, by the node's number), unless
+it keeps nearly all: there the links to a few hubs come first, and only members that these leave apart
+from the group's main component meet the others in cells. Linked sets form components.
 
 Recall: a pair at the threshold s survives a level of one choice with probability s, of two with
 1-(1-s)^2. With two choices at the roots of five trees, then one and two by turns, a pair at 0.85 is
-missed in about one case of a million, a closer pair less often.
+missed in about one case of a million, a closer pair less often. In dense groups of more than
+EXHAUSTIVE sets that branch on, a path keeps such a pair about as often as not, and there are ten.
+Cost of such groups: a texts-by-template corpus at Jaccard 0.6 needs up to ten times a few dozen copies
+of a set, so it grows faster than its rows once it is larger than EXHAUSTIVE.
 
 Rows: a document without words has an empty set, links with nothing and is kept. Rows without
 doc_id are left out of linking; they get a null component and null `kept`. Rows of equal doc_id and
-different text are one document for linking. An empty table gives no rows. Columns other than
-doc_id and text are ignored.
+different text are one document: their sets count as linked. Repeated rows are judged alike and cost no
+more than one. A very long text is one set of all its shingles, held by one task at a time. Equal sizes
+and similarities decide nothing: a component is named by its smallest doc_id. An empty table gives no
+rows. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +48,9 @@ ROOT_CHOICES = 2
 TOKENS = 32  # minwise tokens that paths choose from, 64 bits each
 SKETCH = 128  # minwise tokens that sketches compare, 16 bits each
 LEAF = 48  # nodes of at most so many sets are compared on sketches
-DENSE = 0.5  # a child that keeps this share of its node is not branched further
-LEVELS = 16
+DENSE = 0.5  # a child that keeps this share of its node is a dense group
+TIGHT = 0.9  # and with this share, branching would not divide it
+LEVELS = 40
 EXHAUSTIVE = 4096  # dense groups of at most so many sets are compared without hubs
 HUBS = 4
 BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000  # most of either in half a cell, on average
@@ -106,7 +113,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
                 rows = []
                 for s in shingle_sets(texts, width):
                     low = minwise(s)
-                    key = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+                    key = _set_key(s)
                     sketch = ((low >> np.uint64(7)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
                     rows.append((len(s), *key, _root_nodes(low).tolist(), low[:TOKENS].tobytes(), sketch))
                 n, a, c, nodes, tokens, sketches = zip(*rows)
@@ -118,9 +125,9 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key1 long, key2 long, nodes array<long>, tokens binary, sketch binary")
 
 
-def _branched(rows: DataFrame, level: int) -> DataFrame:
-    """Children of the members of large nodes: one or two selected tokens of each, by turns."""
-    choices = 2 - level % 2
+def _branched(rows: DataFrame, level: int, percent: int) -> DataFrame:
+    """Children of the members of large nodes: one or two selected tokens of each, by turns; in dense groups 1/s of them, by the node's number."""
+    both = np.uint64(max(1, round((100 / percent - 1) * 1000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,16 +135,16 @@ def _branched(rows: DataFrame, level: int) -> DataFrame:
                 continue
             node = b.column("node").to_numpy().view(np.uint64)
             tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint64).reshape(-1, TOKENS)
-            children = []
+            children, taken = [], []
             first = _mixed(node + np.array([level], np.uint64) * STRIDE)
-            for k in range(choices):
-                pick = ((first + np.uint64(k * (TOKENS // 2 + 1))) % np.uint64(TOKENS)).astype(np.int64)
-                chosen = tokens[np.arange(len(pick)), pick]
-                children.append(_mixed(_mixed(node ^ chosen) + pick.astype(np.uint64) * STRIDE).view(np.int64))
-            n = len(node)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(children)), pa.array(np.tile(b.column("rep").to_numpy(), choices)), pa.array(np.tile(b.column("size").to_numpy(), choices))], names=["node", "rep", "parent_size"]
-            ) if n else b
+            dense = b.column("dense").to_numpy(zero_copy_only=False)
+            again = np.where(dense, _mixed(first) % np.uint64(1000) < both, level % 2 == 0)
+            for k, rows in enumerate((np.arange(len(node)), np.flatnonzero(again))):
+                pick = ((first[rows] + np.uint64(k * (TOKENS // 2 + 1))) % np.uint64(TOKENS)).astype(np.int64)
+                children.append(_mixed(_mixed(node[rows] ^ tokens[rows, pick]) + pick.astype(np.uint64) * STRIDE).view(np.int64))
+                taken.append(rows)
+            rows = np.concatenate(taken)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), *(pa.array(b.column(c).to_numpy()[rows]) for c in ("rep", "size"))], names=["node", "rep", "parent_size"])
 
     return rows.mapInArrow(run, "node long, rep long, parent_size long")
 
@@ -193,17 +200,31 @@ def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
     return ready.mapInArrow(run, "a long, b long, first boolean")
 
 
-def _full_sets(docs: DataFrame, named: DataFrame, width: int) -> DataFrame:
-    """id, s: the full sets of the documents that `id` names, once each."""
+def _set_key(s: np.ndarray) -> list[int]:
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, s: the full sets that `rep, doc, key1, key2` names, each by its rep, once each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in text_slices(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["id", "s"])
+                found = shingle_sets(texts, width)
+                keys = np.array([_set_key(s) for s in found], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(texts)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([s.tobytes() for s in found], pa.binary())], names=["d", "k1", "k2", "s"]
+                )
 
-    named = written(named.distinct(), "named")
-    few = named.count() <= BROADCAST_IDS  # else texts and ids meet in a shuffle
-    return written(docs.join(F.broadcast(named) if few else named, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(sets, "id long, s binary"), "sets")
+    wanted = written(wanted, "named")
+    n = wanted.count()
+    few = n <= BROADCAST_IDS  # else texts and ids meet in a shuffle
+    listed = F.broadcast(wanted) if few else wanted
+    made = docs.join(listed, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(sets, "d long, k1 long, k2 long, s binary")
+    full = written(made.join(listed, (F.col("d") == F.col("doc")) & (F.col("k1") == F.col("key1")) & (F.col("k2") == F.col("key2"))).select(F.col("rep").alias("id"), "s"), "sets")
+    if full.count() > n:  # rows of equal doc_id and text
+        full = written(full.dropDuplicates(["id"]), "sets")
+    return full
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -317,13 +338,12 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
     docs = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     margin = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
     table = written(_features(docs, width), "sketches")
-    sets = table.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
-    sets = written(sets, "distinct-sets")
-    reps = written(
-        table.filter("n > 0").join(sets.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")))
-        .select("rep", "n", "nodes", "tokens", "sketch"),
-        "members",
-    )
+    # one member for each distinct set, by a number of its own; its text is that of its smallest doc_id
+    real = table.filter("n > 0 AND doc_id IS NOT NULL")
+    first = F.min_by(F.struct("n", "nodes", "tokens", "sketch"), "doc_id").alias("f")
+    reps = real.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc"), first).select("key1", "key2", "doc", "f.*")
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "members")
+    sets = reps.select("rep", "doc", "key1", "key2")
 
     rows = reps.select("rep", F.explode("nodes").alias("node")).withColumn("parent_size", F.lit(None).cast("long"))
     leaves, dense = [], []
@@ -332,12 +352,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
         sized = written(rows.join(sizes, "node"), "nodes")
         leaves.append(sized.filter(F.col("size") <= LEAF).select("node", "rep"))
         large = sized.filter(F.col("size") > LEAF)
-        stuck = F.coalesce(F.col("size") >= DENSE * F.col("parent_size"), F.lit(False)) if level < LEVELS else F.lit(True)
+        share = F.coalesce(F.col("size") / F.col("parent_size"), F.lit(0.0))
+        large = large.withColumn("dense", share >= DENSE)
+        stuck = F.col("dense") & ((F.col("size") <= EXHAUSTIVE) | (share >= TIGHT)) if level < LEVELS else F.lit(True)
         dense.append(large.filter(stuck).select("node", "rep", "size"))
         large = large.filter(~stuck)
         if large.isEmpty():
             break
-        rows = _branched(large.join(reps.select("rep", "tokens"), "rep"), level)
+        rows = _branched(large.join(reps.select("rep", "tokens"), "rep"), level, percent)
 
     members = leaves[0]
     for x in leaves[1:]:
@@ -349,19 +371,25 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
     pairs = written(found.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
     dense_rows = written(stuck_rows.join(reps.select("rep", "n"), "rep"), "dense")
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense_rows.select("rep"))
-    full = _full_sets(docs, named, width)  # the second and last pass over texts
+    full = _full_sets(docs, sets.join(named.distinct(), F.col("rep") == F.col("id"), "left_semi"), width)  # the second and last pass over texts
     # forests first; other candidates only where confirmed forests leave their ends apart
     sure = _confirmed(pairs.filter("first"), full, percent)
     if not dense_rows.isEmpty():
         sure = sure.union(_dense_links(dense_rows, full, percent))
-    sure = written(sure, "links")
+    # rows with their sets; those of equal doc_id are one document
+    by_key = sets.select("rep", "doc", F.col("key1").alias("k1"), F.col("key2").alias("k2"))
+    judged = written(table.select("doc_id", "n", "key1", "key2").join(by_key, (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")), "left").select("doc_id", "n", "rep", "doc"), "judged")
+    several = judged.filter("doc_id IS NOT NULL AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a < last").select(F.col("doc_id").alias("of"), "a")
+    one_id = judged.join(several, F.col("doc_id") == F.col("of")).filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    sure = written(sure.union(one_id), "links")
     comp = components(sure)
     x, y = comp.select(F.col("v").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
     apart = written(pairs.filter("NOT first").join(x, "a", "left").join(y, "b", "left").filter("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "apart")
     if not apart.isEmpty():
         comp = components(sure.union(_confirmed(apart, full, percent)))
 
-    named = sets.join(comp, F.col("rep") == F.col("v"), "left").select("key1", "key2", F.coalesce("comp", "rep").alias("set_comp"))
-    judged = table.select("doc_id", "n", "key1", "key2").join(named, ["key1", "key2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("set_comp")))
-    return judged.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    least = comp.join(sets.select("rep", "doc"), F.col("v") == F.col("rep")).groupBy("comp").agg(F.min("doc").alias("least"))
+    named = comp.join(least, "comp").select("v", "least")
+    out = judged.join(named, F.col("rep") == F.col("v"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "doc")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

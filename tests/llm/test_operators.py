@@ -323,3 +323,27 @@ def test_whole_groups_never_split_a_key():
     seen = [x.column("k").to_pylist() for x in whole_groups(t.to_batches(max_chunksize=7), "k")]
     assert sum(seen, []) == keys.tolist()
     assert all(not set(a) & set(b) for a, b in zip(seen, seen[1:]))
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    table = [*((1, words) for _ in range(500)), *((2, words.replace("w39", "x")) for _ in range(500)), *((7, f"other text {i % 2} of the same id, " + " ".join(f"v{i % 2}{j}" for j in range(30))) for i in range(500)), (8, "other text 1 of the same id, " + " ".join(f"v1{j}" for j in range(30)))]
+    out = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, table)).collect())
+    assert out == {(1, 1, True): 500, (2, 1, False): 500, (7, 7, True): 500, (8, 7, False): 1}
+
+
+def test_equal_ids_are_one_document(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    out = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, [(3, b), (5, a), (5, b), (9, a), (6, None), (6, "")])).collect()}
+    assert out == {(3, 3, True), (5, 3, False), (9, 3, False), (6, 6, True)}
+
+
+def test_templated_texts_part_again(spark, monkeypatch):
+    """Texts of Jaccard 0.6 by their common template link only where their own parts are copies; a large group of them branches on."""
+    monkeypatch.setattr(neardup, "EXHAUSTIVE", 100)
+    template = " ".join(f"t{i}" for i in range(300))
+    own = lambda i, k: " ".join(f"o{i}x{j}" for j in range(100 - k)) + "".join(f" e{i}y{j}" for j in range(k))
+    table = [(i, f"{template} {own(i // 2, 4 * (i % 2))}") for i in range(600)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, table)).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[i] == i - 1 for i in range(1, 600, 2)) >= 297
