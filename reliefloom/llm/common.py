@@ -31,9 +31,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder serves a driver that runs all tasks itself."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

@@ -1,32 +1,39 @@
 """Operator 4: line dedup over levelled sorted runs of line hashes.
 
-A run is a table sorted by line hash: the hash of a line's key, in how many documents it was seen,
-and the largest doc_id among them. Documents come in batches, largest doc_ids first. A batch's own
-hashes are anti-joined with those of the runs that are settled (seen in enough documents already, so
-that neither count nor doc_id can change what follows); what is left becomes a new run of level 0.
-Whenever a level holds FANOUT runs, they are merged into one of the next level.
+A run is a table, bucketed and sorted by line hash: the hash of a line's key, in how many documents it
+was seen, and the largest doc_id among them. Documents come in batches, largest doc_ids first. A batch
+is shuffled once, into its own hashes; these are merge-anti-joined with the hashes that a run has
+settled (seen in enough documents already, so that neither count nor doc_id can change what follows),
+and what is left becomes a new run of level 0. Whenever a level holds FANOUT runs, they are merged into
+one of the next level, bucket by bucket: bucketed runs join without a shuffle. Runs outlive the call:
+`state` names them, `LineRuns.of` opens them again for later batches.
 
 A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least
 `least_chars` code points in at least `least_docs` documents lose their lines everywhere but in the
 largest doc_id that holds them.
 
 Rows: a null or empty text is one empty line. Documents without doc_id are not counted and keep all
-lines. Rows of equal doc_id count as a document each, and are one document when lines are dropped.
-Lines repeated inside a document count once, and stay or go together. Other columns are kept by
-`without_repeats` and ignored by `line_digests`; an empty table gives no rows.
+lines. Rows of equal doc_id are one document, counted once and judged each for its own lines; repeated
+rows are all kept. Lines repeated inside a document count once, and stay or go together. A very long
+text is an array of its lines in one row. Ties cannot arise: the largest doc_id is one document. Other
+columns are kept by `without_repeats` and ignored by `line_digests`, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, written
+from .common import ASCII_SPACE, ascii_lower, parallelism, shared_dir, written
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
 BATCHES = 4
 FANOUT = 2
+SALTS = 16  # tasks, at least, that share one very common line
 
 
 def line_key(line: Column) -> Column:
@@ -45,44 +52,54 @@ def lines_of(text: Column) -> Column:
 class LineRuns:
     """Levelled runs of line hashes: h1, h2, n, top."""
 
-    def __init__(self, least_docs: int, fanout: int = FANOUT):
-        self.least_docs, self.fanout = least_docs, fanout
-        self.levels: list[list[DataFrame]] = []
+    KEY = ("h1", "h2")
+
+    def __init__(self, spark: SparkSession, least_docs: int, fanout: int = FANOUT):
+        self.spark, self.least_docs, self.fanout = spark, least_docs, fanout
+        self.buckets = parallelism(spark)
+        self.levels: list[list[str]] = []
+
+    @classmethod
+    def of(cls, spark: SparkSession, state: dict) -> LineRuns:
+        """The runs that `state` names, in a session that knows their tables."""
+        runs = cls(spark, state["least_docs"], state["fanout"])
+        runs.buckets, runs.levels = state["buckets"], [list(level) for level in state["levels"]]
+        return runs
 
-    def _all(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        out = runs[0] if runs else None
+    def state(self) -> dict:
+        return {"least_docs": self.least_docs, "fanout": self.fanout, "buckets": self.buckets, "levels": [list(level) for level in self.levels]}
+
+    def _all(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        out = runs[0]
         for r in runs[1:]:
-            out = out.union(r)
+            other = r.select(*self.KEY, F.col("n").alias("m"), F.col("top").alias("t"))
+            out = out.join(other, list(self.KEY), "full_outer").select(*self.KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.greatest("top", "t").alias("top"))
         return out
 
-    @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-
     def add(self, seen: DataFrame) -> None:
         """`seen`: h1, h2, doc_id, once for each document and hash; no doc_id larger than in earlier batches."""
-        own = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-        runs = self._all()
-        if runs is not None:
-            settled = self._merged(runs).filter(F.col("n") >= self.least_docs).select("h1", "h2")
-            own = own.join(settled, ["h1", "h2"], "left_anti")
+        own = seen.repartition(self.buckets, *self.KEY) if self.buckets != parallelism(self.spark) else seen
+        own = own.groupBy(*self.KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        for run in self._all():
+            own = own.join(run.filter(F.col("n") >= self.least_docs).select(*self.KEY), list(self.KEY), "left_anti")
         self._put(0, own)
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(written(run.sortWithinPartitions("h1", "h2"), f"run{level}"))
+        name = f"line_run{level}_{uuid.uuid4().hex}"
+        run.write.format("parquet").bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = full[0]
-            for r in full[1:]:
-                merged = merged.union(r)
-            self._put(level + 1, self._merged(merged))
+            self._put(level + 1, self._merged([self.spark.table(n) for n in full]))
 
     def repeated(self) -> DataFrame:
         """h1, h2, top of the hashes seen in enough documents."""
-        return self._merged(self._all()).filter(F.col("n") >= self.least_docs).select("h1", "h2", "top")
+        return self._merged(self._all()).filter(F.col("n") >= self.least_docs).select(*self.KEY, "top")
 
 
 def dropped_hashes(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -90,8 +107,11 @@ def dropped_hashes(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= least_chars))
     seen = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(keys).alias("key")).select("doc_id", key_hash(F.col("key")).alias("h"))
     seen = written(seen.select("doc_id", "h.h1", "h.h2"), "line-hashes")
+    twice = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if not twice.isEmpty():  # only documents of several rows can hold a hash twice
+        seen = seen.join(twice, "doc_id", "left_anti").unionByName(seen.join(twice, "doc_id", "left_semi").distinct())
     bounds = sorted({*seen.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)})
-    runs = LineRuns(least_docs)
+    runs = LineRuns(docs.sparkSession, least_docs)
     edges = [None, *bounds, None]
     for low, high in reversed(list(zip(edges, edges[1:]))):
         batch = seen
@@ -100,7 +120,9 @@ def dropped_hashes(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= int(high))
         runs.add(batch)
-    lost = seen.join(runs.repeated(), ["h1", "h2"]).filter("doc_id != top")
+    # a common line's rows are dealt over SALTS tasks, its hash is sent to each
+    salted = runs.repeated().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    lost = seen.withColumn("salt", F.pmod("doc_id", F.lit(SALTS))).join(salted, ["h1", "h2", "salt"]).filter("doc_id != top")
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
 
 

@@ -55,7 +55,7 @@ def without_repeated_lines(docs):
     for doc, text in docs:
         for k in {key(x) for x in (text or "").split("\n")}:
             if len(k) >= 20 and doc is not None:
-                holders.setdefault(k, []).append(doc)
+                holders.setdefault(k, set()).add(doc)
     out = []
     for doc, text in docs:
         lines = (text or "").split("\n")

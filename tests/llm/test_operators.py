@@ -347,3 +347,29 @@ def test_templated_texts_part_again(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, table)).collect()}
     assert all(got[i] in (i, i - i % 2) for i in got)
     assert sum(got[i] == i - 1 for i in range(1, 600, 2)) >= 297
+
+
+def test_line_runs_take_later_batches(spark):
+    F = linededup.F
+    rng = np.random.default_rng(8)
+    seen = sorted({(int(rng.integers(0, 300)), int(rng.integers(0, 60))) for _ in range(2000)}, reverse=True)
+    table = spark.createDataFrame(seen, "doc_id long, h1 long").withColumn("h2", -F.col("h1"))
+    runs = linededup.LineRuns(spark, 40)
+    for low, high in ((200, 300), (150, 199), (90, 149)):
+        runs.add(table.filter(F.col("doc_id").between(low, high)))
+    again = linededup.LineRuns.of(spark, runs.state())
+    again.add(table.filter("doc_id < 90"))
+    assert sum(map(len, again.levels)) < 4  # merged
+    holders = {}
+    for doc, h in seen:
+        holders.setdefault(h, set()).add(doc)
+    got = {(r.h1, r.top) for r in again.repeated().collect()}
+    assert got == {(h, max(d)) for h, d in holders.items() if len(d) >= 40}
+    plan = again._merged([spark.table(n) for level in again.levels for n in level][:1] * 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_one_line_in_every_document(spark):
+    table = [(i % 700, f"The same long line stands in every document.\nown line number {i} is long enough") for i in range(1400)]
+    got = rows(linededup.line_digests(docs(spark, table)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert same(got, [(d, len(a), len(a) - len(k), brute.sha("\n".join(k))) for d, a, k in brute.without_repeated_lines(table)])
