@@ -2,18 +2,24 @@
 
 A vector is cut into segments; from the means and deviations of the segments of two vectors follows
 a lower bound of their distance (Cauchy-Schwarz inside each segment), and so an upper bound of their
-inner product. Bounds are taken coarse to fine; a vector whose bound does not reach a query's k-th
-best score so far is left out, and exact integer products are computed for the survivors.
+inner product. Bounds are taken coarse to fine, for each query by itself; a vector whose bound does not
+reach a query's k-th best score so far is left out, and exact integer products are computed for the
+survivors. Vectors are turned to a basis that gathers their energy in the first components (an
+orthogonal map, which keeps inner products), and the finer resolutions have a segment for each of
+these. The first thresholds come from one block of vectors for each length, scored before the search:
+the basis too is learned from that block. Neither can change the result.
 
 Queries and vectors travel in packed blocks of bounded size. A task gets one block of queries and a
 bounded run of vector blocks, so neither side is broadcast and no pair of rows is ever emitted; its
-answer is k rows for each query, of which a window keeps the best.
+answer is k rows for each query, of which a window keeps the best. Every query meets every vector, so
+vector blocks are shuffled once for each QUERY_BYTES of queries.
 
 Rows: vectors that are null or hold null or non-finite components, and rows without vec_id, take no
-part. Vectors are compared with those of equal length only. Rows that share a vec_id are the same
-vector to a query of that id (none is its candidate) and separate candidates to others; an empty
-vector scores 0. Ties go to the smaller vec_id. Scores beyond a long are cut to its range. Other
-columns are ignored; an empty table gives no rows.
+part. Vectors are compared with those of equal length only; a very long one is a row of its block, with
+fewer rows in a block. Rows that share a vec_id are the same vector to a query of that id (none is its
+candidate) and separate candidates to others; an empty vector scores 0. Ties go to the smaller vec_id.
+Scores beyond a long are cut to its range. Other columns are ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +36,22 @@ from .common import written
 TOP = 5
 SCALE = 256
 QUERY_EVERY = 50
-QUERY_BLOCK = 2048
+QUERY_BYTES = 16 << 20  # of the queries of a task
+QUERIES_AT_ONCE = 1024
 VECTOR_BLOCK = 1024
+VECTOR_BYTES = 4 << 20
 BLOCKS_A_TASK = 8
-SEGMENTS = (4, 16)
+TURNED = 512  # longer vectors are not turned
+SPARSE = 0.3  # with fewer survivors than this, pairs are multiplied one by one
 
 
-def _packed(vectors: DataFrame, rows_a_block: int) -> DataFrame:
+def resolutions(dim: int) -> list[list[int]]:
+    """Where the segments of each resolution begin, coarse to fine; the last ones take leading components singly."""
+    even = [list(range(0, dim, -(-dim // s))) for s in (4, 16) if dim > s]
+    return even + [[*range(head), *range(head, dim, max(1, -(-(dim - head) // 4)))] for head in (dim // 2, dim * 3 // 4) if dim >= 16]
+
+
+def _packed(vectors: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
     """dim, n, ids, values: blocks of whole-number vectors of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +67,7 @@ def _packed(vectors: DataFrame, rows_a_block: int) -> DataFrame:
             flat = np.floor(lists.flatten().to_numpy() * SCALE)
             ends = np.cumsum(lengths)
             for dim in np.unique(lengths):
+                rows_a_block = max(1, min(most_rows, most_bytes // (8 * max(1, int(dim)))))
                 rows = np.flatnonzero(lengths == dim)
                 x = flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
                 held = waiting.setdefault(int(dim), [])
@@ -69,12 +85,19 @@ def _packed(vectors: DataFrame, rows_a_block: int) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, n int, ids binary, values binary")
 
 
-def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
+def _statistics(x: np.ndarray, starts: list[int]) -> np.ndarray:
     """Rows whose inner products are upper bounds of those of x: weighted means and deviations of the segments."""
-    parts = [p for p in np.array_split(x, segments, axis=1) if p.shape[1]]
-    mean = np.stack([p.mean(axis=1) * p.shape[1] ** 0.5 for p in parts], axis=1)
-    dev = np.stack([p.std(axis=1) * p.shape[1] ** 0.5 for p in parts], axis=1)
-    return np.concatenate([mean, dev], axis=1)
+    width = np.diff([*starts, x.shape[1]])
+    total = np.add.reduceat(x, starts, axis=1) if len(starts) else np.zeros((len(x), 0))
+    mean = total / np.sqrt(width)
+    wide = width > 1
+    squares = np.add.reduceat(x * x, starts, axis=1)[:, wide] if len(starts) else mean[:, wide]
+    return np.concatenate([mean, np.sqrt(np.maximum(squares - mean[:, wide] ** 2, 0))], axis=1)
+
+
+def basis_of(x: np.ndarray) -> np.ndarray:
+    """An orthogonal basis, the directions of most energy first."""
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1]
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -92,6 +115,7 @@ class _Best:
         self.n, self.k = n, k
         self.rows, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
         self.least = np.full(n, -np.inf)
+        self.exact = 0  # products computed
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         rows, ids, scores = (np.concatenate(x) for x in ((self.rows, rows), (self.ids, ids), (self.scores, scores)))
@@ -100,52 +124,89 @@ class _Best:
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
         keep = rank < self.k
         last = rank == self.k - 1
-        self.least[rows[last]] = scores[last]
+        self.least[rows[last]] = np.maximum(self.least[rows[last]], scores[last])
         self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
 
-def search_block(query_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> _Best:
+def search_block(query_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None, basis: np.ndarray | None = None) -> _Best:
+    """The k best of the blocks' vectors for each query, as far as they reach `least`."""
     best = _Best(len(q), k)
-    coarse_to_fine = [(s, _statistics(q, s)) for s in SEGMENTS if q.shape[1] >= s]
+    if least is not None:
+        best.least = least.astype(float)
+    turned = (lambda v: v @ basis) if basis is not None else (lambda v: v)
+    levels = resolutions(q.shape[1])
+    coarse_to_fine = [(s, _statistics(turned(q), s)) for s in levels]
     norm = np.sqrt((q * q).sum(axis=1))
     for ids, x in blocks:
         slack = 1e-9 * norm.max(initial=0) * np.sqrt((x * x).sum(axis=1)).max(initial=0) + 1e-6
-        rows, columns = np.arange(len(q)), np.arange(len(x))
-        for s, stats in coarse_to_fine:
-            if np.isinf(best.least).any():
-                break  # nothing to compare bounds with yet
-            reach = stats[rows] @ _statistics(x[columns], s).T + slack >= best.least[rows, None]
-            rows, columns = rows[reach.any(axis=1)], columns[reach.any(axis=0)]
-        if not len(rows) or not len(columns):
-            continue
-        scores = _exact(q[rows], x[columns])
-        i, j = np.nonzero((scores >= best.least[rows, None]) & (query_ids[rows, None] != ids[None, columns]))
-        best.add(rows[i], ids[columns[j]], scores[i, j])
+        stats = [_statistics(turned(x), s) for s in levels]
+        for at in range(0, len(q), QUERIES_AT_ONCE):
+            rows = np.arange(at, min(len(q), at + QUERIES_AT_ONCE))
+            reach = np.broadcast_to(query_ids[rows, None] != ids[None, :], (len(rows), len(ids))).copy()
+            columns = np.arange(len(ids))
+            for (_, of_q), of_x in zip(coarse_to_fine, stats):
+                reach &= of_q[rows] @ of_x[columns].T + slack >= best.least[rows, None]
+                some, left = reach.any(axis=1), reach.any(axis=0)
+                rows, columns, reach = rows[some], columns[left], reach[np.ix_(some, left)]
+            if not reach.size:
+                continue
+            i, j = np.nonzero(reach)
+            if len(i) < SPARSE * reach.size and q.shape[1] * np.abs(q).max() * np.abs(x).max() < 2.0**53:
+                best.exact += len(i)
+                scores = np.concatenate([np.einsum("ij,ij->i", q[rows[i[p : p + 65536]]], x[columns[j[p : p + 65536]]]) for p in range(0, len(i), 65536)]).astype(np.int64)
+            else:
+                best.exact += reach.size
+                scores = _exact(q[rows], x[columns])[i, j]
+            ok = scores >= best.least[rows[i]]
+            best.add(rows[i[ok]], ids[columns[j[ok]]], scores[ok])
     return best
 
 
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["values"], np.float64).reshape(row["n"], row["dim"])
+
+
+def _seeded(query_blocks: DataFrame, k: int) -> DataFrame:
+    """Query blocks with the threshold of each query, and the basis, of their `first` block of vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one in b.to_pylist():
+                ids, q = _unpacked(one)
+                first_ids, x = _unpacked({**one["first"], "dim": one["dim"]})
+                best = search_block(ids, q, [(first_ids, x)], k)
+                turn = basis_of(x).tobytes() if 0 < x.shape[1] <= TURNED else None
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], t) for v, t in ((one["q"], pa.int64()), (one["dim"], pa.int32()), (one["n"], pa.int32()), (one["ids"], pa.binary()), (one["values"], pa.binary()), (best.least.tobytes(), pa.binary()), (turn, pa.binary()))],
+                    names=["q", "dim", "n", "ids", "values", "least", "basis"],
+                )
+
+    return query_blocks.mapInArrow(run, "q long, dim int, n int, ids binary, values binary, least binary, basis binary")
+
+
 def top_scores(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score of `vec_id, embedding`: the rows whose vec_id `every` divides, against all."""
     spark = embeddings.sparkSession
     x = F.col("embedding").cast("array<double>")
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL AND forall(x, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity'))")
     queries = vectors.filter(F.col("vec_id") % every == 0)
-    n_queries, n = queries.count(), vectors.count()
-    query_blocks = _packed(queries.repartition(max(1, -(-n_queries // QUERY_BLOCK))), QUERY_BLOCK).withColumn("q", F.monotonically_increasing_id())
-    stripes = max(1, -(-n // (VECTOR_BLOCK * BLOCKS_A_TASK)), spark.sparkContext.defaultParallelism)
-    vector_blocks = _packed(vectors, VECTOR_BLOCK).withColumn("stripe", F.pmod(F.monotonically_increasing_id(), F.lit(stripes)))
-    query_blocks = written(query_blocks, "query-blocks")
+    vector_blocks = written(_packed(vectors, VECTOR_BLOCK, VECTOR_BYTES).withColumn("v", F.monotonically_increasing_id()), "vector-blocks")
+    size = queries.agg(F.sum(F.size("x")).alias("s")).first()["s"] or 0
+    query_blocks = _packed(queries.repartition(max(1, -(-8 * size // QUERY_BYTES))), 1 << 30, QUERY_BYTES).withColumn("q", F.monotonically_increasing_id())
+    first = vector_blocks.groupBy("dim").agg(F.max_by(F.struct("n", "ids", "values"), "n").alias("first"))
+    query_blocks = written(_seeded(query_blocks.join(first, "dim"), k), "query-blocks")
+    stripes = max(1, -(-vector_blocks.count() // BLOCKS_A_TASK), spark.sparkContext.defaultParallelism)
     numbers = query_blocks.select("dim", F.col("q").alias("with"))
     left = query_blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
-    right = vector_blocks.join(numbers, "dim").withColumnRenamed("with", "q")  # a vector block for each query block
+    right = vector_blocks.withColumn("stripe", F.pmod(F.xxhash64("v"), F.lit(stripes))).join(numbers, "dim").withColumnRenamed("with", "q")  # a vector block for each query block
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         rows = []
+        blocks = [_unpacked(r) for r in b.to_pylist()]
         for one in a.to_pylist():
-            dim = one["dim"]
-            get = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["values"], np.float64).reshape(r["n"], dim))
-            ids, q = get(one)
-            best = search_block(ids, q, [get(r) for r in b.to_pylist()], k)
+            ids, q = _unpacked(one)
+            turn = np.frombuffer(one["basis"], np.float64).reshape(q.shape[1], -1) if one["basis"] else None
+            best = search_block(ids, q, blocks, k, np.frombuffer(one["least"], np.float64), turn)
             rows.append((ids[best.rows], best.ids, best.scores))
         cols = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
