@@ -4,14 +4,18 @@ Documents of equal text form a group. A group is a vector of bytes, words and ro
 placed, largest first, into the shard where the dot product of the group with the shard's residual
 capacity is highest. The `bytes` law holds: shard sizes are nearly equal (words and rows too).
 
-The placement itself is sequential, so the number of things placed is bounded whatever the input:
-small groups are first gathered by hash into BINS bins; a group above 1/GRAIN of a shard in any
-measure is placed by itself, cut into pieces of at most that share by a hash of doc_id. At most
-3 * shards * GRAIN groups can be that large. The driver sees one row for each bin or piece.
+The placement itself is sequential, so the number of things placed is bounded whatever the input. A
+group of more than 1/FINE of a shard in any measure is placed as it is; there are at most
+3 * shards * FINE of them. One above 1/GRAIN of a shard is cut into pieces of at most that share by a
+hash of doc_id. Only the tail, groups that small that no shard's balance depends on one of them, is
+gathered by hash into BINS bins, which are placed like groups, after the larger ones. The driver sees
+one row for each group placed, piece or bin.
 
 Rows: a null text has size 1, no words and checksum 0, like an empty one, and forms a group of its
-own with it. Rows without doc_id, and repeated rows, are placed like others. An empty table gives no
-rows. Columns other than doc_id and text are ignored by the plan, and kept by a join on doc_id.
+own with it. Rows without doc_id, and repeated rows, are placed like others; rows of equal doc_id and
+text take neighbouring slots. A very long text is a group like any other. Of shards with equal dot
+products the first is taken. An empty table gives no rows. Columns other than doc_id and text are
+ignored by the plan, whatever their names, and kept by a join on doc_id.
 """
 
 from __future__ import annotations
@@ -24,7 +28,10 @@ from .common import written
 
 SHARDS = 16
 BINS = 4096
+FINE = 512
 GRAIN = 64
+#: Fixed value: what words are made of.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def packed(loads: np.ndarray, shards: int) -> np.ndarray:
@@ -33,7 +40,7 @@ def packed(loads: np.ndarray, shards: int) -> np.ndarray:
     share = loads / np.where(totals > 0, totals, 1)
     left = np.full((shards, loads.shape[1]), 1 / shards)
     out = np.zeros(len(loads), np.int64)
-    for i in np.argsort(-share.max(axis=1), kind="stable"):
+    for i in sorted(range(len(loads)), key=lambda i: -share[i].max()):
         out[i] = at = int(np.argmax(left @ share[i]))
         left[at] -= share[i]
     return out
@@ -44,14 +51,15 @@ def placed(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = documents.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    words = F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+    words = F.regexp_count(text, F.lit(WORD)).cast("long")
     light = written(documents.select(F.col("doc_id").cast("long"), size.alias("size"), words.alias("words"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2")), "sizes")
     measures = [F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("rows")]
     groups = light.groupBy("g1", "g2").agg(*measures)
     total = light.agg(*measures).first()
-    limit = [max(1.0, (t or 0) / (shards * GRAIN)) for t in total]
-    over = F.greatest(*(F.col(c) / F.lit(m) for c, m in zip(("size", "words", "rows"), limit)))
-    large = groups.select("g1", "g2", F.ceil(over).alias("pieces"), "rows").filter("pieces > 1 AND rows > 1").orderBy("g1", "g2").collect()  # at most 3 * shards * GRAIN
+    share = F.greatest(*(F.col(c) * shards / F.lit(max(1.0, float(t or 0))) for c, t in zip(("size", "words", "rows"), total)))  # of a shard
+    large = groups.withColumn("share", share).filter(F.col("share") > 1 / FINE)
+    pieces = F.when(F.col("rows") > 1, F.greatest(F.ceil(F.col("share") * GRAIN), F.lit(1))).otherwise(1)
+    large = large.select("g1", "g2", pieces.alias("pieces")).orderBy("g1", "g2").collect()  # at most 3 * shards * FINE
     cuts, at = [], BINS
     for g in large:
         cuts.append((g.g1, g.g2, at, int(g.pieces)))
