@@ -12,7 +12,9 @@ count for that arc, and the D that are left over from each of the V distinct wor
 spelling (D from the numbers of words seen once and twice). So a word's probability is
 (c - D) / N + (D * V / N) * P(spelling), which adds up to one over all words.
 
-Beside it stands a base model: word counts with one added.
+`lattice_score` is the sum over all segmentations alone, without that arc: the lattice as it stands.
+
+Beside them is a base model: word counts with one added.
 
 Words are counted over the whole corpus, and the lattice runs once for each distinct word. The most
 frequent words (at most HOT_WORDS) are sent to all tasks; the others meet their figures in a join,
@@ -20,7 +22,10 @@ after being summed up for each document.
 
 Rows: a null or empty text has the end token only. Repeated rows are scored alike. Rows without
 doc_id are scored and not learned from. Without training documents the base counts nothing and words
-are only spelt, with the vocabulary's scores. Other columns are ignored; an empty table gives no rows.
+are only spelt, with the vocabulary's scores. A very long text costs memory for its distinct words; a
+word of more than LONG bytes goes through the recursion alone, byte by byte over a window as long as the
+longest piece. Equal counts are ordered by the word. Other columns are ignored, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_words, sums_by_list, text_slices, tokenizer_path, written
+from .common import distinct_words, parallelism, sums_by_list, text_slices, tokenizer_path, written
 
 FOLDS, HELD_OUT = 7, 2
 HOT_WORDS = 150_000
@@ -47,6 +52,12 @@ STEP = np.uint64(0x100000001B3)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 18
 CELLS = 400_000
+LONG = 1 << 15  # bytes of a word that is not laid out as a row of arrays
+WINDOW = 1 << 16
+
+
+#: What is summed over a text's words: base model, model, lattice alone, words seen in training.
+FIGURES = ("base", "lp", "sp", "known")
 
 
 class Pieces:
@@ -152,6 +163,45 @@ def _backward(weights: dict[int, np.ndarray], length: int) -> np.ndarray:
     return beta
 
 
+def _windows(pieces: Pieces, raw: bytes, backwards: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of start places of a long word: the first place, piece lengths, and the pieces by start and length, -1 for none."""
+    begins = range(0, len(raw), WINDOW)
+    for at in reversed(begins) if backwards else begins:
+        arcs = pieces.arcs(np.frombuffer(raw[at : at + WINDOW + pieces.longest], np.uint8)[None])
+        n, lengths = min(WINDOW, len(raw) - at), np.array(sorted(arcs))
+        found = np.full((n, len(lengths)), -1, np.int32)
+        for c, k in enumerate(lengths):
+            here = arcs[k][0][:n]
+            found[: len(here), c] = here
+        yield at, lengths + 1, found
+
+
+def _forward_long(pieces: Pieces, raw: bytes, log_p: np.ndarray) -> np.ndarray:
+    """The forward values of one long word."""
+    alpha = np.full(len(raw) + 1 + pieces.longest, -np.inf)
+    alpha[0] = 0
+    for at, lengths, found in _windows(pieces, raw):
+        weights = np.where(found >= 0, log_p[found], -np.inf)
+        for i, w in enumerate(weights, at):
+            alpha[i + lengths] = np.logaddexp(alpha[i + lengths], alpha[i] + w)
+    return alpha[: len(raw) + 1]
+
+
+def _expected_long(pieces: Pieces, raw: bytes, log_p: np.ndarray, out: np.ndarray, times: float) -> None:
+    """Add the expected counts of one long word to `out`."""
+    alpha = _forward_long(pieces, raw, log_p)
+    beta = np.full(len(raw) + 1 + pieces.longest, -np.inf)
+    beta[len(raw)] = 0
+    for at, lengths, found in _windows(pieces, raw, backwards=True):
+        weights, post = np.where(found >= 0, log_p[found], -np.inf), np.zeros(found.shape)
+        for i in range(len(found) - 1, -1, -1):
+            onward = weights[i] + beta[at + i + lengths]
+            beta[at + i] = np.logaddexp.reduce(onward)
+            post[i] = np.exp(alpha[at + i] + onward - alpha[-1])
+        real = found >= 0
+        out += times * np.bincount(found[real], weights=post[real], minlength=len(out))
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers of words of one length, and their bytes with the word mark, in bounded runs."""
     raw = [MARK + w.encode() for w in words]
@@ -171,6 +221,9 @@ def word_log_probs(pieces: Pieces, words: list[str], log_p: np.ndarray) -> np.nd
     """Natural log of each word's marginal probability."""
     out = np.zeros(len(words))
     for rows, b in _by_length(words):
+        if b.shape[1] > LONG:
+            out[rows] = [_forward_long(pieces, x.tobytes(), log_p)[-1] for x in b]
+            continue
         out[rows] = _forward(_logp(pieces.arcs(b), log_p), b.shape[1])[:, -1]
     return out
 
@@ -179,6 +232,10 @@ def expected_counts(pieces: Pieces, words: list[str], times: np.ndarray, log_p:
     """How often each piece is expected, over all segmentations of all words."""
     out = np.zeros(len(log_p))
     for rows, b in _by_length(words):
+        if b.shape[1] > LONG:
+            for row, x in zip(rows, b):
+                _expected_long(pieces, x.tobytes(), log_p, out, times[row])
+            continue
         arcs, length = pieces.arcs(b), b.shape[1]
         weights = _logp(arcs, log_p)
         alpha, beta = _forward(weights, length), _backward(weights, length)
@@ -212,7 +269,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                     [pa.concat_arrays([words, pa.array([""])]), pa.array(np.append(c[real], train.sum())), pa.array(np.append(n[real], len(train)))], names=["word", "c", "n"]
                 )
 
-    return docs.select("text", "train").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    # words are dealt over as many tasks as there are, not fewer: what follows costs more than their bytes tell
+    each = docs.select("text", "train").mapInArrow(run, "word string, c long, n long").repartition(parallelism(docs.sparkSession), "word")
+    return each.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def _estimated(counts: DataFrame, path: str, rounds: int) -> np.ndarray:
@@ -244,7 +303,7 @@ def _estimated(counts: DataFrame, path: str, rounds: int) -> np.ndarray:
 
 
 def scored(documents: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score."""
     path = path or tokenizer_path("piece_bpe_32k.model")
     spark = documents.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
@@ -267,16 +326,15 @@ def scored(documents: DataFrame, path: str | None = None, rounds: int = ROUNDS)
             c = b.column("c").to_numpy()
             whole = np.full(len(listed), -np.inf)
             whole[c > 0] = np.log((c[c > 0] - left) / max(tokens, 1))
-            lp = np.logaddexp(whole, lp + to_spell)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lp / np.log(10))], names=["word", "c", "n", "lp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.logaddexp(whole, lp + to_spell) / np.log(10)), pa.array(lp / np.log(10))], names=["word", "c", "n", "lp", "sp"])
 
-    figures = written(counts.mapInArrow(words, "word string, c long, n long, lp double"), "word-figures")
+    figures = written(counts.mapInArrow(words, "word string, c long, n long, lp double, sp double"), "word-figures")
     base = F.log10((F.col("c") + 1) / F.lit(float(tokens + distinct + 1)))
-    figures = figures.select("word", "n", base.alias("base"), "lp", (F.col("c") > 0).cast("long").alias("known"))
+    figures = figures.select("word", "n", base.alias("base"), "lp", "sp", (F.col("c") > 0).cast("long").alias("known"))
     end = figures.filter("word = ''").first()
     hot = figures.filter("word != ''").orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    hot = hot.select("word", "base", "lp", "known").toArrow()  # at most HOT_WORDS rows
-    table = spark.sparkContext.broadcast(dict(zip(hot.column("word").to_pylist(), zip(hot.column("base").to_pylist(), hot.column("lp").to_pylist(), hot.column("known").to_pylist()))))
+    hot = hot.select("word", *FIGURES).toArrow()  # at most HOT_WORDS rows
+    table = spark.sparkContext.broadcast(dict(zip(hot.column("word").to_pylist(), zip(*(hot.column(c).to_pylist() for c in FIGURES)))))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = table.value, TaskContext.get().partitionId() << 40
@@ -285,9 +343,9 @@ def scored(documents: DataFrame, path: str | None = None, rounds: int = ROUNDS)
                 offsets, word, listed = distinct_words(pc.ascii_split_whitespace(pc.ascii_lower(texts)))
                 got = [known.get(w) for w in listed]
                 cold = np.array([g is None and bool(w) for g, w in zip(got, listed)], bool)
-                values = np.array([g or (0.0, 0.0, 0) for g in got], float).reshape(-1, 3)
+                values = np.array([g or (0.0,) * len(FIGURES) for g in got], float).reshape(-1, len(FIGURES))
                 real = np.array([bool(w) for w in listed], bool)
-                sums = [sums_by_list(values[word, k], offsets) for k in range(3)]
+                sums = [sums_by_list(values[word, k], offsets) for k in range(len(FIGURES))]
                 tokens = sums_by_list(real[word], offsets)
                 owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
                 mine = cold[word]
@@ -297,20 +355,21 @@ def scored(documents: DataFrame, path: str | None = None, rounds: int = ROUNDS)
                 lists = lambda values: pa.ListArray.from_arrays(pa.array(cuts), values)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + np.arange(len(texts))), b.column("doc_id").slice(at, len(texts)), b.column("train").slice(at, len(texts)), pa.array(tokens.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64)),
+                        pa.array(row + np.arange(len(texts))), b.column("doc_id").slice(at, len(texts)), b.column("train").slice(at, len(texts)), pa.array(tokens.astype(np.int64)), *map(pa.array, sums),
                         lists(pa.array(listed, pa.string()).take(pa.array(number))), lists(pa.array(times.astype(np.int64))),
                     ],
-                    names=["row", "doc_id", "train", "tokens", "base", "lp", "known", "words", "times"],
+                    names=["row", "doc_id", "train", "tokens", *FIGURES, "words", "times"],
                 )
                 row += len(texts)
 
-    parts = written(docs.mapInArrow(split, "row long, doc_id long, train boolean, tokens long, base double, lp double, known long, words array<string>, times array<long>"), "hot-scores")
+    parts = written(docs.mapInArrow(split, "row long, doc_id long, train boolean, tokens long, base double, lp double, sp double, known double, words array<string>, times array<long>"), "hot-scores")
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    rare = rare.join(figures.drop("n"), "word").select("row", *((F.col(c) * F.col("times")).alias(c) for c in ("base", "lp", "known")))
-    every = parts.select("row", "base", "lp", "known").unionByName(rare).groupBy("row").agg(F.sum("base").alias("b"), F.sum("lp").alias("l"), F.sum("known").alias("k"))
-    e_base, e_lp, e_known = (end["base"], end["lp"], end["known"]) if end else (0.0, 0.0, 0)
+    rare = rare.join(figures.drop("n"), "word").select("row", *((F.col(c) * F.col("times")).alias(c) for c in FIGURES))
+    every = parts.select("row", *FIGURES).unionByName(rare).groupBy("row").agg(*(F.sum(c).alias(c) for c in FIGURES))
+    of_end = [end[c] if end else 0.0 for c in FIGURES]
+    base_sum, lp_sum, sp_sum, known_sum = (F.col(c) + F.lit(e) for c, e in zip(FIGURES, of_end))
     out = parts.select("row", "doc_id", "tokens").join(every, "row")
     return out.select(
-        "doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), (F.col("tokens") + 1).alias("n_tokens"), (F.col("k") + F.lit(e_known)).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("b") + F.lit(e_base)).alias("base_score"), (F.col("l") + F.lit(e_lp)).alias("score"),
+        "doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), (F.col("tokens") + 1).alias("n_tokens"), known_sum.cast("long").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), base_sum.alias("base_score"), lp_sum.alias("score"), sp_sum.alias("lattice_score"),
     )
