@@ -251,3 +251,8 @@ def dragged_ring(tool: Column, lon: Column, lat: Column, to_lon: Column, to_lat:
         .when((tool == "circle") & (radius >= 1), circle_ring(lon, lat, radius))
         .when((tool == "hexagon") & (radius >= 1), regular_ring(lon, lat, radius, 6, math.pi / 6))
     )
+
+
+def wound(ring: Column, outer: Column | bool = True) -> Column:
+    """The ring counter-clockwise if it is an outer one, clockwise if a hole; one without area counts as clockwise."""
+    return F.when((ring_area(ring) > 0) == (outer if isinstance(outer, Column) else F.lit(outer)), ring).otherwise(F.reverse(ring))

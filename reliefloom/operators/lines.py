@@ -48,14 +48,33 @@ def width_bucket(width_mm: Column) -> Column:
 
 
 def in_rings(probes: DataFrame, rings: DataFrame, cell_m: float) -> DataFrame:
-    """id of the probes (id, x, y) that lie in any ring (ring_id, ring) and in none of its `holes`, if it has them: cells of the rings' boxes, then the exact test."""
+    """id of the probes (id, x, y) that lie in any ring (ring_id, ring) and in none of its `holes`, if it has them.
+
+    Cells that no edge touches and whose centre is inside lie wholly inside: a probe there needs no
+    geometry, and such cells are one row each, however many rings cover them. Only the other probes
+    meet the rings whose edges touch their cell, up to the first that holds them.
+    """
     rings = rings if "holes" in rings.columns else rings.withColumn("holes", F.array().cast("array<array<struct<x: double, y: double>>>"))
     at = lambda v: F.floor(v / cell_m)
-    box = rings.select("ring", "holes", geo.ring_bbox(F.col("ring")).alias("b"))
-    cells = box.select("ring", "holes", F.explode(F.sequence(at(F.col("b.west")), at(F.col("b.east")))).alias("cx"), "b").select("ring", "holes", "cx", F.explode(F.sequence(at(F.col("b.south")), at(F.col("b.north")))).alias("cy"))
+    inside = lambda x, y: geo.ring_contains(F.col("ring"), x, y) & ~F.exists("holes", lambda h: geo.ring_contains(h, x, y))
+    edges = F.concat(geo._cyclic(F.col("ring")), F.flatten(F.transform("holes", geo._cyclic)))
+    box = rings.select("ring", "holes", edges.alias("edges"), geo.ring_bbox(F.col("ring")).alias("b"))
+    cells = box.select("*", F.explode(F.sequence(at(F.col("b.west")), at(F.col("b.east")))).alias("cx")).select("*", F.explode(F.sequence(at(F.col("b.south")), at(F.col("b.north")))).alias("cy"))
+    x, y, half = (F.col("cx") + 0.5) * cell_m, (F.col("cy") + 0.5) * cell_m, cell_m / 2 * (1 + 1e-9)
+
+    def touches(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        overlap = lambda c, v: (F.least(a[c], b[c]) <= v + half) & (F.greatest(a[c], b[c]) >= v - half)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        return overlap("x", x) & overlap("y", y) & (F.abs(dx * (y - a["y"]) - dy * (x - a["x"])) <= (F.abs(dx) + F.abs(dy)) * half)
+
+    judged = cells.select("ring", "holes", "cx", "cy", F.exists("edges", touches).alias("touched"), inside(x, y).alias("middle"))
+    whole = judged.filter("middle AND NOT touched").select("cx", "cy").distinct()
     p = probes.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
-    dry = F.exists("holes", lambda h: geo.ring_contains(h, F.col("x"), F.col("y")))
-    return p.join(cells, ["cx", "cy"]).filter(geo.ring_contains(F.col("ring"), F.col("x"), F.col("y")) & ~dry).select("id").distinct()
+    part = judged.filter("touched").select(F.col("cx").alias("rx"), F.col("cy").alias("ry"), "ring", "holes")
+    exact = (F.col("cx") == F.col("rx")) & (F.col("cy") == F.col("ry")) & inside(F.col("x"), F.col("y"))
+    found = p.join(whole, ["cx", "cy"], "left_anti").join(part, exact, "left_semi")
+    return p.join(whole, ["cx", "cy"], "left_semi").select("id").union(found.select("id")).distinct()
 
 
 def split_on_water(segs: DataFrame, rings: DataFrame, cell_m: float = 1000.0) -> DataFrame:

@@ -6,7 +6,7 @@ Checks are aggregations over edges and corners, so one mesh may be spread over a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -219,3 +219,24 @@ def bridge_deck(points: DataFrame, ends: DataFrame) -> DataFrame:
     t = F.when(t < 0, 0.0).when(t > 1, 1.0).otherwise(t)
     z = F.when(square == 0, c("z0")).otherwise(c("z0") + (c("z1") - c("z0")) * t)
     return points.join(ends, "bridge_id").select("bridge_id", "seq", "x", "y", z.alias("z"))
+
+
+def merged(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parts (model_id, part) of each model as one mesh: dense vertex and triangle numbers, part after part.
+
+    Parts are kept apart by their key until here, so that their union costs nothing; numbers are
+    made inside each part and shifted by the counts of the parts before, a row for each part.
+    """
+    by_part = Window.partitionBy("model_id", "part")
+
+    def numbered(df: DataFrame, key: str) -> DataFrame:
+        sizes = df.groupBy("model_id", "part").agg(F.count("*").alias("n"))
+        before = Window.partitionBy("model_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("model_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        return df.withColumn("at", F.row_number().over(by_part.orderBy(key)) - 1).join(starts, ["model_id", "part"]).withColumn("at", F.col("start") + F.col("at")).drop("start")
+
+    v = numbered(vertices, "vid")
+    t = numbered(triangles, "tid").drop("tid").withColumnRenamed("at", "tid")
+    for c in "abc":
+        t = t.join(v.select("model_id", "part", F.col("vid").alias(c), F.col("at").alias(f"new_{c}")), ["model_id", "part", c]).drop(c).withColumnRenamed(f"new_{c}", c)
+    return v.drop("vid").withColumnRenamed("at", "vid").select("model_id", "vid", "part", "x", "y", "z"), t.select("model_id", "tid", "part", "a", "b", "c")

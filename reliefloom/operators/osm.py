@@ -124,3 +124,10 @@ def assembled_rings(members: DataFrame) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame({"rel_id": [], "role": [], "ring": [], "seq": [], "x": [], "y": []})
 
     return members.groupBy("rel_id").applyInPandas(run, "rel_id long, role string, ring int, seq int, x double, y double")
+
+
+def enabled(features: DataFrame, settings: DataFrame) -> DataFrame:
+    """features (layer, subtype) of enabled layers (layer, enabled, subtypes): an empty list of subtypes means all of them."""
+    s = F.broadcast(settings.filter("enabled").select(F.col("layer").alias("_layer"), "subtypes"))  # one row a layer
+    wanted = (F.size("subtypes") == 0) | F.array_contains("subtypes", F.col("subtype"))
+    return features.join(s, (F.col("layer") == F.col("_layer")) & wanted, "left_semi")

@@ -21,3 +21,13 @@ def polygon(ring: Column, decimals: int = 7) -> Column:
     """A Polygon of one ring, closed by its first point."""
     closed = F.concat(ring, F.slice(ring, 1, 1))
     return F.concat(F.lit('{"type":"Polygon","coordinates":[['), _pairs(closed, decimals), F.lit("]]}"))
+
+
+def collection(features: Column) -> Column:
+    """A FeatureCollection of an array of features."""
+    return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}"))
+
+
+def feature(geometry: Column, properties: Column) -> Column:
+    """A Feature of a geometry's text and a struct of properties."""
+    return F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(properties), F.lit(',"geometry":'), geometry, F.lit("}"))

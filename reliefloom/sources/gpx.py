@@ -37,6 +37,11 @@ def parsed(texts: DataFrame) -> DataFrame:
     return used.select("file", track.alias("track"), "raw_name", "seq", "lon", "lat", "ele", "t_ms")
 
 
+def failures(texts: DataFrame, points: DataFrame) -> DataFrame:
+    """file, code: the files of which nothing could be used; the others are not affected."""
+    return texts.select("file").distinct().join(points.select("file").distinct(), "file", "left_anti").withColumn("code", F.lit("gpx-unusable"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Points of all GPX files under a path; a file is one row of text while it is parsed."""
     files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("text"))

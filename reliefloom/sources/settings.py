@@ -48,6 +48,26 @@ def with_defaults(models: DataFrame) -> DataFrame:
     return models.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in given else F.lit(v) for k, v in MODEL_DEFAULTS.items()})
 
 
+def with_area(models: DataFrame) -> DataFrame:
+    """models joined with their example area; an unknown one is an error."""
+    known = models.join(F.broadcast(areas(models.sparkSession)), "area", "left")
+    problem = F.raise_error(F.concat(F.lit("Unknown area: "), F.col("area"))).cast("double")
+    return known.withColumn("west", F.when(F.col("west").isNull(), problem).otherwise(F.col("west")))
+
+
+def tile_key(dataset: Column, z: Column, x: Column, y: Column) -> Column:
+    return F.concat(F.lit("dem:"), F.concat_ws("/", dataset, z, x, y))
+
+
+def tile_url(template: Column, z: Column, x: Column, y: Column) -> Column:
+    """A template with {z}, {x} and {y} filled in, the first of each."""
+    for name, value in (("z", z), ("x", x), ("y", y)):
+        mark = "{%s}" % name
+        at = F.instr(template, mark)
+        template = F.when(at > 0, F.overlay(template, value.cast("string"), at, len(mark))).otherwise(template)
+    return template
+
+
 def route_coloured(routes: DataFrame) -> DataFrame:
     """routes with `color`: colours in turn, in the order of file and track.
 
