@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset, as in tests, in a local one."""
+    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset, a local one serves a driver that runs all tasks itself."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()

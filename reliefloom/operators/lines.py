@@ -151,7 +151,7 @@ def contour(field: DataFrame, iso: float, cell_m: float) -> DataFrame:
     def place(k: Column) -> tuple[Column, Column]:
         """Where the boundary crosses edge k, from corner k to corner k + 1."""
         p, q = v(k), v(k + 1)
-        t = F.when((p == far) & (q == far), 0.5).when(p == far, 1.0).when(q == far, 0.0).otherwise(geo.clamp(F.try_divide(F.lit(iso) - p, q - p), 0.0, 1.0))
+        t = F.when((p == far) & (q == far), 0.5).when(p == far, 0.0).when(q == far, 1.0).otherwise(geo.clamp(F.try_divide(F.lit(iso) - p, q - p), 0.0, 1.0))
         x = F.when(k == 0, t).when(k == 1, 1.0).when(k == 2, 1.0 - t).otherwise(0.0)
         y = F.when(k == 0, 0.0).when(k == 1, t).when(k == 2, 1.0).otherwise(1.0 - t)
         return (F.col("i") + x) * cell_m, (F.col("j") + y) * cell_m
