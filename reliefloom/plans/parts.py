@@ -172,7 +172,7 @@ def _clipped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return surface.footprint(field, 0.0, 100.0, cuts)
 
 
-@REG.add(f"""WITH {{DEM}}, {VALUE}, {CLIP}, {CELLS.format(iso=0)} SELECT 2 * points::BIGINT AS vertices, (2 * faces + 2 * rim)::BIGINT AS triangles, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, false AS inverted, rim::BIGINT AS rim FROM tp""")
+@REG.add(f"""WITH {{DEM}}, {VALUE}, {CLIP}, {CELLS.format(iso=0)} SELECT 2 * points::BIGINT AS vertices, (2 * faces + 2 * rim)::BIGINT AS triangles, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, false AS inverted, rim::BIGINT AS rim FROM tp WHERE faces > 0""")
 def i02_clipped_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terrain inside a selection as a closed solid down to its base (I2, F13: one wall for each edge of the rim)."""
     v, t = map(cut, _clipped(spark, sf_dir))
