@@ -9,8 +9,10 @@ Results equal those of the tokenizers library for a vocabulary file of its own f
 BPE, optional end-of-word suffix, byte-level alphabet), without special tokens added at the ends;
 special tokens written out in a text become their ids, as there.
 
-Rows: null text counts as empty; an empty text has no ids. Repeated rows are kept. Columns other
-than the text are untouched; `ids` and `decoded` replace columns of these names.
+Rows: null text counts as empty; an empty text has no ids. Repeated rows are kept. A very long text is
+coded whole, in memory of one task; a very long word merges over a heap. Of equal ranks the leftmost pair
+merges first. Columns other than the text are untouched; `ids` and `decoded` replace columns of these
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations

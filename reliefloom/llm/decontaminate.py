@@ -13,8 +13,10 @@ Words: A-Z are lower-cased; letters and digits of ASCII and everything beyond AS
 
 Rows: null or empty texts have no words and are never contaminated. Benchmark rows without item_id
 or words are left out; rows of one item_id are one item. Documents without doc_id are judged like
-others; rows of equal doc_id and different text are judged each for itself. Columns other than the
-ids and texts are ignored. An empty benchmark leaves all documents clean.
+others; rows of equal doc_id and different text are judged each for itself, repeated rows alike. A very
+long text is one array of words, with a row for each word that a window could begin at. Of equally rare
+words the first by name is a window's prefix. Columns other than the ids and texts are ignored, whatever
+their names. An empty benchmark leaves all documents clean; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ the table by a hash of doc_id. Predictions see whole texts and nothing else.
 
 Rows: a null text, or one without any letter, is `und` with score 0, as is every text if nothing could
 be learned. Null labels are not learned from. Rows without doc_id are predicted, not learned from, and
-in no fold. Repeated rows are predicted alike. Other columns are kept by `identified` and ignored
-otherwise; an empty table gives no rows.
+in no fold. Repeated rows are predicted alike. A very long text is read whole, its trigrams in steps of
+bounded size. Of equally near codewords the language first by name is taken, and flagged. Other columns are
+kept by `identified` (results replace columns of their names) and ignored otherwise; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
