@@ -1,7 +1,8 @@
 """Line-layer operators: lengths, legibility, width ladder, water splits, masks, distance fields, contours.
 
 Spatial joins are equi-joins on a coarse cell key with the exact test as a residual: a bare range or
-containment condition would be a nested loop over all pairs.
+containment condition would be a nested loop over all pairs. Tables may hold many models: `model_id` is part
+of every key, where it is there.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .keys import model
 
 # Fixed values.
 COVERAGE_LIMIT = 0.25
@@ -19,7 +21,7 @@ TRIANGLES_PER_POINT = 4
 
 def segments(points: DataFrame) -> DataFrame:
     """line_id, seq, ax, ay, bx, by: consecutive points of each line (line_id, seq, x, y and what else is there)."""
-    w = Window.partitionBy("line_id").orderBy("seq")
+    w = Window.partitionBy(*model(points), "line_id").orderBy("seq")
     return points.withColumns({"bx": F.lead("x").over(w), "by": F.lead("y").over(w)}).filter("bx IS NOT NULL").withColumnsRenamed({"x": "ax", "y": "ay"})
 
 
@@ -29,14 +31,15 @@ def length() -> Column:
 
 def class_lengths(segs: DataFrame) -> DataFrame:
     """layer, subtype, length_m, width_m, narrowest_m (of the layer)."""
-    by = segs.groupBy("layer", "subtype").agg(F.sum(length()).alias("length_m"), F.max("width_m").alias("width_m"))
-    return by.withColumn("narrowest_m", F.min(F.when(F.col("width_m") > 0, F.col("width_m"))).over(Window.partitionBy("layer")))
+    m = model(segs)
+    by = segs.groupBy(*m, "layer", "subtype").agg(F.sum(length()).alias("length_m"), F.max("width_m").alias("width_m"))
+    return by.withColumn("narrowest_m", F.min(F.when(F.col("width_m") > 0, F.col("width_m"))).over(Window.partitionBy(*m, "layer")))
 
 
 def legible(classes: DataFrame, ranks: DataFrame, mm_per_m: float, area_mm2: float) -> DataFrame:
     """classes with `kept`: in order of importance, the first that would overfill the model cuts all after it; the first class always stays."""
     c = classes.filter("length_m > 0").join(F.broadcast(ranks), ["layer", "subtype"])
-    w = Window.partitionBy("layer").orderBy("rank")
+    w = Window.partitionBy(*model(classes), "layer").orderBy("rank")
     spent = F.sum(F.col("length_m") * mm_per_m * F.col("printed_mm")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     over = (spent > area_mm2 * COVERAGE_LIMIT) & (F.row_number().over(w) > 1)
     marked = c.withColumns({"_over": over.cast("int")})
@@ -48,17 +51,18 @@ def width_bucket(width_mm: Column) -> Column:
 
 
 def in_rings(probes: DataFrame, rings: DataFrame, cell_m: float) -> DataFrame:
-    """id of the probes (id, x, y) that lie in any ring (ring_id, ring) and in none of its `holes`, if it has them.
+    """[model_id,] id of the probes (id, x, y) that lie in any ring (ring_id, ring) of their model and in none of its `holes`, if it has them.
 
     Cells that no edge touches and whose centre is inside lie wholly inside: a probe there needs no
     geometry, and such cells are one row each, however many rings cover them. Only the other probes
     meet the rings whose edges touch their cell, up to the first that holds them.
     """
     rings = rings if "holes" in rings.columns else rings.withColumn("holes", F.array().cast("array<array<struct<x: double, y: double>>>"))
+    m = model(rings)
     at = lambda v: F.floor(v / cell_m)
     inside = lambda x, y: geo.ring_contains(F.col("ring"), x, y) & ~F.exists("holes", lambda h: geo.ring_contains(h, x, y))
     edges = F.concat(geo._cyclic(F.col("ring")), F.flatten(F.transform("holes", geo._cyclic)))
-    box = rings.select("ring", "holes", edges.alias("edges"), geo.ring_bbox(F.col("ring")).alias("b"))
+    box = rings.select(*m, "ring", "holes", edges.alias("edges"), geo.ring_bbox(F.col("ring")).alias("b"))
     cells = box.select("*", F.explode(F.sequence(at(F.col("b.west")), at(F.col("b.east")))).alias("cx")).select("*", F.explode(F.sequence(at(F.col("b.south")), at(F.col("b.north")))).alias("cy"))
     x, y, half = (F.col("cx") + 0.5) * cell_m, (F.col("cy") + 0.5) * cell_m, cell_m / 2 * (1 + 1e-9)
 
@@ -68,21 +72,25 @@ def in_rings(probes: DataFrame, rings: DataFrame, cell_m: float) -> DataFrame:
         dx, dy = b["x"] - a["x"], b["y"] - a["y"]
         return overlap("x", x) & overlap("y", y) & (F.abs(dx * (y - a["y"]) - dy * (x - a["x"])) <= (F.abs(dx) + F.abs(dy)) * half)
 
-    judged = cells.select("ring", "holes", "cx", "cy", F.exists("edges", touches).alias("touched"), inside(x, y).alias("middle"))
-    whole = judged.filter("middle AND NOT touched").select("cx", "cy").distinct()
+    judged = cells.select(*m, "ring", "holes", "cx", "cy", F.exists("edges", touches).alias("touched"), inside(x, y).alias("middle"))
+    whole = judged.filter("middle AND NOT touched").select(*m, "cx", "cy").distinct()
     p = probes.withColumns({"cx": at(F.col("x")), "cy": at(F.col("y"))})
-    part = judged.filter("touched").select(F.col("cx").alias("rx"), F.col("cy").alias("ry"), "ring", "holes")
+    part = judged.filter("touched").select(*(F.col(k).alias(f"r_{k}") for k in m), F.col("cx").alias("rx"), F.col("cy").alias("ry"), "ring", "holes")
     exact = (F.col("cx") == F.col("rx")) & (F.col("cy") == F.col("ry")) & inside(F.col("x"), F.col("y"))
-    found = p.join(whole, ["cx", "cy"], "left_anti").join(part, exact, "left_semi")
-    return p.join(whole, ["cx", "cy"], "left_semi").select("id").union(found.select("id")).distinct()
+    for k in m:
+        exact = (F.col(k) == F.col(f"r_{k}")) & exact
+    cell = [*m, "cx", "cy"]
+    found = p.join(whole, cell, "left_anti").join(part, exact, "left_semi")
+    return p.join(whole, cell, "left_semi").select(*m, "id").union(found.select(*m, "id")).distinct()
 
 
 def split_on_water(segs: DataFrame, rings: DataFrame, cell_m: float = 1000.0) -> DataFrame:
     """segs with `wet` and, for dry ones, the number of their run; a segment is wet if its midpoint is in water, a bridge never."""
-    mid = segs.filter("NOT bridge").select(F.struct("line_id", "seq").alias("id"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-    wet = in_rings(mid, rings, cell_m).select("id.line_id", "id.seq", F.lit(True).alias("wet"))
-    marked = segs.join(wet, ["line_id", "seq"], "left").withColumn("wet", F.coalesce("wet", F.lit(False)))
-    w = Window.partitionBy("line_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    m = model(segs)
+    mid = segs.filter("NOT bridge").select(*m, F.struct("line_id", "seq").alias("id"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    wet = in_rings(mid, rings, cell_m).select(*m, "id.line_id", "id.seq", F.lit(True).alias("wet"))
+    marked = segs.join(wet, [*m, "line_id", "seq"], "left").withColumn("wet", F.coalesce("wet", F.lit(False)))
+    w = Window.partitionBy(*m, "line_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("run", F.when(~F.col("wet"), F.sum(F.col("wet").cast("int")).over(w)))
 
 
@@ -110,41 +118,54 @@ def inside_mask(spans: DataFrame, x0: float, step: float, cols: int) -> DataFram
     return spans.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi").select("key", "j", F.explode(F.sequence("lo", "hi")).alias("i")).distinct()
 
 
-def distance_field(segs: DataFrame, half_width_m: float, cell_m: float) -> DataFrame:
-    """i, j, d: least distance of each grid node to a segment, for nodes within the band; others are absent."""
-    band = half_width_m + 2 * cell_m
+def distance_field(segs: DataFrame, half_width_m: float | Column, cell_m: float) -> DataFrame:
+    """[model_id,] i, j, d: least distance of each grid node to a segment of its model, for nodes within the band; others are absent."""
+    m = model(segs)
+    segs = segs.select(*m, "ax", "ay", "bx", "by", (F.lit(half_width_m) + 2 * cell_m).alias("band"))
     c = F.col
+    band = c("band")
     rows = F.sequence(F.floor((F.least("ay", "by") - band) / cell_m), F.ceil((F.greatest("ay", "by") + band) / cell_m))
-    each = segs.select("ax", "ay", "bx", "by", F.explode(rows).alias("j"))
+    each = segs.select("*", F.explode(rows).alias("j"))
     # in a row, only nodes within the band of the whole line, so that long slanted segments don't fill their boxes
     dx, dy = c("bx") - c("ax"), c("by") - c("ay")
     middle, reach = c("ax") + F.try_divide((c("j") * cell_m - c("ay")) * dx, dy), F.try_divide(band * geo.hypot(dx, dy), F.abs(dy))
     low, high = F.least("ax", "bx") - band, F.greatest("ax", "bx") + band
     each = each.withColumns({"lo": F.floor(F.greatest(low, middle - reach) / cell_m), "hi": F.ceil(F.least(high, middle + reach) / cell_m)}).filter("lo <= hi")
-    each = each.select("ax", "ay", "bx", "by", "j", F.explode(F.sequence("lo", "hi")).alias("i"))
+    each = each.select(*m, "ax", "ay", "bx", "by", "band", "j", F.explode(F.sequence("lo", "hi")).alias("i"))
     d = geo.point_to_segment(c("i") * cell_m, c("j") * cell_m, c("ax"), c("ay"), c("bx"), c("by"))
-    return each.select("i", "j", d.alias("d")).filter(F.col("d") <= band).groupBy("i", "j").agg(F.min("d").alias("d"))
+    return each.select(*m, "i", "j", "band", d.alias("d")).filter(c("d") <= band).groupBy(*m, "i", "j").agg(F.min("d").alias("d"))
+
+
+def within(field: DataFrame, spans: DataFrame, cell_m: float) -> DataFrame:
+    """The nodes of a field that lie in the spans ([model_id,] j, x_from, x_to) of a selection, one row each."""
+    s = spans.select(*(F.col(k).alias(f"s_{k}") for k in [*model(spans), "j"]), "x_from", "x_to")
+    x = F.col("i") * cell_m
+    on = (x >= F.col("x_from")) & (x <= F.col("x_to"))
+    for k in [*model(spans), "j"]:
+        on = on & (F.col(k) == F.col(f"s_{k}"))
+    return field.join(s, on, "left_semi")
 
 
 def contour(field: DataFrame, iso: float, cell_m: float) -> DataFrame:
-    """i, j, x0, y0, x1, y1: boundary segments of {d < iso}, the inside on their left.
+    """[model_id,] i, j, x0, y0, x1, y1: boundary segments of {d < iso}, the inside on their left.
 
     Around a cell, counter-clockwise, the boundary starts where the walk leaves the inside and ends
     where it enters it again. With two of each, the cell's mean decides: inside, a start goes to the
     next end of the walk; outside, to the one before.
     """
+    m = model(field)
     corners = F.array(*(F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(k).alias("k")) for k, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))))
-    each = field.select("i", "j", "d", F.explode(corners).alias("c")).select((F.col("i") + F.col("c.dx")).alias("i"), (F.col("j") + F.col("c.dy")).alias("j"), F.col("c.k").alias("k"), "d")
+    each = field.select(*m, "i", "j", "d", F.explode(corners).alias("c")).select(*m, (F.col("i") + F.col("c.dx")).alias("i"), (F.col("j") + F.col("c.dy")).alias("j"), F.col("c.k").alias("k"), "d")
     far = F.lit(float("inf"))
     at = lambda n: F.coalesce(F.max(F.when(F.col("k") == n, F.col("d"))), far)
-    cells = each.groupBy("i", "j").agg(F.array(*(at(n) for n in range(4))).alias("v"))
+    cells = each.groupBy(*m, "i", "j").agg(F.array(*(at(n) for n in range(4))).alias("v"))
     v = lambda k: F.element_at("v", (k % 4 + 1).cast("int"))
     ks = F.sequence(F.lit(0), F.lit(3))
     starts = F.filter(ks, lambda k: (v(k) < iso) & (v(k + 1) >= iso))
     ends = F.filter(ks, lambda k: (v(k) >= iso) & (v(k + 1) < iso))
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / 4
-    s = cells.select("i", "j", "v", starts.alias("starts"), ends.alias("ends"), (mean < iso).alias("middle")).filter("size(starts) > 0")
-    s = s.select("i", "j", "v", "ends", "middle", F.explode("starts").alias("a"))
+    s = cells.select(*m, "i", "j", "v", starts.alias("starts"), ends.alias("ends"), (mean < iso).alias("middle")).filter("size(starts) > 0")
+    s = s.select(*m, "i", "j", "v", "ends", "middle", F.explode("starts").alias("a"))
     turn = lambda e: F.when(F.col("middle"), (e - F.col("a") + 4) % 4).otherwise((F.col("a") - e + 4) % 4)
     s = s.withColumn("b", F.array_min(F.transform("ends", lambda e: F.struct(turn(e).alias("turn"), e.alias("e"))))["e"])
 
@@ -157,10 +178,10 @@ def contour(field: DataFrame, iso: float, cell_m: float) -> DataFrame:
         return (F.col("i") + x) * cell_m, (F.col("j") + y) * cell_m
 
     (x0, y0), (x1, y1) = place(F.col("a")), place(F.col("b"))
-    return s.select("i", "j", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    return s.select(*m, "i", "j", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
 def within_budget(groups: DataFrame, budget: int) -> DataFrame:
-    """groups (rank, grp, points) with `taken`: in order, until the estimate of a group exceeds what is left."""
-    w = Window.orderBy("rank", "grp").rowsBetween(Window.unboundedPreceding, 0)  # a row for each width group of a model
+    """groups (rank, grp, points) with `taken`: in each model's order, until the estimate of a group exceeds what is left."""
+    w = Window.partitionBy(*model(groups)).orderBy("rank", "grp").rowsBetween(Window.unboundedPreceding, 0)
     return groups.withColumn("taken", F.sum(F.col("points") * TRIANGLES_PER_POINT).over(w) <= budget)

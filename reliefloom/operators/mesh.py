@@ -149,19 +149,23 @@ def vertex_normals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def subdivided(triangles: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each triangle in four; neighbours share midpoints, which are numbered after all vertices by their edge."""
-    top = vertices.groupBy("model_id").agg((F.max("vid") + 1).alias("top"))
-    pair = lambda u, v: F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
-    m = edges(triangles).select("model_id", pair("u", "v").alias("e")).distinct().join(F.broadcast(top), "model_id")
-    m = m.withColumn("mid", F.col("top") * (F.col("e.u") + 1) + F.col("e.v"))  # one number for each edge
+    """Each triangle in four; neighbours share midpoints.
+
+    A midpoint is numbered after all vertices by the first side (tid, place) that it halves, so that with
+    dense numbers (as of `merged`) they grow fourfold a level.
+    """
+    top = vertices.groupBy("model_id").agg((F.max("vid") + 1).alias("top"))  # a row for each model
+    side = lambda u, v: F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
+    sides = triangles.select("model_id", "tid", F.posexplode(F.array(side("a", "b"), side("b", "c"), side("c", "a"))).alias("n", "e")).select("model_id", "tid", "n", "e.u", "e.v")
+    first = sides.groupBy("model_id", "u", "v").agg(F.min(F.col("tid") * 3 + F.col("n")).alias("first"))
+    mids = first.join(top, "model_id").select("model_id", "u", "v", (F.col("top") + F.col("first")).alias("mid"))
     at = lambda n: vertices.select("model_id", F.col("vid").alias(n), *(F.col(c).cast("double").alias(f"{n}{c}") for c in "xyz"))
-    ends = m.select("model_id", "mid", F.col("e.u").alias("u"), F.col("e.v").alias("v")).join(at("u"), ["model_id", "u"]).join(at("v"), ["model_id", "v"])
+    ends = mids.join(at("u"), ["model_id", "u"]).join(at("v"), ["model_id", "v"])
     new = ends.select("model_id", F.col("mid").alias("vid"), *(((F.col(f"u{c}") + F.col(f"v{c}")) / 2).cast("float").alias(c) for c in "xyz"))
-    t = triangles.join(F.broadcast(top), "model_id")
-    mid = lambda u, v: F.col("top") * (F.least(u, v) + 1) + F.greatest(u, v)
-    ab, bc, ca = mid("a", "b"), mid("b", "c"), mid("c", "a")
-    tri = lambda *x: F.struct(*(v.alias(n) for v, n in zip(x, "abc")))
-    four = F.array(tri(F.col("a"), ab, ca), tri(ab, F.col("b"), bc), tri(ca, bc, F.col("c")), tri(ab, bc, ca))
+    of = lambda n: F.max(F.when(F.col("n") == n, F.col("mid"))).alias(("ab", "bc", "ca")[n])
+    t = triangles.join(sides.join(mids, ["model_id", "u", "v"]).groupBy("model_id", "tid").agg(of(0), of(1), of(2)), ["model_id", "tid"])
+    tri = lambda *x: F.struct(*(F.col(v).alias(n) for v, n in zip(x, "abc")))
+    four = F.array(tri("a", "ab", "ca"), tri("ab", "b", "bc"), tri("ca", "bc", "c"), tri("ab", "bc", "ca"))
     out = t.select("model_id", "tid", F.posexplode(four).alias("o", "t")).select("model_id", (F.col("tid") * 4 + F.col("o")).alias("tid"), "t.a", "t.b", "t.c")
     return out, vertices.unionByName(new)
 

@@ -2,7 +2,8 @@
 
 Pixels are rows (px, py, v FLOAT, null for no data). Stencils run on halo blocks: each pixel is sent to
 the blocks whose halo holds it, a block is worked on with numpy, and only its interior is kept. A halo
-as wide as the number of passes makes blocks exact, whatever the raster's size.
+as wide as the number of passes makes blocks exact, whatever the raster's size. Where pixels have a
+`model_id`, each model is a raster of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import model
+
 # Fixed values.
 IMPLAUSIBLE_M = -12000.0
 INPAINT_PASSES = 64
@@ -40,7 +43,7 @@ def _blocks(df: DataFrame, size: int, halo: int) -> DataFrame:
     return df.withColumn("bx", near("px")).withColumn("by", near("py"))
 
 
-def _on_blocks(df: DataFrame, size: int, halo: int, work: Callable[[np.ndarray, np.ndarray], np.ndarray], value: str = "v") -> DataFrame:
+def _on_blocks(df: DataFrame, size: int, halo: int, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Apply work(values, present) to each block with its halo; absent cells are outside the raster."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -48,12 +51,15 @@ def _on_blocks(df: DataFrame, size: int, halo: int, work: Callable[[np.ndarray,
         i, j = (pdf["px"] - x0 + halo).to_numpy(), (pdf["py"] - y0 + halo).to_numpy()
         grid = np.full((size + 2 * halo, size + 2 * halo), np.nan, np.float32)
         there = np.zeros(grid.shape, bool)
-        grid[j, i], there[j, i] = pdf[value].to_numpy(np.float32), True
+        grid[j, i], there[j, i] = pdf["v"].to_numpy(np.float32), True
         grid = work(grid, there)
         inside = (i >= halo) & (i < halo + size) & (j >= halo) & (j < halo + size)
-        return pd.DataFrame({"px": pdf["px"][inside], "py": pdf["py"][inside], value: grid[j[inside], i[inside]]})
+        return pdf[inside].assign(v=grid[j[inside], i[inside]])[names]
 
-    return _blocks(df, size, halo).groupBy("bx", "by").applyInPandas(run, f"px long, py long, {value} float")
+    m = model(df)
+    df = df.select(*m, F.col("px").cast("long"), F.col("py").cast("long"), F.col("v").cast("float"))
+    names = df.columns
+    return _blocks(df, size, halo).groupBy(*m, "bx", "by").applyInPandas(run, df.schema)
 
 
 def _neighbours(values: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +71,9 @@ def _neighbours(values: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def inpainted(pixels: DataFrame, passes: int = INPAINT_PASSES, size: int = 256) -> DataFrame:
-    """Gaps filled ring by ring with the mean of settled neighbours; what is left gets the mean of all."""
-    mean = pixels.agg(F.coalesce(F.avg("v"), F.lit(0.0)).cast("float").alias("mean"))  # one row
+    """Gaps filled ring by ring with the mean of settled neighbours; what is left gets the mean of the model."""
+    m = model(pixels)
+    mean = pixels.groupBy(*m).agg(F.coalesce(F.avg("v"), F.lit(0.0)).cast("float").alias("mean"))  # a row for each model
 
     def work(grid: np.ndarray, there: np.ndarray) -> np.ndarray:
         settled = there & ~np.isnan(grid)
@@ -79,8 +86,9 @@ def inpainted(pixels: DataFrame, passes: int = INPAINT_PASSES, size: int = 256)
             settled |= new
         return grid
 
-    filled = _on_blocks(pixels.select(F.col("px").cast("long"), F.col("py").cast("long"), F.col("v").cast("float")), size, passes, work)
-    return filled.crossJoin(F.broadcast(mean)).select("px", "py", F.when(F.isnan("v") | F.col("v").isNull(), F.col("mean")).otherwise(F.col("v")).alias("v"))
+    filled = _on_blocks(pixels, size, passes, work)
+    filled = filled.join(mean, m) if m else filled.crossJoin(F.broadcast(mean))
+    return filled.select(*m, "px", "py", F.when(F.isnan("v") | F.col("v").isNull(), F.col("mean")).otherwise(F.col("v")).alias("v"))
 
 
 def smoothed(nodes: DataFrame, passes: int, weight: float = 0.5, size: int = 256) -> DataFrame:
@@ -93,26 +101,29 @@ def smoothed(nodes: DataFrame, passes: int, weight: float = 0.5, size: int = 256
             grid = np.where(there & (n > 0), old + weight * (total / np.maximum(n, 1) - old), old).astype(np.float32)
         return grid
 
-    ready = nodes.select(F.col("px").cast("long"), F.col("py").cast("long"), F.col("v").cast("float"))
-    return ready if passes <= 0 else _on_blocks(ready, size, passes, work)
+    if passes <= 0:
+        return nodes.select(*model(nodes), F.col("px").cast("long"), F.col("py").cast("long"), F.col("v").cast("float"))
+    return _on_blocks(nodes, size, passes, work)
 
 
 def bilinear(points: DataFrame, pixels: DataFrame, width: Column, height: Column) -> DataFrame:
-    """points (id, x, y in pixels) with `v`: weights on the four pixels around, clamped at the edges."""
+    """points (id, x, y in pixels) with `v`: weights on the four pixels around, clamped at the edges; width and height may be columns of the points."""
+    m = model(pixels)
     x = F.least(F.greatest(F.col("x"), F.lit(0.0)), width - 1.0)
     y = F.least(F.greatest(F.col("y"), F.lit(0.0)), height - 1.0)
-    p = points.select("id", x.alias("x"), y.alias("y")).select("id", F.floor("x").alias("x0"), F.floor("y").alias("y0"), (F.col("x") - F.floor("x")).alias("fx"), (F.col("y") - F.floor("y")).alias("fy"))
-    x1, y1 = F.least(F.col("x0") + 1, width - 1), F.least(F.col("y0") + 1, height - 1)
+    p = points.select(*m, "id", x.alias("x"), y.alias("y"), F.lit(width).alias("w"), F.lit(height).alias("h")).select(*m, "id", "w", "h", F.floor("x").alias("x0"), F.floor("y").alias("y0"), (F.col("x") - F.floor("x")).alias("fx"), (F.col("y") - F.floor("y")).alias("fy"))
+    x1, y1 = F.least(F.col("x0") + 1, F.col("w") - 1), F.least(F.col("y0") + 1, F.col("h") - 1)
     fx, fy = F.col("fx"), F.col("fy")
     corner = lambda px, py, w: F.struct(px.cast("long").alias("px"), py.cast("long").alias("py"), w.alias("w"))
     corners = F.array(corner(F.col("x0"), F.col("y0"), (1 - fx) * (1 - fy)), corner(x1, F.col("y0"), fx * (1 - fy)), corner(F.col("x0"), y1, (1 - fx) * fy), corner(x1, y1, fx * fy))
-    each = p.select("id", F.explode(corners).alias("c")).select("id", "c.px", "c.py", "c.w")
-    return each.join(pixels, ["px", "py"]).groupBy("id").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("v"))
+    each = p.select(*m, "id", F.explode(corners).alias("c")).select(*m, "id", "c.px", "c.py", "c.w")
+    return each.join(pixels, [*m, "px", "py"]).groupBy(*m, "id").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("v"))
 
 
 def box_mean(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     """points with `v`: the mean of the pixels around the nearest one, as far as there are any."""
+    m = model(pixels)
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    each = points.select("id", F.floor(F.col("x") + 0.5).alias("cx"), F.floor(F.col("y") + 0.5).alias("cy")).withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
-    each = each.select("id", (F.col("cx") + F.col("dx")).alias("px"), (F.col("cy") + F.col("dy")).alias("py"))
-    return each.join(pixels, ["px", "py"]).groupBy("id").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    each = points.select(*m, "id", F.floor(F.col("x") + 0.5).alias("cx"), F.floor(F.col("y") + 0.5).alias("cy")).withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
+    each = each.select(*m, "id", (F.col("cx") + F.col("dx")).alias("px"), (F.col("cy") + F.col("dy")).alias("py"))
+    return each.join(pixels, [*m, "px", "py"]).groupBy(*m, "id").agg(F.avg(F.col("v").cast("double")).alias("v"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .keys import model
 from .lineage import cut
+from .surface import vertex_id
 
 KEY_CELLS = 1e-6
 CLOSE_CELLS, FLAT_CELLS = 0.25, 0.05
@@ -16,42 +18,35 @@ LEAST_AREA_CELLS = 4
 
 
 def chained(segments: DataFrame, cell_m: float) -> DataFrame:
-    """ring, seq, x, y: closed chains of directed segments (i, j, x0, y0, x1, y1).
+    """[model_id,] ring, seq, x, y: closed chains of directed segments ([model_id,] i, j, x0, y0, x1, y1).
 
-    Each segment knows its follower; the smallest number on a chain is found by pointer doubling, a
-    number of joins that grows with the logarithm of the longest chain. A chain is then walked in one
-    task. Where several segments leave a point, they follow in scan order, and each arriving segment
-    takes its own.
+    A segment's number is its cell and its place in it. Each segment knows its follower; by pointer
+    doubling it finds the least number on its chain and how far ahead that is, in a number of joins that
+    grows with the logarithm of the longest chain: the chain's order follows, and nobody walks it. Where
+    several segments leave a point, they follow in scan order, and each arriving segment takes its own.
     """
+    m = model(segments)
     key = lambda c: F.floor(F.col(c) / (cell_m * KEY_CELLS) + 0.5)
     s = segments.withColumns({"ka": key("x0"), "kb": key("y0"), "kc": key("x1"), "kd": key("y1")})
     s = s.filter("ka != kc OR kb != kd")  # a contour through a node leaves segments without length
     scan = ["j", "i", "x0", "y0", "x1", "y1"]
-    s = s.withColumn("id", F.xxhash64(*scan))
-    out = s.select(F.col("ka").alias("p"), F.col("kb").alias("q"), F.row_number().over(Window.partitionBy("ka", "kb").orderBy(*scan)).alias("n"), F.col("id").alias("next"))
-    into = s.select("id", F.col("kc").alias("p"), F.col("kd").alias("q"), F.row_number().over(Window.partitionBy("kc", "kd").orderBy(*scan)).alias("n"))
-    step = into.join(out, ["p", "q", "n"]).select("id", "next", F.least("id", "next").alias("low"))
-    step = cut(step)
+    place = F.row_number().over(Window.partitionBy(*m, "i", "j").orderBy(*scan[2:])) - 1  # a cell has two at most
+    s = cut(s.withColumn("id", vertex_id(place, F.col("j"), F.col("i"))))
+    out = s.select(*m, F.col("ka").alias("p"), F.col("kb").alias("q"), F.row_number().over(Window.partitionBy(*m, "ka", "kb").orderBy(*scan)).alias("n"), F.col("id").alias("next"))
+    into = s.select(*m, "id", F.col("kc").alias("p"), F.col("kd").alias("q"), F.row_number().over(Window.partitionBy(*m, "kc", "kd").orderBy(*scan)).alias("n"))
+    step = cut(into.join(out, [*m, "p", "q", "n"]).select(*m, "id", "next", F.col("id").alias("low"), F.lit(0).cast("long").alias("ahead")))
+    hops = 1
     while True:
-        ahead = step.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("far"))
-        new = cut(step.join(ahead, "next").select("id", F.col("after").alias("next"), F.least("low", "far").alias("low"), (F.col("far") < F.col("low")).alias("moved")))
-        step = new.select("id", "next", "low")
+        other = step.select(*m, F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("far"), F.col("ahead").alias("further"))
+        moved = F.col("far") < F.col("low")
+        new = cut(step.join(other, [*m, "next"]).select(*m, "id", F.col("after").alias("next"), F.least("low", "far").alias("low"), F.when(moved, F.col("further") + hops).otherwise(F.col("ahead")).alias("ahead"), moved.alias("moved")))
+        step, hops = new.drop("moved"), hops * 2
         if new.filter("moved").isEmpty():
             break
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {r.id: r for r in pdf.itertuples()}
-        first = int(pdf["ring"].iloc[0])
-        xs, ys, cur = [], [], first
-        for _ in range(len(pdf)):
-            xs.append(at[cur].x0)
-            ys.append(at[cur].y0)
-            cur = at[cur].next
-        return pd.DataFrame({"ring": first, "seq": range(len(xs)), "x": xs, "y": ys})
-
-    follow = into.join(out, ["p", "q", "n"]).select("id", "next")
-    named = s.select("id", "x0", "y0").join(follow, "id").join(step.select("id", F.col("low").alias("ring")), "id")
-    return named.groupBy("ring").applyInPandas(walk, "ring long, seq long, x double, y double")
+    ring = step.select(*m, "id", F.col("low").alias("ring"), "ahead")
+    size = ring.groupBy(*m, "ring").agg(F.count("*").alias("size"))
+    named = s.select(*m, "id", "x0", "y0").join(ring, [*m, "id"]).join(size, [*m, "ring"])
+    return named.select(*m, "ring", ((F.col("size") - F.col("ahead")) % F.col("size")).alias("seq"), F.col("x0").alias("x"), F.col("y0").alias("y"))
 
 
 def _point_to_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
@@ -63,26 +58,28 @@ def _point_to_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
 
 def cleaned(rings: DataFrame, cell_m: float) -> DataFrame:
     """Rings without near-repeated and nearly straight points; each is judged against the last point kept."""
+    names = [*model(rings), "ring", "seq", "x", "y"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = pdf.sort_values("seq")[["x", "y"]].to_numpy()
+        pdf = pdf.sort_values("seq")
+        pts = pdf[["x", "y"]].to_numpy()
         near, flat = cell_m * CLOSE_CELLS, cell_m * FLAT_CELLS
-        kept = [pts[0]]
-        for p in pts[1:]:
-            if np.hypot(*(p - kept[-1])) >= near:
-                kept.append(p)
-        while len(kept) > 2 and np.hypot(*(kept[0] - kept[-1])) < near:
+        kept = [0]
+        for n in range(1, len(pts)):
+            if np.hypot(*(pts[n] - pts[kept[-1]])) >= near:
+                kept.append(n)
+        while len(kept) > 2 and np.hypot(*(pts[kept[0]] - pts[kept[-1]])) < near:
             kept.pop()
         if len(kept) < 3:
-            return pd.DataFrame({"ring": [], "seq": [], "x": [], "y": []})
-        out = []
-        for n, p in enumerate(kept):
-            if _point_to_segment(p, out[-1] if out else kept[-1], kept[(n + 1) % len(kept)]) >= flat:
-                out.append(p)
-        out = np.array(out if len(out) >= 3 else kept)
-        return pd.DataFrame({"ring": pdf["ring"].iloc[0], "seq": range(len(out)), "x": out[:, 0], "y": out[:, 1]})
+            return pdf.iloc[:0][names]
+        out: list[int] = []
+        for n, k in enumerate(kept):
+            if _point_to_segment(pts[k], pts[out[-1] if out else kept[-1]], pts[kept[(n + 1) % len(kept)]]) >= flat:
+                out.append(k)
+        out = out if len(out) >= 3 else kept
+        return pdf.iloc[out].assign(seq=range(len(out)))[names]
 
-    return rings.groupBy("ring").applyInPandas(run, "ring long, seq long, x double, y double")
+    return rings.groupBy(*model(rings), "ring").applyInPandas(run, rings.select(*names).schema)
 
 
 def coarsened(rings: DataFrame, least_m: float) -> DataFrame:
@@ -101,44 +98,47 @@ def coarsened(rings: DataFrame, least_m: float) -> DataFrame:
             keep.pop()
         return pdf.iloc[keep] if len(keep) >= 3 else pdf
 
-    return rings.groupBy("ring").applyInPandas(run, rings.schema)
+    return rings.groupBy(*model(rings), "ring").applyInPandas(run, rings.schema)
 
 
 def measured(rings: DataFrame) -> DataFrame:
-    """ring, points, area (signed), shape ARRAY<STRUCT<x, y>>."""
-    g = rings.groupBy("ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ps")).select("ring", F.transform("ps", lambda p: geo.point(p["x"], p["y"])).alias("shape"))
-    return g.select("ring", F.size("shape").cast("long").alias("points"), geo.ring_area(F.col("shape")).alias("area"), "shape")
+    """[model_id,] ring, points, area (signed), shape ARRAY<STRUCT<x, y>>."""
+    m = model(rings)
+    g = rings.groupBy(*m, "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ps")).select(*m, "ring", F.transform("ps", lambda p: geo.point(p["x"], p["y"])).alias("shape"))
+    return g.select(*m, "ring", F.size("shape").cast("long").alias("points"), geo.ring_area(F.col("shape")).alias("area"), "shape")
 
 
 def nested(rings: DataFrame, cell_m: float) -> DataFrame:
-    """outer, ring: each hole with the smallest outer ring that holds its first point; outers with themselves. Tiny rings and loose holes go."""
-    m = measured(rings).filter(F.abs("area") >= LEAST_AREA_CELLS * cell_m * cell_m)
-    outers = m.filter("area > 0").select(F.col("ring").alias("outer"), F.col("area").alias("size"), F.col("shape").alias("around"))
+    """[model_id,] outer, ring: each hole with the smallest outer ring that holds its first point; outers with themselves. Tiny rings and loose holes go."""
+    m = model(rings)
+    shapes = measured(rings).filter(F.abs("area") >= LEAST_AREA_CELLS * cell_m * cell_m)
+    outers = shapes.filter("area > 0").select(*m, F.col("ring").alias("outer"), F.col("area").alias("size"), F.col("shape").alias("around"))
     size = 100 * cell_m
     at = lambda v: F.floor(v / size)
     box = outers.withColumn("b", geo.ring_bbox(F.col("around")))
     cells = box.withColumn("cx", F.explode(F.sequence(at(F.col("b.west")), at(F.col("b.east"))))).withColumn("cy", F.explode(F.sequence(at(F.col("b.south")), at(F.col("b.north")))))
-    probe = m.filter("area < 0").select("ring", F.get("shape", F.lit(0)).alias("p")).withColumns({"cx": at(F.col("p.x")), "cy": at(F.col("p.y"))})
-    inside = probe.join(cells, ["cx", "cy"]).filter(geo.ring_contains(F.col("around"), F.col("p.x"), F.col("p.y")))
-    holes = inside.groupBy("ring").agg(F.min_by("outer", "size").alias("outer"))
-    return outers.select("outer", F.col("outer").alias("ring")).unionByName(holes.select("outer", "ring"))
+    probe = shapes.filter("area < 0").select(*m, "ring", F.get("shape", F.lit(0)).alias("p")).withColumns({"cx": at(F.col("p.x")), "cy": at(F.col("p.y"))})
+    inside = probe.join(cells, [*m, "cx", "cy"]).filter(geo.ring_contains(F.col("around"), F.col("p.x"), F.col("p.y")))
+    holes = inside.groupBy(*m, "ring").agg(F.min_by("outer", "size").alias("outer"))
+    return outers.select(*m, "outer", F.col("outer").alias("ring")).unionByName(holes.select(*m, "outer", "ring"))
 
 
 def crossings(edges: DataFrame, ring_edges: DataFrame, cell_m: float) -> DataFrame:
-    """id, t: the smallest place along each edge (id, ax, ay, bx, by) where a ring edge crosses it, kept off its ends."""
+    """[model_id,] id, t: the smallest place along each edge (id, ax, ay, bx, by) where a ring edge crosses it, kept off its ends."""
     at = lambda v: F.floor(v / cell_m)
     c = F.col
+    m = model(ring_edges)
 
     def dealt(df: DataFrame) -> DataFrame:
         x = F.explode(F.sequence(at(F.least("ax", "bx")), at(F.greatest("ax", "bx"))))
         y = F.explode(F.sequence(at(F.least("ay", "by")), at(F.greatest("ay", "by"))))
         return df.withColumn("cx", x).withColumn("cy", y)
 
-    other = dealt(ring_edges.select("ax", "ay", "bx", "by")).withColumnsRenamed({"ax": "px", "ay": "py", "bx": "qx", "by": "qy"})
-    j = dealt(edges).join(other, ["cx", "cy"])
+    other = dealt(ring_edges.select(*m, "ax", "ay", "bx", "by")).withColumnsRenamed({"ax": "px", "ay": "py", "bx": "qx", "by": "qy"})
+    j = dealt(edges).join(other, [*m, "cx", "cy"])
     dx, dy, rx, ry = c("bx") - c("ax"), c("by") - c("ay"), c("qx") - c("px"), c("qy") - c("py")
     d = dx * ry - dy * rx
     t = F.try_divide((c("px") - c("ax")) * ry - (c("py") - c("ay")) * rx, d)
     u = F.try_divide((c("px") - c("ax")) * dy - (c("py") - c("ay")) * dx, d)
-    hit = j.select("id", t.alias("t"), u.alias("u")).filter("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
-    return hit.groupBy("id").agg(geo.clamp(F.min("t"), 0.001, 0.999).alias("t"))
+    hit = j.select(*m, "id", t.alias("t"), u.alias("u")).filter("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
+    return hit.groupBy(*m, "id").agg(geo.clamp(F.min("t"), 0.001, 0.999).alias("t"))

@@ -26,8 +26,8 @@ _WAYS = """
   FROM part, (SELECT {each} AS k) z WHERE k < 2 + p_size % 7"""
 
 _SELECTIONS = """
-  SELECT n_nationkey AS sel_id, -170e0 + n_nationkey * 13.7e0 AS lon, -60e0 + n_nationkey * 5.2e0 AS lat,
-         500e0 + 100e0 * n_nationkey AS radius_m, n_nationkey % 3 AS k FROM nation"""
+  SELECT c_custkey AS sel_id, -170e0 + c_custkey % 25 * 13.7e0 + c_custkey % 1009 * 0.001e0 AS lon, -60e0 + c_custkey % 25 * 5.2e0 AS lat,
+         500e0 + 100e0 * (c_custkey % 25) AS radius_m, c_custkey % 3 AS k FROM customer"""
 
 #: One row of tags for each template: t, closed, and the tags as [key, value] pairs.
 TEMPLATES: list[tuple[int, bool, list[tuple[str, str]]]] = [
@@ -69,7 +69,7 @@ def way_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _views(spark, sf_dir, "nation")
+    _views(spark, sf_dir, "customer")
     return spark.sql(_SELECTIONS)
 
 

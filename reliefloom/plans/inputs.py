@@ -60,17 +60,17 @@ def a06_model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.add()
 def f12_contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The network's footprint as rings: chained, cleaned, nested."""
+    """The footprint of each layer's network as rings: chained, cleaned, nested."""
     chained = cut(rings.chained(lines.contour(_field(spark, sf_dir), 20.0, 20.0), 20.0))
     clean = rings.cleaned(chained, 20.0)
-    shape = rings.measured(clean).select("ring", "points", r4(F.col("area")).alias("area"))
-    return rings.nested(chained, 20.0).join(shape, "ring").select("outer", "ring", "points", "area")
+    shape = rings.measured(clean).select("model_id", "ring", "points", r4(F.col("area")).alias("area"))
+    return rings.nested(chained, 20.0).join(shape, ["model_id", "ring"]).select(F.col("model_id").alias("layer"), "outer", "ring", "points", "area")
 
 
 @REG.add()
 def f09_coarsen_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     chained = rings.chained(lines.contour(_field(spark, sf_dir), 20.0, 20.0), 20.0)
-    return rings.measured(rings.coarsened(chained, 60.0)).select("ring", "points", r4(F.col("area")).alias("area"))
+    return rings.measured(rings.coarsened(chained, 60.0)).select(F.col("model_id").alias("layer"), "ring", "points", r4(F.col("area")).alias("area"))
 
 
 @REG.add(HEAD + """, circ AS (SELECT i, 3000e0 * cos(i / 64e0 * 2 * pi()) AS px, 3000e0 * sin(i / 64e0 * 2 * pi()) AS py, 3000e0 * cos((i + 1) % 64 / 64e0 * 2 * pi()) AS qx, 3000e0 * sin((i + 1) % 64 / 64e0 * 2 * pi()) AS qy FROM (SELECT unnest(range(0, 64)) AS i)),

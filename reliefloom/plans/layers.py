@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import tags as T
-from ..operators import lines, mesh, osm, rules, tracks
+from ..operators import lines, mesh, osm, rules
+from ..operators.lineage import cut
 from .derived import gps_points, selections
 from .features import CLASS_SQL, GEOM_SQL, PART_TAGS, ROUTE_SQL, _ways
 from .meshes import AUDIT, BROKEN, CORNERS, SOLID, _broken
@@ -79,14 +80,21 @@ def f08_split_on_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.split_on_water(_segments(spark, sf_dir), _water(spark, sf_dir)).select("line_id", F.col("seq").cast("long").alias("seq"), "wet", "run")
 
 
-@REG.add(HEAD + """, g AS (SELECT layer, floor(printed_mm * 20 + 0.5e0) / 20 AS bucket, count(*) AS points FROM ln JOIN lw USING (layer, subtype) GROUP BY 1, 2), o AS (SELECT *, sum(points * 4) OVER (ORDER BY layer, bucket) AS spent FROM g)
- SELECT layer, round(bucket, 6) + 0e0 AS bucket_mm, points, spent <= 8000 AS taken FROM o""")
-def g03_triangle_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Width groups taken in order until the estimate exceeds the budget."""
+BUDGET = "g AS (SELECT layer, floor(printed_mm * 20 + 0.5e0) / 20 AS bucket, count(*) AS points FROM ln JOIN lw USING (layer, subtype) GROUP BY 1, 2), o AS (SELECT *, sum(points * 4) OVER (PARTITION BY layer ORDER BY bucket) <= 8000 AS taken FROM g)"
+
+
+def _budget(spark: SparkSession, sf_dir: str, classes: DataFrame) -> DataFrame:
+    """model_id (the layer), grp, points, taken: the width groups of each layer."""
     w = osm.routed(_ways(spark, sf_dir)).filter("route = 'line'").select("kind.layer", "kind.subtype", F.size("points").alias("n"))
-    widths = _classes(spark, sf_dir).select("layer", "subtype", lines.width_bucket(F.col("printed_mm")).alias("grp"))
-    g = w.join(F.broadcast(widths), ["layer", "subtype"]).groupBy(F.col("layer").alias("rank"), "grp").agg(F.sum("n").alias("points"))
-    return lines.within_budget(g, 8000).select(F.col("rank").alias("layer"), r6(F.col("grp")).alias("bucket_mm"), "points", "taken")
+    widths = classes.select("layer", "subtype", lines.width_bucket(F.col("printed_mm")).alias("grp"))
+    g = w.join(F.broadcast(widths), ["layer", "subtype"]).groupBy(F.col("layer").alias("model_id"), "grp").agg(F.sum("n").alias("points"))
+    return lines.within_budget(g.withColumn("rank", F.lit(0)), 8000)
+
+
+@REG.add(HEAD + f", {BUDGET} SELECT layer, round(bucket, 6) + 0e0 AS bucket_mm, points, taken FROM o")
+def g03_triangle_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width groups of each layer, taken in order until the estimate exceeds its budget."""
+    return _budget(spark, sf_dir, _classes(spark, sf_dir)).select(F.col("model_id").alias("layer"), r6(F.col("grp")).alias("bucket_mm"), "points", "taken")
 
 
 @REG.add(HEAD + """, lays AS (SELECT DISTINCT layer FROM ln) SELECT layer, count(DISTINCT way_id) AS features, round(max(printed_mm), 6) + 0e0 AS widest_mm, round(min(printed_mm), 6) + 0e0 AS narrowest_mm, bool_or(printed_mm > ln.width_m * 0.01e0 + 1e-6) AS clamped FROM ln JOIN lw USING (layer, subtype) GROUP BY layer""")
@@ -121,9 +129,12 @@ INOUT = """nx AS (SELECT * FROM (SELECT route_id, seq, x, y, lead(x) OVER w AS b
  par AS (SELECT route_id, seq, any_value(sqrt((nx.bx - x) * (nx.bx - x) + (nx.yb - y) * (nx.yb - y))) AS len, count(i) % 2 = 1 AS inside FROM nx LEFT JOIN circ c ON (c.ay > (y + nx.yb) / 2) <> (c.yb > (y + nx.yb) / 2) AND (x + nx.bx) / 2 < (c.bx - c.ax) * ((y + nx.yb) / 2 - c.ay) / (c.yb - c.ay) + c.ax GROUP BY route_id, seq)"""
 
 
-def _inside_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.project(F.col("lon"), F.col("lat"), _origin())
-    s = lines.segments(gps_points(spark, sf_dir).select(F.col("route_id").alias("line_id"), "seq", x.alias("x"), y.alias("y")))
+    return lines.segments(gps_points(spark, sf_dir).select(F.col("route_id").alias("line_id"), "seq", x.alias("x"), y.alias("y")))
+
+
+def _inside_outside(spark: SparkSession, s: DataFrame) -> DataFrame:
     ring = spark.range(1).select(_circle().alias("ring"))  # the selection: one ring of 64 vertices
     j = s.crossJoin(F.broadcast(ring))
     inside = geo.ring_contains(F.col("ring"), (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2)
@@ -133,13 +144,13 @@ def _inside_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add(f"WITH {{GPS}}, {{MODEL}}, {XY}, {CIRCLE}, {INOUT} SELECT route_id, round(sum(CASE WHEN inside THEN len ELSE 0 END), 3) + 0e0 AS inside_m, round(sum(CASE WHEN NOT inside THEN len ELSE 0 END), 3) + 0e0 AS outside_m FROM par GROUP BY route_id")
 def e11_inside_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of each route inside and outside the selection."""
-    r = _inside_outside(spark, sf_dir)
+    r = _inside_outside(spark, _route_segments(spark, sf_dir))
     return r.select("route_id", *((F.round(c, 3) + 0.0).alias(c) for c in ("inside_m", "outside_m")))
 
 
 @REG.add(f"WITH {{GPS}}, {{MODEL}}, {XY}, {CIRCLE}, {INOUT}, f AS (SELECT route_id, sum(CASE WHEN inside THEN len ELSE 0 END) AS i, sum(CASE WHEN NOT inside THEN len ELSE 0 END) AS o FROM par GROUP BY route_id) SELECT route_id, 'warn' AS level, unnest(list_filter([CASE WHEN route_id % 7 * 0.1e0 < 0.4e0 THEN 'route-width-clamped' END, CASE WHEN o > 1 THEN 'route-clipped' END, CASE WHEN i = 0 THEN 'route-empty' END], lambda x: x IS NOT NULL)) AS code FROM f")
 def k05_route_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _inside_outside(spark, sf_dir).withColumns({"width_mm": F.col("route_id") % 7 * F.lit(0.1), "nozzle_mm": F.lit(NOZZLE_MM)})
+    f = _inside_outside(spark, _route_segments(spark, sf_dir)).withColumns({"width_mm": F.col("route_id") % 7 * F.lit(0.1), "nozzle_mm": F.lit(NOZZLE_MM)})
     return rules.judged(f, "route_id", rules.route_rules())
 
 
@@ -162,30 +173,42 @@ def d04_inside_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mask(spark, sf_dir).groupBy("key").agg(F.count("*").alias("nodes"), F.sum("i").alias("sum_i"), F.sum(F.col("j").cast("long")).alias("sum_j"))
 
 
-FIELD = """seg AS (SELECT x AS ax, y AS ay, bx, yb FROM sg WHERE layer = 'railways'), ij AS (SELECT *, unnest(range(floor((least(ax, bx) - 60) / 20)::BIGINT, ceil((greatest(ax, bx) + 60) / 20)::BIGINT + 1)) AS i FROM seg), ik AS (SELECT *, unnest(range(floor((least(ay, yb) - 60) / 20)::BIGINT, ceil((greatest(ay, yb) + 60) / 20)::BIGINT + 1)) AS j FROM ij),
+FIELD = """seg AS (SELECT layer, x AS ax, y AS ay, bx, yb, sqrt(pow(bx - x, 2) + pow(yb - y, 2)) AS len FROM sg), jk AS (SELECT *, unnest(range(floor((least(ay, yb) - 60) / 20)::BIGINT, ceil((greatest(ay, yb) + 60) / 20)::BIGINT + 1)) AS j FROM seg),
+ lim AS (SELECT *, ax + CASE WHEN abs(yb - ay) < 1 THEN 0 ELSE (j * 20e0 - ay) * (bx - ax) / (yb - ay) END AS middle, CASE WHEN abs(yb - ay) < 1 THEN abs(bx - ax) + 60 ELSE 60 * len / abs(yb - ay) END AS reach FROM jk),
+ ik AS (SELECT *, unnest(range(floor(greatest(least(ax, bx) - 80, middle - reach - 20) / 20)::BIGINT, ceil(least(greatest(ax, bx) + 80, middle + reach + 20) / 20)::BIGINT + 1)) AS i FROM lim),
  tt AS (SELECT *, CASE WHEN ax = bx AND ay = yb THEN 0 ELSE least(greatest(((i * 20e0 - ax) * (bx - ax) + (j * 20e0 - ay) * (yb - ay)) / ((bx - ax) * (bx - ax) + (yb - ay) * (yb - ay)), 0), 1) END AS t FROM ik),
- fld AS (SELECT i, j, min(d) AS d FROM (SELECT i, j, sqrt(pow(i * 20e0 - (ax + t * (bx - ax)), 2) + pow(j * 20e0 - (ay + t * (yb - ay)), 2)) AS d FROM tt) WHERE d <= 60 GROUP BY i, j)"""
+ fld AS (SELECT layer, i, j, min(d) AS d FROM (SELECT layer, i, j, sqrt(pow(i * 20e0 - (ax + t * (bx - ax)), 2) + pow(j * 20e0 - (ay + t * (yb - ay)), 2)) AS d FROM tt) WHERE d <= 60 GROUP BY layer, i, j)"""
 
 
 def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.distance_field(_segments(spark, sf_dir).filter("layer = 'railways'"), 20.0, 20.0)
+    """The field of each line layer; the layer's name is its model."""
+    return lines.distance_field(_segments(spark, sf_dir).withColumn("model_id", F.col("layer")), 20.0, 20.0)
 
 
-@REG.add(HEAD + f", {FIELD} SELECT i, j, round(d, 3) + 0e0 AS d FROM fld WHERE d < 59.999e0")
+@REG.add(HEAD + f", {FIELD} SELECT layer, i, j, round(d, 3) + 0e0 AS d FROM fld WHERE d < 59.999e0")
 def h08_distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance to the railway network, in a band around it."""
-    return _field(spark, sf_dir).filter("d < 59.999").select("i", "j", (F.round("d", 3) + 0.0).alias("d"))
+    """Distance to the network of each line layer, in a band around it."""
+    return _field(spark, sf_dir).filter("d < 59.999").select(F.col("model_id").alias("layer"), "i", "j", (F.round("d", 3) + 0.0).alias("d"))
 
 
-@REG.add(HEAD + f""", {FIELD}, c8 AS (SELECT i - dx AS i, j - dy AS j, max(CASE WHEN dx = 0 AND dy = 0 THEN d END) AS v0, max(CASE WHEN dx = 1 AND dy = 0 THEN d END) AS v1, max(CASE WHEN dx = 1 AND dy = 1 THEN d END) AS v2, max(CASE WHEN dx = 0 AND dy = 1 THEN d END) AS v3 FROM fld, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) o(dx, dy) GROUP BY 1, 2),
- cc AS (SELECT i, j, coalesce(v0 < 20, false) AS a, coalesce(v1 < 20, false) AS b, coalesce(v2 < 20, false) AS c, coalesce(v3 < 20, false) AS d FROM c8)
- SELECT count(*) FILTER (WHERE (a <> b) OR (b <> c) OR (c <> d)) AS cells, sum((a AND NOT b)::INT + (b AND NOT c)::INT + (c AND NOT d)::INT + (d AND NOT a)::INT)::BIGINT AS segments, 0::BIGINT AS open_ends FROM cc""")
+@REG.add(HEAD + f""", {FIELD}, c8 AS (SELECT layer, i - dx AS i, j - dy AS j, max(CASE WHEN dx = 0 AND dy = 0 THEN d END) AS v0, max(CASE WHEN dx = 1 AND dy = 0 THEN d END) AS v1, max(CASE WHEN dx = 1 AND dy = 1 THEN d END) AS v2, max(CASE WHEN dx = 0 AND dy = 1 THEN d END) AS v3 FROM fld, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) o(dx, dy) GROUP BY 1, 2, 3),
+ cc AS (SELECT layer, i, j, coalesce(v0 < 20, false) AS a, coalesce(v1 < 20, false) AS b, coalesce(v2 < 20, false) AS c, coalesce(v3 < 20, false) AS d FROM c8)
+ SELECT layer, count(*) AS cells, sum((a AND NOT b)::INT + (b AND NOT c)::INT + (c AND NOT d)::INT + (d AND NOT a)::INT)::BIGINT AS segments, 0::BIGINT AS open_ends FROM cc WHERE (a <> b) OR (b <> c) OR (c <> d) GROUP BY layer""")
 def h09_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contour of the network's footprint: closed, since as many segments begin at each point as end there."""
-    c = lines.contour(_field(spark, sf_dir), 20.0, 20.0)
+    """The contours of the layers' footprints: closed, since as many segments begin at each point as end there."""
+    c = cut(lines.contour(_field(spark, sf_dir), 20.0, 20.0))
     key = lambda x, y: F.struct(F.floor(F.col(x) * 1e4 + 0.5).alias("x"), F.floor(F.col(y) * 1e4 + 0.5).alias("y"))
-    ends = c.select(key("x0", "y0").alias("p"), F.lit(1).alias("n")).unionByName(c.select(key("x1", "y1").alias("p"), F.lit(-1).alias("n"))).groupBy("p").agg(F.sum("n").alias("n"))
-    return c.agg(F.count_distinct("i", "j").alias("cells"), F.count("*").alias("segments")).crossJoin(ends.agg(F.count_if(F.col("n") != 0).alias("open_ends")))
+    ends = c.select("model_id", key("x0", "y0").alias("p"), F.lit(1).alias("n")).unionByName(c.select("model_id", key("x1", "y1").alias("p"), F.lit(-1).alias("n"))).groupBy("model_id", "p").agg(F.sum("n").alias("n"))
+    n = c.groupBy("model_id").agg(F.count_distinct("i", "j").alias("cells"), F.count("*").alias("segments"))
+    return n.join(ends.groupBy("model_id").agg(F.count_if(F.col("n") != 0).alias("open_ends")), "model_id").withColumnRenamed("model_id", "layer")
+
+
+@REG.add(HEAD + f""", {FIELD}, sd AS (SELECT layer, i, j, 0 AS up, d AS p FROM fld UNION ALL SELECT layer, i, j, 1, d FROM fld), pq AS (SELECT sd.*, f.d AS q FROM sd LEFT JOIN fld f ON f.layer = sd.layer AND f.i = sd.i + 1 - up AND f.j = sd.j + up)
+ SELECT layer, round((i + (1 - up) * (20 - p) / (q - p)) * 20, 3) + 0e0 AS x, round((j + up * (20 - p) / (q - p)) * 20, 3) + 0e0 AS y FROM pq WHERE (p < 20) <> coalesce(q < 20, false)""")
+def h09_contour_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the contours cross the sides of the grid: the start of one segment each (H9)."""
+    c = lines.contour(_field(spark, sf_dir), 20.0, 20.0)
+    return c.select(F.col("model_id").alias("layer"), (F.round("x0", 3) + 0.0).alias("x"), (F.round("y0", 3) + 0.0).alias("y"))
 
 
 @REG.add("""WITH f AS (SELECT s_suppkey AS model_id, 0.4e0 + s_suppkey % 5 * 0.2e0 AS base_mm, 0.2e0 AS layer_mm, 40e0 + s_suppkey % 30 AS width_mm, 30e0 AS depth_mm, 0.5e0 + s_suppkey % 9 * 11e0 * (s_suppkey % 2) + s_suppkey % 7 * 0.3e0 AS height_mm, s_suppkey * 30000 AS triangles FROM supplier)
@@ -254,11 +277,13 @@ def i07_bridge_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.bridge_deck(p, ends).select("bridge_id", F.col("seq").cast("long").alias("seq"), r6(F.col("z")).alias("z"))
 
 
-@REG.add(HEAD + f""", {RANKS}, sp AS (SELECT lw.*, rank, sum(length_m * 0.01e0 * printed_mm) OVER w AS spent, row_number() OVER w AS n FROM lw JOIN rk USING (layer, subtype) WINDOW w AS (PARTITION BY layer ORDER BY rank)), kp AS (SELECT *, max((spent > {AREA_MM2}e0 * 0.25e0 AND n > 1)::INT) OVER (PARTITION BY layer ORDER BY rank) = 0 AS kept FROM sp),
+@REG.add(HEAD + f""", {RANKS}, {BUDGET}, cuts AS (SELECT layer, bool_or(NOT taken) AS truncated FROM o GROUP BY layer), sp AS (SELECT lw.*, rank, sum(length_m * 0.01e0 * printed_mm) OVER w AS spent, row_number() OVER w AS n FROM lw JOIN rk USING (layer, subtype) WINDOW w AS (PARTITION BY layer ORDER BY rank)), kp AS (SELECT *, max((spent > {AREA_MM2}e0 * 0.25e0 AND n > 1)::INT) OVER (PARTITION BY layer ORDER BY rank) = 0 AS kept FROM sp),
  f AS (SELECT layer, count(*) FILTER (WHERE NOT kept) AS dropped, bool_or(kept AND printed_mm > width_m * 0.01e0 + 1e-6) AS clamped, min(printed_mm) FILTER (WHERE kept) AS narrowest FROM kp GROUP BY layer), want(layer) AS (VALUES ('roads'), ('trails'), ('railways'), ('gliders'))
- SELECT layer, 'warn' AS level, unnest(list_filter([CASE WHEN f.dropped IS NULL THEN 'layer-empty' END, CASE WHEN dropped > 0 THEN 'classes-below-nozzle' END, CASE WHEN clamped THEN 'feature-width-clamped' END, CASE WHEN narrowest < 0.45e0 - 1e-6 THEN 'feature-below-nozzle' END], lambda x: x IS NOT NULL)) AS code FROM want LEFT JOIN f USING (layer)""")
+ SELECT layer, 'warn' AS level, unnest(list_filter([CASE WHEN f.dropped IS NULL THEN 'layer-empty' END, CASE WHEN truncated THEN 'feature-budget-reached' END, CASE WHEN dropped > 0 THEN 'classes-below-nozzle' END, CASE WHEN clamped THEN 'feature-width-clamped' END, CASE WHEN narrowest < 0.45e0 - 1e-6 THEN 'feature-below-nozzle' END], lambda x: x IS NOT NULL)) AS code FROM want LEFT JOIN f USING (layer) LEFT JOIN cuts USING (layer)""")
 def k04_layer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = lines.legible(_classes(spark, sf_dir), _ranks(spark), MM_PER_M, AREA_MM2)
+    classes = cut(_classes(spark, sf_dir))  # a row for each class
+    truncated = _budget(spark, sf_dir, classes).groupBy(F.col("model_id").alias("layer")).agg(F.bool_or(~F.col("taken")).alias("truncated"))
+    k = lines.legible(classes, _ranks(spark), MM_PER_M, AREA_MM2)
     f = k.groupBy("layer").agg(F.count("*").alias("features"), F.count_if(~F.col("kept")).alias("dropped"), F.bool_or(F.col("kept") & (F.col("printed_mm") > F.col("width_m") * MM_PER_M + 1e-6)).alias("clamped"), F.min(F.when(F.col("kept"), F.col("printed_mm"))).alias("narrowest_mm"))
     want = spark.createDataFrame([(x,) for x in ("roads", "trails", "railways", "gliders")], "layer string")
-    return rules.judged(want.join(f, "layer", "left").withColumn("truncated", F.lit(False)), "layer", rules.layer_rules(0.45))
+    return rules.judged(want.join(f, "layer", "left").join(truncated, "layer", "left"), "layer", rules.layer_rules(0.45))

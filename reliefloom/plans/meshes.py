@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import mesh
+from ..operators.lineage import cut
 from ..sources import stl
 from .rasters import VALUE, _values
 from .registry import Registry, r4
@@ -34,6 +37,13 @@ CORNERS = """cr AS (SELECT t.model_id, tid, t.a, t.b, t.c, a.x::DOUBLE AS ax, a.
 AUDIT = """ed AS (SELECT model_id, least(u, w) AS u, greatest(u, w) AS w, count(*) AS n FROM (SELECT model_id, a AS u, b AS w FROM {t} UNION ALL SELECT model_id, b, c FROM {t} UNION ALL SELECT model_id, c, a FROM {t}) GROUP BY ALL),
  ef AS (SELECT model_id, count(*) FILTER (WHERE n < 2) AS open_edges, count(*) FILTER (WHERE n > 2) AS non_manifold FROM ed GROUP BY model_id),
  so AS (SELECT model_id, count(*) AS triangles, count(*) FILTER (WHERE a = b OR b = c OR a = c OR (nx * nx + ny * ny + nz * nz) / 4 <= 1e-12) AS degenerate, sum(ax * (b_y * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - b_y * cx)) / 6 AS v FROM nm GROUP BY model_id)"""
+
+
+def _renamed(sql: str, suffix: str) -> str:
+    """The CTEs of an audit under other names, for a second one beside it."""
+    return re.sub(r"\b(cr|nm|ed|ef|so)\b", rf"\g<1>{suffix}", sql)
+
+
 DONE = "SELECT model_id, triangles, open_edges, non_manifold, degenerate, open_edges = 0 AS watertight, open_edges = 0 AND non_manifold = 0 AS manifold, v < 0 AS inverted, round(abs(v), 2) + 0e0 AS volume_mm3 FROM ef JOIN so USING (model_id)"
 
 
@@ -97,7 +107,7 @@ def i11_remove_degenerates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.without_degenerates(t, v).groupBy("model_id").agg(F.count("*").alias("triangles"), F.sum("tid").alias("checksum"))
 
 
-@REG.add()
+@REG.add(f"WITH {{DEM}}, {SOLID}, {BROKEN}, {WELD}, {CORNERS.format(t='wt', v='mv')}, {AUDIT.format(t='wt')}, ct AS (SELECT model_id, tid, a, b, c FROM nm WHERE NOT (a = b OR b = c OR a = c OR (nx * nx + ny * ny + nz * nz) / 4 <= 1e-12)), {_renamed(CORNERS.format(t='ct', v='mv'), '2')}, {_renamed(AUDIT.format(t='ct'), '2')}, w AS ({DONE}), d AS ({_renamed(DONE, '2')}), ch AS (SELECT w.model_id, w.open_edges + w.non_manifold > 0 AND d.open_edges + d.non_manifold < w.open_edges + w.non_manifold AS cleaned FROM w JOIN d USING (model_id)) SELECT ch.cleaned, w.* FROM w JOIN ch USING (model_id) WHERE NOT cleaned UNION ALL SELECT ch.cleaned, d.* FROM d JOIN ch USING (model_id) WHERE cleaned")
 def i12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weld, and drop degenerates where that leaves fewer bad edges."""
     return _rounded(mesh.repaired(*_broken(spark, sf_dir)))
@@ -134,13 +144,24 @@ def f15_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("k", (j * F.col("cols") + i).alias("vid"))
 
 
-@REG.add(f"WITH {{DEM}}, {SOLID}, e AS (SELECT DISTINCT least(u, w) AS u, greatest(u, w) AS w FROM (SELECT a AS u, b AS w FROM tri UNION ALL SELECT b, c FROM tri UNION ALL SELECT c, a FROM tri)) SELECT (SELECT count(*) FROM tri) * 4 AS triangles, (SELECT count(*) FROM vert) + count(*) AS vertices, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold FROM e")
+@REG.add(f"WITH {{DEM}}, {SOLID}, e AS (SELECT DISTINCT least(u, w) AS u, greatest(u, w) AS w FROM (SELECT a AS u, b AS w FROM tri UNION ALL SELECT b, c FROM tri UNION ALL SELECT c, a FROM tri)), n AS (SELECT (SELECT count(*) FROM tri) AS t, (SELECT count(*) FROM vert) AS v, count(*) AS e FROM e) SELECT t * 16 AS triangles, v + 3 * e + 3 * t AS vertices, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, true AS same_volume FROM n")
 def i04_subdivide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each triangle in four, still closed."""
+    """Each triangle in four, twice: still closed, and of the same volume."""
     v, t = _solid(spark, sf_dir)
-    t4, v4 = mesh.subdivided(t, v)
+    before = mesh.with_corners(t, v).groupBy("model_id").agg(mesh.volume().alias("before"))
+    t4, v4 = map(cut, mesh.subdivided(*map(cut, mesh.subdivided(t, v))))
     n = t4.groupBy("model_id").agg(F.count("*").alias("triangles")).join(v4.groupBy("model_id").agg(F.count("*").alias("vertices")), "model_id")
-    return n.join(mesh.edge_faults(t4), "model_id").drop("model_id")
+    after = mesh.with_corners(t4, v4).groupBy("model_id").agg(mesh.volume().alias("after"))
+    same = (F.abs(F.col("after") - F.col("before")) < F.abs("before") * 1e-5).alias("same_volume")
+    return n.join(mesh.edge_faults(t4), "model_id").join(before, "model_id").join(after, "model_id").select("triangles", "vertices", "open_edges", "non_manifold", same)
+
+
+@REG.add(f"WITH {{DEM}}, {SOLID}, e AS (SELECT least(u, w) AS u, greatest(u, w) AS w, min(n) AS n FROM (SELECT a AS u, b AS w, tid * 3 AS n FROM tri UNION ALL SELECT b, c, tid * 3 + 1 FROM tri UNION ALL SELECT c, a, tid * 3 + 2 FROM tri) GROUP BY ALL) SELECT (SELECT max(vid) + 1 FROM vert) + n AS vid, round(((p.x::DOUBLE + q.x::DOUBLE) / 2)::FLOAT::DOUBLE, 4) + 0e0 AS x, round(((p.y::DOUBLE + q.y::DOUBLE) / 2)::FLOAT::DOUBLE, 4) + 0e0 AS y, round(((p.z::DOUBLE + q.z::DOUBLE) / 2)::FLOAT::DOUBLE, 4) + 0e0 AS z FROM e JOIN vert p ON p.vid = u JOIN vert q ON q.vid = w")
+def i04_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices that one subdivision adds."""
+    v, t = _solid(spark, sf_dir)
+    new = mesh.subdivided(t, v)[1].join(v.select("model_id", "vid"), ["model_id", "vid"], "left_anti")
+    return new.select("vid", *(r4(F.col(c).cast("double")).alias(c) for c in "xyz"))
 
 
 @REG.add(f"WITH {{DEM}}, {SOLID} SELECT count(*) AS triangles, (84 + 50 * count(*))::BIGINT AS bytes, count(*) AS read_back FROM tri")

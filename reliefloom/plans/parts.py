@@ -113,10 +113,10 @@ def g05_united_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The footprint's cells as SQL: corner flags, and the crossings of their sides.
-CELLS = """c8 AS (SELECT i - dx AS i, j - dy AS j, max(CASE WHEN dx = 0 AND dy = 0 THEN d END) AS v0, max(CASE WHEN dx = 1 AND dy = 0 THEN d END) AS v1, max(CASE WHEN dx = 1 AND dy = 1 THEN d END) AS v2, max(CASE WHEN dx = 0 AND dy = 1 THEN d END) AS v3 FROM fld, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) o(dx, dy) GROUP BY 1, 2),
+CELLS = """c8 AS (SELECT layer, i - dx AS i, j - dy AS j, max(CASE WHEN dx = 0 AND dy = 0 THEN d END) AS v0, max(CASE WHEN dx = 1 AND dy = 0 THEN d END) AS v1, max(CASE WHEN dx = 1 AND dy = 1 THEN d END) AS v2, max(CASE WHEN dx = 0 AND dy = 1 THEN d END) AS v3 FROM fld, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) o(dx, dy) GROUP BY 1, 2, 3),
  cc AS (SELECT *, coalesce(v0 < {iso}, false)::INT AS a, coalesce(v1 < {iso}, false)::INT AS b, coalesce(v2 < {iso}, false)::INT AS c, coalesce(v3 < {iso}, false)::INT AS e, coalesce((v0 + v1 + v2 + v3) / 4 < {iso}, false) AS joined FROM c8),
  kd AS (SELECT *, abs(a - b) + abs(b - c) + abs(c - e) + abs(e - a) AS cuts, a + b + c + e AS held FROM cc),
- tp AS (SELECT sum(CASE WHEN held = 0 THEN 0 WHEN cuts = 4 AND NOT joined THEN 2 ELSE held + cuts - 2 END) AS faces, sum(cuts // 2) AS rim, sum(a + (a <> b)::INT + (a <> e)::INT) AS points FROM kd)"""
+ tp AS (SELECT layer, sum(CASE WHEN held = 0 THEN 0 WHEN cuts = 4 AND NOT joined THEN 2 ELSE held + cuts - 2 END) AS faces, sum(cuts // 2) AS rim, sum(a + (a <> b)::INT + (a <> e)::INT) AS points FROM kd GROUP BY layer)"""
 
 
 def _ground(spark: SparkSession, sf_dir: str, vertices: DataFrame, x: F.Column, y: F.Column) -> DataFrame:
@@ -130,28 +130,28 @@ def _ground(spark: SparkSession, sf_dir: str, vertices: DataFrame, x: F.Column,
 
 
 @REG.add(HEAD + f""", {FIELD}, {CELLS.format(iso=20)},
- pl AS (SELECT i, j, list_filter([CASE WHEN a = 1 THEN {{'x': i * 20e0, 'y': j * 20e0}} END,
+ pl AS (SELECT layer, i, j, list_filter([CASE WHEN a = 1 THEN {{'x': i * 20e0, 'y': j * 20e0}} END,
    CASE WHEN a <> b THEN {{'x': (i + CASE WHEN v0 IS NULL THEN 0e0 WHEN v1 IS NULL THEN 1e0 ELSE (20 - v0) / (v1 - v0) END) * 20e0, 'y': j * 20e0}} END, CASE WHEN b = 1 THEN {{'x': (i + 1) * 20e0, 'y': j * 20e0}} END,
    CASE WHEN b <> c THEN {{'x': (i + 1) * 20e0, 'y': (j + CASE WHEN v1 IS NULL THEN 0e0 WHEN v2 IS NULL THEN 1e0 ELSE (20 - v1) / (v2 - v1) END) * 20e0}} END, CASE WHEN c = 1 THEN {{'x': (i + 1) * 20e0, 'y': (j + 1) * 20e0}} END,
    CASE WHEN c <> e THEN {{'x': (i + CASE WHEN v3 IS NULL THEN 0e0 WHEN v2 IS NULL THEN 1e0 ELSE (20 - v3) / (v2 - v3) END) * 20e0, 'y': (j + 1) * 20e0}} END, CASE WHEN e = 1 THEN {{'x': i * 20e0, 'y': (j + 1) * 20e0}} END,
    CASE WHEN e <> a THEN {{'x': i * 20e0, 'y': (j + CASE WHEN v0 IS NULL THEN 0e0 WHEN v3 IS NULL THEN 1e0 ELSE (20 - v0) / (v3 - v0) END) * 20e0}} END], lambda x: x IS NOT NULL) AS p, cuts = 4 AND NOT joined AS split, a FROM kd WHERE held > 0),
- pp AS (SELECT i, j, p FROM pl WHERE NOT split UNION ALL SELECT i, j, unnest(CASE WHEN a = 1 THEN [[p[6], p[1], p[2]], [p[3], p[4], p[5]]] ELSE [[p[1], p[2], p[3]], [p[4], p[5], p[6]]] END) FROM pl WHERE split),
- ar AS (SELECT sum((p[k].x - i * 20e0) * (p[k % len(p) + 1].y - j * 20e0) - (p[k % len(p) + 1].x - i * 20e0) * (p[k].y - j * 20e0)) / 2 AS area FROM (SELECT i, j, p, unnest(range(1, len(p) + 1)) AS k FROM pp))
- SELECT 2 * points::BIGINT AS vertices, (2 * faces + 2 * rim)::BIGINT AS triangles, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, false AS inverted, round(area * 7, 1) + 0e0 AS volume FROM tp, ar""")
+ pp AS (SELECT layer, i, j, p FROM pl WHERE NOT split UNION ALL SELECT layer, i, j, unnest(CASE WHEN a = 1 THEN [[p[6], p[1], p[2]], [p[3], p[4], p[5]]] ELSE [[p[1], p[2], p[3]], [p[4], p[5], p[6]]] END) FROM pl WHERE split),
+ ar AS (SELECT layer, sum((p[k].x - i * 20e0) * (p[k % len(p) + 1].y - j * 20e0) - (p[k % len(p) + 1].x - i * 20e0) * (p[k].y - j * 20e0)) / 2 AS area FROM (SELECT layer, i, j, p, unnest(range(1, len(p) + 1)) AS k FROM pp) GROUP BY layer)
+ SELECT layer, 2 * points::BIGINT AS vertices, (2 * faces + 2 * rim)::BIGINT AS triangles, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, false AS inverted, round(area * 7 / 1000) + 0e0 AS thousand_m3 FROM tp JOIN ar USING (layer)""")
 def i03_draped_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The network's footprint as a solid on the ground: five metres above it, two below."""
-    v, t = map(cut, surface.footprint(cut(_field(spark, sf_dir).withColumn("model_id", F.lit(0))), 20.0, 20.0))
+    """Each layer's footprint as a solid on the ground: five metres above it, two below."""
+    v, t = map(cut, surface.footprint(cut(_field(spark, sf_dir)), 20.0, 20.0))
     ground = _ground(spark, sf_dir, v, (F.col("x") + 5000) / 100, (F.col("y") + 5000) / 100)
     v, t = map(cut, surface.solid(surface.draped(v, ground, 5.0, 2.0, -1e9), t))
     n = v.groupBy("model_id").agg(F.count("*").alias("vertices"))
-    return mesh.audit(t, v).join(n, "model_id").select("vertices", "triangles", "open_edges", "non_manifold", "inverted", (F.round("volume_mm3", 1) + 0.0).alias("volume"))
+    return mesh.audit(t, v).join(n, "model_id").select(F.col("model_id").alias("layer"), "vertices", "triangles", "open_edges", "non_manifold", "inverted", (F.round(F.col("volume_mm3") / 1000) + 0.0).alias("thousand_m3"))
 
 
 #: A selection ring of 64 sides around the grid's middle, and the nodes inside it.
 CLIP = """cir AS (SELECT u, 3000e0 * cos(u / 64e0 * 2 * pi()) AS px, 3000e0 * sin(u / 64e0 * 2 * pi()) AS py, 3000e0 * cos((u + 1) % 64 / 64e0 * 2 * pi()) AS qx, 3000e0 * sin((u + 1) % 64 / 64e0 * 2 * pi()) AS qy FROM (SELECT unnest(range(0, 64)) AS u)),
  nd AS (SELECT px - 50 AS i, py - 50 AS j FROM dem),
  msk AS (SELECT i, j, count(*) FILTER (WHERE (py > j * 100e0) <> (qy > j * 100e0) AND i * 100e0 < (qx - px) * (j * 100e0 - py) / (qy - py) + px) % 2 = 1 AS ins FROM nd, cir GROUP BY i, j),
- fld AS (SELECT i, j, CASE WHEN ins THEN -1e0 ELSE 1e0 END AS d FROM msk)"""
+ fld AS (SELECT 0 AS layer, i, j, CASE WHEN ins THEN -1e0 ELSE 1e0 END AS d FROM msk)"""
 
 
 def _clipped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

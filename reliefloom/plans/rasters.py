@@ -34,11 +34,11 @@ def a05_decode_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add(f"""WITH RECURSIVE {{DEM}}, {VALUE}, f AS (SELECT 0 AS p, px, py, v, v IS NOT NULL AS settled FROM val
  UNION ALL SELECT p + 1, x, y, CASE WHEN own THEN self WHEN k > 0 THEN (acc / k)::FLOAT END, own OR k > 0 FROM (
    SELECT p, px + dx AS x, py + dy AS y, max(v) FILTER (WHERE dx = 0 AND dy = 0) AS self, bool_or(settled) FILTER (WHERE dx = 0 AND dy = 0) AS own, sum(v::DOUBLE) FILTER (WHERE settled AND (dx <> 0 OR dy <> 0)) AS acc, count(*) FILTER (WHERE settled AND (dx <> 0 OR dy <> 0)) AS k
-   FROM f, {SHIFTS} WHERE p < 8 GROUP BY p, px + dx, py + dy) WHERE own IS NOT NULL)
- SELECT px, py, round(coalesce(v, (SELECT avg(v::DOUBLE)::FLOAT FROM val))::DOUBLE, 4) + 0e0 AS v FROM f WHERE p = 8""")
+   FROM f, {SHIFTS} WHERE p < 64 GROUP BY p, px + dx, py + dy) WHERE own IS NOT NULL)
+ SELECT px, py, round(coalesce(v, (SELECT avg(v::DOUBLE)::FLOAT FROM val))::DOUBLE, 4) + 0e0 AS v FROM f WHERE p = 64""")
 def h01_inpaint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps filled in eight rings, then with the mean."""
-    return raster.inpainted(_values(spark, sf_dir), passes=8, size=64).select("px", "py", r4(F.col("v").cast("double")).alias("v"))
+    """Gaps filled ring by ring, up to 64 of them, then with the mean."""
+    return raster.inpainted(_values(spark, sf_dir)).select("px", "py", r4(F.col("v").cast("double")).alias("v"))
 
 
 @REG.add(f"""WITH RECURSIVE {{DEM}}, {VALUE}, f AS (SELECT 0 AS p, px, py, coalesce(v, 0)::FLOAT AS v FROM val
@@ -51,6 +51,26 @@ def h07_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.smoothed(nodes, 3, size=64).select("px", "py", (F.round(F.col("v").cast("double"), 3) + 0.0).alias("v"))
 
 
+#: The pixels as three rasters: as they are, higher and with more gaps, and without a column of 25 in 50.
+MODELS = """mdl AS (SELECT m AS model_id, px, py, CASE WHEN m = 1 AND px % 7 = 3 THEN NULL ELSE v + m * 100 END AS v FROM val, (SELECT unnest(range(0, 3)) AS m) WHERE m <> 2 OR px % 50 < 25)"""
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("model_id")
+    v = _values(spark, sf_dir).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("model_id"), "*").filter((m != 2) | (F.col("px") % 50 < 25))
+    return v.withColumn("v", F.when((m == 1) & (F.col("px") % 7 == 3), None).otherwise(F.col("v") + (m * 100).cast("float")))
+
+
+@REG.add(f"""WITH RECURSIVE {{DEM}}, {VALUE}, {MODELS}, f AS (SELECT 0 AS p, model_id, px, py, v, v IS NOT NULL AS settled FROM mdl
+ UNION ALL SELECT p + 1, model_id, x, y, CASE WHEN own THEN self WHEN k > 0 THEN (acc / k)::FLOAT END, own OR k > 0 FROM (
+   SELECT p, model_id, px + dx AS x, py + dy AS y, max(v) FILTER (WHERE dx = 0 AND dy = 0) AS self, bool_or(settled) FILTER (WHERE dx = 0 AND dy = 0) AS own, sum(v::DOUBLE) FILTER (WHERE settled AND (dx <> 0 OR dy <> 0)) AS acc, count(*) FILTER (WHERE settled AND (dx <> 0 OR dy <> 0)) AS k
+   FROM f, {SHIFTS} WHERE p < 2 GROUP BY p, model_id, px + dx, py + dy) WHERE own IS NOT NULL), mn AS (SELECT model_id, avg(v::DOUBLE)::FLOAT AS mean FROM mdl GROUP BY model_id)
+ SELECT model_id, px, py, round(coalesce(v, mean)::DOUBLE, 4) + 0e0 AS v FROM f JOIN mn USING (model_id) WHERE p = 2""")
+def h01_inpaint_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rasters of one table: each is filled from its own pixels, in two rings, then with its own mean."""
+    return raster.inpainted(_models(spark, sf_dir), passes=2, size=64).select("model_id", "px", "py", r4(F.col("v").cast("double")).alias("v"))
+
+
 @REG.add(f"WITH {{DEM}}, {VALUE} SELECT count(*) AS pixels, count(*) FILTER (WHERE v IS NULL) AS repaired, count(*) FILTER (WHERE v IS NULL) > 0.25e0 * count(*) AS sparse, coalesce(min(v), 0)::DOUBLE AS min_m, coalesce(max(v), 0)::DOUBLE AS max_m FROM val")
 def e05_raster_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extremes, and how much had to be repaired."""
