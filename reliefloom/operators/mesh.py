@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 # Fixed values.
 WELD_MM = 1e-5
 DEGENERATE_MM4 = 1e-12
 
+FOLDED = 64
+
 
 def ring_node(k: Column, cols: Column, rows: Column) -> tuple[Column, Column]:
     """Column and row of the k-th node around a grid, counter-clockwise from the south-west corner."""
@@ -170,6 +174,60 @@ def subdivided(triangles: DataFrame, vertices: DataFrame) -> tuple[DataFrame, Da
     return out, vertices.unionByName(new)
 
 
+def fans(triangles: DataFrame) -> DataFrame:
+    """model_id, tid, n, v, fan: for each corner, the fan of triangles around its vertex that it belongs to.
+
+    The two others of a triangle are neighbours around its corner; a fan is a component of them, named by its
+    least one. Around most vertices that is a fold over a few triangles; a vertex of more than FOLDED triangles
+    is solved in rounds over all tasks.
+    """
+    spot = lambda v, p, q: F.struct(F.col(v).alias("v"), F.col(p).alias("p"), F.col(q).alias("q"))
+    corners = cut(triangles.select("model_id", "tid", F.posexplode(F.array(spot("a", "b", "c"), spot("b", "c", "a"), spot("c", "a", "b"))).alias("n", "s")).select("model_id", "tid", "n", "s.v", "s.p", "s.q"))
+    many = cut(corners.groupBy("model_id", "v").count().filter(F.col("count") > FOLDED).select("model_id", "v"))
+    pairs = corners.join(many, ["model_id", "v"], "left_anti").groupBy("model_id", "v").agg(F.collect_list(F.array("p", "q")).alias("links"))
+    meets = lambda link: lambda group: F.arrays_overlap(group, link)
+    merge = lambda groups, link: F.concat(F.filter(groups, lambda g: ~meets(link)(g)), F.array(F.array_distinct(F.concat(link, F.flatten(F.filter(groups, meets(link)))))))
+    groups = pairs.select("model_id", "v", F.explode(F.aggregate("links", F.array().cast("array<array<bigint>>"), merge)).alias("g"))
+    at = groups.select("model_id", "v", F.explode("g").alias("x"), F.array_min("g").alias("low"))
+    if not many.isEmpty():
+        at = at.unionByName(_wide_fans(corners.join(many, ["model_id", "v"], "left_semi")))
+    return corners.join(at.select("model_id", "v", F.col("x").alias("p"), F.col("low").alias("fan")), ["model_id", "v", "p"]).select("model_id", "tid", "n", "v", "fan")
+
+
+def _wide_fans(corners: DataFrame) -> DataFrame:
+    """model_id, v, x, low: each neighbour takes the least number among its neighbours, then that one's number.
+
+    Rounds grow with the logarithm of the number of neighbours.
+    """
+    both = lambda p, q: F.struct(F.col(p).alias("x"), F.col(q).alias("y"))
+    links = cut(corners.select("model_id", "v", F.explode(F.array(both("p", "q"), both("q", "p"))).alias("l")).select("model_id", "v", "l.x", "l.y"))
+    at = cut(links.groupBy("model_id", "v", "x").agg(F.least(F.min("x"), F.min("y")).alias("low")))
+    while True:
+        near = links.join(at.select("model_id", "v", F.col("x").alias("y"), F.col("low").alias("other")), ["model_id", "v", "y"]).groupBy("model_id", "v", "x").agg(F.min("other").alias("other"))
+        near = at.join(near, ["model_id", "v", "x"]).select("model_id", "v", "x", F.col("low").alias("was"), F.least("low", "other").alias("low"))
+        jump = at.select("model_id", "v", F.col("x").alias("low"), F.col("low").alias("further"))
+        new = cut(near.join(jump, ["model_id", "v", "low"]).select("model_id", "v", "x", F.least("low", "further").alias("low"), (F.least("low", "further") < F.col("was")).alias("moved")))
+        at = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            return at
+
+
+def bowties_split(triangles: DataFrame, vertices: DataFrame, corners: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A vertex where several fans of triangles meet becomes one for each: the first fan keeps it, others get copies.
+
+    A copy is numbered after all vertices by the first corner (tid, place) of its fan. `corners` are the `fans`, if known.
+    """
+    top = vertices.groupBy("model_id").agg((F.max("vid") + 1).alias("top"))  # a row for each model
+    corners = cut(fans(triangles)) if corners is None else corners
+    each = corners.groupBy("model_id", "v", "fan").agg(F.min(F.col("tid") * 3 + F.col("n")).alias("first"))
+    many = each.groupBy("model_id", "v").agg(F.min("first").alias("keeper"), F.count("*").alias("fans")).filter("fans > 1")
+    copies = cut(each.join(many, ["model_id", "v"]).filter("first > keeper").join(top, "model_id").select("model_id", "v", "fan", (F.col("top") + F.col("first")).alias("copy")))
+    now = corners.join(copies, ["model_id", "v", "fan"], "left").withColumn("v", F.coalesce("copy", "v"))
+    t = now.groupBy("model_id", "tid").agg(*(F.max(F.when(F.col("n") == k, F.col("v"))).alias(c) for k, c in enumerate("abc")))
+    new = vertices.join(copies.withColumnRenamed("v", "vid"), ["model_id", "vid"]).select("model_id", F.col("copy").alias("vid"), "x", "y", "z")
+    return t, vertices.unionByName(new)
+
+
 def longest_edge(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     c = F.col
     d = lambda u, v: F.sqrt(sum(((c(f"{u}{k}") - c(f"{v}{k}")) * (c(f"{u}{k}") - c(f"{v}{k}")) for k in "xyz"), F.lit(0.0)))

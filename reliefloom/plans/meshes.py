@@ -164,6 +164,22 @@ def i04_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("vid", *(r4(F.col(c).cast("double")).alias(c) for c in "xyz"))
 
 
+@REG.add(f"WITH {{DEM}}, {SOLID} SELECT vid - 4 AS vid, 2::BIGINT AS fans, 0::BIGINT AS fans_left, (SELECT count(*) FROM vert)::BIGINT AS vertices FROM top WHERE i % 10 = 5 AND j % 2 = 0")
+def i05_bowties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solid with vertices pinched together in pairs: where two fans meet, and what is left after they are parted."""
+    v, t = map(cut, _solid(spark, sf_dir))
+    nodes = _values(spark, sf_dir).filter("px % 10 = 5 AND py % 2 = 0").select((F.col("py") * 100 + F.col("px")).alias("vid"))  # 100 columns a row
+    for c in "abc":
+        t = t.join(nodes.select(F.col("vid").alias(c), F.lit(4).alias("back")), c, "left").withColumn(c, F.col(c) - F.coalesce("back", F.lit(0))).drop("back")
+    t, left = cut(t), v.join(nodes, "vid", "left_anti")
+    count = lambda x: x.select("model_id", "v", "fan").distinct().groupBy("v").agg(F.count("*").alias("fans")).filter("fans > 1")
+    corners = cut(mesh.fans(t))
+    t2, v2 = map(cut, mesh.bowties_split(t, left, corners))
+    rest = count(mesh.fans(t2)).select(F.col("v").alias("vid"), F.col("fans").alias("fans_left"))
+    found = count(corners).withColumnRenamed("v", "vid").join(rest, "vid", "left").withColumn("fans_left", F.coalesce("fans_left", F.lit(0).cast("long")))
+    return found.crossJoin(F.broadcast(v2.agg(F.count("*").alias("vertices"))))  # one row
+
+
 @REG.add(f"WITH {{DEM}}, {SOLID} SELECT count(*) AS triangles, (84 + 50 * count(*))::BIGINT AS bytes, count(*) AS read_back FROM tri")
 def a09_stl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The solid as binary STL, and the count read from its head."""

@@ -299,3 +299,30 @@ def test_unknown_area_and_tile_address(spark):
     with pytest.raises(Exception, match="Unknown area: atlantis"):
         settings.with_area(spark.createDataFrame([("atlantis",)], "area string")).collect()
     assert one(spark, settings.tile_url(F.lit("u/{z}/{x}/{y}?{x}"), F.lit(3), F.lit(1), F.lit(2))) == "u/3/1/2?{x}"
+
+
+def test_two_models_do_not_mix(spark):
+    from reliefloom.operators import ribbon
+
+    p = spark.createDataFrame([(m, x, y, None if (x, y) == (1, 1) else float(10 * m)) for m in (1, 2) for x in range(3) for y in range(3)], "model_id long, px long, py long, v float")
+    assert {(r.model_id, r.v) for r in raster.inpainted(p, 2, size=16).collect()} == {(1, 10.0), (2, 20.0)}
+    at = spark.createDataFrame([(m, 7, 0.5, 0.5) for m in (1, 2)], "model_id long, id long, x double, y double")
+    assert {(r.model_id, r.v) for r in raster.box_mean(at, p, 1).collect()} == {(1, 10.0), (2, 20.0)}
+    s = spark.createDataFrame([(1, 0.0, 0.0, 40.0, 0.0, 5.0), (2, 0.0, 0.0, 0.0, 80.0, 5.0)], "model_id long, ax double, ay double, bx double, by double, half_m double")
+    c = lines.contour(lines.distance_field(s, 5.0, 2.5), 5.0, 2.5)
+    r = rings.chained(c, 2.5)
+    length = {x.model_id: x.area for x in rings.measured(r).collect()}
+    assert r.select("model_id", "ring").distinct().count() == 2 and length[1] < 480 < length[2]
+    assert [x.seq for x in r.filter("model_id = 1").orderBy("seq").collect()] == list(range(r.filter("model_id = 1").count()))
+    v, t = ribbon.network(s, 2.5)
+    assert all(x.open_edges > 0 for x in mesh.edge_faults(t).collect()) and v.select("model_id").distinct().count() == 2
+
+
+def test_pinched_vertices_are_parted(spark):
+    wheel = lambda hub, first, n: [(0, first + k, hub, first + k, first + (k + 1) % n) for k in range(n)]
+    t = spark.createDataFrame(wheel(0, 1, 70) + wheel(0, 100, 4) + wheel(500, 501, 5) + wheel(500, 601, 6), "model_id int, tid long, a long, b long, c long")
+    v = spark.createDataFrame([(0, n, float(n), 0.0, 0.0) for n in (0, 500, *range(1, 71), *range(100, 104), *range(501, 506), *range(601, 607))], "model_id int, vid long, x double, y double, z double")
+    t2, v2 = mesh.bowties_split(t, v)
+    hubs = t2.groupBy("a").count().collect()
+    assert sorted(r["count"] for r in hubs) == [4, 5, 6, 70] and {0, 500} < {r.a for r in hubs}
+    assert v2.count() == v.count() + 2 and mesh.fans(t2).select("v", "fan").distinct().count() == v2.count()
