@@ -46,6 +46,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed_columns(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... in their order, and the new name of each old one: no name of the user's can clash with one of ours.
+
+    The result of what is then done goes back to the user's names with toDF(*docs.columns).
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle of rows that Python will work on."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -158,16 +158,19 @@ def _lettered(texts: list[str | None]) -> np.ndarray:
     return np.array([t is not None and bool(ASCII_LETTER.search(t) or LETTER.search(t)) for t in texts], bool)
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with `lang_pred`, `lang_score`, `lang_ambiguous`."""
-    docs = docs.drop("lang_pred", "lang_score", "lang_ambiguous")
+def identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """docs with `lang_pred`, `lang_score`, `lang_ambiguous`, by the column named in `text`; a table must not have these already."""
+    taken = {"lang_pred", "lang_score", "lang_ambiguous"} & {c.lower() for c in docs.columns}
+    if taken:
+        raise ValueError(f"the table has columns {sorted(taken)}: rename them, or see common.placed_columns")
+    place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features and bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            column = b.column("text")
+            column = b.column(place)
             for at, texts in text_slices(column):
                 real = _lettered(column.slice(at, len(texts)).to_pylist())
                 if model is None:

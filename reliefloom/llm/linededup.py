@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, parallelism, shared_dir, written
+from .common import ASCII_SPACE, ascii_lower, parallelism, placed_columns, shared_dir, written
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -136,11 +136,13 @@ def _kept_lines(text: Column, lost: Column, least_chars: int) -> Column:
 
 def without_repeats(docs: DataFrame, **limits: int) -> DataFrame:
     """docs with the repeated lines taken out of `text`; all columns are kept."""
-    mine = dropped_hashes(docs.select(F.col("doc_id").cast("long"), "text"), **limits).select(F.col("doc_id").alias("_lost_id"), F.col("lost").alias("_lost"))
-    kept = _kept_lines(F.col("text"), F.col("_lost"), limits.get("least_chars", LEAST_CHARS))
-    joined = docs.join(mine, F.col("doc_id") == F.col("_lost_id"), "left")
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    mine = dropped_hashes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), **limits).toDF("lost_id", "lost")
+    rows, at = placed_columns(docs)
+    text = F.col(at["text"])
+    kept = _kept_lines(text, F.col("lost"), limits.get("least_chars", LEAST_CHARS))
+    joined = rows.join(mine, F.col(at["doc_id"]) == F.col("lost_id"), "left")
+    text = F.when(F.col("lost").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*(text.alias(c) if c == at["text"] else F.col(c) for c in rows.columns)).toDF(*docs.columns)
 
 
 def line_digests(docs: DataFrame, **limits: int) -> DataFrame:

@@ -41,7 +41,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.predictions(table(spark, sf_dir, "documents")).drop("ambiguous")
+    return langid.predictions(table(spark, sf_dir, "documents"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

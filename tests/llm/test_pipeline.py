@@ -41,3 +41,29 @@ def test_stages_take_empty_tables(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Columns that operators use themselves, dots, repeated rows, ties, a very long text and rows without doc_id."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    known = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table.collect()]
+    line = "This very line stands in several documents here."
+    long = " ".join(f"longest{i}" for i in range(60_000))
+    more = [(10**6, f"{line}\nand one more", "en", "s", 1), (10**6, f"{line}\nand one more", "en", "s", 1), (10**6 + 1, line, "en", "s", 1), (10**6 + 2, f"{line}\nown", "en", "s", 1), (10**6 + 3, long, "en", "s", 1), (None, f"{line}\nunnamed", "en", "s", 1)]
+    names = ["_lost", "lost", "_lost_id", "lost_id", "a.b", "lang_pred", "lang_score", "c0", "gone", "kept", "bad_id", "text_hash", "component_id"]
+    wide = spark.createDataFrame([(*r, *(f"{n} {r[0]}" for n in names)) for r in known + more], table.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", " + ", ".join(f"`{n}` string" for n in names))
+    plain = wide.select(*table.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide, plain = stage(spark, wide, sf), stage(spark, plain, sf)
+        assert wide.columns == [*table.columns, *names]
+        got = sorted((tuple(r) for r in wide.collect()), key=str)
+        assert sorted((r[:5] for r in got), key=str) == sorted((tuple(r) for r in plain.collect()), key=str), name
+        assert all(v == f"{n} {r[0]}" for r in got for n, v in zip(names, r[5:])), name
+        ids = [r[0] for r in got]
+        assert None in ids and 10**6 + 3 in ids
+        if name == "language identification":
+            assert ids.count(10**6) == 2
+        if name == "line dedup":
+            texts = {r[0]: r[1] for r in got}
+            assert texts[10**6] == "and one more" and texts[10**6 + 1] == "" and texts[10**6 + 2] == f"{line}\nown" and texts[None] == f"{line}\nunnamed"
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf).count() == len(got)
