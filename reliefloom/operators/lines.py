@@ -18,6 +18,9 @@ COVERAGE_LIMIT = 0.25
 BUCKETS_PER_MM = 20
 TRIANGLES_PER_POINT = 4
 
+TILE = 64  # nodes along each side of a tile that bands are cut to
+DEAL = 8  # tasks for each shuffle partition that make a field's nodes
+
 
 def segments(points: DataFrame) -> DataFrame:
     """line_id, seq, ax, ay, bx, by: consecutive points of each line (line_id, seq, x, y and what else is there)."""
@@ -118,30 +121,65 @@ def inside_mask(spans: DataFrame, x0: float, step: float, cols: int) -> DataFram
     return spans.withColumns({"lo": lo, "hi": hi}).filter("lo <= hi").select("key", "j", F.explode(F.sequence("lo", "hi")).alias("i")).distinct()
 
 
+def band_strips(segs: DataFrame, half_width_m: float | Column, cell_m: float) -> DataFrame:
+    """[model_id,] ax, ay, bx, by, band, j0, j1, i0, i1: the part of each segment's band in each tile of the grid.
+
+    A strip has TILE x TILE nodes at most, however long the segment is and however wide its band.
+    """
+    m, c = model(segs), F.col
+    s = segs.select(*m, "ax", "ay", "bx", "by", (F.lit(half_width_m) + 2 * cell_m).alias("band"))
+    s = s.withColumns({"j0": F.floor((F.least("ay", "by") - c("band")) / cell_m), "j1": F.ceil((F.greatest("ay", "by") + c("band")) / cell_m)})
+    tile = lambda v: F.floor(v / TILE)
+    s = s.select("*", F.explode(F.sequence(tile(c("j0")), tile(c("j1")))).alias("tj"))
+    # the piece of the segment that is within the band of the tiles of this row: t from t0 to t1
+    low, high = c("tj") * (TILE * cell_m) - c("band"), (c("tj") * TILE + (TILE - 1)) * cell_m + c("band")
+    p, q = (F.coalesce(F.try_divide(y - c("ay"), c("by") - c("ay")), F.lit(v)) for y, v in ((low, 0.0), (high, 1.0)))
+    s = s.withColumns({"t0": F.greatest(F.lit(0.0), F.least(p, q)), "t1": F.least(F.lit(1.0), F.greatest(p, q))}).filter("t0 <= t1")
+    s = s.withColumns({"x0": c("ax") + (c("bx") - c("ax")) * c("t0"), "x1": c("ax") + (c("bx") - c("ax")) * c("t1")})
+    first, last = tile((F.least("x0", "x1") - c("band")) / cell_m), tile(F.ceil((F.greatest("x0", "x1") + c("band")) / cell_m))
+    s = s.select("*", F.explode(F.sequence(first, last)).alias("ti"))
+    ends = [F.greatest("j0", c("tj") * TILE).alias("j0"), F.least("j1", c("tj") * TILE + (TILE - 1)).alias("j1"), (c("ti") * TILE).alias("i0"), (c("ti") * TILE + (TILE - 1)).alias("i1")]
+    return s.select(*m, "ax", "ay", "bx", "by", "band", *ends)
+
+
 def distance_field(segs: DataFrame, half_width_m: float | Column, cell_m: float) -> DataFrame:
-    """[model_id,] i, j, d: least distance of each grid node to a segment of its model, for nodes within the band; others are absent."""
-    m = model(segs)
-    segs = segs.select(*m, "ax", "ay", "bx", "by", (F.lit(half_width_m) + 2 * cell_m).alias("band"))
-    c = F.col
-    band = c("band")
-    rows = F.sequence(F.floor((F.least("ay", "by") - band) / cell_m), F.ceil((F.greatest("ay", "by") + band) / cell_m))
-    each = segs.select("*", F.explode(rows).alias("j"))
-    # in a row, only nodes within the band of the whole line, so that long slanted segments don't fill their boxes
+    """[model_id,] i, j, d: least distance of each grid node to a segment of its model, for nodes within the band; others are absent.
+
+    Strips, of bounded work each, are dealt evenly over DEAL tasks for each shuffle partition before their nodes are
+    made; no key decides where they go, so a crowded place is shared too.
+    """
+    m, c = model(segs), F.col
+    tasks = DEAL * int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strips = band_strips(segs, half_width_m, cell_m)
     dx, dy = c("bx") - c("ax"), c("by") - c("ay")
-    middle, reach = c("ax") + F.try_divide((c("j") * cell_m - c("ay")) * dx, dy), F.try_divide(band * geo.hypot(dx, dy), F.abs(dy))
-    low, high = F.least("ax", "bx") - band, F.greatest("ax", "bx") + band
-    each = each.withColumns({"lo": F.floor(F.greatest(low, middle - reach) / cell_m), "hi": F.ceil(F.least(high, middle + reach) / cell_m)}).filter("lo <= hi")
-    each = each.select(*m, "ax", "ay", "bx", "by", "band", "j", F.explode(F.sequence("lo", "hi")).alias("i"))
-    d = geo.point_to_segment(c("i") * cell_m, c("j") * cell_m, c("ax"), c("ay"), c("bx"), c("by"))
-    return each.select(*m, "i", "j", "band", d.alias("d")).filter(c("d") <= band).groupBy(*m, "i", "j").agg(F.min("d").alias("d"))
+    square = dx * dx + dy * dy
+    # what is the same in all rows of a strip is worked out before they are made: the loop over nodes stays small enough to be compiled
+    once = {"dx": dx, "dy": dy, "per_square": F.coalesce(F.try_divide(F.lit(1.0), square), F.lit(0.0)), "slope": F.try_divide(dx, dy), "reach": F.try_divide(c("band") * F.sqrt(square), F.abs(dy)),
+            "low": F.least("ax", "bx") - c("band"), "high": F.greatest("ax", "bx") + c("band"), "most": c("band") * c("band")}
+    dealt = strips.withColumns(once).drop("bx", "by", "band").repartition(tasks, F.xxhash64(*strips.columns))
+    each = dealt.select("*", F.explode(F.sequence("j0", "j1")).alias("j")).withColumn("y", c("j") * cell_m - c("ay"))
+    # in a row, only nodes within the band of the whole line, so that slanted segments don't fill their tiles
+    middle = c("ax") + c("y") * c("slope")
+    lo, hi = F.floor(F.greatest(c("low"), middle - c("reach")) / cell_m), F.ceil(F.least(c("high"), middle + c("reach")) / cell_m)
+    each = each.select(*m, "j", "ax", "y", "dx", "dy", "per_square", "most", (c("y") * c("dy")).alias("along"), F.greatest("i0", lo).alias("lo"), F.least("i1", hi).alias("hi")).filter("lo <= hi")
+    each = each.select(*m, "j", "ax", "y", "dx", "dy", "per_square", "most", "along", F.explode(F.sequence("lo", "hi")).alias("i")).withColumn("x", c("i") * cell_m - c("ax"))
+    each = each.withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("x") * c("dx") + c("along")) * c("per_square"))))
+    off_x, off_y = c("x") - c("t") * c("dx"), c("y") - c("t") * c("dy")
+    near = each.select(*m, "i", "j", "most", (off_x * off_x + off_y * off_y).alias("d2")).filter(c("d2") <= c("most"))
+    return near.groupBy(*m, "i", "j").agg(F.sqrt(F.min("d2")).alias("d"))
 
 
 def within(field: DataFrame, spans: DataFrame, cell_m: float) -> DataFrame:
-    """The nodes of a field that lie in the spans ([model_id,] j, x_from, x_to) of a selection, one row each."""
-    s = spans.select(*(F.col(k).alias(f"s_{k}") for k in [*model(spans), "j"]), "x_from", "x_to")
+    """The nodes of a field that lie in the spans ([model_id,] j, x_from, x_to) of a selection, one row each.
+
+    Spans are cut to blocks of TILE columns: the join is one on (row, block), with the ends tested only inside a block.
+    """
+    m = model(spans)
+    block = lambda x: F.floor(x / (cell_m * TILE))
+    s = spans.filter("x_from <= x_to").select(*(F.col(k).alias(f"s_{k}") for k in [*m, "j"]), "x_from", "x_to", F.explode(F.sequence(block(F.col("x_from")), block(F.col("x_to")))).alias("s_block"))
     x = F.col("i") * cell_m
-    on = (x >= F.col("x_from")) & (x <= F.col("x_to"))
-    for k in [*model(spans), "j"]:
+    on = (block(x) == F.col("s_block")) & (x >= F.col("x_from")) & (x <= F.col("x_to"))
+    for k in [*m, "j"]:
         on = on & (F.col(k) == F.col(f"s_{k}"))
     return field.join(s, on, "left_semi")
 

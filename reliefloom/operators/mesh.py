@@ -6,6 +6,10 @@ Checks are aggregations over edges and corners, so one mesh may be spread over a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from .lineage import cut
 WELD_MM = 1e-5
 DEGENERATE_MM4 = 1e-12
 
-FOLDED = 64
+WIDE = 1 << 20  # triangles around one vertex, beyond which tasks share it
 
 
 def ring_node(k: Column, cols: Column, rows: Column) -> tuple[Column, Column]:
@@ -134,7 +138,7 @@ def without_degenerates(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def repaired(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     """The audit of each model after welding, or after dropping degenerates too where that leaves fewer bad edges; `cleaned` says which."""
-    t, v = (x.persist() for x in welded(triangles, vertices))  # read by both audits
+    t, v = map(cut, welded(triangles, vertices))  # read by both audits
     clean = without_degenerates(t, v)
     bad = lambda x: F.col(f"{x}.open_edges") + F.col(f"{x}.non_manifold")
     both = audit(t, v).alias("w").join(audit(clean, v).alias("c"), "model_id")
@@ -174,24 +178,65 @@ def subdivided(triangles: DataFrame, vertices: DataFrame) -> tuple[DataFrame, Da
     return out, vertices.unionByName(new)
 
 
+def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, for links a-b among n nodes: least neighbours and jumps, for all components at once."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        least = np.minimum(low[a], low[b])
+        for at in (a, b, low[a], low[b]):
+            np.minimum.at(new, at, least)
+        new = np.minimum(new, new[new])
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _fans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Corners sorted by vertex, with their fans; vertices of one batch are solved together."""
+
+    def starts(t: pa.Table) -> np.ndarray:
+        m, v = t.column("model_id").to_numpy(), t.column("v").to_numpy()
+        return np.r_[True, (m[1:] != m[:-1]) | (v[1:] != v[:-1])]
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        group = starts(t).cumsum()
+        values, rank = np.unique(np.r_[t.column("p").to_numpy(), t.column("q").to_numpy()], return_inverse=True)
+        spots, at = np.unique(np.r_[group, group] * len(values) + rank, return_inverse=True)  # by vertex, then by neighbour
+        low = _components(at[: len(group)], at[len(group) :], len(spots))
+        fan = values[spots[low[at[: len(group)]]] % len(values)]
+        return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("model_id", "tid", "n", "v")), pa.array(fan)], names=["model_id", "tid", "n", "v", "fan"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        t = pa.Table.from_batches(held)
+        last = int(np.flatnonzero(starts(t))[-1]) if t.num_rows else 0
+        if last:  # the last vertex may go on in the next batch
+            yield solved(t.slice(0, last))
+            held = t.slice(last).combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield solved(pa.Table.from_batches(held))
+
+
 def fans(triangles: DataFrame) -> DataFrame:
     """model_id, tid, n, v, fan: for each corner, the fan of triangles around its vertex that it belongs to.
 
     The two others of a triangle are neighbours around its corner; a fan is a component of them, named by its
-    least one. Around most vertices that is a fold over a few triangles; a vertex of more than FOLDED triangles
-    is solved in rounds over all tasks.
+    least one. Vertices are dealt over tasks, and those of a batch are solved together with array operations; a vertex of
+    more than WIDE triangles is solved in rounds over all tasks.
     """
     spot = lambda v, p, q: F.struct(F.col(v).alias("v"), F.col(p).alias("p"), F.col(q).alias("q"))
     corners = cut(triangles.select("model_id", "tid", F.posexplode(F.array(spot("a", "b", "c"), spot("b", "c", "a"), spot("c", "a", "b"))).alias("n", "s")).select("model_id", "tid", "n", "s.v", "s.p", "s.q"))
-    many = cut(corners.groupBy("model_id", "v").count().filter(F.col("count") > FOLDED).select("model_id", "v"))
-    pairs = corners.join(many, ["model_id", "v"], "left_anti").groupBy("model_id", "v").agg(F.collect_list(F.array("p", "q")).alias("links"))
-    meets = lambda link: lambda group: F.arrays_overlap(group, link)
-    merge = lambda groups, link: F.concat(F.filter(groups, lambda g: ~meets(link)(g)), F.array(F.array_distinct(F.concat(link, F.flatten(F.filter(groups, meets(link)))))))
-    groups = pairs.select("model_id", "v", F.explode(F.aggregate("links", F.array().cast("array<array<bigint>>"), merge)).alias("g"))
-    at = groups.select("model_id", "v", F.explode("g").alias("x"), F.array_min("g").alias("low"))
-    if not many.isEmpty():
-        at = at.unionByName(_wide_fans(corners.join(many, ["model_id", "v"], "left_semi")))
-    return corners.join(at.select("model_id", "v", F.col("x").alias("p"), F.col("low").alias("fan")), ["model_id", "v", "p"]).select("model_id", "tid", "n", "v", "fan")
+    many = cut(corners.groupBy("model_id", "v").count().filter(F.col("count") > WIDE).select("model_id", "v"))
+    kind = dict(corners.dtypes)
+    schema = f"model_id {kind['model_id']}, tid {kind['tid']}, n int, v {kind['v']}, fan {kind['p']}"
+    if many.isEmpty():
+        return corners.repartition("model_id", "v").sortWithinPartitions("model_id", "v").mapInArrow(_fans_of, schema)
+    small = corners.join(many, ["model_id", "v"], "left_anti").repartition("model_id", "v").sortWithinPartitions("model_id", "v").mapInArrow(_fans_of, schema)
+    wide = corners.join(many, ["model_id", "v"], "left_semi")
+    at = _wide_fans(wide)
+    return small.unionByName(wide.join(at.select("model_id", "v", F.col("x").alias("p"), F.col("low").alias("fan")), ["model_id", "v", "p"]).select("model_id", "tid", "n", "v", "fan"))
 
 
 def _wide_fans(corners: DataFrame) -> DataFrame:

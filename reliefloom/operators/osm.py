@@ -6,12 +6,12 @@ relations.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
+from .chains import ranked_chains
+from .lineage import cut
 
 CLOSED_DEG = 1e-9
 RINGS = "array<array<struct<x: double, y: double>>>"
@@ -51,9 +51,8 @@ def routed(elements: DataFrame) -> DataFrame:
     relation = F.coalesce(F.col("type") == "relation", F.lit(False)) if whole else F.lit(False)
     other = F.coalesce(~F.col("type").isin("way", "relation"), F.lit(False)) if whole else F.lit(False)
     if whole:
-        w = w.withColumn("rings", F.udf(_relation_rings, f"struct<outers: {RINGS}, inners: {RINGS}>")(F.when(relation & ~untagged & F.col("kind").isNotNull(), F.col("members"))))
-        w = w.select("*", F.posexplode_outer("rings.outers").alias("part", "outer")).withColumns({"part": F.coalesce("part", F.lit(0)), "inners": F.col("rings.inners")})
-        w = w.withColumn("points", F.when(relation, F.concat("outer", F.slice("outer", 1, 1))).otherwise(F.col("points"))).drop("rings", "outer")
+        w = _with_rings(w, relation & ~untagged & F.col("kind").isNotNull())
+        w = w.withColumn("points", F.when(relation, F.concat("outer", F.slice("outer", 1, 1))).otherwise(F.col("points"))).drop("outer")
     else:
         w = w.withColumns({"part": F.lit(0), "inners": F.lit(None).cast(RINGS)})
     w = w.withColumn("inners", F.coalesce("inners", F.array().cast(RINGS)))
@@ -64,66 +63,62 @@ def routed(elements: DataFrame) -> DataFrame:
     return w.withColumn("route", route)
 
 
-def _joined(fragments: list[np.ndarray]) -> list[np.ndarray]:
-    """Rings from fragments, greedily by their ends."""
-    rings, free = [], list(range(len(fragments)))
-    while free:
-        ring = fragments[free.pop(0)]
-        while not (len(ring) >= 4 and (np.abs(ring[0] - ring[-1]) < CLOSED_DEG).all()):
-            for at, k in enumerate(free):
-                f = fragments[k]
-                if np.hypot(*(f[0] - ring[-1])) < CLOSED_DEG:
-                    ring = np.concatenate([ring, f[1:]])
-                elif np.hypot(*(f[-1] - ring[-1])) < CLOSED_DEG:
-                    ring = np.concatenate([ring, f[-2::-1]])
-                else:
-                    continue
-                free.pop(at)
-                break
-            else:
-                break
-        if len(ring) >= 4 and (np.abs(ring[0] - ring[-1]) < CLOSED_DEG).all():
-            ring = ring[:-1]
-        if len(ring) >= 3:
-            rings.append(ring)
-    return rings
-
-
-def _relation_rings(members):
-    """The outer and inner rings of one relation's way members; null without members."""
-    if members is None:
-        return None
-    ways = [(m["role"], m["geometry"]) for m in members if m is not None and m["type"] == "way"]
-
-    def rings(*roles: str) -> list:
-        parts = []
-        for role, geometry in ways:
-            if role in roles:
-                p = np.array([(v["lon"], v["lat"]) for v in geometry or () if v is not None and v["lon"] is not None and v["lat"] is not None], float).reshape(-1, 2)
-                parts.append(p[np.isfinite(p).all(axis=1)])
-        return [[(float(x), float(y)) for x, y in ring] for ring in _joined([p for p in parts if len(p) >= 2])]
-
-    return rings("outer", ""), rings("inner")
+def _with_rings(elements: DataFrame, relation: Column) -> DataFrame:
+    """elements, a relation once for each of its outer rings: `part`, `outer`, and `inners`, all of its inner rings."""
+    some = F.coalesce(relation, F.lit(False))
+    rels = cut(elements.filter(some).withColumn("_row", F.monotonically_increasing_id()))
+    m = rels.select("_row", F.posexplode("members").alias("ord", "m")).filter("m.type = 'way'")
+    v = m.select("_row", "ord", F.coalesce("m.role", F.lit("?")).alias("role"), F.posexplode("m.geometry").alias("seq", "g")).select(F.col("_row").alias("rel_id"), "ord", "role", "seq", F.col("g.lon").alias("x"), F.col("g.lat").alias("y"))
+    ring = assembled_rings(v).groupBy("rel_id", "role", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("ring", "points")))), lambda r: r["points"])
+    found = ring.groupBy("rel_id").agg(of("outer").alias("outers"), of("inner").alias("inners"))
+    joined = rels.join(found, F.col("_row") == F.col("rel_id"), "left").drop("rel_id", "_row")
+    each = joined.select("*", F.posexplode_outer("outers").alias("part", "outer")).withColumn("part", F.coalesce("part", F.lit(0))).drop("outers")
+    none = {"part": F.lit(0), "outer": F.lit(None).cast(each.schema["outer"].dataType), "inners": F.lit(None).cast(each.schema["inners"].dataType)}
+    return elements.filter(~some).withColumns(none).unionByName(each)
 
 
 def assembled_rings(members: DataFrame) -> DataFrame:
-    """rel_id, role, ring, seq, x, y: fragments of each relation joined into rings, greedily by their ends.
+    """rel_id, role, ring, seq, x, y: fragments of each relation joined into rings by their ends.
 
-    Input: rel_id, ord, role, seq, x, y, one row for each vertex. A relation is bounded by its members,
-    so each is chained in one task.
+    Input: rel_id, ord, role, seq, x, y, one row for each vertex; roles are outer (also ''), and inner. Where fragments meet, their
+    ends are paired in the order of the members. Walked from either side, fragments are links of a chain, which
+    is ordered by pointer doubling: a ring may have any number of members. A ring begins with its first member, as that
+    runs; rings are numbered in the order of these. A chain that does not close is a ring too, from end to end. Rings
+    of fewer than three points go, and so do fragments of fewer than two.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf["x"]) & np.isfinite(pdf["y"])].sort_values(["ord", "seq"])
-        out = []
-        for role in ("outer", "inner"):
-            mine = pdf[pdf["role"].isin(["outer", ""]) if role == "outer" else pdf["role"] == "inner"]
-            parts = [g[["x", "y"]].to_numpy(float) for _, g in mine.groupby("ord", sort=True) if len(g) >= 2]
-            for n, ring in enumerate(_joined(parts)):
-                out.append(pd.DataFrame({"rel_id": pdf["rel_id"].iloc[0], "role": role, "ring": n, "seq": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1]}))
-        return pd.concat(out) if out else pd.DataFrame({"rel_id": [], "role": [], "ring": [], "seq": [], "x": [], "y": []})
-
-    return members.groupBy("rel_id").applyInPandas(run, "rel_id long, role string, ring int, seq int, x double, y double")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    role = F.when(F.col("role").isin("outer", ""), "outer").when(F.col("role") == "inner", "inner")
+    points = members.filter(finite("x") & finite("y")).withColumn("role", role).filter("role IS NOT NULL")
+    model = [F.struct("rel_id", "role").alias("model_id")]
+    f = points.groupBy(*model, F.col("ord").cast("long").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ps"))
+    f = f.filter("size(ps) >= 2").withColumn("whole", is_closed(F.col("ps")))
+    f = cut(f)
+    key = lambda p: F.struct(F.floor(p["x"] / CLOSED_DEG + 0.5).alias("x"), F.floor(p["y"] / CLOSED_DEG + 0.5).alias("y"))
+    ends = f.filter("NOT whole").select("model_id", "ord", F.posexplode(F.array(key(F.element_at("ps", 1)), key(F.element_at("ps", -1)))).alias("end", "at"))
+    w = Window.partitionBy("model_id", "at").orderBy("ord", "end")
+    odd = F.row_number().over(w) % 2 == 1
+    other = lambda c: F.when(odd, F.lead(c).over(w)).otherwise(F.lag(c).over(w))
+    met = ends.select("model_id", "ord", "end", other("ord").alias("to"), other("end").alias("by"))
+    # a fragment walked forwards (ord * 2) leaves by its end 1, backwards (ord * 2 + 1) by its end 0; at a loose end the walk turns
+    link = F.coalesce(F.col("to") * 2 + F.col("by"), F.col("ord") * 2 + F.col("end"))
+    links = met.select("model_id", (F.col("ord") * 2 + 1 - F.col("end")).alias("id"), link.alias("next"), F.col("to").isNull().alias("loose"))
+    links = cut(links)
+    ranked = ranked_chains(links.select("model_id", "id", "next"), ["model_id"])
+    sized = Window.partitionBy("model_id", "ring")
+    turn = ranked.join(links.select("model_id", "id", "loose"), ["model_id", "id"]).withColumns({"last": F.min(F.when(F.col("loose"), F.col("seq"))).over(sized), "links": F.count("*").over(sized)})
+    # a closed chain is there twice, once each way; one with loose ends is there once, and back again
+    forward = F.when(F.col("last").isNull(), F.col("ring") % 2 == 0).otherwise((F.col("seq") <= F.col("last")) | (F.col("seq") > F.col("last") + F.col("links") / 2))
+    order = F.when(F.col("last").isNull(), F.col("seq")).otherwise((F.col("seq") + F.col("links") / 2 - F.col("last") - 1) % F.col("links"))
+    chains = turn.filter(forward).select("model_id", F.floor(F.col("ring") / 2).alias("first"), order.cast("long").alias("order"), F.floor(F.col("id") / 2).alias("ord"), (F.col("id") % 2 == 1).alias("back"))
+    alone = f.filter("whole").select("model_id", F.col("ord").alias("first"), F.lit(0).cast("long").alias("order"), "ord", F.lit(False).alias("back"))
+    each = chains.unionByName(alone).join(f.select("model_id", "ord", "ps"), ["model_id", "ord"])
+    run = F.when(F.col("back"), F.reverse("ps")).otherwise(F.col("ps"))
+    own = F.when(F.col("order") == 0, run).otherwise(F.slice(run, F.lit(2), F.size("ps") - 1))
+    rings = each.select("model_id", "first", "order", own.alias("ps")).groupBy("model_id", "first").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order", "ps"))), lambda x: x["ps"])).alias("ps"))
+    rings = rings.select("model_id", "first", open_ring(F.col("ps")).alias("ps")).filter("size(ps) >= 3")
+    rings = rings.withColumn("ring", (F.row_number().over(Window.partitionBy("model_id").orderBy("first")) - 1).cast("int"))
+    return rings.select("model_id.rel_id", "model_id.role", "ring", F.posexplode("ps").alias("seq", "p")).select("rel_id", "role", "ring", "seq", "p.x", "p.y")
 
 
 def enabled(features: DataFrame, settings: DataFrame) -> DataFrame:

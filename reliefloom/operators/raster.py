@@ -8,10 +8,11 @@ as wide as the number of passes makes blocks exact, whatever the raster's size.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,36 @@ def is_nodata(v: Column) -> Column:
     return v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v <= IMPLAUSIBLE_M)
 
 
+def mosaic(needed: DataFrame, tiles: DataFrame, tile_px: int, encoding: str = "terrarium") -> DataFrame:
+    """model_id, px, py, v: the pixels of the tiles (model_id, z, x, y) that each model needs, numbered over the world at their zoom.
+
+    tiles: z, x, y and `rgb`, the raw bytes of a tile, row by row from the north. A tile that the store lacks, or whose bytes
+    are not a whole tile, is pixels without data; so is each pixel without a plausible elevation.
+    """
+    joined = needed.select("model_id", "z", "x", "y").join(tiles.select("z", "x", "y", "rgb"), ["z", "x", "y"], "left")
+    kind = dict(needed.dtypes)["model_id"]
+    whole = tile_px * tile_px
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(whole)
+        for b in batches:
+            for n in range(b.num_rows):
+                raw = b.column("rgb")[n].as_py()
+                if raw is None or len(raw) != 3 * whole:
+                    v = pa.nulls(whole, pa.float32())
+                else:
+                    c = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.float64)
+                    height = (c[:, 0] * 256 + c[:, 1] + c[:, 2] / 256 - 32768 if encoding == "terrarium" else -10000 + (c[:, 0] * 65536 + c[:, 1] * 256 + c[:, 2]) * 0.1).astype(np.float32)
+                    v = pa.array(height, mask=height <= IMPLAUSIBLE_M)
+                model = b.column("model_id").slice(n, 1).take(pa.array(np.zeros(whole, np.int64)))
+                x, y = b.column("x")[n].as_py() * tile_px, b.column("y")[n].as_py() * tile_px
+                yield pa.RecordBatch.from_arrays([model, pa.array(x + at % tile_px), pa.array(y + at // tile_px), v], names=["model_id", "px", "py", "v"])
+
+    if encoding not in ("terrarium", "mapbox"):
+        raise ValueError(f"unknown encoding: {encoding}")
+    return joined.select("model_id", F.col("x").cast("long"), F.col("y").cast("long"), "rgb").mapInArrow(run, f"model_id {kind}, px long, py long, v float")
+
+
 def _blocks(df: DataFrame, size: int, halo: int) -> DataFrame:
     """df once for each block that needs the pixel: columns bx, by."""
     near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)))

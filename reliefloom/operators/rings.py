@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .chains import ranked_chains
 from .keys import model
 from .lineage import cut
+from .runs import RUN, State, by_length, folded
 from .surface import vertex_id
 
 KEY_CELLS = 1e-6
@@ -20,10 +24,8 @@ LEAST_AREA_CELLS = 4
 def chained(segments: DataFrame, cell_m: float) -> DataFrame:
     """[model_id,] ring, seq, x, y: closed chains of directed segments ([model_id,] i, j, x0, y0, x1, y1).
 
-    A segment's number is its cell and its place in it. Each segment knows its follower; by pointer
-    doubling it finds the least number on its chain and how far ahead that is, in a number of joins that
-    grows with the logarithm of the longest chain: the chain's order follows, and nobody walks it. Where
-    several segments leave a point, they follow in scan order, and each arriving segment takes its own.
+    A segment's number is its cell and its place in it. Each segment knows its follower, and the chain's order follows
+    from that. Where several segments leave a point, they follow in scan order, and each arriving segment takes its own.
     """
     m = model(segments)
     key = lambda c: F.floor(F.col(c) / (cell_m * KEY_CELLS) + 0.5)
@@ -34,71 +36,127 @@ def chained(segments: DataFrame, cell_m: float) -> DataFrame:
     s = cut(s.withColumn("id", vertex_id(place, F.col("j"), F.col("i"))))
     out = s.select(*m, F.col("ka").alias("p"), F.col("kb").alias("q"), F.row_number().over(Window.partitionBy(*m, "ka", "kb").orderBy(*scan)).alias("n"), F.col("id").alias("next"))
     into = s.select(*m, "id", F.col("kc").alias("p"), F.col("kd").alias("q"), F.row_number().over(Window.partitionBy(*m, "kc", "kd").orderBy(*scan)).alias("n"))
-    step = cut(into.join(out, [*m, "p", "q", "n"]).select(*m, "id", "next", F.col("id").alias("low"), F.lit(0).cast("long").alias("ahead")))
-    hops = 1
-    while True:
-        other = step.select(*m, F.col("id").alias("next"), F.col("next").alias("after"), F.col("low").alias("far"), F.col("ahead").alias("further"))
-        moved = F.col("far") < F.col("low")
-        new = cut(step.join(other, [*m, "next"]).select(*m, "id", F.col("after").alias("next"), F.least("low", "far").alias("low"), F.when(moved, F.col("further") + hops).otherwise(F.col("ahead")).alias("ahead"), moved.alias("moved")))
-        step, hops = new.drop("moved"), hops * 2
-        if new.filter("moved").isEmpty():
-            break
-    ring = step.select(*m, "id", F.col("low").alias("ring"), "ahead")
-    size = ring.groupBy(*m, "ring").agg(F.count("*").alias("size"))
-    named = s.select(*m, "id", "x0", "y0").join(ring, [*m, "id"]).join(size, [*m, "ring"])
-    return named.select(*m, "ring", ((F.col("size") - F.col("ahead")) % F.col("size")).alias("seq"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-
-
-def _point_to_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
-    d = b - a
-    square = float(d @ d)
-    t = min(1.0, max(0.0, float((p - a) @ d) / square)) if square else 0.0
-    return float(np.hypot(*(p - (a + t * d))))
+    ring = ranked_chains(into.join(out, [*m, "p", "q", "n"]).select(*m, "id", "next"), m)
+    return s.select(*m, "id", "x0", "y0").join(ring, [*m, "id"]).select(*m, "ring", "seq", F.col("x0").alias("x"), F.col("y0").alias("y"))
+
+
+def boundary_rings(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """model_id, ring, seq, vid, x, y: rings of a surface's directed boundary edges (model_id, u, v), the surface on their left.
+
+    Where several rings meet in a vertex, an edge that arrives goes on with the edge that is next clockwise, seen
+    from where it came: the surface lies between the two, so that each ring goes round one piece of it and never
+    crosses itself. Around a vertex this is an order by angle, not a pairing of all edges. A ring is named by its least
+    edge (u, v), which comes first.
+    """
+    at = lambda n: vertices.select("model_id", F.col("vid").alias(n), F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}"))
+    e = cut(edges.select("model_id", "u", "v").join(at("u"), ["model_id", "u"]).join(at("v"), ["model_id", "v"]))
+    angle = lambda a, b: F.atan2(F.col(f"y_{b}") - F.col(f"y_{a}"), F.col(f"x_{b}") - F.col(f"x_{a}"))
+    none = F.lit(None).cast(dict(e.dtypes)["u"])
+    leaving = e.select("model_id", F.col("u").alias("w"), angle("u", "v").alias("turn"), F.lit(0).alias("kind"), F.col("v").alias("to"), none.alias("came"))
+    coming = e.select("model_id", F.col("v").alias("w"), angle("v", "u").alias("turn"), F.lit(1).alias("kind"), none.alias("to"), F.col("u").alias("came"))
+    around = Window.partitionBy("model_id", "w")
+    before = F.last("to", ignorenulls=True).over(around.orderBy("turn", "kind", "to").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max_by("to", F.when(F.col("kind") == 0, F.struct("turn", "to"))).over(around)
+    met = leaving.unionByName(coming).select("model_id", "w", "kind", "came", F.coalesce(before, last).alias("go")).filter("kind = 1 AND go IS NOT NULL")
+    ring = ranked_chains(met.select("model_id", F.struct(F.col("came").alias("u"), F.col("w").alias("v")).alias("id"), F.struct(F.col("w").alias("u"), F.col("go").alias("v")).alias("next")), ["model_id"])
+    placed = ring.select("model_id", "ring", "seq", F.col("id.u").alias("u"))
+    return placed.join(at("u"), ["model_id", "u"]).select("model_id", "ring", "seq", F.col("u").alias("vid"), F.col("x_u").alias("x"), F.col("y_u").alias("y"))
+
+
+def _apart(pdf: pd.DataFrame, least: float, last: State) -> tuple[list[int], State]:
+    """Which points lie at least so far from the last one kept, and the last one kept."""
+    kept = []
+    for n, (x, y) in enumerate(zip(pdf["x"].to_numpy(), pdf["y"].to_numpy())):
+        if last is None or np.hypot(x - last[0], y - last[1]) >= least:
+            kept.append(n)
+            last = (x, y)
+    return kept, last
+
+
+def _bent(pdf: pd.DataFrame, least: float, last: State) -> tuple[list[int], State]:
+    """Which points lie at least so far off the straight line from the last one kept to the point after them (nx, ny)."""
+    kept = []
+    for n, (x, y, nx, ny) in enumerate(zip(*(pdf[c].to_numpy() for c in ("x", "y", "nx", "ny")))):
+        if last is None:  # a guess, until the run before has ended
+            kept.append(n)
+            last = (x, y)
+            continue
+        dx, dy = nx - last[0], ny - last[1]
+        square = dx * dx + dy * dy
+        t = min(1.0, max(0.0, ((x - last[0]) * dx + (y - last[1]) * dy) / square)) if square else 0.0
+        if np.hypot(x - (last[0] + t * dx), y - (last[1] + t * dy)) >= least:
+            kept.append(n)
+            last = (x, y)
+    return kept, last
+
+
+def _fold(rings: DataFrame, keys: list[str], order: str, least: float, judge: Callable, first: DataFrame | None = None) -> DataFrame:
+    """The points that `judge` keeps, walking along each ring; in runs where a ring is long."""
+    short, long = by_length(rings, keys, order, RUN)
+    names, state, given = rings.columns, "_sx double, _sy double", first is not None
+    if first is not None:
+        short = short.join(first, keys)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pdf.iloc[judge(pdf, least, (pdf["_sx"].iloc[0], pdf["_sy"].iloc[0]) if given else None)[0]][names]
+
+    out = short.groupBy(*keys).applyInPandas(whole, rings.schema)
+    if long is None:
+        return out
+    end = lambda pdf, last: judge(pdf, least, last)[1]
+    kept = lambda pdf, last: pdf.iloc[judge(pdf, least, last)[0]][names]
+    return out.unionByName(folded(long, keys, state, end, kept, rings.schema, first))
+
+
+def _numbered(points: DataFrame, keys: list[str]) -> DataFrame:
+    """points with `seq` numbered anew from 0: within runs of a ring, then over its runs."""
+    w = Window.partitionBy(*keys, "_run").orderBy("seq")
+    runs = points.withColumn("_run", F.floor(F.col("seq") / RUN))
+    sizes = runs.groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = runs.withColumn("_k", F.row_number().over(w)).join(sizes.select(*keys, "_run", before.alias("_before")), [*keys, "_run"])
+    return placed.withColumn("seq", F.col("_before") + F.col("_k") - 1).drop("_run", "_k", "_before")
+
+
+def _trimmed(points: DataFrame, keys: list[str], least: float, fewest: int) -> DataFrame:
+    """points (seq from 0) without those at the end that are too near the first; at least `fewest` stay."""
+    start = points.filter("seq = 0").select(*keys, F.col("x").alias("_fx"), F.col("y").alias("_fy"))
+    far = F.max(F.when(geo.hypot(F.col("x") - F.col("_fx"), F.col("y") - F.col("_fy")) >= least, F.col("seq")))
+    last = points.join(start, keys).groupBy(*keys).agg(F.greatest(F.coalesce(far, F.lit(0)), F.lit(fewest - 1)).alias("_last"))
+    return points.join(last, keys).filter("seq <= _last").drop("_last")
 
 
 def cleaned(rings: DataFrame, cell_m: float) -> DataFrame:
-    """Rings without near-repeated and nearly straight points; each is judged against the last point kept."""
-    names = [*model(rings), "ring", "seq", "x", "y"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        pts = pdf[["x", "y"]].to_numpy()
-        near, flat = cell_m * CLOSE_CELLS, cell_m * FLAT_CELLS
-        kept = [0]
-        for n in range(1, len(pts)):
-            if np.hypot(*(pts[n] - pts[kept[-1]])) >= near:
-                kept.append(n)
-        while len(kept) > 2 and np.hypot(*(pts[kept[0]] - pts[kept[-1]])) < near:
-            kept.pop()
-        if len(kept) < 3:
-            return pdf.iloc[:0][names]
-        out: list[int] = []
-        for n, k in enumerate(kept):
-            if _point_to_segment(pts[k], pts[out[-1] if out else kept[-1]], pts[kept[(n + 1) % len(kept)]]) >= flat:
-                out.append(k)
-        out = out if len(out) >= 3 else kept
-        return pdf.iloc[out].assign(seq=range(len(out)))[names]
-
-    return rings.groupBy(*model(rings), "ring").applyInPandas(run, rings.select(*names).schema)
+    """Rings without near-repeated and nearly straight points; each is judged against the last point kept.
+
+    Rings that come to fewer than three points go; one whose points are all nearly straight keeps them.
+    """
+    keys = [*model(rings), "ring"]
+    apart = _numbered(_fold(rings.select(*keys, "seq", "x", "y"), keys, "seq", cell_m * CLOSE_CELLS, _apart), keys)
+    apart = cut(_trimmed(apart, keys, cell_m * CLOSE_CELLS, 1))
+    size = apart.groupBy(*keys).agg(F.count("*").alias("_size"))
+    apart = apart.join(size.filter("_size >= 3"), keys)
+    after = apart.select(*keys, ((F.col("seq") - 1 + F.col("_size")) % F.col("_size")).alias("seq"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    closed = cut(apart.drop("_size").join(after, [*keys, "seq"]))
+    end = apart.filter("seq = _size - 1").select(*keys, F.col("x").alias("_sx"), F.col("y").alias("_sy"))
+    bent = cut(_fold(closed, keys, "seq", cell_m * FLAT_CELLS, _bent, cut(end)).select(*keys, "seq", "x", "y"))
+    enough = bent.groupBy(*keys).count().filter("count >= 3").select(*keys)
+    straight = closed.select(*keys, "seq", "x", "y").join(enough, keys, "left_anti")
+    out = bent.join(enough, keys, "left_semi").unionByName(straight)
+    return _numbered(out, keys).select(*keys, F.col("seq").cast(rings.schema["seq"].dataType).alias("seq"), "x", "y")
 
 
 def coarsened(rings: DataFrame, least_m: float) -> DataFrame:
-    """Rings whose points are at least so far apart; rings that would have fewer than three stay as they are."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        pts = pdf[["x", "y"]].to_numpy()
-        if len(pts) < 4:
-            return pdf
-        keep = [0]
-        for n in range(1, len(pts)):
-            if np.hypot(*(pts[n] - pts[keep[-1]])) >= least_m:
-                keep.append(n)
-        while len(keep) > 3 and np.hypot(*(pts[keep[0]] - pts[keep[-1]])) < least_m:
-            keep.pop()
-        return pdf.iloc[keep] if len(keep) >= 3 else pdf
-
-    return rings.groupBy(*model(rings), "ring").applyInPandas(run, rings.schema)
+    """Rings whose points are at least so far apart; rings that would have fewer than three stay as they are, and so do those of three."""
+    keys = [*model(rings), "ring"]
+    sizes = cut(rings.groupBy(*keys).count())
+    long = rings.join(sizes.filter("count > 3").select(*keys), keys, "left_semi")
+    apart = _fold(long.select(*rings.columns), keys, "seq", least_m, _apart)
+    seq = F.col("seq").alias("_seq")
+    trimmed = cut(_trimmed(_numbered(apart.withColumn("_seq", seq), keys), keys, least_m, 3).withColumn("seq", F.col("_seq")).select(*rings.columns))
+    enough = trimmed.groupBy(*keys).count().filter("count >= 3").select(*keys)
+    return trimmed.join(enough, keys, "left_semi").unionByName(rings.join(enough, keys, "left_anti").select(*rings.columns))
 
 
 def measured(rings: DataFrame) -> DataFrame:

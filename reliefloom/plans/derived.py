@@ -6,6 +6,7 @@ Queries read these as if they were GPS points, elevation pixels, ways, tags and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _GPS = """
   SELECT user_id AS route_id, seq, t_ms, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS ele,
@@ -63,6 +64,17 @@ def dem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_DEM)
 
 
+TILE_PX = 16
+
+
+def dem_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """z, x, y, rgb: the pixels as raw tiles of 16 by 16; every eleventh tile is lacking, and pixels that are not there are black."""
+    p = dem_pixels(spark, sf_dir).select((F.col("px") % TILE_PX + F.col("py") % TILE_PX * TILE_PX).cast("int").alias("at"), F.floor(F.col("px") / TILE_PX).alias("x"), F.floor(F.col("py") / TILE_PX).alias("y"), *(F.lpad(F.hex(c), 2, "0").alias(c) for c in "rgb"))
+    t = p.filter((F.col("x") * 7 + F.col("y") * 3) % 11 != 4).groupBy("x", "y").agg(F.map_from_entries(F.collect_list(F.struct("at", F.concat("r", "g", "b")))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(TILE_PX * TILE_PX - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("000000")))
+    return t.select(F.lit(6).alias("z"), "x", "y", F.unhex(F.array_join(each, "")).alias("rgb"))
+
+
 def way_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     _views(spark, sf_dir, "part")
     return spark.sql(_WAYS.format(each="explode(sequence(0, 7))"))

@@ -142,6 +142,30 @@ def f11_ring_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("rel_id", "role", F.size("r").cast("long").alias("points"), F.round(F.abs(geo.ring_area(F.col("r"))) * 1e6, 4).alias("area"))
 
 
+RELATIONS = """rel AS (SELECT s_suppkey AS id, s_suppkey % 25 AS t FROM supplier), kt AS (SELECT t, any_value(layer) AS layer FROM kind GROUP BY t)"""
+
+
+@REG.add(f"""WITH {{TAGS}}, {{WAYS}}, {PART_TAGS}, {CLASS_SQL}, {GEOM_SQL}, {ROUTE_SQL}, {RELATIONS}
+ SELECT 'way' AS type, way_id AS id, 0 AS part, route, layer, (CASE WHEN route = 'polygon' THEN n - 1 ELSE n END)::BIGINT AS points, 0::BIGINT AS inner_points FROM rt
+ UNION ALL SELECT 'relation', id, 0, CASE WHEN layer IS NULL THEN 'skipped' WHEN id % 7 = 3 THEN 'ignored' ELSE 'polygon' END, layer, CASE WHEN layer IS NOT NULL AND id % 7 <> 3 THEN 8 END, CASE WHEN layer IS NOT NULL THEN 4 ELSE 0 END FROM rel JOIN kt USING (t)
+ UNION ALL SELECT 'relation', id, 1, 'polygon', layer, 3, 4 FROM rel JOIN kt USING (t) WHERE layer IS NOT NULL AND id % 7 <> 3 AND id % 3 = 0""")
+def c09_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways and relations of one extract: a relation is its outer rings, each with all inner ones; without an outer ring it is ignored."""
+    at = lambda v, r: F.struct((F.sin(v * (geo_pi() / 4)) * r * 0.01 + 45.98).alias("lat"), (F.cos(v * (geo_pi() / 4)) * r * 0.01 + 7.62).alias("lon"))
+    member = lambda role, vs, r: F.struct(F.lit("way").alias("type"), F.lit(1).cast("long").alias("ref"), F.lit(role).alias("role"), F.array(*(at(F.lit(float(v)), r) for v in vs)).alias("geometry"))
+    whole = F.array(*(member(*m) for m in MEMBERS))
+    island = F.array(member("", [0, 2, 5, 0], 0.1))
+    rels = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"))
+    n = F.col("id")
+    members = F.when(n % 7 == 3, F.filter(whole, lambda m: m["role"] == "inner")).when(n % 3 == 0, F.concat(whole, island)).otherwise(whole)
+    rels = rels.join(F.broadcast(way_tags(spark)), F.col("t") == n % len_templates()).select(F.lit("relation").alias("type"), "id", "tags", F.lit(None).cast("array<struct<x: double, y: double>>").alias("points"), members.alias("members"))
+    ways = _ways(spark, sf_dir).select("type", F.col("way_id").alias("id"), "tags", "points", F.lit(None).cast(rels.schema["members"].dataType).alias("members"))
+    r = osm.routed(ways.unionByName(rels))
+    ring = F.when(F.col("route") == "polygon", osm.open_ring(F.col("points"))).otherwise(F.col("points"))
+    inner = F.aggregate("inners", F.lit(0), lambda s, i: s + F.size(i)).cast("long")
+    return r.select("type", "id", "part", "route", "kind.layer", F.size(ring).cast("long").alias("points"), inner.alias("inner_points"))
+
+
 def geo_pi() -> float:
     from ..functions import geo
 

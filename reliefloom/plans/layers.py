@@ -191,6 +191,20 @@ def h08_distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _field(spark, sf_dir).filter("d < 59.999").select(F.col("model_id").alias("layer"), "i", "j", (F.round("d", 3) + 0.0).alias("d"))
 
 
+#: The rows of the selection's grid as SQL: where each lies inside the circle.
+SPANS = CIRCLE + """, sr AS (SELECT unnest(range(-151, 152)) AS j), sx AS (SELECT j, ax + (j * 20e0 - ay) / (yb - ay) * (bx - ax) AS x FROM sr JOIN circ ON (ay > j * 20e0) <> (yb > j * 20e0)),
+ spn AS (SELECT j, min(x) AS x_from, max(x) AS x_to FROM sx GROUP BY j)"""
+
+
+@REG.add(HEAD + f", {FIELD}, {SPANS} SELECT layer, i, j, round(d, 3) + 0e0 AS d FROM fld WHERE d < 59.999e0 AND EXISTS (SELECT 1 FROM spn WHERE spn.j = fld.j AND i * 20e0 BETWEEN x_from AND x_to)")
+def d06_field_in_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each layer's field that lie in the selection: an equi-join on row and block of columns."""
+    rows = spark.range(-151, 152).select(F.lit(0).alias("key"), F.col("id").alias("j"), (F.col("id") * 20.0).alias("y"))
+    spans = lines.row_spans(rows, _circle_edges(spark)).select("j", "x_from", "x_to")
+    inside = lines.within(_field(spark, sf_dir).filter("d < 59.999"), spans, 20.0)
+    return inside.select(F.col("model_id").alias("layer"), "i", "j", (F.round("d", 3) + 0.0).alias("d"))
+
+
 @REG.add(HEAD + f""", {FIELD}, c8 AS (SELECT layer, i - dx AS i, j - dy AS j, max(CASE WHEN dx = 0 AND dy = 0 THEN d END) AS v0, max(CASE WHEN dx = 1 AND dy = 0 THEN d END) AS v1, max(CASE WHEN dx = 1 AND dy = 1 THEN d END) AS v2, max(CASE WHEN dx = 0 AND dy = 1 THEN d END) AS v3 FROM fld, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) o(dx, dy) GROUP BY 1, 2, 3),
  cc AS (SELECT layer, i, j, coalesce(v0 < 20, false) AS a, coalesce(v1 < 20, false) AS b, coalesce(v2 < 20, false) AS c, coalesce(v3 < 20, false) AS d FROM c8)
  SELECT layer, count(*) AS cells, sum((a AND NOT b)::INT + (b AND NOT c)::INT + (c AND NOT d)::INT + (d AND NOT a)::INT)::BIGINT AS segments, 0::BIGINT AS open_ends FROM cc WHERE (a <> b) OR (b <> c) OR (c <> d) GROUP BY layer""")

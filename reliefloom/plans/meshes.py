@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import mesh
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_dir
 from ..sources import stl
 from .rasters import VALUE, _values
 from .registry import Registry, r4
@@ -190,6 +191,17 @@ def a09_stl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(((total - 84) / 50).cast("long").alias("triangles"), total.alias("bytes"), head.alias("read_back"))
 
 
+@REG.add(f"WITH {{DEM}}, {SOLID}, {BROKEN} SELECT 'model-' || model_id || '.stl' AS file, count(*) AS triangles, (84 + 50 * count(*))::BIGINT AS bytes FROM mt GROUP BY model_id")
+def a09_stl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four models, of triangles with sparse numbers, and what is read back from the files."""
+    t, v = _broken(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/stl-{uuid.uuid4().hex}"
+    names = v.select("model_id").distinct().withColumn("file", F.concat(F.lit("model-"), "model_id", F.lit(".stl")))
+    stl.write_files(t.withColumn("tid", F.col("tid") * 1_000_003 + 500_000), v, names, folder, "Relief model")
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), stl.triangle_count(F.col("content")).alias("triangles"), F.col("length").alias("bytes"))
+
+
 @REG.add("""WITH s AS (SELECT s_suppkey, s_name, 100 + (s_suppkey % 4) / 2e0 AS w, substr(trim(regexp_replace(lower(s_name || ' / No.' || s_suppkey), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40) AS slug FROM supplier)
  SELECT s_suppkey, slug, 'relief_' || slug || '_' || CASE WHEN w = floor(w) THEN floor(w)::BIGINT::VARCHAR ELSE printf('%.1f', w) END || 'mm_20240229.stl' AS file FROM s""")
 def a11_export_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,8 +102,9 @@ def a13_tile_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("tile"), settings.tile_key(F.lit("mapterhorn"), *place).alias("key"), settings.tile_url(F.lit("https://tiles.example/{z}/{x}/{y}.webp"), *place).alias("url"))
 
 
-@REG.add(f"""WITH {{DEM}}, {SOLID}, {BROKEN}, pv AS (SELECT model_id AS part, vid, x, y, z, row_number() OVER (ORDER BY model_id, vid) - 1 AS at FROM mv), pt AS (SELECT model_id AS part, a, b, c, row_number() OVER (ORDER BY model_id, tid) - 1 AS tid FROM mt)
- SELECT pt.tid, pt.part, va.at AS a, vb.at AS b, vc.at AS c, round(va.x::DOUBLE, 4) + 0e0 AS x FROM pt JOIN pv va ON va.part = pt.part AND va.vid = a JOIN pv vb ON vb.part = pt.part AND vb.vid = b JOIN pv vc ON vc.part = pt.part AND vc.vid = c""")
+@REG.add(f"""WITH {{DEM}}, {SOLID}, {BROKEN}, pv AS MATERIALIZED (SELECT model_id AS part, vid, x, row_number() OVER (PARTITION BY model_id ORDER BY vid) - 1 AS at FROM mv), pt AS MATERIALIZED (SELECT model_id AS part, a, b, c, row_number() OVER (PARTITION BY model_id ORDER BY tid) - 1 AS n FROM mt),
+ ov AS (SELECT part, coalesce(sum(k) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT part, count(*) AS k FROM pv GROUP BY part)), ot AS (SELECT part, coalesce(sum(k) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead FROM (SELECT part, count(*) AS k FROM pt GROUP BY part))
+ SELECT (lead + n)::BIGINT AS tid, pt.part, (first + va.at)::BIGINT AS a, (first + vb.at)::BIGINT AS b, (first + vc.at)::BIGINT AS c, round(va.x::DOUBLE, 4) + 0e0 AS x FROM pt JOIN ov ON ov.part = pt.part JOIN ot ON ot.part = pt.part JOIN pv va ON va.part = pt.part AND va.vid = a JOIN pv vb ON vb.part = pt.part AND vb.vid = b JOIN pv vc ON vc.part = pt.part AND vc.vid = c""")
 def g05_united_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four solids as the parts of one model, with dense numbers."""
     t, v = _broken(spark, sf_dir)
@@ -148,16 +149,16 @@ def i03_draped_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A selection ring of 64 sides around the grid's middle, and the nodes inside it.
-CLIP = """cir AS (SELECT u, 3000e0 * cos(u / 64e0 * 2 * pi()) AS px, 3000e0 * sin(u / 64e0 * 2 * pi()) AS py, 3000e0 * cos((u + 1) % 64 / 64e0 * 2 * pi()) AS qx, 3000e0 * sin((u + 1) % 64 / 64e0 * 2 * pi()) AS qy FROM (SELECT unnest(range(0, 64)) AS u)),
+CLIP = """cir AS (SELECT u, {r}e0 * cos(u / {n}e0 * 2 * pi()) AS px, {r}e0 * sin(u / {n}e0 * 2 * pi()) AS py, {r}e0 * cos((u + 1) % {n} / {n}e0 * 2 * pi()) AS qx, {r}e0 * sin((u + 1) % {n} / {n}e0 * 2 * pi()) AS qy FROM (SELECT unnest(range(0, {n})) AS u)),
  nd AS (SELECT px - 50 AS i, py - 50 AS j FROM dem),
  msk AS (SELECT i, j, count(*) FILTER (WHERE (py > j * 100e0) <> (qy > j * 100e0) AND i * 100e0 < (qx - px) * (j * 100e0 - py) / (qy - py) + px) % 2 = 1 AS ins FROM nd, cir GROUP BY i, j),
  fld AS (SELECT 0 AS layer, i, j, CASE WHEN ins THEN -1e0 ELSE 1e0 END AS d FROM msk)"""
 
 
-def _clipped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and triangles of the elevation grid inside the circle: sides cut where the ring crosses them."""
+def _clipped(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices and triangles of the elevation grid inside the circle, or another ring: sides cut where the ring crosses them."""
     nodes = dem_pixels(spark, sf_dir).select((F.col("px") - 50).alias("i"), (F.col("py") - 50).alias("j"))
-    edges = _circle_edges(spark)
+    edges = _circle_edges(spark) if edges is None else edges
     rows = nodes.select(F.lit(0).alias("key"), "j").distinct().withColumn("y", F.col("j") * 100.0)
     spans = lines.row_spans(rows, edges)
     at = F.col("i") * 100.0
@@ -172,7 +173,7 @@ def _clipped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return surface.footprint(field, 0.0, 100.0, cuts)
 
 
-@REG.add(f"""WITH {{DEM}}, {VALUE}, {CLIP}, {CELLS.format(iso=0)} SELECT 2 * points::BIGINT AS vertices, (2 * faces + 2 * rim)::BIGINT AS triangles, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, false AS inverted, rim::BIGINT AS rim FROM tp WHERE faces > 0""")
+@REG.add(f"""WITH {{DEM}}, {VALUE}, {CLIP.format(n=64, r=3000)}, {CELLS.format(iso=0)} SELECT 2 * points::BIGINT AS vertices, (2 * faces + 2 * rim)::BIGINT AS triangles, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, false AS inverted, rim::BIGINT AS rim FROM tp WHERE faces > 0""")
 def i02_clipped_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terrain inside a selection as a closed solid down to its base (I2, F13: one wall for each edge of the rim)."""
     v, t = map(cut, _clipped(spark, sf_dir))
@@ -182,3 +183,22 @@ def i02_clipped_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, t = map(cut, surface.solid(top, t))
     n = v.groupBy("model_id").agg(F.count("*").alias("vertices"))
     return mesh.audit(t, v).join(n, "model_id").join(rim, "model_id").select("vertices", "triangles", "open_edges", "non_manifold", "inverted", "rim")
+
+
+@REG.add(f"""WITH {{DEM}}, {VALUE}, {CLIP.format(n=96, r=2990)}, {CELLS.format(iso=0)},
+ sd AS (SELECT 1 AS kind, i, j, v0 AS p, v1 AS q, i * 100e0 AS ax, j * 100e0 AS ay, 100e0 AS dx, 0e0 AS dy FROM kd WHERE a <> b UNION ALL SELECT 2, i, j, v0, v3, i * 100e0, j * 100e0, 0e0, 100e0 FROM kd WHERE a <> e),
+ mt AS (SELECT kind, i, j, min(CASE WHEN dx * ry - dy * rx <> 0 THEN CASE WHEN (ox * ry - oy * rx) / (dx * ry - dy * rx) BETWEEN 0 AND 1 AND (ox * dy - oy * dx) / (dx * ry - dy * rx) BETWEEN 0 AND 1 THEN (ox * ry - oy * rx) / (dx * ry - dy * rx) END END) AS t
+   FROM (SELECT kind, i, j, dx, dy, qx - px AS rx, qy - py AS ry, px - ax AS ox, py - ay AS oy FROM sd, cir) GROUP BY kind, i, j),
+ xp AS (SELECT sd.kind, sd.i, sd.j, ax + dx * u AS x, ay + dy * u AS y FROM (SELECT sd.*, coalesce(least(greatest(t, 0.001e0), 0.999e0), CASE WHEN p IS NULL THEN 0e0 WHEN q IS NULL THEN 1e0 ELSE 0.5e0 END) AS u FROM sd JOIN mt USING (kind, i, j)) sd),
+ en AS (SELECT kd.i, kd.j, x, y FROM kd JOIN xp ON (xp.kind = 1 AND xp.i = kd.i AND (xp.j = kd.j OR xp.j = kd.j + 1)) OR (xp.kind = 2 AND xp.j = kd.j AND (xp.i = kd.i OR xp.i = kd.i + 1)) WHERE cuts = 2),
+ le AS (SELECT i, j, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS len FROM en GROUP BY i, j)
+ SELECT (points - (3 * faces + rim) // 2 + faces)::BIGINT AS rings, rim::BIGINT AS points, (SELECT round(sum(len), 3) + 0e0 FROM le) AS length_m FROM tp""")
+def f13_boundary_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rim of the terrain inside a ring of 192 points, coarsened to a cell before it cuts: rings, their points and length."""
+    a = F.col("id") / 192 * 2 * geo.math.pi
+    ring = spark.range(192).select(F.lit(0).alias("ring"), F.col("id").alias("seq"), (F.cos(a) * 2990).alias("x"), (F.sin(a) * 2990).alias("y"))
+    shape = rings.measured(rings.coarsened(ring, 100.0)).select(F.col("ring").alias("ring_id"), F.col("shape").alias("ring"), F.array().cast(osm.RINGS).alias("holes"))
+    v, t = map(cut, _clipped(spark, sf_dir, cut(lines.ring_edges(shape))))
+    rim = rings.boundary_rings(mesh.boundary(t), v)
+    around = rings.measured(rim).select("model_id", "ring", "points", F.aggregate(geo._cyclic(F.col("shape")), F.lit(0.0), lambda s, e: s + geo.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"])).alias("length"))
+    return around.groupBy("model_id").agg(F.count("*").alias("rings"), F.sum("points").alias("points"), (F.round(F.sum("length"), 3) + 0.0).alias("length_m")).drop("model_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import raster
-from .derived import dem_pixels, selections
+from .derived import TILE_PX, dem_pixels, dem_tiles, selections
 from .projection import BOX, BOXES, DEG_SQL, _selection_boxes
 from .registry import Registry, r4, r6
 
@@ -51,6 +51,37 @@ def h07_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.smoothed(nodes, 3, size=64).select("px", "py", (F.round(F.col("v").cast("double"), 3) + 0.0).alias("v"))
 
 
+#: Two models over the same tiles: all of them, and a part that reaches beyond them.
+MOSAIC = f"""nt AS (SELECT m, x, y FROM (SELECT (max(py) // 16)::BIGINT AS last FROM dem), (SELECT unnest(range(0, 2)) AS m), (SELECT unnest(range(0, 9)) AS x), (SELECT unnest(range(0, 1000)) AS y) WHERE (m = 0 AND x < 7 AND y <= last) OR (m = 1 AND x >= 4 AND y BETWEEN 1 AND 3)),
+ mpx AS (SELECT m AS model_id, x * 16 + k % 16 AS px, y * 16 + k // 16 AS py, (x * 7 + y * 3) % 11 = 4 AS lacking FROM nt, (SELECT unnest(range(0, 256)) AS k)),
+ msc AS (SELECT model_id, mpx.px, mpx.py, CASE WHEN NOT lacking THEN val.v END AS v FROM mpx LEFT JOIN val ON val.px = mpx.px AND val.py = mpx.py)"""
+
+
+def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.floor(F.max("py") / TILE_PX).cast("long").alias("last")
+    span = dem_pixels(spark, sf_dir).agg(last)  # one row
+    one = span.select(F.lit(0).alias("model_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("x"), "last").select("model_id", "x", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("y"))
+    two = spark.range(4, 9).select(F.lit(1).alias("model_id"), F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("y"))
+    return raster.mosaic(one.unionByName(two).withColumn("z", F.lit(6)), dem_tiles(spark, sf_dir), TILE_PX)
+
+
+@REG.add(f"WITH {{DEM}}, {VALUE}, {MOSAIC} SELECT model_id, px, py, v::DOUBLE AS v FROM msc")
+def a04_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels of two models from raw tiles, decoded; where the store lacks a tile they have no data (A4, A5)."""
+    return _mosaic(spark, sf_dir).select("model_id", "px", "py", F.col("v").cast("double").alias("v"))
+
+
+@REG.add(f"""WITH RECURSIVE {{DEM}}, {VALUE}, {MOSAIC}, f AS (SELECT 0 AS p, model_id, px, py, v, v IS NOT NULL AS settled FROM msc
+ UNION ALL SELECT p + 1, model_id, x, y, CASE WHEN own THEN self WHEN k > 0 THEN (acc / k)::FLOAT END, own OR k > 0 FROM (
+   SELECT p, model_id, px + dx AS x, py + dy AS y, max(v) FILTER (WHERE dx = 0 AND dy = 0) AS self, bool_or(settled) FILTER (WHERE dx = 0 AND dy = 0) AS own, sum(v::DOUBLE) FILTER (WHERE settled AND (dx <> 0 OR dy <> 0)) AS acc, count(*) FILTER (WHERE settled AND (dx <> 0 OR dy <> 0)) AS k
+   FROM f, {SHIFTS} WHERE p < 64 GROUP BY p, model_id, px + dx, py + dy) WHERE own IS NOT NULL),
+ mean AS (SELECT model_id, coalesce(avg(v::DOUBLE), 0)::FLOAT AS mean FROM msc GROUP BY model_id)
+ SELECT model_id, px, py, round(coalesce(v, mean)::DOUBLE, 4) + 0e0 AS v FROM f JOIN mean USING (model_id) WHERE p = 64""")
+def h01_inpaint_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mosaic's gaps, whole lacking tiles among them, filled ring by ring (A4, H1)."""
+    return raster.inpainted(_mosaic(spark, sf_dir)).select("model_id", "px", "py", r4(F.col("v").cast("double")).alias("v"))
+
+
 #: The pixels as three rasters: as they are, higher and with more gaps, and without a column of 25 in 50.
 MODELS = """mdl AS (SELECT m AS model_id, px, py, CASE WHEN m = 1 AND px % 7 = 3 THEN NULL ELSE v + m * 100 END AS v FROM val, (SELECT unnest(range(0, 3)) AS m) WHERE m <> 2 OR px % 50 < 25)"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import tracks
+from ..operators import rings, tracks
 from .derived import gps_points
 from .projection import BOX, DEG_SQL, HAV, PREV
 from .registry import Registry, r4, r6
@@ -122,3 +122,45 @@ def flagship_route_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex, ey = geo.extent(*(F.col(c) for c in ("west", "south", "east", "north")))
     g = all_.withColumns({"ex": ex, "ey": ey}).withColumn("g", geo.grid(F.col("ex"), F.col("ey"), F.lit(100.0), F.lit(0.4), F.lit(None).cast("double")))
     return g.select("route_id", "points", r4(F.col("distance_m")).alias("distance_m"), r4(F.col("gain_m")).alias("gain_m"), *(r6(F.col(c)).alias(c) for c in ("west", "south", "east", "north")), "g.cols", "g.rows")
+
+
+def _dist(a: str, b: str) -> str:
+    return f"sqrt(({a}x - {b}x) * ({a}x - {b}x) + ({a}y - {b}y) * ({a}y - {b}y))"
+
+
+def _apart_sql(least: float, fewest: int, smallest: int) -> str:
+    """Routes as rings, by recursion: `tr`, the points so far from the last kept, without those at the end that are too near the first."""
+    return f"""pn AS (SELECT route_id AS ring, seq - 1 AS n, x, y, count(*) OVER (PARTITION BY route_id) AS m FROM xy),
+ ap AS (SELECT ring, n, x AS lx, y AS ly, true AS keep FROM pn WHERE n = 0 AND m >= {smallest}
+   UNION ALL SELECT ring, n, CASE WHEN far THEN x ELSE lx END, CASE WHEN far THEN y ELSE ly END, far FROM (SELECT pn.ring, pn.n, x, y, lx, ly, {_dist('', 'l')} >= {least} AS far FROM ap JOIN pn ON pn.ring = ap.ring AND pn.n = ap.n + 1)),
+ kp AS (SELECT ring, n, x, y, row_number() OVER (PARTITION BY ring ORDER BY n) - 1 AS k FROM ap JOIN pn USING (ring, n) WHERE keep),
+ fs AS (SELECT ring, x AS fx, y AS fy FROM kp WHERE k = 0),
+ lst AS (SELECT ring, greatest(coalesce(max(k) FILTER (WHERE {_dist('', 'f')} >= {least}), 0), {fewest - 1}) AS last FROM kp JOIN fs USING (ring) GROUP BY ring),
+ tr AS (SELECT ring, n, k, x, y, count(*) OVER (PARTITION BY ring) AS size FROM kp JOIN lst USING (ring) WHERE k <= last)"""
+
+
+@REG.add(f"""WITH RECURSIVE {{GPS}}, {{MODEL}}, {XY}, {_apart_sql(1500, 3, 4)}
+ SELECT ring, n AS seq, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y FROM tr WHERE size >= 3 UNION ALL SELECT ring, n, round(x, 3) + 0e0, round(y, 3) + 0e0 FROM pn WHERE ring NOT IN (SELECT ring FROM tr WHERE size >= 3)""")
+def f09_coarsen_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes as rings, with points at least 1500 m apart."""
+    out = rings.coarsened(_rings(spark, sf_dir), 1500.0)
+    return out.select("ring", "seq", *((F.round(c, 3) + 0.0).alias(c) for c in "xy"))
+
+
+@REG.add(f"""WITH RECURSIVE {{GPS}}, {{MODEL}}, {XY}, {_apart_sql(500, 1, 1)},
+ cy AS (SELECT ring, k, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, size FROM tr WHERE size >= 3 WINDOW w AS (PARTITION BY ring ORDER BY k)),
+ bt AS (SELECT ring, -1::BIGINT AS k, x AS lx, y AS ly, false AS keep FROM cy WHERE k = size - 1
+   UNION ALL SELECT ring, k, CASE WHEN off >= 100 THEN x ELSE lx END, CASE WHEN off >= 100 THEN y ELSE ly END, off >= 100 FROM (
+     SELECT *, sqrt(pow(x - (lx + t * (nx - lx)), 2) + pow(y - (ly + t * (ny - ly)), 2)) AS off FROM (
+       SELECT cy.ring, cy.k, x, y, nx, ny, lx, ly, CASE WHEN nx = lx AND ny = ly THEN 0 ELSE least(1, greatest(0, ((x - lx) * (nx - lx) + (y - ly) * (ny - ly)) / ((nx - lx) * (nx - lx) + (ny - ly) * (ny - ly)))) END AS t FROM bt JOIN cy ON cy.ring = bt.ring AND cy.k = bt.k + 1))),
+ ok AS (SELECT ring FROM bt WHERE keep GROUP BY ring HAVING count(*) >= 3),
+ res AS (SELECT ring, k, x, y FROM cy JOIN (SELECT ring, k FROM bt WHERE keep) USING (ring, k) WHERE ring IN (SELECT ring FROM ok) UNION ALL SELECT ring, k, x, y FROM cy WHERE ring NOT IN (SELECT ring FROM ok))
+ SELECT ring, row_number() OVER (PARTITION BY ring ORDER BY k) - 1 AS seq, round(x, 3) + 0e0 AS x, round(y, 3) + 0e0 AS y FROM res""")
+def f10_clean_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes as rings, without points that are near the last one or hardly off the straight line."""
+    out = rings.cleaned(_rings(spark, sf_dir), 2000.0)
+    return out.select("ring", "seq", *((F.round(c, 3) + 0.0).alias(c) for c in "xy"))
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(F.col("line_id").alias("ring"), (F.col("seq").cast("long") - 1).alias("seq"), "x", "y")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..operators.mesh import with_corners
+from ..operators.runs import RUN, in_runs
 
 HEADER_BYTES = 80
 RECORD = np.dtype([("f", "<f4", 12), ("end", "<u2")])
@@ -47,14 +54,108 @@ def facets(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return c.select("model_id", "tid", *(f"{v}{k}" for v in "abc" for k in "xyz")).mapInArrow(run, f"model_id {kind}, tid long, record binary")
 
 
-def chunks(records: DataFrame, header: str, per_chunk: int = 100_000) -> DataFrame:
-    """model_id, chunk, bytes: file content in order, of bounded rows; chunk 0 begins with header and count."""
-    n = records.groupBy("model_id").agg(F.count("*").alias("n"))
-    body = records.withColumn("chunk", F.floor(F.col("tid") / per_chunk)).groupBy("model_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("tid", "record"))).alias("r"))
+def placed(records: DataFrame, per_run: int = RUN) -> DataFrame:
+    """records with `_i`, their place in their model's file in the order of tid, `_run`, and `n`, the number of its records."""
+    runs = in_runs(records, ["model_id"], "tid", per_run)
+    return runs.join(runs.groupBy("model_id").agg(F.count("*").alias("n")), "model_id")
+
+
+def chunks(records: DataFrame, header: str, per_chunk: int = RUN) -> DataFrame:
+    """model_id, chunk, bytes: file content in order, of bounded rows; chunk 0 begins with header and count, whatever the numbers of the triangles are."""
+    body = placed(records, per_chunk).groupBy("model_id", F.col("_run").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_i", "record"))).alias("r"), F.first("n").alias("n"))
     count = F.to_binary(F.concat(*(F.lpad(F.hex(F.shiftright("n", 8 * k).bitwiseAND(255)), 2, "0") for k in range(4))), F.lit("hex"))
-    head = F.concat(F.rpad(F.lit(header.encode("ascii", "replace")[:HEADER_BYTES].decode()).cast("binary"), HEADER_BYTES, F.lit(b"\0")), count)
+    head = F.concat(F.lit(head_text(header)), count)
     data = F.to_binary(F.array_join(F.transform("r", lambda x: F.hex(x["record"])), ""), F.lit("hex"))
-    return body.join(n, "model_id").select("model_id", "chunk", F.when(F.col("chunk") == 0, F.concat(head, data)).otherwise(data).alias("bytes"))
+    return body.select("model_id", "chunk", F.when(F.col("chunk") == 0, F.concat(head, data)).otherwise(data).alias("bytes"))
+
+
+def head_text(header: str) -> bytes:
+    return header.encode("ascii", "replace")[:HEADER_BYTES].ljust(HEADER_BYTES, b"\0")
+
+
+def write_files(triangles: DataFrame, vertices: DataFrame, names: DataFrame, folder: str, header: str) -> None:
+    """A binary STL file in `folder` for each model of names (model_id, file); models without triangles give none.
+
+    Any number of tasks write a file together: each record has its place, so a task puts its runs where they belong, and one
+    that is run again writes the same bytes to the same places. When all have ended, each file gets its head and its name.
+    """
+    spark = triangles.sparkSession
+    spark.dataSource.register(StlFiles)
+    rows = placed(facets(triangles, vertices)).join(names.select("model_id", "file"), "model_id").select("file", "n", "_run", "_i", "record")
+    dealt = rows.repartition("file", "_run").sortWithinPartitions("file", "_i").drop("_run")
+    dealt.write.format(StlFiles.name()).mode("append").option("folder", folder).option("header", header).save()
+
+
+class StlFiles(DataSource):
+    """Sink of rows `file, n, _i, record` for a folder on a file system that driver and executors have mounted."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "stl_files"
+
+    def schema(self) -> str:
+        return "file string, n long, _i long, record binary"
+
+    def writer(self, schema: StructType, overwrite: bool) -> StlWriter:
+        return StlWriter(self.options["folder"], self.options["header"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """For each file, how many records a task wrote, and how many there are."""
+
+    files: dict[str, tuple[int, int]]
+
+
+class StlWriter(DataSourceArrowWriter):
+    def __init__(self, folder: str, header: str):
+        if "://" in folder and not folder.startswith("file://"):
+            raise ValueError(f"{folder}: records are put in their places, which takes a mounted file system")
+        self.folder, self.header, self.job = re.sub("^file:(//)?", "", folder), header, uuid.uuid4().hex
+
+    def _unfinished(self, file: str) -> str:
+        return os.path.join(self.folder, f".{file}.{self.job}")
+
+    def _opened(self, file: str) -> int:
+        return os.open(self._unfinished(file), os.O_RDWR | os.O_CREAT, 0o644)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        os.makedirs(self.folder, exist_ok=True)
+        done: dict[str, tuple[int, int]] = {}
+        for b in iterator:
+            if not b.num_rows:
+                continue
+            files, places, n = b.column(0).to_pylist(), b.column(2).to_numpy(), b.column(1).to_pylist()
+            records = b.column(3).to_pylist()
+            new = [0, *(i for i in range(1, len(files)) if files[i] != files[i - 1] or places[i] != places[i - 1] + 1), len(files)]
+            for first, last in zip(new, new[1:]):
+                at = self._opened(files[first])
+                try:
+                    os.pwrite(at, b"".join(records[first:last]), HEADER_BYTES + 4 + RECORD.itemsize * int(places[first]))
+                finally:
+                    os.close(at)
+                done[files[first]] = (done.get(files[first], (0, 0))[0] + last - first, n[first])
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        wrote: dict[str, int] = {}
+        due: dict[str, int] = {}
+        for m in messages:
+            for file, (k, n) in (m.files if m else {}).items():
+                wrote[file], due[file] = wrote.get(file, 0) + k, n
+        if wrote != due:
+            raise ValueError(f"records are missing: {[f for f in due if wrote[f] != due[f]]}")
+        for file, n in due.items():
+            at = self._opened(file)
+            os.pwrite(at, head_text(self.header) + n.to_bytes(4, "little"), 0)
+            os.fsync(at)
+            os.close(at)
+            os.replace(self._unfinished(file), os.path.join(self.folder, file))
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for name in os.listdir(self.folder) if os.path.isdir(self.folder) else []:
+            if name.endswith(self.job):
+                os.remove(os.path.join(self.folder, name))
 
 
 def triangle_count(content: Column) -> Column:
