@@ -7,19 +7,20 @@ meet only if they share the tokens chosen on the whole path. Small nodes are com
 on sketches of 128 minwise tokens (with a margin of six deviations), and likely pairs are confirmed
 on full sets; larger nodes branch again.
 
-A child that keeps half of its node or more is a dense group. With at most EXHAUSTIVE members it is
-compared exhaustively on full sets, in cells of two bounded blocks each, so that a set has a bounded
-number of copies; a cell gives a spanning forest of its links, not all of them. A larger one branches
-on, with as many choices as keep a pair at the threshold (1/s a level, by the node's number), unless
-it keeps nearly all: there the links to a few hubs come first, and only members that these leave apart
-from the group's main component meet the others in cells. Linked sets form components.
+A child that keeps half of its node or more is a dense group: minwise tokens no longer part its members,
+say because they share a template. With at most EXHAUSTIVE members it is compared exhaustively on full
+sets, in cells of two bounded blocks each, so that a set has a bounded number of copies; a cell gives a
+spanning forest of its links, not all of them. If a larger one keeps nearly all, the links to a few hubs come
+first, and only members that these leave apart from the group's main component meet the others in cells.
+All other large ones are parted by their rare shingles, exactly: two sets at the threshold share one of the
+rarest shingles of each, as many as the threshold lets differ. Members that share one of these form a
+node, and nodes of the same members are one; they are compared like dense groups. Linked sets form components.
 
 Recall: a pair at the threshold s survives a level of one choice with probability s, of two with
 1-(1-s)^2. With two choices at the roots of five trees, then one and two by turns, a pair at 0.85 is
-missed in about one case of a million, a closer pair less often. In dense groups of more than
-EXHAUSTIVE sets that branch on, a path keeps such a pair about as often as not, and there are ten.
-Cost of such groups: a texts-by-template corpus at Jaccard 0.6 needs up to ten times a few dozen copies
-of a set, so it grows faster than its rows once it is larger than EXHAUSTIVE.
+missed in about one case of a million, a closer pair less often. Dense groups of any size lose none.
+Cost: texts by a template grow linearly, unless their own part is smaller than what the threshold lets differ, and
+they don't link either: then shared shingles are among the rare ones, and the group is compared in cells.
 
 Rows: a document without words has an empty set, links with nothing and is kept. Rows without
 doc_id are left out of linking; they get a null component and null `kept`. Rows of equal doc_id and
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import distinct_words, parallelism, ragged_take, text_slices, whole_groups, written
@@ -125,9 +126,8 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, key1 long, key2 long, nodes array<long>, tokens binary, sketch binary")
 
 
-def _branched(rows: DataFrame, level: int, percent: int) -> DataFrame:
-    """Children of the members of large nodes: one or two selected tokens of each, by turns; in dense groups 1/s of them, by the node's number."""
-    both = np.uint64(max(1, round((100 / percent - 1) * 1000)))
+def _branched(rows: DataFrame, level: int) -> DataFrame:
+    """Children of the members of large nodes: one or two selected tokens of each, by turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,16 +135,13 @@ def _branched(rows: DataFrame, level: int, percent: int) -> DataFrame:
                 continue
             node = b.column("node").to_numpy().view(np.uint64)
             tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint64).reshape(-1, TOKENS)
-            children, taken = [], []
+            children = []
             first = _mixed(node + np.array([level], np.uint64) * STRIDE)
-            dense = b.column("dense").to_numpy(zero_copy_only=False)
-            again = np.where(dense, _mixed(first) % np.uint64(1000) < both, level % 2 == 0)
-            for k, rows in enumerate((np.arange(len(node)), np.flatnonzero(again))):
-                pick = ((first[rows] + np.uint64(k * (TOKENS // 2 + 1))) % np.uint64(TOKENS)).astype(np.int64)
-                children.append(_mixed(_mixed(node[rows] ^ tokens[rows, pick]) + pick.astype(np.uint64) * STRIDE).view(np.int64))
-                taken.append(rows)
-            rows = np.concatenate(taken)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), *(pa.array(b.column(c).to_numpy()[rows]) for c in ("rep", "size"))], names=["node", "rep", "parent_size"])
+            choices = 1 + (level % 2 == 0)
+            for k in range(choices):
+                pick = ((first + np.uint64(k * (TOKENS // 2 + 1))) % np.uint64(TOKENS)).astype(np.int64)
+                children.append(_mixed(_mixed(node ^ tokens[np.arange(len(node)), pick]) + pick.astype(np.uint64) * STRIDE).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(children)), *(pa.array(np.tile(b.column(c).to_numpy(), choices)) for c in ("rep", "size"))], names=["node", "rep", "parent_size"])
 
     return rows.mapInArrow(run, "node long, rep long, parent_size long")
 
@@ -333,6 +330,26 @@ def _dense_links(dense: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return links.union(_cell_links(written(cells.unionByName(met), "cells"), full, percent))
 
 
+def _rare_nodes(full: DataFrame, percent: int) -> DataFrame:
+    """node, rep, n, size: sets of `id, s` that share one of their rarest shingles, as many of each as a linked set may lack and one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(1).to_pylist()
+            n = np.array([len(s) // 8 for s in held], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(b"".join(held), np.int64))], names=["rep", "n", "shingle"])
+
+    each = full.select("id", "s").mapInArrow(run, "rep long, n long, shingle long")
+    held = each.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    w = Window.partitionBy("rep")
+    shared = each.join(held, "shingle").withColumns({"at": F.row_number().over(w.orderBy("held", "shingle")), "shared": F.count("*").over(w)})
+    # shingles that no other set has come first
+    rare = written(shared.filter(F.col("n") - F.col("shared") + F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("shingle", "rep", "n"), "rare-shingles")
+    lists = rare.groupBy("shingle").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("size > 1")
+    nodes = lists.groupBy("size", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle", "size")
+    return rare.join(nodes, "shingle").select(F.col("shingle").alias("node"), "rep", "n", "size")
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of `doc_id, text`; sets link at 100 * |A & B| >= percent * |A | B|."""
     docs = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -346,7 +363,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
     sets = reps.select("rep", "doc", "key1", "key2")
 
     rows = reps.select("rep", F.explode("nodes").alias("node")).withColumn("parent_size", F.lit(None).cast("long"))
-    leaves, dense = [], []
+    leaves, dense, wide = [], [], []
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         sized = written(rows.join(sizes, "node"), "nodes")
@@ -356,22 +373,27 @@ def near_duplicates(df: DataFrame, percent: int = 85, width: int = SHINGLE) -> D
         large = large.withColumn("dense", share >= DENSE)
         stuck = F.col("dense") & ((F.col("size") <= EXHAUSTIVE) | (share >= TIGHT)) if level < LEVELS else F.lit(True)
         dense.append(large.filter(stuck).select("node", "rep", "size"))
-        large = large.filter(~stuck)
+        wide.append(large.filter(F.col("dense") & ~stuck).select("rep"))
+        large = large.filter(~F.col("dense") & ~stuck)
         if large.isEmpty():
             break
-        rows = _branched(large.join(reps.select("rep", "tokens"), "rep"), level, percent)
+        rows = _branched(large.join(reps.select("rep", "tokens"), "rep"), level)
 
     members = leaves[0]
     for x in leaves[1:]:
         members = members.union(x)
     found = _leaf_pairs(members.join(reps.select("rep", "sketch"), "rep"), margin)
-    stuck_rows = dense[0]
-    for x in dense[1:]:
-        stuck_rows = stuck_rows.union(x)
+    stuck_rows, wide_rows = dense[0], wide[0]
+    for x, y in zip(dense[1:], wide[1:]):
+        stuck_rows, wide_rows = stuck_rows.union(x), wide_rows.union(y)
+    wide_rows = written(wide_rows.distinct(), "wide")
     pairs = written(found.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
     dense_rows = written(stuck_rows.join(reps.select("rep", "n"), "rep"), "dense")
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense_rows.select("rep"))
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense_rows.select("rep")).union(wide_rows)
     full = _full_sets(docs, sets.join(named.distinct(), F.col("rep") == F.col("id"), "left_semi"), width)  # the second and last pass over texts
+    if not wide_rows.isEmpty():
+        rare = _rare_nodes(full.join(wide_rows, F.col("id") == F.col("rep"), "left_semi"), percent)
+        dense_rows = written(dense_rows.select("node", "rep", "n", "size").union(rare), "dense")
     # forests first; other candidates only where confirmed forests leave their ends apart
     sure = _confirmed(pairs.filter("first"), full, percent)
     if not dense_rows.isEmpty():

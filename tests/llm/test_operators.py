@@ -347,14 +347,14 @@ def test_equal_ids_are_one_document(spark):
 
 
 def test_templated_texts_part_again(spark, monkeypatch):
-    """Texts of Jaccard 0.6 by their common template link only where their own parts are copies; a large group of them branches on."""
+    """Texts of Jaccard 0.6 by their common template link only where their own parts are copies; a large group of them is parted by rare shingles and loses none."""
     monkeypatch.setattr(neardup, "EXHAUSTIVE", 100)
     template = " ".join(f"t{i}" for i in range(300))
     own = lambda i, k: " ".join(f"o{i}x{j}" for j in range(100 - k)) + "".join(f" e{i}y{j}" for j in range(k))
     table = [(i, f"{template} {own(i // 2, 4 * (i % 2))}") for i in range(600)]
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, table)).collect()}
     assert all(got[i] in (i, i - i % 2) for i in got)
-    assert sum(got[i] == i - 1 for i in range(1, 600, 2)) >= 297
+    assert all(got[i] == i - 1 for i in range(1, 600, 2))
 
 
 def test_line_runs_take_later_batches(spark):
