@@ -5,14 +5,16 @@ a lower bound of their distance (Cauchy-Schwarz inside each segment), and so an
 inner product. Bounds are taken coarse to fine, for each query by itself; a vector whose bound does not
 reach a query's k-th best score so far is left out, and exact integer products are computed for the
 survivors. Vectors are turned to a basis that gathers their energy in the first components (an
-orthogonal map, which keeps inner products), and the finer resolutions have a segment for each of
-these. The first thresholds come from one block of vectors for each length, scored before the search:
-the basis too is learned from that block. Neither can change the result.
+orthogonal map, which keeps inner products), and the finer resolutions take these singly: their part of the
+product is exact, is carried from one resolution to the next, and only the rest is bounded by segments. The
+first thresholds come from one block of vectors for each length, scored before the search; the basis is learned
+from that block, and so is which resolutions are worth their cost: one that would exclude fewer of its pairs than
+it costs is left out. None of this can change the result.
 
 Queries and vectors travel in packed blocks of bounded size. A task gets one block of queries and a
-bounded run of vector blocks, so neither side is broadcast and no pair of rows is ever emitted; its
+stripe of STRIPE_BYTES of vector blocks, so neither side is broadcast and no pair of rows is ever emitted; its
 answer is k rows for each query, of which a window keeps the best. Every query meets every vector, so
-vector blocks are shuffled once for each QUERY_BYTES of queries.
+vectors are shuffled once for each QUERY_BYTES of queries, and queries once for each STRIPE_BYTES of vectors.
 
 Rows: vectors that are null or hold null or non-finite components, and rows without vec_id, take no
 part. Vectors are compared with those of equal length only; a very long one is a row of its block, with
@@ -25,6 +27,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +39,59 @@ from .common import written
 TOP = 5
 SCALE = 256
 QUERY_EVERY = 50
-QUERY_BYTES = 16 << 20  # of the queries of a task
+QUERY_BYTES = 32 << 20  # of the queries of a task
+STRIPE_BYTES = 128 << 20  # of the vectors of a task
 QUERIES_AT_ONCE = 1024
 VECTOR_BLOCK = 1024
 VECTOR_BYTES = 4 << 20
-BLOCKS_A_TASK = 8
 TURNED = 512  # longer vectors are not turned
 SPARSE = 0.3  # with fewer survivors than this, pairs are multiplied one by one
 
 
+class Level(NamedTuple):
+    """A resolution: how many leading components are taken singly, and where the segments of the others begin."""
+
+    head: int
+    starts: list[int]
+
+    def statistics(self, turned: np.ndarray) -> np.ndarray:
+        return _statistics(turned[:, self.head :], self.starts)
+
+    def cost(self) -> int:
+        """Multiplications of its bound for a pair, besides the leading components."""
+        return 2 * len(self.starts)
+
+
 def resolutions(dim: int) -> list[list[int]]:
     """Where the segments of each resolution begin, coarse to fine; the last ones take leading components singly."""
     even = [list(range(0, dim, -(-dim // s))) for s in (4, 16) if dim > s]
     return even + [[*range(head), *range(head, dim, max(1, -(-(dim - head) // 4)))] for head in (dim // 2, dim * 3 // 4) if dim >= 16]
 
 
+def levels_of(dim: int) -> list[Level]:
+    out = []
+    for starts in resolutions(dim):
+        head = 0
+        while head + 1 < len(starts) and starts[head + 1] == head + 1:
+            head += 1
+        out.append(Level(head, [v - head for v in starts[head:]]))
+    return out
+
+
+def worth(q: np.ndarray, x: np.ndarray, least: np.ndarray, basis: np.ndarray | None) -> list[int]:
+    """Which resolutions save more multiplications of a pair than they cost, as far as these vectors tell."""
+    turned = (lambda v: v @ basis) if basis is not None else (lambda v: v)
+    q, x, dim = turned(q), turned(x), q.shape[1]
+    open_ = least > -np.inf
+    kept = []
+    for n, level in enumerate(levels_of(dim)):
+        bound = q[open_, : level.head] @ x[:, : level.head].T + level.statistics(q[open_]) @ level.statistics(x).T
+        excluded = float((bound < least[open_, None]).mean()) if bound.size else 0.0
+        if excluded * (dim - level.head) > level.cost():
+            kept.append(n)
+    return kept
+
+
 def _packed(vectors: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
     """dim, n, ids, values: blocks of whole-number vectors of one length."""
 
@@ -128,32 +169,38 @@ class _Best:
         self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
 
 
-def search_block(query_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None, basis: np.ndarray | None = None) -> _Best:
-    """The k best of the blocks' vectors for each query, as far as they reach `least`."""
+def search_block(query_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray | None = None, basis: np.ndarray | None = None, use: list[int] | None = None) -> _Best:
+    """The k best of the blocks' vectors for each query, as far as they reach `least`; `use` names the resolutions to try, all if None."""
     best = _Best(len(q), k)
     if least is not None:
         best.least = least.astype(float)
-    turned = (lambda v: v @ basis) if basis is not None else (lambda v: v)
-    levels = resolutions(q.shape[1])
-    coarse_to_fine = [(s, _statistics(turned(q), s)) for s in levels]
+    levels = [v for n, v in enumerate(levels_of(q.shape[1])) if use is None or n in use]
+    turned = (lambda v: v @ basis) if basis is not None and levels else (lambda v: v)
+    tq = turned(q)
+    of_q = [v.statistics(tq) for v in levels]
     norm = np.sqrt((q * q).sum(axis=1))
     for ids, x in blocks:
         slack = 1e-9 * norm.max(initial=0) * np.sqrt((x * x).sum(axis=1)).max(initial=0) + 1e-6
-        stats = [_statistics(turned(x), s) for s in levels]
+        tx = turned(x)
+        of_x = [v.statistics(tx) for v in levels]
         for at in range(0, len(q), QUERIES_AT_ONCE):
             rows = np.arange(at, min(len(q), at + QUERIES_AT_ONCE))
-            reach = np.broadcast_to(query_ids[rows, None] != ids[None, :], (len(rows), len(ids))).copy()
             columns = np.arange(len(ids))
-            for (_, of_q), of_x in zip(coarse_to_fine, stats):
-                reach &= of_q[rows] @ of_x[columns].T + slack >= best.least[rows, None]
+            reach, exact, done = query_ids[rows, None] != ids[None, :], np.zeros((len(rows), len(ids))), 0
+            for level, sq, sx in zip(levels, of_q, of_x):
+                if level.head > done:
+                    exact = exact + tq[rows, done : level.head] @ tx[columns, done : level.head].T
+                    done = level.head
+                reach = reach & (exact + sq[rows] @ sx[columns].T + slack >= best.least[rows, None])
                 some, left = reach.any(axis=1), reach.any(axis=0)
-                rows, columns, reach = rows[some], columns[left], reach[np.ix_(some, left)]
+                if some.sum() * left.sum() < 0.5 * reach.size:
+                    rows, columns, reach, exact = rows[some], columns[left], reach[np.ix_(some, left)], exact[np.ix_(some, left)]
             if not reach.size:
                 continue
             i, j = np.nonzero(reach)
             if len(i) < SPARSE * reach.size and q.shape[1] * np.abs(q).max() * np.abs(x).max() < 2.0**53:
                 best.exact += len(i)
-                scores = np.concatenate([np.einsum("ij,ij->i", q[rows[i[p : p + 65536]]], x[columns[j[p : p + 65536]]]) for p in range(0, len(i), 65536)]).astype(np.int64)
+                scores = np.concatenate([np.einsum("ij,ij->i", q[rows[i[p : p + 65536]]], x[columns[j[p : p + 65536]]]) for p in range(0, max(1, len(i)), 65536)]).astype(np.int64)
             else:
                 best.exact += reach.size
                 scores = _exact(q[rows], x[columns])[i, j]
@@ -174,14 +221,15 @@ def _seeded(query_blocks: DataFrame, k: int) -> DataFrame:
             for one in b.to_pylist():
                 ids, q = _unpacked(one)
                 first_ids, x = _unpacked({**one["first"], "dim": one["dim"]})
-                best = search_block(ids, q, [(first_ids, x)], k)
-                turn = basis_of(x).tobytes() if 0 < x.shape[1] <= TURNED else None
+                best = search_block(ids, q, [(first_ids, x)], k, use=[])
+                basis = basis_of(x) if 0 < x.shape[1] <= TURNED else None
+                use, turn = worth(q, x, best.least, basis), None if basis is None else basis.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], t) for v, t in ((one["q"], pa.int64()), (one["dim"], pa.int32()), (one["n"], pa.int32()), (one["ids"], pa.binary()), (one["values"], pa.binary()), (best.least.tobytes(), pa.binary()), (turn, pa.binary()))],
-                    names=["q", "dim", "n", "ids", "values", "least", "basis"],
+                    [pa.array([v], t) for v, t in ((one["q"], pa.int64()), (one["dim"], pa.int32()), (one["n"], pa.int32()), (one["ids"], pa.binary()), (one["values"], pa.binary()), (best.least.tobytes(), pa.binary()), (turn, pa.binary()), (use, pa.list_(pa.int32())))],
+                    names=["q", "dim", "n", "ids", "values", "least", "basis", "use"],
                 )
 
-    return query_blocks.mapInArrow(run, "q long, dim int, n int, ids binary, values binary, least binary, basis binary")
+    return query_blocks.mapInArrow(run, "q long, dim int, n int, ids binary, values binary, least binary, basis binary, use array<int>")
 
 
 def top_scores(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY) -> DataFrame:
@@ -195,7 +243,8 @@ def top_scores(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY) ->
     query_blocks = _packed(queries.repartition(max(1, -(-8 * size // QUERY_BYTES))), 1 << 30, QUERY_BYTES).withColumn("q", F.monotonically_increasing_id())
     first = vector_blocks.groupBy("dim").agg(F.max_by(F.struct("n", "ids", "values"), "n").alias("first"))
     query_blocks = written(_seeded(query_blocks.join(first, "dim"), k), "query-blocks")
-    stripes = max(1, -(-vector_blocks.count() // BLOCKS_A_TASK), spark.sparkContext.defaultParallelism)
+    held = vector_blocks.agg(F.sum(F.col("n").cast("long") * F.col("dim") * 8).alias("s")).first()["s"] or 0
+    stripes = max(1, -(-held // STRIPE_BYTES), spark.sparkContext.defaultParallelism)
     numbers = query_blocks.select("dim", F.col("q").alias("with"))
     left = query_blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))))
     right = vector_blocks.withColumn("stripe", F.pmod(F.xxhash64("v"), F.lit(stripes))).join(numbers, "dim").withColumnRenamed("with", "q")  # a vector block for each query block
@@ -206,7 +255,7 @@ def top_scores(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY) ->
         for one in a.to_pylist():
             ids, q = _unpacked(one)
             turn = np.frombuffer(one["basis"], np.float64).reshape(q.shape[1], -1) if one["basis"] else None
-            best = search_block(ids, q, blocks, k, np.frombuffer(one["least"], np.float64), turn)
+            best = search_block(ids, q, blocks, k, np.frombuffer(one["least"], np.float64), turn, one["use"])
             rows.append((ids[best.rows], best.ids, best.scores))
         cols = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
