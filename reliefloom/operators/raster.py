@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from .keys import model
 
 # Fixed values.
@@ -151,10 +152,31 @@ def bilinear(points: DataFrame, pixels: DataFrame, width: Column, height: Column
     return each.join(pixels, [*m, "px", "py"]).groupBy(*m, "id").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("v"))
 
 
-def box_mean(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
-    """points with `v`: the mean of the pixels around the nearest one, as far as there are any."""
+def box_mean(points: DataFrame, pixels: DataFrame, radius: int | Column) -> DataFrame:
+    """points with `v`: the mean of the pixels around the nearest one, as far as there are any; the radius may be a column of the points."""
     m = model(pixels)
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    each = points.select(*m, "id", F.floor(F.col("x") + 0.5).alias("cx"), F.floor(F.col("y") + 0.5).alias("cy")).withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
+    offsets = F.sequence(-F.col("radius"), F.col("radius"))
+    each = points.select(*m, "id", F.floor(F.col("x") + 0.5).alias("cx"), F.floor(F.col("y") + 0.5).alias("cy"), F.lit(radius).cast("int").alias("radius")).withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
     each = each.select(*m, "id", (F.col("cx") + F.col("dx")).alias("px"), (F.col("cy") + F.col("dy")).alias("py"))
     return each.join(pixels, [*m, "px", "py"]).groupBy(*m, "id").agg(F.avg(F.col("v").cast("double")).alias("v"))
+
+
+def heightfields(grids: DataFrame, pixels: DataFrame, tile_px: int) -> DataFrame:
+    """model_id, i, j, h_m: each model's grid of nodes, sampled from its pixels and cut at sea level.
+
+    grids: model_id, west, south, east, north, z, resolution_m, cols, rows, and its raster: `left`, `top` (the world pixel that is
+    pixel 0) and `width`, `height`. A node is the mean of the pixels that it stands for: a box of half its step around
+    the nearest pixel, or, where that is less than a pixel, a value between four.
+    """
+    c = F.col
+    west, south, east, north = (c(n) for n in ("west", "south", "east", "north"))
+    ex, ey = geo.extent(west, south, east, north)
+    middle = geo.origin(west, south, east, north)
+    radius = F.floor(c("resolution_m") / geo.metres_per_pixel(c("z"), middle["lat0"], tile_px) / 2)
+    rows = grids.select("*", middle.alias("o"), ex.alias("ex"), ey.alias("ey"), radius.cast("int").alias("radius")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), c("rows") - 1)))
+    nodes = rows.repartition("model_id", "j").select("*", F.explode(F.sequence(F.lit(0).cast("long"), c("cols") - 1)).alias("i"))
+    step = lambda n, extent, k: F.when(n > 1, -extent / 2 + k * (extent / (n - 1))).otherwise(-extent / 2)
+    lon, lat = geo.unproject(step(c("cols"), c("ex"), c("i")), step(c("rows"), c("ey"), c("j")), c("o"))
+    at = nodes.select("model_id", F.struct("i", "j").alias("id"), (geo.tile_x(lon, c("z")) * tile_px - c("left")).alias("x"), (geo.tile_y(lat, c("z")) * tile_px - c("top")).alias("y"), "width", "height", "radius")
+    sampled = box_mean(at.filter("radius >= 1"), pixels, c("radius")).unionByName(bilinear(at.filter("radius < 1"), pixels, c("width"), c("height")))
+    return sampled.select("model_id", "id.i", "id.j", F.greatest(c("v"), F.lit(0.0)).cast("float").alias("h_m"))

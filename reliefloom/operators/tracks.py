@@ -220,7 +220,7 @@ def _walked(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, j: int
     """
     worst, reach = 0.0, len(sx) if whole else len(sx) - 1
     for n in range(len(x)):
-        while j + 2 < reach and np.hypot(x[n] - sx[j + 1], y[n] - sy[j + 1]) < np.hypot(x[n] - sx[j], y[n] - sy[j]):
+        while j + 2 < reach and (x[n] - sx[j + 1]) ** 2 + (y[n] - sy[j + 1]) ** 2 < (x[n] - sx[j]) ** 2 + (y[n] - sy[j]) ** 2:
             j += 1
         if not whole and j + 2 >= reach:
             return n, j, worst

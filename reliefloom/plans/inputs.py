@@ -45,12 +45,36 @@ def a02_extract_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REG.add("""WITH r AS (SELECT DISTINCT 'f' || user_id % 30 AS file, user_id AS track FROM events), n AS (SELECT *, row_number() OVER (ORDER BY file, track) - 1 AS n FROM r)
- SELECT file, track, (['#FF0D00', '#2E86DE', '#F5A623', '#7ED321', '#9B51E0', '#00B8A9', '#E84393', '#FF7A45'])[n % 8 + 1] AS color FROM n""")
+ SELECT file, track, """ + str(settings.ROUTE_COLOURS) + "[n % 8 + 1] AS color FROM n")
 def a08_route_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("f"), F.col("user_id") % 30).alias("file"), F.col("user_id").alias("track")).distinct()
     return settings.route_coloured(r)
 
 
+LAYER_ROWS = ", ".join(f"('{n}', '{k}', {str(on).lower()}, '{c}', {h}e0)" for n, k, on, c, h in settings.LAYER_DEFAULTS)
+
+
+@REG.add(f"""WITH {{SELECTIONS}}, d(layer, kind, enabled, color, height_mm) AS (VALUES {LAYER_ROWS})
+ SELECT sel_id AS model_id, layer, kind, CASE WHEN layer = 'trails' AND sel_id % 2 = 0 THEN true ELSE enabled END AS enabled, color, CASE WHEN layer = 'roads' AND sel_id % 5 = 0 THEN 2.5e0 ELSE height_mm END AS height_mm FROM sel, d""")
+def a08_layer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers of each model: what is asked for over the defaults."""
+    m = selections(spark, sf_dir).select(F.col("sel_id").alias("model_id"))
+    n = F.col("model_id")
+    trails = m.filter(n % 2 == 0).select("model_id", F.lit("trails").alias("layer"), F.lit(True).alias("enabled"), F.lit(None).cast("double").alias("height_mm"))
+    roads = m.filter(n % 5 == 0).select("model_id", F.lit("roads").alias("layer"), F.lit(None).cast("boolean").alias("enabled"), F.lit(2.5).alias("height_mm"))
+    return settings.with_layers(m, trails.unionByName(roads)).select("model_id", "layer", "kind", "enabled", "color", "height_mm")
+
+
+@REG.add("""WITH r AS (SELECT DISTINCT 'f' || user_id % 30 AS file, user_id AS track FROM events), n AS (SELECT *, row_number() OVER (ORDER BY file, track) - 1 AS n FROM r)
+ SELECT file, track, CASE WHEN track % 9 = 0 THEN '#000000' ELSE """ + str(settings.ROUTE_COLOURS) + """[n % 8 + 1] END AS color, CASE WHEN track % 4 = 0 THEN 2e0 ELSE 1.5e0 END AS width_mm, 1.2e0 AS height_mm, true AS visible FROM n""")
+def a08_route_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes with what is asked for over the defaults."""
+    n = F.col("track")
+    r = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("f"), F.col("user_id") % 30).alias("file"), F.col("user_id").alias("track")).distinct()
+    r = r.withColumns({"color": F.when(n % 9 == 0, "#000000"), "width_mm": F.when(n % 4 == 0, 2.0)})
+    return settings.with_style(r).select("file", "track", "color", "width_mm", "height_mm", "visible")
+
+
 @REG.add("WITH {SELECTIONS}, m AS (SELECT sel_id, CASE WHEN sel_id % 2 = 0 THEN 'mapterhorn' ELSE 'aws-terrarium' END AS dataset, CASE WHEN k = 0 THEN NULL ELSE radius_m / 10 END AS w FROM sel) SELECT sel_id, dataset, CASE WHEN sel_id % 2 = 0 THEN 512 ELSE 256 END AS tile_size, CASE WHEN sel_id % 2 = 0 THEN 14 ELSE 13 END AS max_zoom, coalesce(w, 100e0) AS width_mm, 0.4e0 AS nozzle_mm FROM m")
 def a06_model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models with their dataset and defaults."""

@@ -80,6 +80,23 @@ def f08_split_on_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.split_on_water(_segments(spark, sf_dir), _water(spark, sf_dir)).select("line_id", F.col("seq").cast("long").alias("seq"), "wet", "run")
 
 
+@REG.add(HEAD + f""", {RANKS}, sp AS (SELECT lw.*, rank, sum(length_m * 0.01e0 * printed_mm) OVER w AS spent, row_number() OVER w AS n FROM lw JOIN rk USING (layer, subtype) WINDOW w AS (PARTITION BY layer ORDER BY rank)),
+ kp AS (SELECT layer, subtype, max((spent > {AREA_MM2}e0 * 0.25e0 AND n > 1)::INT) OVER (PARTITION BY layer ORDER BY rank) = 0 AS kept FROM sp),
+ wr AS (SELECT way_id AS ring_id, seq, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS yb FROM wp JOIN rt USING (way_id) WHERE route = 'polygon' AND layer = 'water' AND n >= 4 WINDOW w AS (PARTITION BY way_id ORDER BY seq)),
+ ch AS (SELECT sg.* FROM sg JOIN kp USING (layer, subtype) WHERE kept),
+ hit AS (SELECT DISTINCT way_id, seq FROM (SELECT ch.way_id, ch.seq, ring_id FROM ch JOIN wr ON NOT bridge AND (wr.y > (ch.y + ch.yb) / 2) <> (wr.yb > (ch.y + ch.yb) / 2) AND (ch.x + ch.bx) / 2 < (wr.bx - wr.x) * ((ch.y + ch.yb) / 2 - wr.y) / (wr.yb - wr.y) + wr.x GROUP BY ch.way_id, ch.seq, ring_id HAVING count(*) % 2 = 1)),
+ dn AS (SELECT layer, count(hit.seq) AS drowned FROM ch LEFT JOIN hit ON hit.way_id = ch.way_id AND hit.seq = ch.seq GROUP BY layer)
+ SELECT layer, any_value(drowned) AS drowned, count(*) FILTER (WHERE NOT kept) AS dropped_classes, string_agg(subtype, ',' ORDER BY subtype) FILTER (WHERE NOT kept) AS dropped FROM kp LEFT JOIN dn USING (layer) GROUP BY layer""")
+def e10_drowned_and_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each layer, the segments under water among what is built of it, and the classes that are too much for the model."""
+    classes = cut(lines.legible(_classes(spark, sf_dir), _ranks(spark), MM_PER_M, AREA_MM2))  # a row for each class
+    chosen = _segments(spark, sf_dir).join(classes.filter("kept").select("layer", "subtype"), ["layer", "subtype"])
+    drowned = lines.split_on_water(chosen, _water(spark, sf_dir)).groupBy("layer").agg(F.count_if("wet").alias("drowned"))
+    out = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("subtype"))))
+    dropped = classes.groupBy("layer").agg(F.size(out).cast("long").alias("dropped_classes"), F.when(F.size(out) > 0, F.array_join(out, ",")).alias("dropped"))
+    return dropped.join(drowned, "layer", "left").select("layer", "drowned", "dropped_classes", "dropped")
+
+
 BUDGET = "g AS (SELECT layer, floor(printed_mm * 20 + 0.5e0) / 20 AS bucket, count(*) AS points FROM ln JOIN lw USING (layer, subtype) GROUP BY 1, 2), o AS (SELECT *, sum(points * 4) OVER (PARTITION BY layer ORDER BY bucket) <= 8000 AS taken FROM g)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import mesh
+from ..operators import mesh, rules
 from ..operators.lineage import cut, shared_dir
 from ..sources import stl
 from .rasters import VALUE, _values
@@ -108,12 +108,33 @@ def i11_remove_degenerates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.without_degenerates(t, v).groupBy("model_id").agg(F.count("*").alias("triangles"), F.sum("tid").alias("checksum"))
 
 
-@REG.add(f"WITH {{DEM}}, {SOLID}, {BROKEN}, {WELD}, {CORNERS.format(t='wt', v='mv')}, {AUDIT.format(t='wt')}, ct AS (SELECT model_id, tid, a, b, c FROM nm WHERE NOT (a = b OR b = c OR a = c OR (nx * nx + ny * ny + nz * nz) / 4 <= 1e-12)), {_renamed(CORNERS.format(t='ct', v='mv'), '2')}, {_renamed(AUDIT.format(t='ct'), '2')}, w AS ({DONE}), d AS ({_renamed(DONE, '2')}), ch AS (SELECT w.model_id, w.open_edges + w.non_manifold > 0 AND d.open_edges + d.non_manifold < w.open_edges + w.non_manifold AS cleaned FROM w JOIN d USING (model_id)) SELECT ch.cleaned, w.* FROM w JOIN ch USING (model_id) WHERE NOT cleaned UNION ALL SELECT ch.cleaned, d.* FROM d JOIN ch USING (model_id) WHERE cleaned")
+#: The audit after repair, as CTE `fixed`.
+REPAIRED = f"{WELD}, {CORNERS.format(t='wt', v='mv')}, {AUDIT.format(t='wt')}, ct AS (SELECT model_id, tid, a, b, c FROM nm WHERE NOT (a = b OR b = c OR a = c OR (nx * nx + ny * ny + nz * nz) / 4 <= 1e-12)), {_renamed(CORNERS.format(t='ct', v='mv'), '2')}, {_renamed(AUDIT.format(t='ct'), '2')}, w AS ({DONE}), d AS ({_renamed(DONE, '2')}), ch AS (SELECT w.model_id, w.open_edges + w.non_manifold > 0 AND d.open_edges + d.non_manifold < w.open_edges + w.non_manifold AS cleaned FROM w JOIN d USING (model_id)), fixed AS (SELECT ch.cleaned, w.* FROM w JOIN ch USING (model_id) WHERE NOT cleaned UNION ALL SELECT ch.cleaned, d.* FROM d JOIN ch USING (model_id) WHERE cleaned)"
+
+
+@REG.add(f"WITH {{DEM}}, {SOLID}, {BROKEN}, {REPAIRED} SELECT * FROM fixed")
 def i12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weld, and drop degenerates where that leaves fewer bad edges."""
     return _rounded(mesh.repaired(*_broken(spark, sf_dir)))
 
 
+#: Models put together of the four solids: model, part, solid.
+PARTS = [(1, "terrain", 0), (1, "roads", 0), (1, "route-1", 3), (2, "terrain", 0), (2, "roads", 1), (3, "terrain", 2), (3, "roads", 3), (4, "terrain", 1), (4, "route-1", 1), (5, "terrain", 3), (5, "water", 2)]
+MERGED = ["roads", "water"]
+
+
+@REG.add(f"""WITH {{DEM}}, {SOLID}, {BROKEN}, {REPAIRED}, {_renamed(CORNERS.format(t='mt', v='mv'), '3')}, {_renamed(AUDIT.format(t='mt'), '3')}, raw AS ({_renamed(DONE, '3')}), parts(model, part, solid) AS (VALUES {', '.join(map(str, PARTS))}),
+ j AS (SELECT model, part, CASE WHEN part IN ('roads', 'water') THEN raw.manifold ELSE fixed.manifold END AS manifold, part = 'terrain' AND fixed.inverted AS inverted, CASE WHEN part IN ('roads', 'water') THEN 0 ELSE fixed.degenerate END AS degenerate FROM parts JOIN fixed ON fixed.model_id = solid JOIN raw ON raw.model_id = solid)
+ SELECT model, part, 'fail' AS level, CASE WHEN part = 'terrain' THEN 'not-manifold' ELSE 'part-not-manifold' END AS code FROM j WHERE NOT manifold UNION ALL SELECT model, part, 'fail', 'inverted' FROM j WHERE inverted
+ UNION ALL SELECT model, NULL, 'warn', 'degenerate-triangles' FROM j GROUP BY model HAVING sum(degenerate) > 0""")
+def k06_part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part of five models judged: terrain and routes after repair, layers of many solids as they are (K6)."""
+    t, v = map(cut, _broken(spark, sf_dir))
+    parts = spark.createDataFrame(PARTS, "model int, part string, solid int")
+    of = lambda df: df.join(F.broadcast(parts), F.col("model_id") == F.col("solid")).drop("model_id", "solid")
+    return rules.part_warnings(of(t), of(v), MERGED)
+
+
 @REG.add(f"WITH {{DEM}}, {SOLID}, {BROKEN}, e AS (SELECT model_id, a AS u, b AS w FROM mt UNION ALL SELECT model_id, b, c FROM mt UNION ALL SELECT model_id, c, a FROM mt) SELECT model_id, any_value(u) AS u, any_value(w) AS v FROM e WHERE model_id = 1 GROUP BY model_id, least(u, w), greatest(u, w) HAVING count(*) = 1")
 def i06_boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.boundary(_broken(spark, sf_dir)[0].filter("model_id = 1"))

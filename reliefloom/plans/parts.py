@@ -130,14 +130,17 @@ def _ground(spark: SparkSession, sf_dir: str, vertices: DataFrame, x: F.Column,
     return raster.bilinear(probes, pixels, F.lit(size[0]), F.lit(size[1])).select("id.model_id", "id.vid", F.col("v").alias("ground"))
 
 
-@REG.add(HEAD + f""", {FIELD}, {CELLS.format(iso=20)},
- pl AS (SELECT layer, i, j, list_filter([CASE WHEN a = 1 THEN {{'x': i * 20e0, 'y': j * 20e0}} END,
-   CASE WHEN a <> b THEN {{'x': (i + CASE WHEN v0 IS NULL THEN 0e0 WHEN v1 IS NULL THEN 1e0 ELSE (20 - v0) / (v1 - v0) END) * 20e0, 'y': j * 20e0}} END, CASE WHEN b = 1 THEN {{'x': (i + 1) * 20e0, 'y': j * 20e0}} END,
-   CASE WHEN b <> c THEN {{'x': (i + 1) * 20e0, 'y': (j + CASE WHEN v1 IS NULL THEN 0e0 WHEN v2 IS NULL THEN 1e0 ELSE (20 - v1) / (v2 - v1) END) * 20e0}} END, CASE WHEN c = 1 THEN {{'x': (i + 1) * 20e0, 'y': (j + 1) * 20e0}} END,
-   CASE WHEN c <> e THEN {{'x': (i + CASE WHEN v3 IS NULL THEN 0e0 WHEN v2 IS NULL THEN 1e0 ELSE (20 - v3) / (v2 - v3) END) * 20e0, 'y': (j + 1) * 20e0}} END, CASE WHEN e = 1 THEN {{'x': i * 20e0, 'y': (j + 1) * 20e0}} END,
-   CASE WHEN e <> a THEN {{'x': i * 20e0, 'y': (j + CASE WHEN v0 IS NULL THEN 0e0 WHEN v3 IS NULL THEN 1e0 ELSE (20 - v0) / (v3 - v0) END) * 20e0}} END], lambda x: x IS NOT NULL) AS p, cuts = 4 AND NOT joined AS split, a FROM kd WHERE held > 0),
+#: The parts of the cells, as polygons, and their areas.
+POLYGONS = """ pl AS (SELECT layer, i, j, list_filter([CASE WHEN a = 1 THEN {'x': i * 20e0, 'y': j * 20e0} END,
+   CASE WHEN a <> b THEN {'x': (i + CASE WHEN v0 IS NULL THEN 0e0 WHEN v1 IS NULL THEN 1e0 ELSE (20 - v0) / (v1 - v0) END) * 20e0, 'y': j * 20e0} END, CASE WHEN b = 1 THEN {'x': (i + 1) * 20e0, 'y': j * 20e0} END,
+   CASE WHEN b <> c THEN {'x': (i + 1) * 20e0, 'y': (j + CASE WHEN v1 IS NULL THEN 0e0 WHEN v2 IS NULL THEN 1e0 ELSE (20 - v1) / (v2 - v1) END) * 20e0} END, CASE WHEN c = 1 THEN {'x': (i + 1) * 20e0, 'y': (j + 1) * 20e0} END,
+   CASE WHEN c <> e THEN {'x': (i + CASE WHEN v3 IS NULL THEN 0e0 WHEN v2 IS NULL THEN 1e0 ELSE (20 - v3) / (v2 - v3) END) * 20e0, 'y': (j + 1) * 20e0} END, CASE WHEN e = 1 THEN {'x': i * 20e0, 'y': (j + 1) * 20e0} END,
+   CASE WHEN e <> a THEN {'x': i * 20e0, 'y': (j + CASE WHEN v0 IS NULL THEN 0e0 WHEN v3 IS NULL THEN 1e0 ELSE (20 - v0) / (v3 - v0) END) * 20e0} END], lambda x: x IS NOT NULL) AS p, cuts = 4 AND NOT joined AS split, a FROM kd WHERE held > 0),
  pp AS (SELECT layer, i, j, p FROM pl WHERE NOT split UNION ALL SELECT layer, i, j, unnest(CASE WHEN a = 1 THEN [[p[6], p[1], p[2]], [p[3], p[4], p[5]]] ELSE [[p[1], p[2], p[3]], [p[4], p[5], p[6]]] END) FROM pl WHERE split),
- ar AS (SELECT layer, sum((p[k].x - i * 20e0) * (p[k % len(p) + 1].y - j * 20e0) - (p[k % len(p) + 1].x - i * 20e0) * (p[k].y - j * 20e0)) / 2 AS area FROM (SELECT layer, i, j, p, unnest(range(1, len(p) + 1)) AS k FROM pp) GROUP BY layer)
+ ar AS (SELECT layer, sum((p[k].x - i * 20e0) * (p[k % len(p) + 1].y - j * 20e0) - (p[k % len(p) + 1].x - i * 20e0) * (p[k].y - j * 20e0)) / 2 AS area FROM (SELECT layer, i, j, p, unnest(range(1, len(p) + 1)) AS k FROM pp) GROUP BY layer)"""
+
+
+@REG.add(HEAD + f""", {FIELD}, {CELLS.format(iso=20)}, {POLYGONS}
  SELECT layer, 2 * points::BIGINT AS vertices, (2 * faces + 2 * rim)::BIGINT AS triangles, 0::BIGINT AS open_edges, 0::BIGINT AS non_manifold, false AS inverted, round(area * 7 / 1000) + 0e0 AS thousand_m3 FROM tp JOIN ar USING (layer)""")
 def i03_draped_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each layer's footprint as a solid on the ground: five metres above it, two below."""
@@ -148,6 +151,15 @@ def i03_draped_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.audit(t, v).join(n, "model_id").select(F.col("model_id").alias("layer"), "vertices", "triangles", "open_edges", "non_manifold", "inverted", (F.round(F.col("volume_mm3") / 1000) + 0.0).alias("thousand_m3"))
 
 
+@REG.add(HEAD + f""", {FIELD}, {CELLS.format(iso=20)}, {POLYGONS} SELECT layer, sum(cuts // 2)::BIGINT AS points, true AS dense, round(any_value(area)) + 0e0 AS area_m2 FROM kd JOIN ar USING (layer) GROUP BY layer""")
+def f12_ring_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rings chained from each layer's contour: all its segments, numbered without gaps, around the area that the cells have."""
+    chained = cut(rings.chained(lines.contour(_field(spark, sf_dir), 20.0, 20.0), 20.0))
+    dense = chained.groupBy("model_id", "ring").agg((F.max("seq") + 1 == F.count_distinct("seq")).alias("dense")).groupBy("model_id").agg(F.bool_and("dense").alias("dense"))
+    total = rings.measured(chained).groupBy("model_id").agg(F.sum("points").alias("points"), (F.round(F.sum("area")) + 0.0).alias("area_m2"))
+    return total.join(dense, "model_id").select(F.col("model_id").alias("layer"), "points", "dense", "area_m2")
+
+
 #: A selection ring of 64 sides around the grid's middle, and the nodes inside it.
 CLIP = """cir AS (SELECT u, {r}e0 * cos(u / {n}e0 * 2 * pi()) AS px, {r}e0 * sin(u / {n}e0 * 2 * pi()) AS py, {r}e0 * cos((u + 1) % {n} / {n}e0 * 2 * pi()) AS qx, {r}e0 * sin((u + 1) % {n} / {n}e0 * 2 * pi()) AS qy FROM (SELECT unnest(range(0, {n})) AS u)),
  nd AS (SELECT px - 50 AS i, py - 50 AS j FROM dem),

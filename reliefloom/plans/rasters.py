@@ -168,6 +168,32 @@ def h05_build_heightfield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select(F.col("id.i").cast("long").alias("i"), F.col("id.j").cast("long").alias("j"), (F.round(h, 3) + 0.0).alias("h_m"))
 
 
+#: Grids over the filled pixels: id, box, and the step that was asked for. At this zoom they stand for less than a pixel, three and five pixels.
+GRIDS = [(0, 7.63, 45.95, 7.71, 46.0, 150.0), (1, 7.62, 45.94, 7.74, 46.02, 300.0), (2, 7.66, 45.96, 7.70, 46.01, 480.0)]
+
+
+@REG.add(f"""WITH {{DEM}}, {VALUE}, {SIZE}, {FILLED}, {ORIGIN_SQL}, gr(m, west, south, east, north, res) AS (VALUES {', '.join('(' + ', '.join(f'{v}e0' if isinstance(v, float) else str(v) for v in g) + ')' for g in GRIDS)}),
+ mid AS (SELECT *, (west + east) / 2 AS lon0, (south + north) / 2 AS lat0, cos((south + north) / 2 * {DEG_SQL}) AS c0 FROM gr), ext AS (SELECT *, 6378137 * (east - west) * {DEG_SQL} * c0 AS ex, 6378137 * (north - south) * {DEG_SQL} AS ey, floor(res / (40075016.686e0 * c0 / (1024 * 256)) / 2)::BIGINT AS radius FROM mid),
+ dim AS (SELECT *, ceil(ex / res)::BIGINT + 1 AS cols, ceil(ey / res)::BIGINT + 1 AS rows FROM ext), nj AS (SELECT *, unnest(range(0, rows)) AS j FROM dim), nodes AS (SELECT *, unnest(range(0, cols)) AS i FROM nj),
+ ll AS (SELECT *, lon0 + (-ex / 2 + i * (ex / (cols - 1))) / (6378137 * {DEG_SQL} * c0) AS lon, lat0 + (-ey / 2 + j * (ey / (rows - 1))) / (6378137 * {DEG_SQL}) AS lat FROM nodes),
+ px AS (SELECT m, i, j, radius, (lon + 180) / 360 * 1024 * 256 - ox AS x, (1 - ln(tan(lat * {DEG_SQL}) + 1 / cos(lat * {DEG_SQL})) / pi()) / 2 * 1024 * 256 - oy AS y FROM ll, org),
+ box AS (SELECT m, i, j, avg(v) AS h FROM px, (SELECT a.k AS dx, b.k AS dy, greatest(abs(a.k), abs(b.k)) AS far FROM (SELECT unnest(range(-2, 3)) AS k) a, (SELECT unnest(range(-2, 3)) AS k) b) o JOIN fil ON fil.px = floor(x + 0.5e0) + dx AND fil.py = floor(y + 0.5e0) + dy WHERE radius >= 1 AND far <= radius GROUP BY m, i, j),
+ cl AS (SELECT m, i, j, least(greatest(x, 0), w - 1e0) AS x, least(greatest(y, 0), h - 1e0) AS y, w, h FROM px, size WHERE radius = 0), co AS (SELECT *, floor(x) AS x0, floor(y) AS y0, x - floor(x) AS fx, y - floor(y) AS fy FROM cl),
+ bil AS (SELECT m, i, j, (1 - fx) * (1 - fy) * a.v + fx * (1 - fy) * b.v + (1 - fx) * fy * c.v + fx * fy * d.v AS h FROM co JOIN fil a ON a.px = x0 AND a.py = y0 JOIN fil b ON b.px = least(x0 + 1, w - 1) AND b.py = y0 JOIN fil c ON c.px = x0 AND c.py = least(y0 + 1, h - 1) JOIN fil d ON d.px = least(x0 + 1, w - 1) AND d.py = least(y0 + 1, h - 1))
+ SELECT m AS model_id, i, j, round(greatest(h, 0)::FLOAT::DOUBLE, 2) + 0e0 AS h_m FROM (SELECT * FROM box UNION ALL SELECT * FROM bil)""")
+def h05_heightfields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three models with the grid and the sampling radius that their own step asks for."""
+    p, w, h = _filled(spark, sf_dir)
+    west, north, z = F.lit(BOX[0]), F.lit(BOX[3]), F.lit(ZOOM)
+    g = spark.createDataFrame(GRIDS, "model_id int, west double, south double, east double, north double, asked_m double")
+    ex, ey = geo.extent(*(F.col(c) for c in ("west", "south", "east", "north")))
+    g = g.withColumn("g", geo.grid(ex, ey, F.lit(100.0), F.lit(0.4), F.col("asked_m"))).select("*", "g.resolution_m", "g.cols", "g.rows")
+    g = g.withColumns({"z": z, "left": F.floor(geo.tile_x(west, z) * TILE), "top": F.floor(geo.tile_y(north, z) * TILE), "width": F.lit(w), "height": F.lit(h)})
+    ids = g.select("model_id")
+    field = raster.heightfields(g, p.join(F.broadcast(ids), F.lit(True)), TILE)  # a row for each model
+    return field.select("model_id", "i", "j", (F.round(F.col("h_m").cast("double"), 2) + 0.0).alias("h_m"))
+
+
 STORED = "stored AS (SELECT DISTINCT z, o_orderkey % (1 << z) AS x, o_custkey % (1 << z) AS y FROM (SELECT *, (3 + o_orderkey % 5)::INT AS z FROM orders))"
 
 

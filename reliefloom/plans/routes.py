@@ -76,7 +76,24 @@ def f01_denoised_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.denoise_points(gps_points(spark, sf_dir), _origin()).select("route_id", "seq", r6(F.col("lon")).alias("lon"), r6(F.col("lat")).alias("lat"))
 
 
-@REG.add()
+#: Points that stay, by recursion over intervals split at their farthest point; then the walk over them, a step at a time.
+SIMPLER = """pn AS (SELECT route_id AS line, seq, x, y FROM xy),
+ iv AS (SELECT line, min(seq) AS a, max(seq) AS b FROM pn GROUP BY line
+   UNION ALL SELECT line, CASE h WHEN 0 THEN a ELSE -far.k END, CASE h WHEN 0 THEN -far.k ELSE b END FROM (
+     SELECT line, a, b, max({'d': d, 'k': -seq}) AS far FROM (SELECT line, a, b, seq, sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (b_y - ay)), 2)) AS d FROM (
+       SELECT iv.line, a, b, p.seq, p.x, p.y, f.x AS ax, f.y AS ay, l.x AS bx, l.y AS b_y, CASE WHEN f.x = l.x AND f.y = l.y THEN 0 ELSE least(1, greatest(0, ((p.x - f.x) * (l.x - f.x) + (p.y - f.y) * (l.y - f.y)) / (pow(l.x - f.x, 2) + pow(l.y - f.y, 2)))) END AS t
+       FROM iv JOIN pn p ON p.line = iv.line AND p.seq > a AND p.seq < b JOIN pn f ON f.line = iv.line AND f.seq = a JOIN pn l ON l.line = iv.line AND l.seq = b)) GROUP BY line, a, b), (VALUES (0), (1)) s(h) WHERE far.d > 400),
+ st AS (SELECT line, a AS seq FROM iv UNION SELECT line, b FROM iv), vx AS (SELECT line, list(x ORDER BY seq) AS sx, list(y ORDER BY seq) AS sy, count(*) AS n FROM st JOIN pn USING (line, seq) GROUP BY line),
+ ln AS (SELECT line, list(x ORDER BY seq) AS px, list(y ORDER BY seq) AS py, count(*) AS m FROM pn GROUP BY line),
+ wk AS (SELECT line, 1::BIGINT AS i, 1::BIGINT AS j, 0e0 AS worst FROM ln
+   UNION ALL SELECT line, CASE WHEN go THEN i ELSE i + 1 END, CASE WHEN go THEN j + 1 ELSE j END, CASE WHEN go THEN worst ELSE greatest(worst, sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (b_y - ay)), 2))) END FROM (
+     SELECT *, CASE WHEN ax = bx AND ay = b_y THEN 0 ELSE least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)))) END AS t FROM (
+       SELECT wk.line, i, j, worst, px[i] AS x, py[i] AS y, sx[j] AS ax, sy[j] AS ay, sx[least(j + 1, n)] AS bx, sy[least(j + 1, n)] AS b_y, j + 1 < n AND (px[i] - sx[j + 1]) * (px[i] - sx[j + 1]) + (py[i] - sy[j + 1]) * (py[i] - sy[j + 1]) < (px[i] - sx[j]) * (px[i] - sx[j]) + (py[i] - sy[j]) * (py[i] - sy[j]) AS go
+       FROM wk JOIN ln USING (line) JOIN vx USING (line) WHERE i <= m))),
+ dv AS (SELECT line, max(worst) AS deviation FROM wk GROUP BY line)"""
+
+
+@REG.add(f"WITH RECURSIVE {{GPS}}, {{MODEL}}, {XY}, {SIMPLER} SELECT line AS line_id, n AS kept, round(deviation, 4) + 0e0 AS deviation FROM vx JOIN dv USING (line)")
 def f02_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that stay within 400 m, and how far each line moved."""
     lines = _lines(spark, sf_dir)

@@ -48,6 +48,31 @@ def with_defaults(models: DataFrame) -> DataFrame:
     return models.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in given else F.lit(v) for k, v in MODEL_DEFAULTS.items()})
 
 
+def with_layers(models: DataFrame, given: DataFrame) -> DataFrame:
+    """A row for each of a model's layers, with what is given for it (model_id, layer and any of enabled, color, height_mm, subtypes) over the defaults.
+
+    A layer that nobody knows is an error.
+    """
+    table = layers(models.sparkSession)
+    names = {c: f"_{c}" for c in ("enabled", "color", "height_mm", "subtypes") if c in given.columns}
+    own = given.select("model_id", "layer", *(F.col(c).alias(n) for c, n in names.items()))
+    strange = own.join(F.broadcast(table.select("layer")), "layer", "left_anti").agg(F.min("layer").alias("unknown"))  # one row
+    each = models.join(F.broadcast(table), F.lit(True)).join(own, ["model_id", "layer"], "left")  # ten layers
+    set_ = each.withColumns({c: F.coalesce(F.col(n), F.col(c)) for c, n in names.items()}).drop(*names.values())
+    problem = F.raise_error(F.concat(F.lit("Unknown layer: "), F.col("unknown"))).cast("boolean")
+    checked = set_.join(F.broadcast(strange), F.lit(True))
+    return checked.withColumn("enabled", F.when(F.col("unknown").isNotNull(), problem).otherwise(F.col("enabled"))).drop("unknown")
+
+
+def with_style(routes: DataFrame) -> DataFrame:
+    """Null or missing settings of routes (file, track) get their defaults; without a color they take turns."""
+    had = set(routes.columns)
+    own = routes.withColumnRenamed("color", "_color") if "color" in had else routes.withColumn("_color", F.lit(None).cast("string"))
+    out = route_coloured(own)
+    out = out.withColumn("color", F.coalesce("_color", "color")).drop("_color", "_n")
+    return out.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in had else F.lit(v) for k, v in ROUTE_DEFAULTS.items()})
+
+
 def with_area(models: DataFrame) -> DataFrame:
     """models joined with their example area; an unknown one is an error."""
     known = models.join(F.broadcast(areas(models.sparkSession)), "area", "left")
