@@ -14,7 +14,7 @@ whitening matrix projects all rows. Blocks come from and go to Parquet in the sh
 Rows: those whose vector is null, or holds null or non-finite entries, are dropped, and so are vectors of
 another length than most rows have (of the longer, if two lengths are equally common); without entries there
 is nothing to return. Equal vec_ids and repeated rows are rows of their own; a null vec_id stays null. Entries
-beyond the range of a long stand at its end, and a deviation beyond it is null. Components whose eigenvalue is
+beyond 9.2e18 / 64 stand there, and a deviation beyond a long is null. Components whose eigenvalue is
 zero to rounding can't be scaled and are left out: a single row, or equal rows, give none. Equal
 eigenvalues have components in any order. Other columns are ignored, whatever their names.
 """
@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lengths_to_list_array, parallelism, written
+from .common import parallelism, written
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
+FURTHEST = 9.2e18
 BLOCK_BYTES = 4 << 20
 MATRIX = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("m", MatrixUDT())])
 #: The columns that a matrix has in a table.
@@ -49,7 +50,7 @@ def integers(embeddings: DataFrame) -> DataFrame:
     """vec_id and x of the rows that take part."""
     e = F.col("embedding")
     odd = F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    x = F.transform(e, lambda c: F.floor(SCALE * c.cast("double")) + SHIFT)
+    x = F.transform(e, lambda c: F.floor(F.least(F.greatest(SCALE * c.cast("double"), F.lit(-FURTHEST)), F.lit(FURTHEST))) + SHIFT)
     return embeddings.filter(e.isNotNull() & ~odd & (F.size(e) > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 

@@ -3,11 +3,10 @@
 import random
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 
-from reliefloom.llm import alignment, chat, queries, whitening
+from reliefloom.llm import alignment, chat, whitening
 from reliefloom.llm.common import tokenizer_path
 
 from . import brute
@@ -176,10 +175,3 @@ def test_a_log_is_folded(spark):
     table = spark.createDataFrame(log, "conv_id long, seq int, kind string, message string, role string, text string")
     got = sorted(tuple(r) for r in chat.messages(table).collect())
     assert got == [(1, 0, "user", "Hi!"), (1, 1, "assistant", "Better"), (1, 2, "user", "more"), (2, 0, "user", "unbegun")]
-
-
-def test_chat_query_equals_its_sql(spark, sf):
-    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-    got = queries.op13_chat(spark, sf)
-    want = duckdb.sql(queries.OP13_SQL)
-    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())

@@ -83,7 +83,7 @@ def test_dense_groups_beyond_the_exhaustive_size(spark, monkeypatch):
 
 def oracle(name, sf, order=True):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     r = c.execute(queries.ORACLE_SQL[name])
     return [x[0] for x in r.description], r.fetchall()
