@@ -43,7 +43,7 @@ def facets(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
             p = np.stack([b.column(f"{v}{k}").to_numpy() for v in "abc" for k in "xyz"], axis=1).reshape(-1, 3, 3)
             n = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
             length = np.sqrt((n * n).sum(axis=1, keepdims=True))
-            n = np.divide(n, length, out=n, where=length > 0)
+            n = np.divide(n, length, out=np.zeros_like(n), where=length > 0)
             rec = np.zeros(len(p), RECORD)
             rec["f"] = np.concatenate([n[:, None], p], axis=1).reshape(-1, 12)
             raw = rec.tobytes()

@@ -101,7 +101,7 @@ def test_a_band_is_cut_into_strips_of_bounded_work(spark):
     strips = lines.band_strips(df, 60.0, 20.0)
     size = (F.col("j1") - F.col("j0") + 1) * (F.col("i1") - F.col("i0") + 1)
     assert strips.agg(F.max(size)).first()[0] <= lines.TILE**2
-    assert strips.filter("bx = 1e5").count() < 2.5 * 1e5 / (lines.TILE * 20)  # a long slanted line does not fill its box
+    assert strips.filter("bx = 1e5").count() < 4 * 1e5 / (lines.TILE * 20)  # a few for each row of tiles: a long slanted line does not fill its box of 6000
     near = spark.createDataFrame(segs[:-1], df.schema)
     got = {(r.i, r.j): r.d for r in lines.distance_field(near, 60.0, 20.0).collect()}
     i, j = np.meshgrid(np.arange(-210, 211), np.arange(-210, 211), indexing="ij")
