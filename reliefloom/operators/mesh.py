@@ -6,6 +6,7 @@ Checks are aggregations over edges and corners, so one mesh may be spread over a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -300,10 +301,14 @@ def ground_colour(height: Column) -> list[Column]:
     return out
 
 
+#: Red, green and blue of level ground, and what upright ground adds.
+SLOPE_COLOURS = [(0.25, 0.7), (0.7, -0.45), (0.35, -0.2)]
+
+
 def slope_colour(nz: Column) -> list[Column]:
     """Red, green, blue by how far a normal leans from the vertical."""
-    t = F.least(F.lit(1.0), F.acos(F.least(F.lit(1.0), F.abs(nz))) / (3.141592653589793 / 2))
-    return [0.25 + 0.7 * t, 0.7 - 0.45 * t, 0.35 - 0.2 * t]
+    t = F.least(F.lit(1.0), F.acos(F.least(F.lit(1.0), F.abs(nz))) / (math.pi / 2))
+    return [level + more * t for level, more in SLOPE_COLOURS]
 
 
 def tinted(triangles: DataFrame, vertices: DataFrame) -> DataFrame:

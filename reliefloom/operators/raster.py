@@ -69,6 +69,15 @@ def mosaic(needed: DataFrame, tiles: DataFrame, tile_px: int, encoding: str = "t
     return joined.select("model_id", F.col("x").cast("long"), F.col("y").cast("long"), "rgb").mapInArrow(run, f"model_id {kind}, px long, py long, v float")
 
 
+def usable_zoom(needed: DataFrame, stored: DataFrame) -> DataFrame:
+    """model_id, zoom: the finest zoom at which the store (z, x, y) has any of the tiles that a model needs (model_id, z, x, y); null where it has none at all.
+
+    All candidate zooms are looked up in one pass. `rules.raster_rules` makes a null one a failure.
+    """
+    there = needed.select("model_id", "z", "x", "y").join(stored.select("z", "x", "y").distinct().withColumn("there", F.lit(True)), ["z", "x", "y"], "left")
+    return there.groupBy("model_id").agg(F.max(F.when(F.col("there"), F.col("z"))).alias("zoom"))
+
+
 def _blocks(df: DataFrame, size: int, halo: int) -> DataFrame:
     """df once for each block that needs the pixel: columns bx, by."""
     near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import raster
+from ..operators import raster, rules
 from .derived import TILE_PX, dem_pixels, dem_tiles, selections
 from .projection import BOX, BOXES, DEG_SQL, _selection_boxes
 from .registry import Registry, r4, r6
@@ -227,5 +227,14 @@ def a04_tile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add(f"WITH {{SELECTIONS}}, {BOXES}, {STORED}, {_needed_sql('SELECT unnest(range(3, 8))::INT AS z')} SELECT sel_id, max(z)::INT AS zoom FROM need JOIN stored USING (z, x, y) GROUP BY sel_id")
 def b13_zoom_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finest zoom at which any needed tile is there: all candidate zooms in one pass."""
-    need = _needed(spark, sf_dir, F.explode(F.sequence(F.lit(3), F.lit(7))))
-    return need.join(_stored(spark, sf_dir), ["z", "x", "y"], "left_semi").groupBy("sel_id").agg(F.max("z").alias("zoom"))
+    need = _needed(spark, sf_dir, F.explode(F.sequence(F.lit(3), F.lit(7)))).withColumnRenamed("sel_id", "model_id")
+    return raster.usable_zoom(need, _stored(spark, sf_dir)).filter("zoom IS NOT NULL").withColumnRenamed("model_id", "sel_id")
+
+
+@REG.add(f"""WITH {{SELECTIONS}}, {BOXES}, {STORED}, {_needed_sql('SELECT unnest(range(6, 8))::INT AS z')}, zm AS (SELECT sel_id, max(CASE WHEN s THEN z END) AS zoom FROM need LEFT JOIN (SELECT *, true AS s FROM stored WHERE x % 3 = 0) USING (z, x, y) GROUP BY sel_id)
+ SELECT sel_id, CASE WHEN zoom IS NULL THEN 'fail' ELSE 'warn' END AS level, CASE WHEN zoom IS NULL THEN 'dem-missing' ELSE 'dem-zoom-reduced' END AS code FROM zm WHERE zoom IS NULL OR zoom < 7""")
+def b13_missing_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models whose terrain is there at a coarser zoom only, or not at all, from a store that lacks most tiles."""
+    need = _needed(spark, sf_dir, F.explode(F.sequence(F.lit(6), F.lit(7)))).withColumnRenamed("sel_id", "model_id")
+    f = raster.usable_zoom(need, _stored(spark, sf_dir).filter("x % 3 = 0")).withColumns({"wanted_zoom": F.lit(7), "missing": F.lit(0), "repaired": F.lit(0), "pixels": F.lit(1)})
+    return rules.judged(f, "model_id", rules.raster_rules()).withColumnRenamed("model_id", "sel_id")
