@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reliefloom.operators import lines, mesh, osm, raster, rings, runs, rules, tracks
+from reliefloom.operators import lines, mesh, osm, raster, rings, runs, rules
 from reliefloom.sources import stl
 
 RING = "ring long, seq long, x double, y double"
@@ -89,11 +89,6 @@ def test_runs_number_rows_and_keep_null_keys_together(spark):
     assert runs.by_length(df, ["k"], "seq", 50)[1] is None
 
 
-def test_tracks_bring_nothing_to_the_driver():
-    source = open(tracks.__file__).read() + open(runs.__file__).read()
-    assert ".collect()" not in source and "toPandas" not in source
-
-
 def test_a_band_is_cut_into_strips_of_bounded_work(spark):
     rng = np.random.default_rng(4)
     segs = [tuple(map(float, rng.uniform(-3000, 3000, 4))) for _ in range(25)] + [(0.0, 0.0, 0.0, 0.0), (-4000.0, 10.0, 4000.0, 10.0), (5.0, -4000.0, 5.0, 4000.0), (0.0, 0.0, 1e5, 1e5)]
