@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .lineage import cut
+from .runs import State, by_length, folded, in_runs
 
 # Limits that results depend on.
 MAX_POINTS = 50_000
@@ -64,31 +65,6 @@ def statistics(points: DataFrame) -> DataFrame:
     )
 
 
-def _by_length(points: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of keys of at most RUN rows, and those of longer keys with their number `_i` and `_run`."""
-    points = cut(points)
-    long = points.groupBy(key).count().filter((F.col("count") > RUN) & F.col(key).isNotNull()).select(key)
-    names = long.collect()  # at most one in RUN rows
-    if not names:
-        return points, None
-    long = F.broadcast(points.sparkSession.createDataFrame(names, long.schema))
-    return points.join(long, key, "left_anti"), _in_runs(points.join(long, key, "left_semi"), key)
-
-
-def _in_runs(points: DataFrame, key: str) -> DataFrame:
-    """points with `_i`, their number within the key from 0, and `_run`: no task sorts a whole key."""
-    parts = points.repartitionByRange(key, "seq").withColumn("_part", F.spark_partition_id())
-    parts = cut(parts.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_part").orderBy("seq"))))
-    before, offsets = {}, []
-    for k, part, n in sorted(parts.groupBy(key, "_part").count().collect()):
-        offsets.append((k, part, before.get(k, 0)))
-        before[k] = before.get(k, 0) + n
-    kind = points.schema[key].dataType.simpleString()
-    at = F.broadcast(points.sparkSession.createDataFrame(offsets, f"{key} {kind}, _part int, _before long"))
-    numbered = parts.join(at, [key, "_part"]).withColumn("_i", F.col("_before") + F.col("_n") - 1)
-    return cut(numbered.withColumn("_run", F.floor(F.col("_i") / RUN)).drop("_part", "_n", "_before"))
-
-
 def _judged_run(pdf: pd.DataFrame, last: tuple | None) -> tuple[list[int], tuple | None]:
     """The verdict on each point, and the last point kept."""
     verdicts = []
@@ -108,16 +84,10 @@ def _judged_run(pdf: pd.DataFrame, last: tuple | None) -> tuple[list[int], tuple
     return verdicts, last
 
 
-def _last_kept(pdf: pd.DataFrame) -> tuple | None:
-    """The point that a run starts from, as joined to each of its rows."""
-    at = pdf.iloc[0]
-    return (at["_sx"], at["_sy"], None if pd.isna(at["_st"]) else at["_st"]) if at["_has"] else None
-
-
 def judged(points: DataFrame, origin) -> DataFrame:
     """points with `verdict`: KEPT, DUPLICATE or SPIKE, against the last point that was kept."""
     x, y = geo.project(F.col("lon"), F.col("lat"), origin)
-    short, long = _by_length(points.withColumns({"_x": x, "_y": y}), "route_id")
+    short, long = by_length(points.withColumns({"_x": x, "_y": y}), ["route_id"], "seq", RUN)
     schema = short.drop("_x", "_y").withColumn("verdict", F.lit(0)).schema
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,31 +97,15 @@ def judged(points: DataFrame, origin) -> DataFrame:
     out = short.groupBy("route_id").applyInPandas(whole, schema)
     if long is None:
         return out
-    spark, kind = points.sparkSession, points.schema["route_id"].dataType.simpleString()
-    state = f"route_id {kind}, _run long, _has boolean, _sx double, _sy double, _st double"
-
-    def started(starts: dict) -> DataFrame:
-        rows = [(*k, v is not None, *(v or (None, None, None))) for k, v in starts.items()]
-        return long.join(F.broadcast(spark.createDataFrame(rows, state)), ["route_id", "_run"]).groupBy("route_id", "_run")
 
-    def end(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        last = _judged_run(pdf, _last_kept(pdf))[1]
-        return pd.DataFrame({"route_id": [key[0]], "_run": [key[1]], "_has": [True], "_sx": [last[0]], "_sy": [last[1]], "_st": [np.nan if last[2] is None else float(last[2])]})
+    def end(pdf: pd.DataFrame, last: State) -> State:
+        x, y, t = _judged_run(pdf, last)[1]
+        return float(x), float(y), None if t is None else float(t)
 
-    def verdicts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        return pdf.assign(verdict=_judged_run(pdf, _last_kept(pdf))[0])[schema.names]
+    def verdicts(pdf: pd.DataFrame, last: State) -> pd.DataFrame:
+        return pdf.assign(verdict=_judged_run(pdf, last)[0])[schema.names]
 
-    starts = {(r[0], r[1]): None for r in long.select("route_id", "_run").distinct().collect()}  # one for RUN points
-    changed = starts
-    while changed:
-        ends = started(changed).applyInPandas(end, state).collect()
-        tell = lambda v: None if v is None or v != v else v
-        after = {(r[0], r[1] + 1): tuple(tell(v) for v in r[3:]) for r in ends}
-        changed = {k: v for k, v in after.items() if k in starts and starts[k] != v}
-        starts.update(changed)
-    return out.unionByName(started(starts).applyInPandas(verdicts, schema))
+    return out.unionByName(folded(long, ["route_id"], "_sx double, _sy double, _st double", end, verdicts, schema))
 
 
 def denoised(points: DataFrame, origin) -> DataFrame:
@@ -224,7 +178,7 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
     ready = lines.select(F.col("line_id").cast("long"), F.col("seq").cast("long"), "x", "y")
     if tolerance <= 0:
         return ready
-    short, long = _by_length(ready, "line_id")
+    short, long = by_length(ready, ["line_id"], "seq", RUN)
     out = short.groupBy("line_id").applyInPandas(run, schema)
     if long is None:
         return out
@@ -235,7 +189,7 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
         return pdf[_kept(x, y, tolerance)[1:-1]][["line_id", "seq", "x", "y"]]
 
     point = F.struct("_i", "seq", "x", "y")
-    ends = F.broadcast(cut(long.groupBy("line_id").agg(F.min_by(point, "_i").alias("a"), F.max_by(point, "_i").alias("b"))))
+    ends = cut(long.groupBy("line_id").agg(F.min_by(point, "_i").alias("a"), F.max_by(point, "_i").alias("b")))
     stay = [ends.select("line_id", F.explode(F.array("a", "b")).alias("p"))]
     todo, small = long.join(ends, "line_id").filter("_i > a._i AND _i < b._i").drop("_run"), []
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
@@ -252,7 +206,7 @@ def simplified(lines: DataFrame, tolerance: float) -> DataFrame:
         if split.isEmpty():
             break
         stay.append(split.select("line_id", F.col("m").alias("p")))
-        todo = todo.drop("d").withColumn("_a", F.col("a._i")).join(F.broadcast(split), ["line_id", "_a"]).filter("_i != m._i")
+        todo = todo.drop("d").withColumn("_a", F.col("a._i")).join(split, ["line_id", "_a"]).filter("_i != m._i")
         before = F.col("_i") < F.col("m._i")
         todo = todo.withColumns({"a": F.when(before, F.col("a")).otherwise(F.col("m")), "b": F.when(before, F.col("m")).otherwise(F.col("b"))}).drop("_a", "m")
     rest = reduce(DataFrame.unionByName, small).withColumn("_a", F.col("a._i"))
@@ -290,61 +244,44 @@ def max_deviation(lines: DataFrame, simple: DataFrame) -> DataFrame:
         worst = _walked(*(v[c].to_numpy() for v in (a, b) for c in ("x", "y")), 0, True)[2] if len(b) else 0.0
         return pd.DataFrame({"line_id": [key[0]], "deviation": [worst]})
 
-    short, long = _by_length(lines, "line_id")
+    short, long = by_length(lines, ["line_id"], "seq", RUN)
     if long is None:
         return short.groupBy("line_id").cogroup(simple.groupBy("line_id")).applyInPandas(run, "line_id long, deviation double")
-    spark = lines.sparkSession
-    names = F.broadcast(cut(long.select("line_id").distinct()))
+    names = cut(long.select("line_id").distinct())
     simple = cut(simple)
     out = short.groupBy("line_id").cogroup(simple.join(names, "line_id", "left_anti").groupBy("line_id")).applyInPandas(run, "line_id long, deviation double")
-    vertices = _in_runs(simple.join(names, "line_id", "left_semi"), "line_id").select("line_id", "seq", "x", "y", F.col("_i").alias("_v"), F.col("_run").alias("_block"))
-    many = {r[0]: r[1] for r in vertices.groupBy("line_id").count().collect()}
-    size = RUN
+    vertices = in_runs(simple.join(names, "line_id", "left_semi"), ["line_id"], "seq", RUN).select("line_id", "seq", "x", "y", F.col("_i").alias("_v"), F.col("_run").alias("_block"))
+    size, at = RUN, ["line_id", "_run"]
 
     def walk(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("_i"), b.sort_values("_v")
         if not len(b):
-            return pd.DataFrame({"line_id": [key[0]], "_run": [key[1]], "at": [int(a["_i"].max()) + 1], "j": [0], "worst": [0.0], "done": [True]})
+            return pd.DataFrame({"line_id": [key[0]], "_run": [key[1]], "at": [int(a["_i"].max()) + 1], "j": [0], "far": [0.0], "ended": [True]})
         at, j, n = (int(a[c].iloc[0]) for c in ("_at", "_j", "_many"))
         a, low = a[a["_i"] >= at], int(b["_v"].iloc[0])
-        went, j, worst = _walked(*(v[c].to_numpy() for v in (a, b) for c in ("x", "y")), j - low, low + len(b) >= n)
-        return pd.DataFrame({"line_id": [key[0]], "_run": [key[1]], "at": [at + went], "j": [j + low], "worst": [worst], "done": [went == len(a)]})
-
-    # A run is first tried from the last vertex before it: vertices are points of the line.
-    held = long.groupBy("line_id", "_run").count().select("line_id", "_run")
-    held = held.join(long.select("line_id", "seq", "_run").join(vertices.select("line_id", "seq"), ["line_id", "seq"]).groupBy("line_id", "_run").count(), ["line_id", "_run"], "left")
-    starts, passed = {}, {}
-    for line, r, n in sorted(held.fillna(0, ["count"]).collect()):  # one row for RUN points
-        starts[line, r] = max(0, passed.get(line, 0) - 1)
-        passed[line] = passed.get(line, 0) + n
-    todo = {k: (k[1] * size, j) for k, j in starts.items()}
-    worst, ended = {}, {}
-    while todo:
-        rows = [(*k, at, j, many.get(k[0], 0), j // size) for k, (at, j) in todo.items()]
-        want = spark.createDataFrame(rows, "line_id long, _run long, _at long, _j long, _many long, _block long")
-        p = long.join(F.broadcast(want.drop("_block")), ["line_id", "_run"])
-        v = want.select("line_id", "_run", F.explode(F.array("_block", F.col("_block") + 1)).alias("_block"))
-        v = vertices.join(F.broadcast(v), ["line_id", "_block"])
-        got = p.groupBy("line_id", "_run").cogroup(v.groupBy("line_id", "_run")).applyInPandas(walk, "line_id long, _run long, at long, j long, worst double, done boolean").collect()
-        todo = {}
-        for r in got:
-            k = r["line_id"], r["_run"]
-            worst[k] = max(worst.get(k, 0.0), r["worst"])
-            if r["done"]:
-                ended[k] = r["j"]
-            else:
-                todo[k] = r["at"], r["j"]
-        for (line, n), j in ended.items():
-            k = line, n + 1
-            if k in starts and starts[k] != j:
-                starts[k], todo[k] = j, (k[1] * size, j)
-                worst.pop(k, None)
-        for k in todo:
-            ended.pop(k, None)
-    most: dict = {}
-    for (line, _), w in worst.items():
-        most[line] = max(most.get(line, 0.0), w)
-    return out.unionByName(spark.createDataFrame(list(most.items()), "line_id long, deviation double"))
+        went, j, far = _walked(*(v[c].to_numpy() for v in (a, b) for c in ("x", "y")), j - low, low + len(b) >= n)
+        return pd.DataFrame({"line_id": [key[0]], "_run": [key[1]], "at": [at + went], "j": [j + low], "far": [far], "ended": [went == len(a)]})
+
+    # One row for each run: the vertex it starts from, how far it has come. It is first tried from the last vertex before it:
+    # vertices are points of the line.
+    order = Window.partitionBy("line_id").orderBy("_run")
+    inside = long.select("line_id", "seq", "_run").join(vertices.select("line_id", "seq"), ["line_id", "seq"]).groupBy(*at).agg(F.count("*").alias("_passed"))
+    states = long.select(*at).distinct().join(inside, at, "left").join(vertices.groupBy("line_id").agg(F.count("*").alias("_many")), "line_id", "left")
+    passed = F.coalesce(F.sum("_passed").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    states = states.select(*at, F.coalesce("_many", F.lit(0)).alias("_many"), F.greatest(passed - 1, F.lit(0)).cast("long").alias("_from"))
+    states = cut(states.select("*", (F.col("_run") * size).alias("_at"), F.col("_from").alias("_j"), F.lit(0.0).alias("_worst"), F.lit(False).alias("_done")))
+    while not (todo := states.filter("NOT _done")).isEmpty():
+        block = F.floor(F.col("_j") / size)
+        p = long.join(todo.select(*at, "_at", "_j", "_many"), at)
+        near = todo.select(F.col("line_id").alias("_of"), F.col("_run").alias("_by"), F.explode(F.array(block, block + 1)).alias("_near"))
+        v = vertices.join(near, (F.col("line_id") == F.col("_of")) & (F.col("_block") == F.col("_near"))).select("_of", "_by", "x", "y", "_v")
+        got = p.groupBy(*at).cogroup(v.groupBy("_of", "_by")).applyInPandas(walk, "line_id long, _run long, at long, j long, far double, ended boolean")
+        met = states.join(got, at, "left").select(*at, "_many", "_from", F.coalesce("at", "_at").alias("_at"), F.coalesce("j", "_j").alias("_j"), F.greatest("_worst", "far").alias("_worst"), F.coalesce("ended", "_done").alias("_done"))
+        told = met.withColumn("_told", F.lag(F.when(F.col("_done"), F.col("_j"))).over(order))
+        again = F.coalesce(F.col("_told") != F.col("_from"), F.lit(False))  # the run before ended elsewhere than was tried
+        anew = {"_from": F.col("_told"), "_at": F.col("_run") * size, "_j": F.col("_told"), "_worst": F.lit(0.0), "_done": F.lit(False)}
+        states = cut(told.select(*at, "_many", *(F.when(again, to).otherwise(F.col(c)).alias(c) for c, to in anew.items())))
+    return out.unionByName(states.groupBy("line_id").agg(F.max("_worst").alias("deviation")))
 
 
 def fitted(stats: DataFrame, by: list[str], padding: float = FIT_PADDING) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reliefloom.operators import lines, mesh, osm, raster, rings, runs, rules
+from reliefloom.functions import geo
+from reliefloom.operators import lines, mesh, osm, raster, rings, rules, runs, tracks
 from reliefloom.sources import stl
 
 RING = "ring long, seq long, x double, y double"
@@ -276,3 +277,30 @@ def cube(spark):
     from .test_operators import cube as made
 
     return made(spark)
+
+
+def test_a_key_that_keeps_nearly_nothing_takes_few_rounds(spark, monkeypatch):
+    """Rows 0 and 200 are kept, whatever the runs start from; each other row hands its state on."""
+    df = spark.createDataFrame([(k, n) for k in (1, 2) for n in range(400)], "k long, seq long").repartition(4)
+    long = runs.by_length(df, ["k"], "seq", 10)[1]
+    rounds = []
+    monkeypatch.setattr(runs, "cut", lambda d, own=runs.cut: rounds.append(1) or own(d))
+
+    def end(pdf, last):
+        for n in pdf["seq"]:
+            if last is None or n in (0, 200):
+                last = (float(n),)
+        return last
+
+    def rows(pdf, last):
+        return pdf.assign(start=-1.0 if last is None else last[0])[["k", "seq", "start"]]
+
+    got = runs.folded(long, ["k"], "at double", end, rows, "k long, seq long, start double").collect()
+    assert {(r.k, r.seq): r.start for r in got} == {(k, n): -1.0 if n < 10 else 0.0 if n < 210 else 200.0 for k in (1, 2) for n in range(400)}
+    assert len(rounds) <= 9  # 40 runs: the first starts, then two tables for each round
+
+
+def test_a_long_route_that_never_moves(spark):
+    n = 190_000
+    points = spark.range(n).select(F.lit(1).cast("long").alias("route_id"), F.col("id").alias("seq"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.lit(None).cast("double").alias("ele"), F.col("id").alias("t_ms"))
+    assert [tuple(r) for r in tracks.denoised(points, geo.point_origin(F.lit(1.0), F.lit(2.0))).collect()] == [(1, 1, n - 1, 0)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reliefloom.functions import geo, tags
-from reliefloom.operators import lines, mesh, osm, raster, rings, rules, surface, tracks
+from reliefloom.operators import lines, mesh, osm, raster, rings, rules, runs, surface, tracks
 from reliefloom.sources import extract, gpx, settings, stl
 
 def _trkpt(lat, lon, ele=None, time=None):
@@ -213,7 +213,7 @@ def test_long_routes_are_folded_in_runs(spark, monkeypatch):
     assert whole[:3] == cut[:3] and np.allclose(whole[3], cut[3])
     assert (0, 1, 149, 0) in whole[0] and 20 < len(whole[2]) < 200
 
-    sizes = tracks._in_runs(lines.filter("line_id = 1"), "line_id").groupBy("_run").count().collect()
+    sizes = runs.in_runs(lines.filter("line_id = 1"), ["line_id"], "seq", 8).groupBy("_run").count().collect()
     assert max(r["count"] for r in sizes) == 8 and sum(r["count"] for r in sizes) == 160
 
 
