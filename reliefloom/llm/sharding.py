@@ -6,14 +6,15 @@ capacity is highest. The `bytes` law holds: shard sizes are nearly equal (words
 
 The placement itself is sequential, so the number of things placed is bounded whatever the input. A
 group of more than 1/FINE of a shard in any measure is placed as it is; there are at most
-3 * shards * FINE of them. One above 1/GRAIN of a shard is cut into pieces of at most that share by a
-hash of doc_id. Only the tail, groups that small that no shard's balance depends on one of them, is
+3 * shards * FINE of them. One above 1/GRAIN of a shard is cut into pieces of about that share by a
+hash of doc_id and of the row's own number in the written table, so that rows without doc_id, or of one
+doc_id, are cut too. Only the tail, groups that small that no shard's balance depends on one of them, is
 gathered by hash into BINS bins, which are placed like groups, after the larger ones. The driver sees
 one row for each group placed, piece or bin.
 
 Rows: a null text has size 1, no words and checksum 0, like an empty one, and forms a group of its
 own with it. Rows without doc_id, and repeated rows, are placed like others; rows of equal doc_id and
-text take neighbouring slots. A very long text is a group like any other. Of shards with equal dot
+text take neighbouring slots unless their group is cut. A very long text is a group like any other. Of shards with equal dot
 products the first is taken. An empty table gives no rows. Columns other than doc_id and text are
 ignored by the plan, whatever their names, and kept by a join on doc_id.
 """
@@ -52,7 +53,7 @@ def placed(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
-    light = written(documents.select(F.col("doc_id").cast("long"), size.alias("size"), words.alias("words"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2")), "sizes")
+    light = written(documents.select(F.col("doc_id").cast("long"), size.alias("size"), words.alias("words"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2")).withColumn("row", F.monotonically_increasing_id()), "sizes")
     measures = [F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("rows")]
     groups = light.groupBy("g1", "g2").agg(*measures)
     total = light.agg(*measures).first()
@@ -66,7 +67,7 @@ def placed(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
         at += int(g.pieces)
     table = spark.createDataFrame(cuts, "c1 long, c2 long, first long, pieces long")
     dealt = light.join(F.broadcast(table), (F.col("g1") == F.col("c1")) & (F.col("g2") == F.col("c2")), "left")
-    item = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.pmod("g1", F.lit(BINS)))
+    item = F.when(F.col("first").isNotNull(), F.col("first") + F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces"))).otherwise(F.pmod("g1", F.lit(BINS)))
     dealt = dealt.withColumn("item", item).drop("c1", "c2", "first", "pieces")
     loads = dealt.groupBy("item").agg(*measures).orderBy("item").collect()  # one row for each bin or piece
     vectors = np.array([[x["size"], x["words"], x["rows"]] for x in loads], float).reshape(-1, 3)
@@ -76,7 +77,7 @@ def placed(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
         places.append((x["item"], s, begun[s]))
         begun[s] += x["rows"]
     places = spark.createDataFrame(places, "item long, shard int, base long")
-    order = Window.partitionBy("item").orderBy("doc_id", "g1", "g2")
+    order = Window.partitionBy("item").orderBy("doc_id", "g1", "g2", "row")
     numbered = dealt.withColumn("at", F.row_number().over(order) - 1)
     out = numbered.join(F.broadcast(places), "item")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,7 +1,9 @@
 """Plain Python versions of the operators' contracts."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,3 +85,34 @@ def contamination(docs, items, width=13):
                     found |= windows[x]
         out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
+
+
+def languages(learn, asked, codes, bits=16, smoothing=0.5, sharpness=6.0):
+    """Language, score and lead over the second of each text in `asked`, by trigrams of bytes and the codewords' bits."""
+
+    def grams(text):
+        b = text.translate(LOWER).encode()
+        return [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1) % 2**32) >> (32 - bits) for i in range(len(b) - 2)]
+
+    langs = sorted({lang for _, lang in learn})
+    counts = {lang: Counter(g for text, of in learn if of == lang for g in grams(text)) for lang in langs}
+    total = {lang: sum(counts[lang].values()) + smoothing * 2**bits for lang in langs}
+    share = {lang: [(counts[lang][g] + smoothing) / total[lang] for g in range(2**bits)] for lang in langs}
+    odds, weights = [], []
+    for bit in range(len(codes[0])):
+        sides = [[share[lang] for lang, code in zip(langs, codes) if code[bit] == side] for side in (1, 0)]
+        odds.append([math.log(sum(s[g] for s in sides[0]) / len(sides[0])) - math.log(sum(s[g] for s in sides[1]) / len(sides[1])) for g in range(2**bits)])
+        apart = [sum(p * o for p, o in zip(share[lang], odds[bit])) * (1 if code[bit] else -1) for lang, code in zip(langs, codes)]
+        weights.append(max(min(apart), 0) + 1e-3)
+    out = {}
+    for i, text in asked.items():
+        if text is None or not any(c.isalpha() for c in text):
+            out[i] = ("und", 0.0, 0.0)
+            continue
+        found = grams(text)
+        margins = [sum(o[g] for g in found) / max(1, len(found)) for o in odds]
+        loss = [sum(w * math.log1p(math.exp(-sharpness * m * (1 if b else -1))) for w, m, b in zip(weights, margins, code)) / sum(weights) for code in codes]
+        like = [math.exp((min(loss) - x) * len(weights)) for x in loss]
+        order = sorted(range(len(langs)), key=lambda k: (-like[k], langs[k]))
+        out[i] = (langs[order[0]], like[order[0]] / sum(like), (like[order[0]] - like[order[1]]) / sum(like))
+    return out

@@ -185,6 +185,26 @@ def test_language_id(spark, sf):
     assert langid.predictions(docs(spark, [])).count() == 0
 
 
+def test_language_id_equals_brute_force(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in table.collect()}
+    learn = [(r.text, r.lang) for i, r in rows.items() if r.text is not None and r.lang is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = brute.languages(learn, {i: r.text for i, r in rows.items()}, langid.codewords(len({lang for _, lang in learn})).tolist())
+    got = {r.doc_id: r for r in langid.predictions(table).collect()}
+    assert set(got) == set(want)
+    for i, (lang, score, apart) in want.items():
+        assert abs(got[i].score - score) < 1e-3 and got[i].ambiguous == (lang != "und" and apart < 0.02)
+        assert got[i].lang_pred == lang or apart < 1e-3
+
+
+def test_language_id_of_equal_evidence_is_flagged(spark):
+    """Two languages of the same words: each text is a tie, which the first by name takes."""
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    table = spark.createDataFrame([(i, "same words here", ("xx", "aa")[k % 2], "a", 1) for k, i in enumerate(ids)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = langid.predictions(table).collect()
+    assert {(r.lang_pred, r.score, r.ambiguous) for r in got} == {("aa", 0.5, True)}
+
+
 def test_codewords_are_distinct_and_useful():
     for n in (2, 3, 4, 5, 9, 30):
         c = langid.codewords(n)
@@ -323,6 +343,15 @@ def test_sharding(spark, sf):
     assert max(r.s for r in real) < 1.1 * min(r.s for r in real)
 
 
+def test_a_large_group_without_ids_is_cut(spark):
+    """Equal rows without doc_id, or of one doc_id, fill many shards; each row has a slot of its own."""
+    for same in (None, 7):
+        out = sharding.placed(docs(spark, [(same, "one text of many rows")] * 3000 + [(i, f"text {i}") for i in range(500)])).collect()
+        rows = Counter(r.shard for r in out)
+        assert sum(rows.values()) == 3500 and len(rows) == 16 and max(rows.values()) < 1.25 * 3500 / 16
+        assert len({(r.shard, r.slot) for r in out}) == 3500 and all(max(r.slot for r in out if r.shard == s) == n - 1 for s, n in rows.items())
+
+
 def test_whole_groups_never_split_a_key():
     from reliefloom.llm.common import whole_groups
 
