@@ -5,8 +5,8 @@ was seen, and the largest doc_id among them. Documents come in batches, largest
 is shuffled once, into its own hashes; these are merge-anti-joined with the hashes that a run has
 settled (seen in enough documents already, so that neither count nor doc_id can change what follows),
 and what is left becomes a new run of level 0. Whenever a level holds FANOUT runs, they are merged into
-one of the next level, bucket by bucket: bucketed runs join without a shuffle. Runs outlive the call:
-`state` names them, `LineRuns.of` opens them again for later batches.
+one of the next level, bucket by bucket: bucketed runs join without a shuffle. Runs outlive the call
+and the session: `state` names them and their folder, `LineRuns.of` opens them again for later batches.
 
 A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least
 `least_chars` code points in at least `least_docs` documents lose their lines everywhere but in the
@@ -56,18 +56,26 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, least_docs: int, fanout: int = FANOUT):
         self.spark, self.least_docs, self.fanout = spark, least_docs, fanout
-        self.buckets = parallelism(spark)
+        self.buckets, self.folder = parallelism(spark), shared_dir(spark)
         self.levels: list[list[str]] = []
 
     @classmethod
     def of(cls, spark: SparkSession, state: dict) -> LineRuns:
-        """The runs that `state` names, in a session that knows their tables."""
+        """The runs that `state` names, in any session: a catalog that lacks their tables gets them, buckets and order too, from their folder."""
         runs = cls(spark, state["least_docs"], state["fanout"])
-        runs.buckets, runs.levels = state["buckets"], [list(level) for level in state["levels"]]
+        runs.buckets, runs.folder, runs.levels = state["buckets"], state["folder"], [list(level) for level in state["levels"]]
+        key = ", ".join(cls.KEY)
+        for name in (name for level in runs.levels for name in level):
+            if not spark.catalog.tableExists(name):
+                place = runs._path(name).replace("\\", "\\\\").replace("'", "\\'")
+                spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, n BIGINT, top BIGINT) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {runs.buckets} BUCKETS LOCATION '{place}'")
         return runs
 
     def state(self) -> dict:
-        return {"least_docs": self.least_docs, "fanout": self.fanout, "buckets": self.buckets, "levels": [list(level) for level in self.levels]}
+        return {"least_docs": self.least_docs, "fanout": self.fanout, "buckets": self.buckets, "folder": self.folder, "levels": [list(level) for level in self.levels]}
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
 
     def _all(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
@@ -91,7 +99,7 @@ class LineRuns:
         if level == len(self.levels):
             self.levels.append([])
         name = f"line_run{level}_{uuid.uuid4().hex}"
-        run.write.format("parquet").bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        run.write.format("parquet").bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", self._path(name)).saveAsTable(name)
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
