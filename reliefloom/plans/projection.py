@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.keys import dealt
 from .derived import gps_points, selections
 from .registry import Registry, r4, r6
 
@@ -182,13 +183,18 @@ def b17_print_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sel_id, lon, lat, ring: a rectangle, a circle or a hexagon."""
-    b = _selection_boxes(spark, sf_dir)
+    """sel_id, lon, lat, ring: a rectangle, a circle or a hexagon. A selection is a few bytes and its ring much work: they are dealt over tasks first."""
+    b = dealt(_selection_boxes(spark, sf_dir), "sel_id")
     lon, lat, r = F.col("lon"), F.col("lat"), F.col("radius_m")
     ring = F.when(F.col("k") == 0, geo.rectangle_ring(F.col("west"), F.col("south"), F.col("east"), F.col("north"))).when(F.col("k") == 1, geo.circle_ring(lon, lat, r)).otherwise(geo.regular_ring(lon, lat, r, 6, geo.math.pi / 6))
     return b.select("sel_id", "lon", "lat", "radius_m", "k", ring.alias("ring"))
 
 
+def _vertices(rings: DataFrame, ring: F.Column) -> DataFrame:
+    """sel_id, i, p: for a plain posexplode Spark would first filter by the ring's size, which makes each ring once more, before they are dealt."""
+    return rings.select("sel_id", F.posexplode_outer(ring).alias("i", "p")).filter("i IS NOT NULL")
+
+
 RINGS = f"""{BOXES}, ringp AS (
  SELECT sel_id, lon AS clon, lat AS clat, k, i, CASE i WHEN 0 THEN west WHEN 3 THEN west ELSE east END AS x, CASE WHEN i < 2 THEN south ELSE north END AS y FROM boxes, (SELECT unnest(range(0, 4)) AS i) WHERE k = 0
  UNION ALL SELECT sel_id, lon, lat, k, i, lon + cos(i / 192e0 * pi() * 2) * (radius_m / 6378137e0 / {DEG_SQL} / cos(lat * {DEG_SQL})), lat + sin(i / 192e0 * pi() * 2) * (radius_m / 6378137e0 / {DEG_SQL}) FROM boxes, (SELECT unnest(range(0, 192)) AS i) WHERE k = 1
@@ -197,7 +203,7 @@ RINGS = f"""{BOXES}, ringp AS (
 
 @REG.add(f"WITH {{SELECTIONS}}, {RINGS} SELECT sel_id, i, round(x, 6) + 0e0 AS lon, round(y, 6) + 0e0 AS lat FROM ringp")
 def b20_selection_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _rings(spark, sf_dir).select("sel_id", F.posexplode("ring").alias("i", "p"))
+    each = _vertices(_rings(spark, sf_dir), F.col("ring"))
     return each.select("sel_id", F.col("i").cast("long").alias("i"), r6(F.col("p.x")).alias("lon"), r6(F.col("p.y")).alias("lat"))
 
 
@@ -212,7 +218,7 @@ WORLD = f"world AS (SELECT sel_id, k, i, 6378137 * (x - clon) * {DEG_SQL} * cos(
 
 @REG.add(f"WITH {{SELECTIONS}}, {RINGS}, {WORLD} SELECT sel_id, i, round(x, 4) + 0e0 AS x_m, round(y, 4) + 0e0 AS y_m FROM world")
 def b22_ring_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _rings(spark, sf_dir).select("sel_id", F.posexplode(geo.ring_world(F.col("ring"), geo.point_origin(F.col("lon"), F.col("lat")))).alias("i", "p"))
+    w = _vertices(_rings(spark, sf_dir), geo.ring_world(F.col("ring"), geo.point_origin(F.col("lon"), F.col("lat"))))
     return w.select("sel_id", F.col("i").cast("long").alias("i"), r4(F.col("p.x")).alias("x_m"), r4(F.col("p.y")).alias("y_m"))
 
 

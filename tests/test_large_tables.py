@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reliefloom.operators import keys, mesh
+from reliefloom.plans import projection
 
 
 def plan(df):
@@ -35,3 +36,10 @@ def test_triangles_and_vertices_are_not_broadcast(spark):
     for made in (mesh.with_corners(t, v), mesh.vertex_normals(t, v), mesh.welded(t, v)[0]):
         assert "BroadcastHashJoin" not in plan(made)
     assert "BuildLeft" not in plan(mesh.subdivided(t, v)[0])  # a row for each model may be broadcast, on the right
+
+
+def test_selections_are_dealt_before_their_rings_are_made(spark, sf):
+    parts = projection._rings(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1
+    made = projection.b20_selection_ring(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cos" in made.lower() and "cos" not in made.lower().split("repartitionbyexpression")[1]  # rings are made after the deal only
