@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reliefloom.operators import keys, mesh
+from reliefloom.operators import keys, mesh, raster
 from reliefloom.plans import projection
 
 
@@ -38,6 +38,17 @@ def test_triangles_and_vertices_are_not_broadcast(spark):
     assert "BuildLeft" not in plan(mesh.subdivided(t, v)[0])  # a row for each model may be broadcast, on the right
 
 
+def test_box_means_are_shared_and_not_broadcast(spark):
+    pixels = spark.range(100).select((F.col("id") % 10).alias("px"), F.floor(F.col("id") / 10).alias("py"), F.col("id").cast("double").alias("v"))
+    points = spark.range(3000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(1.2).alias("y"))
+    got = raster.box_mean(points, pixels, 1)
+    assert "BroadcastHashJoin" not in plan(got)
+    want = [sum(10 * j + i for j in (0, 1, 2) for i in range(max(0, x - 1), x + 2)) / (3 * len(range(max(0, x - 1), x + 2))) for x in range(3)]
+    rows = got.collect()
+    assert len(rows) == 3000 and all(r["v"] == want[r["id"] % 3] for r in rows)
+    assert "BroadcastHashJoin" not in plan(raster.bilinear(points, pixels, F.lit(10), F.lit(10)))
+
+
 def test_selections_are_dealt_before_their_rings_are_made(spark, sf):
     parts = projection._rings(spark, sf).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1
