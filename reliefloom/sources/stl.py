@@ -7,10 +7,11 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -158,6 +159,21 @@ class StlWriter(DataSourceArrowWriter):
                 os.remove(os.path.join(self.folder, name))
 
 
+def heads(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length, bytes of the files in a mounted folder: `bytes` are the head with its count, and nothing after it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path in b.column("path").to_pylist():
+                with open(unquote(re.sub("^file:/+", "/", path)), "rb") as f:
+                    found.append(f.read(HEADER_BYTES + 4))
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(found, pa.binary())], names=["path", "length", "bytes"])
+
+    files = spark.read.format("binaryFile").load(folder).select("path", "length")
+    return files.mapInArrow(run, "path string, length long, bytes binary")
+
+
 def triangle_count(content: Column) -> Column:
     """The count in a file's bytes 80 to 83, little endian."""
     byte = lambda k: F.conv(F.hex(F.substring(content, HEADER_BYTES + 1 + k, 1)), 16, 10).cast("long")

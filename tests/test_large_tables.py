@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from reliefloom.operators import keys, mesh, raster
-from reliefloom.plans import projection
+from reliefloom.plans import meshes, projection
 
 
 def plan(df):
@@ -54,3 +54,9 @@ def test_selections_are_dealt_before_their_rings_are_made(spark, sf):
     assert len(parts) > 1
     made = projection.b20_selection_ring(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "cos" in made.lower() and "cos" not in made.lower().split("repartitionbyexpression")[1]  # rings are made after the deal only
+
+
+def test_files_are_read_back_by_their_heads(spark, sf):
+    files = meshes.a09_stl_files(spark, sf)
+    assert "content:binary" not in files._jdf.queryExecution().executedPlan().toString()  # the columns that are read
+    assert files.filter("bytes != 84 + 50 * triangles").isEmpty()
