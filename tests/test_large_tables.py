@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reliefloom.operators import keys, mesh, raster
+from reliefloom.operators import keys, mesh, raster, surface
 from reliefloom.plans import meshes, projection
 
 
@@ -60,3 +60,11 @@ def test_files_are_read_back_by_their_heads(spark, sf):
     files = meshes.a09_stl_files(spark, sf)
     assert "content:binary" not in files._jdf.queryExecution().executedPlan().toString()  # the columns that are read
     assert files.filter("bytes != 84 + 50 * triangles").isEmpty()
+
+
+def test_draped_surfaces_are_not_broadcast(spark):
+    v = spark.range(50).select(F.lit(0).alias("model_id"), F.col("id").alias("vid"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    ground = v.select("model_id", "vid", (F.col("vid") * 2.0).alias("ground"))
+    got = surface.draped(v, ground, 5.0, 2.0, 0.0)
+    assert "BroadcastHashJoin" not in plan(got)
+    assert sorted((r["vid"], r["top"], r["bottom"]) for r in got.collect()) == [(n, n * 2.0 + 5, max(0.0, n * 2.0 - 2)) for n in range(50)]
