@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..functions import geo
 from .chains import ranked_chains
 from .keys import model
 from .lineage import cut
-from .runs import RUN, State, by_length, folded
+from .runs import RUN, State, by_length, folded, in_step, numbers, whole_keys
 from .surface import vertex_id
 
 KEY_CELLS = 1e-6
@@ -90,18 +91,45 @@ def _bent(pdf: pd.DataFrame, least: float, last: State) -> tuple[list[int], Stat
     return kept, last
 
 
+def _apart_step(p: np.ndarray, last: np.ndarray, least: float) -> np.ndarray:
+    """`_apart` for one point (x, y) of each of many rings."""
+    return np.hypot(p[0] - last[0], p[1] - last[1]) >= least
+
+
+def _bent_step(p: np.ndarray, last: np.ndarray, least: float) -> np.ndarray:
+    """`_bent` for one point (x, y, nx, ny) of each of many rings."""
+    (x, y, nx, ny), (lx, ly) = p, last
+    dx, dy = nx - lx, ny - ly
+    square = dx * dx + dy * dy
+    t = np.divide((x - lx) * dx + (y - ly) * dy, square, out=np.zeros(len(x)), where=square != 0)
+    t = np.fmin(1.0, np.fmax(0.0, t))
+    return np.hypot(x - (lx + t * dx), y - (ly + t * dy)) >= least
+
+
+#: A fold over one ring or run, with the same over many rings and the columns that it reads.
+STEPS = {_apart: (_apart_step, ["x", "y"]), _bent: (_bent_step, ["x", "y", "nx", "ny"])}
+
+
 def _fold(rings: DataFrame, keys: list[str], order: str, least: float, judge: Callable, first: DataFrame | None = None) -> DataFrame:
-    """The points that `judge` keeps, walking along each ring; in runs where a ring is long."""
+    """The points that `judge` keeps, walking along each ring, many rings at a time; in runs where a ring is long."""
     short, long = by_length(rings, keys, order, RUN)
     names, state, given = rings.columns, "_sx double, _sy double", first is not None
     if first is not None:
         short = short.join(first, keys)
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.iloc[judge(pdf, least, (pdf["_sx"].iloc[0], pdf["_sy"].iloc[0]) if given else None)[0]][names]
+    step, columns = STEPS[judge]
+
+    def whole(t: pa.Table, begin: np.ndarray) -> pa.Table:
+        at = np.stack(numbers(t, *columns))
+        last = np.stack(numbers(t, "_sx", "_sy"))[:, begin] if given else np.zeros((2, len(begin)))
+        kept = np.zeros(t.num_rows, bool)
+        for k, (who, rows) in enumerate(in_step(begin, np.diff(np.append(begin, t.num_rows)))):
+            keep = step(at[:, rows], last[:, who], least) if given or k else np.ones(len(who), bool)
+            kept[rows] = keep
+            last[:, who[keep]] = at[:2, rows[keep]]
+        return t.filter(pa.array(kept)).select(names)
 
-    out = short.groupBy(*keys).applyInPandas(whole, rings.schema)
+    out = whole_keys(short, keys, [order], whole, rings.schema)
     if long is None:
         return out
     end = lambda pdf, last: judge(pdf, least, last)[1]
