@@ -304,3 +304,31 @@ def test_a_long_route_that_never_moves(spark):
     n = 190_000
     points = spark.range(n).select(F.lit(1).cast("long").alias("route_id"), F.col("id").alias("seq"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.lit(None).cast("double").alias("ele"), F.col("id").alias("t_ms"))
     assert [tuple(r) for r in tracks.denoised(points, geo.point_origin(F.lit(1.0), F.lit(2.0))).collect()] == [(1, 1, n - 1, 0)]
+
+
+def test_many_short_keys_are_folded_together(spark, monkeypatch):
+    """Against the plain folds, however the keys lie over batches."""
+    monkeypatch.setattr(runs, "MANY", 50)
+    shape = {k: walk(k, 3 + 7 * k) for k in range(20)}
+    df = spark.createDataFrame([(k, n, x, y) for k, ps in shape.items() for n, (x, y) in enumerate(ps)], RING).repartition(3)
+    got = by_ring(rings.cleaned(df, 8.0))
+    assert got == {k: out for k, ps in shape.items() if (out := plain_cleaned(ps, 8.0))}
+    lines_ = df.withColumnRenamed("ring", "line_id")
+    simple = tracks.simplified(lines_, 0.3)
+    for made in (simple, tracks.max_deviation(lines_, simple)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMap" not in plan  # not a call of Python for each key
+    want = {}
+    for k, ps in shape.items():
+        x, y = np.array(ps).T
+        keep = tracks._kept(x, y, 0.3)
+        want[k] = (int(keep.sum()), tracks._walked(x, y, x[keep], y[keep], 0, True)[2])
+    n = {r.line_id: r["count"] for r in simple.groupBy("line_id").count().collect()}
+    assert {r.line_id: (n[r.line_id], r.deviation) for r in tracks.max_deviation(lines_, simple).collect()} == want
+
+
+def test_batches_hold_whole_keys(monkeypatch):
+    for size in (np.array([3, 0, 5, 1]), np.array([], int)):
+        first = np.cumsum(size) - size
+        seen = [(int(w), int(r)) for who, rows in runs.in_step(first, size) for w, r in zip(who, rows)]
+        assert sorted(seen) == [(k, int(first[k]) + n) for k in range(len(size)) for n in range(size[k])]
