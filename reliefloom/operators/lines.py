@@ -124,10 +124,11 @@ def inside_mask(spans: DataFrame, x0: float, step: float, cols: int) -> DataFram
 def band_strips(segs: DataFrame, half_width_m: float | Column, cell_m: float) -> DataFrame:
     """[model_id,] ax, ay, bx, by, band, j0, j1, i0, i1: the part of each segment's band in each tile of the grid.
 
-    A strip has TILE x TILE nodes at most, however long the segment is and however wide its band.
+    A strip has TILE x TILE nodes at most, however long the segment is and however wide its band. A segment that is there
+    several times has its strips once: the least distance to it is the same.
     """
     m, c = model(segs), F.col
-    s = segs.select(*m, "ax", "ay", "bx", "by", (F.lit(half_width_m) + 2 * cell_m).alias("band"))
+    s = segs.select(*m, "ax", "ay", "bx", "by", (F.lit(half_width_m) + 2 * cell_m).alias("band")).distinct()
     s = s.withColumns({"j0": F.floor((F.least("ay", "by") - c("band")) / cell_m), "j1": F.ceil((F.greatest("ay", "by") + c("band")) / cell_m)})
     tile = lambda v: F.floor(v / TILE)
     s = s.select("*", F.explode(F.sequence(tile(c("j0")), tile(c("j1")))).alias("tj"))

@@ -332,3 +332,11 @@ def test_batches_hold_whole_keys(monkeypatch):
         first = np.cumsum(size) - size
         seen = [(int(w), int(r)) for who, rows in runs.in_step(first, size) for w, r in zip(who, rows)]
         assert sorted(seen) == [(k, int(first[k]) + n) for k in range(len(size)) for n in range(size[k])]
+
+
+def test_a_segment_that_is_there_again_has_its_strips_once(spark):
+    s = spark.createDataFrame([(1, 0.0, 0.0, 300.0, 40.0)] * 50 + [(2, 0.0, 0.0, 300.0, 40.0)], "model_id long, ax double, ay double, bx double, by double")
+    strips = lines.band_strips(s, 10.0, 10.0).groupBy("model_id").count().collect()
+    assert len({r["count"] for r in strips}) == 1 and len(strips) == 2
+    field = lines.distance_field(s, 10.0, 10.0)
+    assert [r.n for r in field.groupBy("model_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("d")).groupBy("n", "d").count().select(F.col("count").alias("n")).collect()] == [2]
