@@ -136,7 +136,7 @@ def flagship_route_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = tracks.statistics(tracks.denoise_points(gps_points(spark, sf_dir), _origin()))
     box = tracks.fitted(stats, ["route_id"])
     all_ = stats.drop("west", "south", "east", "north").join(box, "route_id")
-    ex, ey = geo.extent(*(F.col(c) for c in ("west", "south", "east", "north")))
+    ex, ey = geo.extent(*(F.col(c) for c in ("west", "south", "east", "north")), cos=geo.libm_cos)  # the longest side has 250 cells, give or take a bit
     g = all_.withColumns({"ex": ex, "ey": ey}).withColumn("g", geo.grid(F.col("ex"), F.col("ey"), F.lit(100.0), F.lit(0.4), F.lit(None).cast("double")))
     return g.select("route_id", "points", r4(F.col("distance_m")).alias("distance_m"), r4(F.col("gain_m")).alias("gain_m"), *(r6(F.col(c)).alias(c) for c in ("west", "south", "east", "north")), "g.cols", "g.rows")
 
