@@ -340,3 +340,32 @@ def test_a_segment_that_is_there_again_has_its_strips_once(spark):
     assert len({r["count"] for r in strips}) == 1 and len(strips) == 2
     field = lines.distance_field(s, 10.0, 10.0)
     assert [r.n for r in field.groupBy("model_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 6).alias("d")).groupBy("n", "d").count().select(F.col("count").alias("n")).collect()] == [2]
+
+
+def test_a_solid_of_many_parts_is_judged_once(spark, monkeypatch):
+    t, v = (df.withColumn("model_id", F.lit("whole")) for df in cube(spark))
+    t = t.unionByName(t.filter("tid > 0").withColumn("model_id", F.lit("open")))
+    v = v.unionByName(v.withColumn("model_id", F.lit("open")))
+    rows = [("ok", "terrain", "whole"), ("ok", "roads", "whole"), ("bad", "terrain", "whole"), ("bad", "roads", "open"), ("flat", "terrain", "open")] + [(f"m{n}", "terrain", "open") for n in range(30)]
+    parts = spark.createDataFrame(rows, "model string, part string, solid string")
+    judged = []
+    for name in ("repaired", "audit"):
+        monkeypatch.setattr(mesh, name, lambda t, v, own=getattr(mesh, name): judged.append(t.count()) or own(t, v))
+    got = sorted((r.model, r.part, r.level, r.code) for r in rules.shared_part_warnings(parts, t, v, merged=["roads"]).collect())
+    assert judged == [23, 23]  # 12 triangles and 11, once after repair and once as they are
+    assert got == sorted([("bad", "roads", "fail", "part-not-manifold"), ("flat", "terrain", "fail", "not-manifold")] + [(f"m{n}", "terrain", "fail", "not-manifold") for n in range(30)])
+
+
+def test_repair_counts_every_shape_of_doubled_numbers(spark):
+    """Vertex numbers that are there twice: the audits of one pass against a join of each."""
+    t, v = cube(spark)
+    v = v.unionByName(v.filter("vid < 3").withColumns({"x": F.col("x") + 5, "z": F.col("z") * 2}))
+    t = t.unionByName(t.filter("tid = 0").select("model_id", (F.col("tid") + 100).alias("tid"), "a", F.col("a").alias("b"), "c"))
+    wt, wv = mesh.welded(t, v)
+    audits = {r["model_id"]: r.asDict() for r in mesh.audit(wt, wv).collect()}, {r["model_id"]: r.asDict() for r in mesh.audit(mesh.without_degenerates(wt, wv), wv).collect()}
+    bad = lambda a: a["open_edges"] + a["non_manifold"]
+    for r in mesh.repaired(t, v).collect():
+        w, c = (a[r.model_id] for a in audits)
+        use = bad(w) > 0 and bad(c) < bad(w)
+        got, want = r.asDict(), {"cleaned": use, **(c if use else w)}
+        assert math.isclose(got.pop("volume_mm3"), want.pop("volume_mm3"), rel_tol=1e-9, abs_tol=1e-9) and got == want
