@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from reliefloom.operators import keys, mesh, raster, surface
-from reliefloom.plans import meshes, projection
+from reliefloom.plans import layers, meshes, projection
 
 
 def plan(df):
@@ -68,3 +68,16 @@ def test_draped_surfaces_are_not_broadcast(spark):
     got = surface.draped(v, ground, 5.0, 2.0, 0.0)
     assert "BroadcastHashJoin" not in plan(got)
     assert sorted((r["vid"], r["top"], r["bottom"]) for r in got.collect()) == [(n, n * 2.0 + 5, max(0.0, n * 2.0 - 2)) for n in range(50)]
+
+
+def test_models_are_judged_once(spark, sf):
+    got = layers.k06_exportable_models(spark, sf)
+    assert "orders.parquet" not in plan(got)  # the audit was made for the models, and again for what fails
+    assert [r["model_id"] for r in got.collect()] == [0]
+
+
+def test_edges_are_dealt_before_they_are_counted(spark):
+    v, t = mesh.terrain_solid(*_grid(spark, 20, 20))
+    faults = mesh.edge_faults(t)
+    assert "RepartitionByExpression [model_id" in faults._jdf.queryExecution().optimizedPlan().toString()  # a task held all the edges it met
+    assert [tuple(r) for r in faults.collect()] == [(0, 0, 0)]
