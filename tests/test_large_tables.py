@@ -1,5 +1,7 @@
 """What grows with a table is dealt over tasks, and is not taken for as small as what it was made from."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from reliefloom.operators import keys, mesh, raster, surface
@@ -81,3 +83,19 @@ def test_edges_are_dealt_before_they_are_counted(spark):
     faults = mesh.edge_faults(t)
     assert "RepartitionByExpression [model_id" in faults._jdf.queryExecution().optimizedPlan().toString()  # a task held all the edges it met
     assert [tuple(r) for r in faults.collect()] == [(0, 0, 0)]
+
+
+def test_corners_with_several_vertices_are_chosen_in_one_task(spark):
+    v = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 1.0, 0.0, 0.0), (0, 2, 0.0, 1.0, 0.0), (0, 3, 0.0, 1.0, 0.0), (0, 0, 5.0, 5.0, 0.0), (0, 3, 1.0, 0.0, 0.0)], "model_id int, vid long, x float, y float, z float")
+    t = spark.createDataFrame([(0, 0, 0, 1, 3), (0, 1, 0, 3, 2), (0, 2, 1, 1, 2)], "model_id int, tid long, a long, b long, c long")
+    got = mesh.welded_without_degenerates(t, v)
+    assert plan(got).split("Initial Plan")[0].count("SortMergeJoin") == 4  # three times the corners, once the vertices: it was six and two, of ever more rows
+    # the same by joins of every choice
+    spots = [tuple(r) for r in v.select("vid", "x", "y", "z").collect()]
+    to = [(n, min(m for m, *q in spots if q == p)) for n, *p in spots]
+    want = []
+    for tid, *corners in [tuple(r)[1:] for r in t.collect()]:
+        for a, b, c in itertools.product(*([(w, x, y) for n, w in to if n == k for m, x, y, _ in spots if m == w] for k in corners)):
+            if len({a[0], b[0], c[0]}) == 3 and ((b[1] - a[1]) * (c[2] - a[2]) - (b[2] - a[2]) * (c[1] - a[1])) ** 2 / 4 > 1e-12:
+                want.append((0, tid, a[0], b[0], c[0]))
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
