@@ -99,3 +99,15 @@ def test_corners_with_several_vertices_are_chosen_in_one_task(spark):
             if len({a[0], b[0], c[0]}) == 3 and ((b[1] - a[1]) * (c[2] - a[2]) - (b[2] - a[2]) * (c[1] - a[1])) ** 2 / 4 > 1e-12:
                 want.append((0, tid, a[0], b[0], c[0]))
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_quarters_carry_their_corners(spark):
+    v, t = mesh.terrain_solid(*_grid(spark, 7, 5))
+    tops = v.groupBy("model_id").agg((F.max("vid") + 1).alias("top"))
+    quarters = mesh.quarters(mesh.halved(mesh.with_corners(t, v)), tops)
+    t4, v4 = mesh.subdivided(t, v)
+    columns = ["model_id", "tid", "a", "b", "c", *(f"{p}{k}" for p in "abc" for k in "xyz")]
+    made, joined = (sorted(map(tuple, x.select(*columns).collect())) for x in (quarters, mesh.with_corners(t4, v4)))
+    assert made == joined and len(made) == 4 * t.count()
+    got, audit = mesh.checked(quarters, "new").first(), mesh.audit(t4, v4).first()
+    assert (got["triangles"], got["open_edges"], got["non_manifold"], got["new"]) == (len(made), 0, 0, v4.count() - v.count()) and abs(got["v"] - audit["volume_mm3"]) < 1e-9
