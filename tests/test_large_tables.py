@@ -1,7 +1,9 @@
 """What grows with a table is dealt over tasks, and is not taken for as small as what it was made from."""
 
 import itertools
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from reliefloom.operators import keys, mesh, raster, surface
@@ -40,6 +42,13 @@ def test_triangles_and_vertices_are_not_broadcast(spark):
     assert "BuildLeft" not in plan(mesh.subdivided(t, v)[0])  # a row for each model may be broadcast, on the right
 
 
+@pytest.mark.parametrize("query", [meshes.e17_vertex_normals])
+def test_only_a_row_for_each_model_goes_to_the_driver(spark, sf, query):
+    made = plan(query(spark, sf)).split("Initial Plan")[0]
+    assert made.count("SortMergeJoin") >= 3  # the corners
+    assert {re.sub(r"#\d+", "", k) for k in re.findall(r"Broadcast\w+Join (\[[^\]]*\])", made)} <= {"[model_id]"}  # vertices were broadcast, by model and number
+
+
 def test_box_means_are_shared_and_not_broadcast(spark):
     pixels = spark.range(100).select((F.col("id") % 10).alias("px"), F.floor(F.col("id") / 10).alias("py"), F.col("id").cast("double").alias("v"))
     points = spark.range(3000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(1.2).alias("y"))
