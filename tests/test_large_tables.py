@@ -42,7 +42,7 @@ def test_triangles_and_vertices_are_not_broadcast(spark):
     assert "BuildLeft" not in plan(mesh.subdivided(t, v)[0])  # a row for each model may be broadcast, on the right
 
 
-@pytest.mark.parametrize("query", [meshes.e17_vertex_normals])
+@pytest.mark.parametrize("query", [meshes.e17_vertex_normals, meshes.e19_longest_edge])
 def test_only_a_row_for_each_model_goes_to_the_driver(spark, sf, query):
     made = plan(query(spark, sf)).split("Initial Plan")[0]
     assert made.count("SortMergeJoin") >= 3  # the corners
