@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..operators.mesh import with_corners
+from ..operators.blocks import cornered
 from ..operators.runs import RUN, in_runs
 
 HEADER_BYTES = 80
@@ -37,7 +37,7 @@ def slug(name: Column) -> Column:
 
 
 def facets(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """model_id, tid, record: one 50-byte record for each triangle, with its face normal."""
+    """model_id, tid, record: one 50-byte record for each triangle, with its face normal; of a number that several vertices have, one is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,7 +50,7 @@ def facets(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
             raw = rec.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("model_id"), b.column("tid"), pa.array([raw[i : i + 50] for i in range(0, len(raw), 50)], pa.binary())], names=["model_id", "tid", "record"])
 
-    c = with_corners(triangles, vertices)
+    c = cornered(triangles, vertices)
     kind = dict(c.dtypes)["model_id"]
     return c.select("model_id", "tid", *(f"{v}{k}" for v in "abc" for k in "xyz")).mapInArrow(run, f"model_id {kind}, tid long, record binary")
 
@@ -79,12 +79,12 @@ def write_files(triangles: DataFrame, vertices: DataFrame, names: DataFrame, fol
 
     Any number of tasks write a file together: each record has its place, so a task puts its runs where they belong, and one
     that is run again writes the same bytes to the same places. When all have ended, each file gets its head and its name.
+    Numbered records are in their order already, and are written by the tasks that read them.
     """
     spark = triangles.sparkSession
     spark.dataSource.register(StlFiles)
-    rows = placed(facets(triangles, vertices)).join(names.select("model_id", "file"), "model_id").select("file", "n", "_run", "_i", "record")
-    dealt = rows.repartition("file", "_run").sortWithinPartitions("file", "_i").drop("_run")
-    dealt.write.format(StlFiles.name()).mode("append").option("folder", folder).option("header", header).save()
+    rows = placed(facets(triangles, vertices)).join(names.select("model_id", "file"), "model_id").select("file", "n", "_i", "record")
+    rows.sortWithinPartitions("file", "_i").write.format(StlFiles.name()).mode("append").option("folder", folder).option("header", header).save()
 
 
 class StlFiles(DataSource):

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reliefloom.operators import blocks, mesh
+from reliefloom.operators import blocks, mesh, runs
 from reliefloom.plans import meshes
+from reliefloom.sources import stl
 
 
 def tangle(spark, seed=3):
@@ -64,3 +65,31 @@ def test_repaired_solids_are_not_kept(spark, sf, monkeypatch):
         monkeypatch.setattr(module, "cut", lambda df, own=module.cut: kept.append(df.columns) or own(df))
     assert meshes.k06_part_rules(spark, sf).count() == 7 and meshes.i12_repair(spark, sf).count() == 4 and meshes.i10_weld(spark, sf).count() == 4
     assert kept == []  # the triangles were, four times
+
+
+@pytest.mark.parametrize("block", [blocks.in_a_row, lambda v: F.shiftright(v, 3), lambda v: v % 5])
+def test_a_triangle_has_its_corners_once(spark, block, monkeypatch):
+    monkeypatch.setattr(blocks, "MANY", 50)
+    t, v = tangle(spark)
+    got = sorted(map(tuple, blocks.cornered(t, v, block).collect()))
+    one = v.groupBy("model_id", "vid").agg(F.min(F.struct("x", "y", "z")).alias("p")).select("model_id", "vid", "p.*")
+    want = mesh.with_corners(t, one).select("model_id", "tid", *(f"{c}{k}" for c in "abc" for k in "xyz"))
+    assert got == sorted(map(tuple, want.collect())) and len(got) < mesh.with_corners(t, v).count()
+
+
+def test_files_have_a_record_for_each_triangle(spark, tmp_path):
+    """Numbers that several vertices have gave a triangle a record for each choice."""
+    t = spark.createDataFrame([("a", 5, 0, 1, 2), ("a", 9, 1, 3, 2)], "model_id string, tid long, a long, b long, c long")
+    v = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("a", 1, 1.0, 0.0, 0.0), ("a", 2, 0.0, 1.0, 0.0), ("a", 3, 1.0, 1.0, 0.0), ("a", 3, 4.0, 4.0, 0.0)], "model_id string, vid long, x float, y float, z float")
+    stl.write_files(t, v, spark.createDataFrame([("a", "a.stl")], "model_id string, file string"), str(tmp_path), "x")
+    data = (tmp_path / "a.stl").read_bytes()
+    assert len(data) == 84 + 2 * 50 and int.from_bytes(data[80:84], "little") == 2
+
+
+def test_numbered_rows_are_kept_once_and_small(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(runs, "cut", lambda df: kept.append(df) or df.checkpoint())
+    rows = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 5003).alias("o"))
+    got = runs.in_runs(rows, ["k"], "o", 100).collect()
+    want = {k: sorted(n * 7919 % 5003 for n in range(k, 5000, 3)) for k in range(3)}
+    assert kept == [] and len(got) == 5000 and all(want[r.k][r._i] == r.o and r._run == r._i // 100 for r in got)  # twice, as checkpoints
