@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reliefloom.operators import blocks, mesh, runs
-from reliefloom.plans import meshes
+from reliefloom.plans import meshes, parts
 from reliefloom.sources import stl
 
 
@@ -93,3 +93,8 @@ def test_numbered_rows_are_kept_once_and_small(spark, monkeypatch):
     got = runs.in_runs(rows, ["k"], "o", 100).collect()
     want = {k: sorted(n * 7919 % 5003 for n in range(k, 5000, 3)) for k in range(3)}
     assert kept == [] and len(got) == 5000 and all(want[r.k][r._i] == r.o and r._run == r._i // 100 for r in got)  # twice, as checkpoints
+
+
+def test_parts_are_renumbered_in_one_shuffle(spark, sf):
+    made = shuffled_rows(spark, parts.g05_united_parts(spark, sf))
+    assert made.count("SortMergeJoin [model_id") <= 1  # the query's own, for x; there were three more of the triangles
