@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reliefloom.operators import blocks, mesh, runs
+from reliefloom.operators import blocks, lines, mesh, raster, runs, surface
 from reliefloom.plans import meshes, parts
 from reliefloom.sources import stl
 
@@ -98,3 +98,32 @@ def test_numbered_rows_are_kept_once_and_small(spark, monkeypatch):
 def test_parts_are_renumbered_in_one_shuffle(spark, sf):
     made = shuffled_rows(spark, parts.g05_united_parts(spark, sf))
     assert made.count("SortMergeJoin [model_id") <= 1  # the query's own, for x; there were three more of the triangles
+
+
+@pytest.mark.parametrize("block", [blocks.in_a_row, lambda v: F.shiftright(v, 3), lambda v: v % 5])
+def test_boundaries_are_those_of_all_edges(spark, block, monkeypatch):
+    monkeypatch.setattr(blocks, "MANY", 50)
+    t, _ = tangle(spark)
+    t = t.filter("a <> b AND b <> c AND a <> c")
+    assert sorted(map(tuple, blocks.boundary(t, block).collect())) == sorted(map(tuple, mesh.boundary(t).collect()))
+
+
+def test_a_point_between_pixels_is_one_row(spark):
+    pixels = spark.createDataFrame([(x, y, None if (x, y) == (1, 1) else float(x + 10 * y)) for x in range(3) for y in range(3) if (x, y) != (2, 0)], "px long, py long, v float")
+    points = spark.createDataFrame([(0, 0.25, 0.0), (1, -3.0, 9.0), (2, 1.5, 0.0), (3, 0.5, 0.5), (4, 2.0, 2.0), (5, 2.0, 0.0)], "id long, x double, y double")
+    got = raster.bilinear(points, pixels, F.lit(3), F.lit(3))
+    assert "Exchange" in shuffled_rows(spark, got) and "dx" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("Aggregate")[0]  # it was four
+    assert {r.id: r.v for r in got.collect()} == {0: 0.25, 1: 20.0, 2: 0.5, 3: 2.75, 4: 22.0, 5: 0.0}
+
+
+def test_nodes_of_a_place_are_made_together(spark):
+    s = spark.createDataFrame([(m, 0.0, 10.0 * k, 900.0, 7.0 * k) for m in range(6) for k in range(40)], "model_id long, ax double, ay double, bx double, by double")
+    made = lines.distance_field(s, 50.0, 20.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [model_id" in made  # by a hash of the strip: each task had nodes of all places
+
+
+def test_a_tile_of_a_solid_is_one_block(spark):
+    at = lambda i, j, n: surface.tile_of(surface.vertex_id(surface.UP, F.lit(i), F.lit(j)) * 2 + n)
+    spots = [(0, 0, 0), (63, 63, 1), (0, 64, 0), (64, 0, 0), (-1, 0, 1), (-64, 5, 0)]
+    got = spark.range(1).select(*(at(*s).alias(str(k)) for k, s in enumerate(spots))).first()
+    assert got[0] == got[1] and got[4] == got[5] and len(set(got)) == 4
