@@ -127,3 +127,12 @@ def test_a_tile_of_a_solid_is_one_block(spark):
     spots = [(0, 0, 0), (63, 63, 1), (0, 64, 0), (64, 0, 0), (-1, 0, 1), (-64, 5, 0)]
     got = spark.range(1).select(*(at(*s).alias(str(k)) for k, s in enumerate(spots))).first()
     assert got[0] == got[1] and got[4] == got[5] and len(set(got)) == 4
+
+
+def test_sides_are_numbered_without_their_corners(spark, sf, monkeypatch):
+    kept = []
+    monkeypatch.setattr(meshes, "cut", lambda df, own=meshes.cut: kept.append(df.columns) or own(df))
+    made = shuffled_rows(spark, meshes.i04_subdivide(spark, sf))
+    assert not [c for c in kept if "ax" in c]  # the halved triangles, as a checkpoint
+    dealt = [line for line in made.splitlines() if "Window [min(" in line or "windowspecdefinition" in line]
+    assert dealt and not any("x#" in line for line in dealt)
